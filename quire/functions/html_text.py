@@ -8,13 +8,20 @@ stay on the JVM fast path.
 
 from __future__ import annotations
 
+import sys
+
 import html
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# Worker-side functions of this module travel by value, so executors need no
+# copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @F.pandas_udf(StringType())
 def _unescape_batch(s: pd.Series) -> pd.Series:
