@@ -216,20 +216,23 @@ def _anchor_link(label: Column, target: Column, color: str = LINK_COLOR) -> Colu
             .otherwise(F.concat(F.lit(f"`F{color}`_`["), lab, F.lit("`#"), dest, F.lit("]`_`f"))))
 
 
-def _link_values(n: DataFrame, docs: DataFrame, page_root: str) -> DataFrame:
-    """(doc_id, pos, link_v) for atomic links: label = all text below the link."""
-    lab = (n.filter(F.col("_owner").isNotNull() & (F.col("kind") == "text"))
-           .groupBy("doc_id", F.col("_owner").alias("pos"))
-           .agg(_ordered_join(F.struct(F.col("pos"), F.col("text").alias("v")), "").alias("label")))
-    a = (n.filter(F.col("_atomic") & F.col("link_kind").isin("anchor", "entry"))
-         .select("doc_id", "pos", "link_kind", "href")
-         .join(lab, ["doc_id", "pos"], "left")
-         .join(docs.select("doc_id", "archive", "path"), "doc_id", "left"))
+def _with_link_values(n: DataFrame, page_root: str) -> DataFrame:
+    """Adds ``link_v`` on atomic links: the label is all text below the link,
+    gathered with a window over (doc, owner) - no aggregation joined back."""
+    grp = F.when(F.col("_atomic"), F.col("pos")).otherwise(F.col("_owner"))
+    w = Window.partitionBy("doc_id", grp.alias("_grp"))
+    piece = F.when(F.col("_owner").isNotNull() & (F.col("kind") == "text"),
+                   F.struct(F.col("pos"), F.col("text").alias("v")))
+    n = n.withColumn("_grp", grp)
+    w = Window.partitionBy("doc_id", "_grp")
+    label = F.array_join(F.transform(F.array_sort(F.collect_list(piece).over(w)), lambda x: x["v"]), "")
+    is_link = F.col("_atomic") & F.col("link_kind").isin("anchor", "entry")
     href = T.py_strip(F.coalesce("href", F.lit("")))
-    label = F.coalesce("label", F.lit(""))
-    v = (F.when(F.col("link_kind") == "anchor", _anchor_link(label, F.substring(href, 2, 1 << 30)))
-         .otherwise(_entry_link(label, T.resolve_path(href, F.col("path")), F.col("archive"), page_root)))
-    return a.select("doc_id", "pos", v.alias("link_v"))
+    n = n.withColumn("label", F.when(is_link & F.col("_grp").isNotNull(), label))
+    lab = F.coalesce("label", F.lit(""))
+    v = (F.when(F.col("link_kind") == "anchor", _anchor_link(lab, F.substring(href, 2, 1 << 30)))
+         .otherwise(_entry_link(lab, T.resolve_path(href, F.col("path")), F.col("archive"), page_root)))
+    return n.withColumn("link_v", F.when(is_link, v)).drop("_grp")
 
 
 def _list_structure(n: DataFrame) -> DataFrame:
@@ -281,8 +284,7 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
     values rebuilds the inline text of every paragraph, list item, definition,
     quote, heading and preformatted block in one aggregation.
     """
-    n = _dl_structure(_list_structure(inline_marks(b)))
-    n = n.join(_link_values(n, docs, page_root), ["doc_id", "pos"], "left")
+    n = _with_link_values(_dl_structure(_list_structure(inline_marks(b))), page_root)
     inline = F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES)
     live = inline & (F.col("pos") > F.col("block")) & ~F.col("_inside_atomic")
     ident = T.slug(F.coalesce("id", F.lit("")))
@@ -297,10 +299,11 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
     n = n.withColumn("_anchor", anchor).withColumn("_leaf", leaf)
     nb = (F.when(F.coalesce(T.py_strip(F.col("_leaf")), F.lit("")) != "", 1).otherwise(0)
           + F.when(F.col("_anchor").isNotNull(), 1).otherwise(0))
-    n = n.withColumn("_cnb", F.sum(nb).over(H.by_doc().rowsBetween(Window.unboundedPreceding, 0)))
-    ends = n.select("doc_id", F.col("pos").alias("end_pos"), F.col("_cnb").alias("_cnb_end"))
-    n = n.join(ends, ["doc_id", "end_pos"], "left")
-    wrapped = F.coalesce(F.col("_cnb_end"), F.col("_cnb")) - F.col("_cnb") > 0
+    # wrapped iff the next non-blank contribution after this node lies inside it:
+    # a running min over the rows that follow (reverse order, so it stays O(n))
+    rev = Window.partitionBy("doc_id").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("_next_nb", F.min(F.when(nb > 0, F.col("pos"))).over(rev))
+    wrapped = F.coalesce(F.col("_next_nb") <= F.col("end_pos"), F.lit(False))
     is_el = live & (F.col("kind") == "tag") & F.col("_leaf").isNull()
     wrap_open = (F.when(_is_tag(*BOLD), "`!").when(_is_tag(*ITALIC), "`*")
                  .when(_is_tag(*CODE), f"`B{CODE_BG}`F{CODE_FG}"))
@@ -472,22 +475,20 @@ def headings(nodes: DataFrame, kind: str = "generic") -> DataFrame:
 # EXT-7 / EXT-19 / JOIN-9: link and anchor tables
 # ---------------------------------------------------------------------------
 
-def links(nodes: DataFrame, docs: DataFrame, kind: str = "generic") -> DataFrame:
-    """(doc_id, pos, link_kind, label, href, target) for links in inline contexts.
-
-    The label is the link's plain text (all text below it, no separator)."""
+def links(nodes: DataFrame, docs: DataFrame | None = None, kind: str = "generic") -> DataFrame:
+    """(doc_id, pos, link_kind, label, href, target, archive) for links in inline
+    contexts.  The label is the link's plain text (all text below it)."""
     b = blocks(nodes, kind)
     n = inline_marks(b)
-    is_a = F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES) & _is_tag("a") & (F.col("pos") > F.col("block")) & ~F.col("_inside_atomic")
-    n = (n.withColumn("_a", H.last_open(is_a, "pos"))
-         .withColumn("_a_end", H.last_open(is_a, "end_pos")))
-    labels = (n.filter((F.col("kind") == "text") & (F.col("pos") > F.col("_a"))
-                       & (F.col("pos") <= F.col("_a_end")))
-              .groupBy("doc_id", F.col("_a").alias("pos"))
-              .agg(_ordered_join(F.struct(F.col("pos"), F.col("text").alias("v")), "").alias("label")))
-    a = (n.filter(is_a).drop("label")
-         .join(labels, ["doc_id", "pos"], "left")
-         .join(docs.select("doc_id", "archive", "path"), "doc_id", "left"))
+    is_a = (F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES) & _is_tag("a")
+            & (F.col("pos") > F.col("block")) & ~F.col("_inside_atomic"))
+    n = n.withColumn("_a", F.when(is_a, F.col("pos")).otherwise(
+        F.when(F.col("pos") <= H.last_open(is_a, "end_pos"), H.last_open(is_a, "pos"))))
+    piece = F.when((F.col("kind") == "text") & (F.col("pos") != F.col("_a")),
+                   F.struct(F.col("pos"), F.col("text").alias("v")))
+    w = Window.partitionBy("doc_id", "_a")
+    label = F.array_join(F.transform(F.array_sort(F.collect_list(piece).over(w)), lambda x: x["v"]), "")
+    a = n.withColumn("label", F.when(is_a, label)).filter(is_a)
     href = T.py_strip(F.coalesce("href", F.lit("")))
     target = (F.when(F.col("link_kind") == "entry", T.resolve_path(href, F.col("path")))
               .when(F.col("link_kind") == "anchor", T.slug(F.substring(href, 2, 1 << 30))))

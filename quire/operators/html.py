@@ -2,7 +2,7 @@
 
 ``html_nodes`` turns a table of HTML documents into one row per node:
 
-    nodes(doc_id, pos, parent, end_pos, depth, kind, tag, raw,
+    nodes(doc_id, pos, parent, end_pos, depth, kind, tag, ptag,
           id, classes, href, colspan, rowspan, text)
 
 ``pos`` numbers nodes in document order and ``end_pos`` is the position of the
@@ -15,13 +15,16 @@ Tokenising is native (``regexp_extract_all``).  Nesting is the one sequential
 step: a small per-document stack walk in ``mapInPandas`` (literal mode: an end
 tag closes up to the nearest open element of that name and is ignored if
 there is none, void and self-closed elements close at once, nothing closes
-implicitly).  Attributes, classes and entity decoding are again native/Arrow.
+implicitly).  The same pass reads the few attributes the renderers use and
+decodes character references with the standard library, so the node table
+leaves Python once.
 """
 
 from __future__ import annotations
 
 import sys
 
+import html as _html
 import re
 
 import pandas as pd
@@ -31,7 +34,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from quire.functions import text as T
-from quire.functions.html_text import html_unescape
 
 # Worker-side functions of this module travel by value, so executors need no
 # copy of the package on their path.
@@ -61,8 +63,15 @@ NODE_SCHEMA = StructType([
     StructField("kind", StringType()),     # tag, text, comment, doctype, pi
     StructField("tag", StringType()),
     StructField("ptag", StringType()),     # parent's tag (null at top level)
-    StructField("raw", StringType()),
+    StructField("id", StringType()),
+    StructField("class", StringType()),
+    StructField("href", StringType()),
+    StructField("colspan", StringType()),
+    StructField("rowspan", StringType()),
+    StructField("text", StringType()),     # decoded character data / comment text
 ])
+ATTRS = ("id", "class", "href", "colspan", "rowspan")
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 
 
 def tokens(html) -> Column:
@@ -70,6 +79,21 @@ def tokens(html) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN_RE), 0)
 
 
+def _attrs(tok: str) -> dict:
+    """Attributes of a start tag: lower-cased names, first value wins, entities decoded."""
+    body = tok[1:-1] if tok.endswith(">") else tok[1:]
+    m = _NAME.match("<" + body)
+    rest = body[m.end() - 1:] if m else ""
+    found = {}
+    for name, value in _ATTR.findall(rest):
+        name = name.lower()
+        if name in ATTRS and name not in found:
+            if value[:1] in ("'", '"'):
+                value = value[1:-1]
+            found[name] = _html.unescape(value)
+    return found
+
+
 def _nest_one(doc_id, toks, out):
     """Stack walk over one document's tokens (appends node rows to ``out``)."""
     stack: list[int] = []
@@ -91,6 +115,7 @@ def _nest_one(doc_id, toks, out):
             continue
         if last_text and not tok.startswith("<") or (last_text and tok == "<"):
             out["raw"][-1] += tok          # adjacent character data is one string
+            out["text"][-1] = _html.unescape(out["raw"][-1])
             continue
         pos = len(ends)
         parent = stack[-1] if stack else -1
@@ -118,6 +143,10 @@ def _nest_one(doc_id, toks, out):
         out["tag"].append(tag)
         out["ptag"].append(names[-1] if names else None)
         out["raw"].append(raw)
+        at = _attrs(raw) if kind == "tag" else {}
+        for a in ATTRS:
+            out[a].append(at.get(a))
+        out["text"].append(_html.unescape(raw) if kind == "text" else (raw if kind != "tag" else None))
         ends.append(pos)
         if opens:
             stack.append(pos)
@@ -129,41 +158,41 @@ def _nest_one(doc_id, toks, out):
     assert len(out["end_pos"]) == base + len(ends)
 
 
-def _nest_partition(batches):
+def _nest_partition(batches, carry=()):
     cols = [f.name for f in NODE_SCHEMA.fields]
     for pdf in batches:
-        out = {c: [] for c in cols}
-        for doc_id, toks in zip(pdf["doc_id"].tolist(), pdf["tokens"]):
+        out = {c: [] for c in cols + ["raw"]}
+        extra = {c: [] for c in carry}
+        for i, (doc_id, toks) in enumerate(zip(pdf["doc_id"].tolist(), pdf["tokens"])):
+            before = len(out["pos"])
             _nest_one(int(doc_id), list(toks) if toks is not None else [], out)
-        yield pd.DataFrame(out, columns=cols).astype(
+            for c in carry:
+                extra[c].extend([pdf[c].iat[i]] * (len(out["pos"]) - before))
+        frame = pd.DataFrame(out, columns=cols)
+        for c in carry:
+            frame[c] = extra[c]
+        yield frame.astype(
             {"doc_id": "int64", "pos": "int32", "parent": "int32", "end_pos": "int32", "depth": "int32"})
 
 
-def _attr(name: str) -> Column:
-    """Value of one attribute of a start tag (first occurrence), entities decoded."""
-    pat = (r"(?is)^<[^\s/>]+(?:\s+[^>]*?)?\s" + name +
-           r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-    v = F.concat(*[F.regexp_extract("raw", pat, i) for i in (1, 2, 3)])
-    v = html_unescape(v)
-    return F.when((F.col("kind") == "tag") & F.col("raw").rlike(r"(?is)\s" + name + r"\s*="), v)
-
+def html_nodes(docs: DataFrame, key: str = "doc_id", html: str = "html",
+               carry: tuple[str, ...] = ("archive", "path")) -> DataFrame:
+    """Node relation of every document (see module doc).
 
-def html_nodes(docs: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
-    """Node relation of every document (see module doc)."""
-    toks = docs.select(F.col(key).cast("bigint").alias("doc_id"), tokens(html).alias("tokens"))
-    nodes = toks.mapInPandas(_nest_partition, schema=NODE_SCHEMA)
-    cls = _attr("class")
+    Columns named in ``carry`` (when present) are copied onto every node, so
+    later steps that need them (entry links resolve against the document's
+    archive and path) need no join back to the documents.
+    """
+    carry = tuple(c for c in carry if c in docs.columns)
+    toks = docs.select(F.col(key).cast("bigint").alias("doc_id"), *carry, tokens(html).alias("tokens"))
+    schema = StructType(list(NODE_SCHEMA.fields) + [StructField(c, StringType()) for c in carry])
+    nodes = toks.mapInPandas(lambda it: _nest_partition(it, carry), schema=schema)
+    cls = F.col("class")
     return nodes.select(
-        "doc_id", "pos", "parent", "end_pos", "depth", "kind", "tag", "ptag", "raw",
-        _attr("id").alias("id"),
+        "doc_id", *carry, "pos", "parent", "end_pos", "depth", "kind", "tag", "ptag", "id",
         F.when(cls.isNotNull(), F.filter(F.split(T.py_strip(cls), T.PYWS + "+"), lambda x: x != ""))
         .otherwise(F.array().cast("array<string>")).alias("classes"),
-        _attr("href").alias("href"),
-        _attr("colspan").alias("colspan"),
-        _attr("rowspan").alias("rowspan"),
-        F.when(F.col("kind") == "text", html_unescape("raw"))
-        .when(F.col("kind") != "tag", F.col("raw")).alias("text"),
-    )
+        "href", "colspan", "rowspan", "text")
 
 
 def has_class(name: str) -> Column:
