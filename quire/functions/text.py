@@ -91,7 +91,7 @@ def _normpath_segments(joined: Column) -> Column:
         segs,
         F.array().cast("array<string>"),
         lambda acc, x: F.when((x == "") | (x == "."), acc)
-        .when((x == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."),
+        .when((x == "..") & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != ".."),
               F.slice(acc, 1, F.size(acc) - 1))
         .otherwise(F.concat(acc, F.array(x))),
     )

@@ -43,7 +43,7 @@ def _line_facts(lines: Column) -> Column:
         (F.octet_length(x) + 1).cast("bigint").alias("b"),
         (x.startswith(">>") & ~x.startswith(">>>")).alias("sec"),
         T.py_strip(x).startswith(TABLE_FENCE).alias("fence"),
-        ((i > 0) & F.coalesce(F.element_at(lines, i).startswith(">"), F.lit(False))).alias("ph"),
+        ((i > 0) & F.coalesce(F.try_element_at(lines, F.greatest(i, F.lit(1))).startswith(">"), F.lit(False))).alias("ph"),
         i.alias("i"),
     ))
 

@@ -71,6 +71,9 @@ EXTERNAL_CLASSES = ["external", "extiw"]
 LINK_COLOR, CITE_COLOR, NAV_COLOR = "33f", "5bf", "0af"
 CODE_BG, CODE_FG = "100", "9d9"
 TOP_ANCHOR = "`:top"
+TABLE_FENCE = "`t"
+CONTENTS_RULE = "-─"
+BACK_TO_TOP = f"\n\n`c`F{NAV_COLOR}`_`[↑ Back to top`#top]`_`f`a\n"
 DEFAULT_PAGE_ROOT = "/page"
 
 
@@ -165,7 +168,7 @@ def blocks(nodes: DataFrame, kind: str = "generic") -> DataFrame:
 # ---------------------------------------------------------------------------
 # EXT-5..17: one events table for every block type
 # ---------------------------------------------------------------------------
-INLINE_TYPES = ("p", "quote", "list", "dl")
+INLINE_TYPES = ("p", "quote", "list", "dl", "references")
 
 
 def _ordered_join(col_struct: Column, sep: str) -> Column:
@@ -193,8 +196,9 @@ def inline_marks(b: DataFrame) -> DataFrame:
     inline = F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES) & (F.col("pos") > F.col("block"))
     n = b.withColumn("link_kind", F.when(_is_tag("a"), _link_kind()))
     atomic = inline & (F.col("link_kind").isin("anchor", "entry") | _cite() | _is_tag("style", "script", "br"))
-    n = n.withColumn("_atomic", atomic)
-    n = n.withColumn("_inside_atomic", H.running_cover(F.col("_atomic"), inclusive=False))
+    n = n.withColumn("_inside_atomic", H.running_cover(atomic, inclusive=False))
+    # only outermost atomic elements render; everything below belongs to them
+    n = n.withColumn("_atomic", atomic & ~F.col("_inside_atomic"))
     return n.withColumn("_owner", F.when(F.col("_inside_atomic"), H.last_open(F.col("_atomic"), "pos")))
 
 
@@ -216,23 +220,105 @@ def _anchor_link(label: Column, target: Column, color: str = LINK_COLOR) -> Colu
             .otherwise(F.concat(F.lit(f"`F{color}`_`["), lab, F.lit("`#"), dest, F.lit("]`_`f"))))
 
 
-def _with_link_values(n: DataFrame, page_root: str) -> DataFrame:
-    """Adds ``link_v`` on atomic links: the label is all text below the link,
-    gathered with a window over (doc, owner) - no aggregation joined back."""
-    grp = F.when(F.col("_atomic"), F.col("pos")).otherwise(F.col("_owner"))
-    w = Window.partitionBy("doc_id", grp.alias("_grp"))
-    piece = F.when(F.col("_owner").isNotNull() & (F.col("kind") == "text"),
-                   F.struct(F.col("pos"), F.col("text").alias("v")))
-    n = n.withColumn("_grp", grp)
+def _with_atomic_values(n: DataFrame, page_root: str) -> DataFrame:
+    """Adds ``link_v`` on atomic links and citations.
+
+    Everything below an atomic element is gathered with one window over
+    (doc, owner): a link's label is its plain text; a citation uses its first
+    ``a`` with an href (number = that link's text, target = slug of the href).
+    """
+    n = n.withColumn("_grp", F.when(F.col("_atomic"), F.col("pos")).otherwise(F.col("_owner")))
     w = Window.partitionBy("doc_id", "_grp")
-    label = F.array_join(F.transform(F.array_sort(F.collect_list(piece).over(w)), lambda x: x["v"]), "")
+    below = F.col("_owner").isNotNull()
+    texts = F.array_sort(F.collect_list(F.when(below & (F.col("kind") == "text"),
+                                               F.struct(F.col("pos"), F.col("text").alias("v")))).over(w))
+    first_a = F.min(F.when(below & _is_tag("a") & F.col("href").isNotNull(),
+                           F.struct("pos", "end_pos", "href"))).over(w)
+    n = n.withColumn("_texts", F.when(F.col("_atomic"), texts)).withColumn(
+        "_first_a", F.when(F.col("_atomic") & _cite(), first_a))
+    # links
     is_link = F.col("_atomic") & F.col("link_kind").isin("anchor", "entry")
     href = T.py_strip(F.coalesce("href", F.lit("")))
-    n = n.withColumn("label", F.when(is_link & F.col("_grp").isNotNull(), label))
-    lab = F.coalesce("label", F.lit(""))
-    v = (F.when(F.col("link_kind") == "anchor", _anchor_link(lab, F.substring(href, 2, 1 << 30)))
-         .otherwise(_entry_link(lab, T.resolve_path(href, F.col("path")), F.col("archive"), page_root)))
-    return n.withColumn("link_v", F.when(is_link, v)).drop("_grp")
+    lab = F.coalesce(F.array_join(F.transform("_texts", lambda x: x["v"]), ""), F.lit(""))
+    link_v = (F.when(F.col("link_kind") == "anchor", _anchor_link(lab, F.substring(href, 2, 1 << 30)))
+              .otherwise(_entry_link(lab, T.resolve_path(href, F.col("path")), F.col("archive"), page_root)))
+    # citations
+    fa = F.col("_first_a")
+    in_a = F.filter("_texts", lambda x: (x["pos"] > fa["pos"]) & (x["pos"] <= fa["end_pos"]))
+    num = T.citation_number(F.array_join(F.filter(F.transform(in_a, lambda x: T.py_strip(x["v"])),
+                                                  lambda v: v != ""), " "))
+    cite_ok = F.col("_atomic") & _cite() & fa.isNotNull() & fa["href"].startswith("#")
+    target = T.slug(F.substring(fa["href"], 2, 1 << 30))
+    sid = F.when(F.coalesce(F.col("id"), F.lit("")) != "", T.slug("id"))
+    cite_v = F.concat(F.coalesce(F.concat(F.lit("`:"), sid), F.lit("")), F.lit(f"[`F{CITE_COLOR}`_`["),
+                      num, F.lit("`#"), target, F.lit("]`_`f]"))
+    n = (n.withColumn("cite_ok", F.coalesce(cite_ok, F.lit(False)))
+         .withColumn("cite_target", F.when(cite_ok, target))
+         .withColumn("cite_num", F.when(cite_ok, num))
+         .withColumn("cite_sid", F.when(cite_ok, sid)))
+    v = F.when(is_link, link_v).when(F.col("_atomic") & _cite(), F.when(cite_ok, cite_v).otherwise(F.lit("")))
+    return n.withColumn("link_v", v).drop("_grp", "_texts", "_first_a")
+
+
+def _references(n: DataFrame) -> DataFrame:
+    """Reference lists (wikipedia ``ol.references``): direct ``li`` items.
+
+    Per item: ``ref_anchor`` (slug of its id), back-link span (first
+    ``span.mw-cite-backlink``, removed from the text), text span (first
+    ``span.reference-text`` outside it) and the back-link target.
+    """
+    in_refs = F.col("in_block") & (F.col("block_type") == "references")
+    is_item = in_refs & _is_tag("li") & (F.col("parent") == F.col("block"))
+    n = n.withColumn("_ref_li", is_item)
+    n = n.withColumn("ref_owner", F.when(is_item, F.col("pos")).otherwise(F.when(
+        in_refs & (F.col("pos") <= H.last_open(is_item, "end_pos")), H.last_open(is_item, "pos"))))
+    w = Window.partitionBy("doc_id", "ref_owner")
+    inside = F.col("ref_owner").isNotNull() & (F.col("pos") > F.col("ref_owner"))
+    back = F.min(F.when(inside & _is_tag("span") & F.array_contains("classes", "mw-cite-backlink"),
+                        F.struct("pos", "end_pos"))).over(w)
+    n = n.withColumn("_back", back)
+    in_back = F.coalesce((F.col("pos") >= F.col("_back.pos")) & (F.col("pos") <= F.col("_back.end_pos")),
+                         F.lit(False))
+    n = n.withColumn("in_back", in_back)
+    back_a = F.min(F.when(F.col("in_back") & (F.col("pos") > F.col("_back.pos")) & _is_tag("a")
+                          & F.col("href").isNotNull(), F.struct("pos", "href"))).over(w)
+    span = F.min(F.when(inside & ~F.col("in_back") & _is_tag("span")
+                        & F.array_contains("classes", "reference-text"), F.struct("pos", "end_pos"))).over(w)
+    n = n.withColumn("_span", span).withColumn("_back_a", back_a)
+    n = n.withColumn("has_span", F.col("_span").isNotNull())
+    n = n.withColumn("in_span", F.coalesce((F.col("pos") > F.col("_span.pos"))
+                                           & (F.col("pos") <= F.col("_span.end_pos")), F.lit(False)))
+    dest = F.when(F.col("_back_a.href").startswith("#cite_ref"), T.slug(F.substring("_back_a.href", 2, 1 << 30)))
+    return (n.withColumn("ref_anchor", F.when(is_item, T.slug(F.coalesce("id", F.lit("")))))
+            .withColumn("back_dest", F.when(is_item, dest))
+            .drop("_back", "_span", "_back_a"))
+
+
+def _reference_numbers(n: DataFrame) -> DataFrame:
+    """Number and back-link of every reference item, from what was rendered before it.
+
+    The number is the last citation to the item's anchor earlier in the
+    document (last write wins), else a running count of unmatched items; the
+    back-link needs its target anchor to have been emitted earlier.  Both are
+    windows keyed by (doc, anchor) - an as-of lookup without a join.
+    """
+    key = F.when(F.col("_cite_live"), F.col("cite_target")).when(F.col("_ref_li"), F.col("ref_anchor"))
+    n = n.withColumn("_ck", key)
+    w = Window.partitionBy("doc_id", "_ck").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("_matched", F.when(F.col("_ref_li") & F.col("_ck").isNotNull(),
+                                        F.last(F.when(F.col("_cite_live"), F.col("cite_num")),
+                                               ignorenulls=True).over(w)))
+    unmatched = (F.col("_ref_li") & F.col("_matched").isNull()).cast("int")
+    n = n.withColumn("_cnt", F.sum(unmatched).over(H.by_doc().rowsBetween(Window.unboundedPreceding, 0)))
+    n = n.withColumn("ref_num", F.when(F.col("_ref_li"), F.coalesce("_matched", F.col("_cnt").cast("string"))))
+    emits = F.col("_emit").isNotNull()
+    key2 = F.when(emits, F.col("_emit")).when(F.col("_ref_li"), F.col("back_dest"))
+    n = n.withColumn("_ek", key2)
+    w2 = Window.partitionBy("doc_id", "_ek").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.max(emits.cast("int")).over(w2)
+    n = n.withColumn("ref_back", F.when(F.col("_ref_li") & F.col("_ek").isNotNull() & (seen == 1),
+                                        F.col("back_dest")))
+    return n.drop("_ck", "_matched", "_cnt", "_ek")
 
 
 def _list_structure(n: DataFrame) -> DataFrame:
@@ -284,17 +370,23 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
     values rebuilds the inline text of every paragraph, list item, definition,
     quote, heading and preformatted block in one aggregation.
     """
-    n = _with_link_values(_dl_structure(_list_structure(inline_marks(b))), page_root)
+    n = _with_atomic_values(_dl_structure(_list_structure(_references(inline_marks(b)))), page_root)
     inline = F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES)
-    live = inline & (F.col("pos") > F.col("block")) & ~F.col("_inside_atomic")
+    refs = F.col("block_type") == "references"
+    live = (inline & (F.col("pos") > F.col("block")) & ~F.col("_inside_atomic")
+            & (~refs | (F.col("has_span") & F.col("in_span"))))
     ident = T.slug(F.coalesce("id", F.lit("")))
     no_anchor = _is_tag("br", "style", "script") | _cite()
-    anchor = F.when(live & (F.col("kind") == "tag") & ~no_anchor & (ident != ""),
-                    F.concat(F.lit("`:"), ident, F.lit("`a")))
+    anchor_ok = live & (F.col("kind") == "tag") & ~no_anchor & (ident != "")
+    anchor = F.when(anchor_ok, F.concat(F.lit("`:"), ident, F.lit("`a")))
+    # anchors emitted while rendering (id anchors, cited sup ids), for back-links
+    n = n.withColumn("_emit", F.when(anchor_ok, ident).when(live & F.col("cite_ok"), F.col("cite_sid")))
+    n = n.withColumn("_cite_live", live & F.col("cite_ok"))
+    n = _reference_numbers(n)
     leaf = (F.when(F.col("kind").isin(*TEXTLIKE), T.escape_markup(T.norm_space(F.col("text"))))
             .when(_is_tag("br"), F.lit("\n"))
-            .when(_is_tag("style", "script") | _cite(), F.lit(""))
-            .when(F.col("link_kind").isin("anchor", "entry"), F.coalesce("link_v", F.lit(""))))
+            .when(_is_tag("style", "script"), F.lit(""))
+            .when(_cite() | F.col("link_kind").isin("anchor", "entry"), F.coalesce("link_v", F.lit(""))))
     leaf = F.when(live, leaf)
     n = n.withColumn("_anchor", anchor).withColumn("_leaf", leaf)
     nb = (F.when(F.coalesce(T.py_strip(F.col("_leaf")), F.lit("")) != "", 1).otherwise(0)
@@ -321,13 +413,17 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
     heading_v = F.when(in_heading & (F.col("kind") == "text") & (F.col("pos") > F.col("block")) & (piece != ""),
                        F.concat(F.lit(" "), piece))
     btype = F.col("block_type")
+    ref_plain = F.when(F.col("ref_owner").isNotNull() & ~F.col("has_span") & ~F.col("in_back")
+                       & (F.col("kind") == "text") & (piece != ""), F.concat(F.lit(" "), piece))
     open_v = (F.when(btype.isin("heading", "wheading"), heading_v)
+              .when(refs & ~F.coalesce(F.col("has_span"), F.lit(False)), ref_plain)
               .when(btype == "pre", F.when((F.col("kind") == "text") & (F.col("pos") > F.col("block")),
                                            F.col("text")))
               .when(btype == "text", F.col("text"))
               .otherwise(inline_open))
     close_v = F.when(btype.isin(*INLINE_TYPES), inline_close)
     owner = (F.when(F.col("pos") == F.col("block"), F.col("block"))
+             .when(F.col("ref_owner").isNotNull(), F.col("ref_owner"))
              .when(F.col("_is_li") | F.col("_is_nested") | F.col("_is_def"), F.col("pos"))
              .when(F.col("item").isNotNull(), F.col("item"))
              .when(F.col("def_item").isNotNull(), F.col("def_item"))
@@ -335,7 +431,8 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
              .otherwise(F.col("block")))
     ev = n.filter(F.col("in_block")).select(
         "doc_id", "block", btype.alias("btype"), owner.alias("owner"), "pos", "end_pos", "tag",
-        "ptag", "_off", "ordinal", "_is_li", "_is_nested", "_is_def",
+        "ptag", "_off", "ordinal", "_is_li", "_is_nested", "_is_def", "_ref_li", "ref_anchor", "ref_num",
+        "ref_back", "has_span",
         F.struct(F.col("pos").cast("bigint").alias("k1"), F.lit(0).alias("k2"),
                  F.lit(0).cast("bigint").alias("k3"), open_v.alias("v")).alias("_o"),
         F.struct(F.col("end_pos").cast("bigint").alias("k1"), F.lit(1).alias("k2"),
@@ -356,16 +453,25 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
         F.max(F.when(me, F.col("_is_li"))).alias("o_li"),
         F.max(F.when(me, F.col("_is_nested"))).alias("o_nested"),
         F.max(F.when(me, F.col("_is_def"))).alias("o_def"),
+        F.max(F.when(me, F.col("_ref_li"))).alias("o_ref"),
+        F.max(F.when(me, F.col("ref_anchor"))).alias("ref_anchor"),
+        F.max(F.when(me, F.col("ref_num"))).alias("ref_num"),
+        F.max(F.when(me, F.col("ref_back"))).alias("ref_back"),
+        F.max(F.when(me, F.col("has_span"))).alias("has_span"),
         F.max("_htag").alias("htag"),
     )
     return g.select("doc_id", "block", "owner", F.explode(_format_lines(kind)).alias("l")) \
         .select("doc_id", "block", F.col("l.gkey").alias("gkey"), F.col("l.idx").alias("idx"),
-                F.col("l.line").alias("line"))
+                F.col("l.line").alias("line"), F.col("l.hlevel").alias("hlevel"),
+                F.col("l.htitle").alias("htitle"))
 
 
-def _lines_at(gkey: Column, arr: Column) -> Column:
+def _lines_at(gkey: Column, arr: Column, hlevel: Column | None = None,
+              htitle: Column | None = None) -> Column:
+    hl = F.lit(None).cast("int") if hlevel is None else hlevel.cast("int")
+    ht = F.lit(None).cast("string") if htitle is None else htitle
     return F.transform(arr, lambda x, i: F.struct(gkey.cast("bigint").alias("gkey"), i.alias("idx"),
-                                                  x.alias("line")))
+                                                  x.alias("line"), hl.alias("hlevel"), ht.alias("htitle")))
 
 
 def _emit_text_block(text: Column) -> Column:
@@ -406,13 +512,21 @@ def _format_lines(kind: str) -> Column:
     dl = F.when(flat == "", empty).when(F.col("otag") == "dt", F.array(F.concat(F.lit("`!"), flat, F.lit("`!"))))\
         .otherwise(F.array(F.concat(F.lit("  "), flat)))
     owner_key = F.col("owner").cast("bigint") * 4
+    # reference items: anchor, bold number, optional back-link, text
+    ref_text = F.when(F.col("has_span"), flat).otherwise(T.py_strip(T.norm_space(T.escape_markup(flat))))
+    back = F.when(F.col("ref_back").isNotNull(),
+                  F.concat(F.lit(f" `F{NAV_COLOR}`_`[↑`#"), F.col("ref_back"), F.lit("]`_`f"))).otherwise(F.lit(""))
+    ref = F.array(F.concat(F.lit("`:"), F.coalesce("ref_anchor", F.lit("")), F.lit("`!"), F.col("ref_num"),
+                           F.lit(".`!"), back, F.lit(" "), ref_text))
     sep = _lines_at(F.lit(-1), F.array(F.lit("")))      # blank line before every block
     body = (F.when(F.col("o_nested"), F.concat(
                 _lines_at(owner_key - 1, F.array(F.lit(""))),
                 _lines_at(F.col("oend").cast("bigint") * 4 + 3, F.array(F.lit("")))))
             .when(F.col("o_li"), _lines_at(owner_key, item))
             .when(F.col("o_def"), _lines_at(owner_key, dl))
-            .when(F.col("btype").isin("heading", "wheading"), _lines_at(F.lit(0), heading))
+            .when(F.col("o_ref"), _lines_at(owner_key, ref))
+            .when(F.col("btype").isin("heading", "wheading"),
+                  _lines_at(F.lit(0), heading, F.when(F.size(heading) > 0, level), flat))
             .when(F.col("btype") == "p", _lines_at(F.lit(0), _emit_text_block(c)))
             .when(F.col("btype") == "quote", _lines_at(F.lit(0), quote))
             .when(F.col("btype") == "text", _lines_at(F.lit(0), text))
@@ -421,6 +535,101 @@ def _format_lines(kind: str) -> Column:
     return F.when(F.col("owner") == F.col("block"), F.concat(sep, body)).otherwise(body)
 
 
+# ---------------------------------------------------------------------------
+# EXT-12: tables
+# ---------------------------------------------------------------------------
+
+def _place_cells(cells: Column) -> Column:
+    """Fold over cells sorted by (r, k): first free column of the row, honouring
+    earlier row spans.  State keeps only slots of the current and later rows, so
+    it stays small; returns struct(cols array<int>, ncol int)."""
+    init = F.struct(F.array().cast("array<struct<r:int,c:int>>").alias("occ"),
+                    F.array().cast("array<int>").alias("cols"),
+                    F.lit(-1).alias("row"), F.lit(0).alias("col"), F.lit(0).alias("ncol"))
+
+    def step(acc, x):
+        col0 = F.when(x["r"] != acc["row"], F.lit(0)).otherwise(acc["col"])
+        taken = F.array_sort(F.filter(F.transform(F.filter(acc["occ"], lambda o: o["r"] == x["r"]),
+                                                  lambda o: o["c"]), lambda c: c >= col0))
+        c = F.aggregate(taken, col0, lambda a, oc: F.when(oc == a, a + 1).otherwise(a))
+        slots = F.flatten(F.transform(F.sequence(F.lit(0), x["rs"] - 1), lambda dr: F.transform(
+            F.sequence(F.lit(0), x["cs"] - 1),
+            lambda dc: F.struct((x["r"] + dr).alias("r"), (c + dc).alias("c")))))
+        occ = F.filter(F.concat(acc["occ"], slots), lambda o: o["r"] >= x["r"])
+        return F.struct(occ.alias("occ"), F.concat(acc["cols"], F.array(c)).alias("cols"),
+                        x["r"].alias("row"), (c + x["cs"]).alias("col"),
+                        F.greatest(acc["ncol"], c + x["cs"]).alias("ncol"))
+
+    return F.aggregate(cells, init, step, lambda acc: F.struct(acc["cols"].alias("cols"),
+                                                               acc["ncol"].alias("ncol")))
+
+
+def table_lines(b: DataFrame) -> DataFrame:
+    """(doc_id, block, gkey, idx, line) for table blocks.
+
+    A table holding another table is skipped; rows are the ``tr`` with direct
+    ``th``/``td`` cells, cells copy their value into every covered slot, the
+    later cell wins a slot, and at least two rows are needed.
+    """
+    t = b.filter(F.col("in_block") & (F.col("block_type") == "table"))
+    w_tab = Window.partitionBy("doc_id", "block")
+    t = t.withColumn("_nested", F.max((_is_tag("table") & (F.col("pos") > F.col("block"))).cast("int"))
+                     .over(w_tab))
+    t = t.filter(F.col("_nested") == 0)
+    is_cell = _is_tag("th", "td") & (F.col("ptag") == "tr")
+    t = (t.withColumn("_cell", F.when(is_cell, F.col("pos")).otherwise(
+        F.when(F.col("pos") <= H.last_open(is_cell, "end_pos"), H.last_open(is_cell, "pos")))))
+    piece = T.py_strip(F.col("text"))
+    part = F.when((F.col("kind") == "text") & (F.col("pos") != F.col("_cell")) & (piece != ""),
+                  F.struct(F.col("pos"), piece.alias("v")))
+    w_cell = Window.partitionBy("doc_id", "block", "_cell")
+    t = t.withColumn("_txt", F.array_join(F.transform(F.array_sort(F.collect_list(part).over(w_cell)),
+                                                      lambda x: x["v"]), " "))
+    cells = t.filter(is_cell)
+    cells = (cells.withColumn("r", (F.dense_rank().over(Window.partitionBy("doc_id", "block").orderBy("parent"))
+                                    - 1).cast("int"))
+             .withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "block", "parent")
+                                                  .orderBy("pos"))))
+    val = F.replace(T.escape_markup(T.py_strip(T.norm_space("_txt"))), F.lit("|"), F.lit("/"))
+    val = F.when(val == "", F.lit(" ")).otherwise(val)
+    cells = cells.select("doc_id", "block", F.struct(
+        "r", "k", T.cell_span("colspan").alias("cs"), T.cell_span("rowspan").alias("rs"),
+        val.alias("v")).alias("cell"))
+    tab = cells.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    tab = tab.withColumn("_p", _place_cells(F.col("cells")))
+    tab = tab.select("doc_id", "block", "cells", F.col("_p.cols").alias("cols"), F.col("_p.ncol").alias("ncol"),
+                     (F.aggregate(F.col("cells"), F.lit(-1), lambda a, x: F.greatest(a, x["r"])) + 1)
+                     .alias("nrows"))
+    tab = tab.filter((F.col("nrows") >= 2) & (F.col("ncol") > 0))
+    placed = F.transform(F.arrays_zip(F.col("cells").alias("x"), F.col("cols").alias("c")),
+                         lambda z: F.struct(z["x"]["r"].alias("r"), z["c"].alias("c"), z["x"]["cs"].alias("cs"),
+                                            z["x"]["rs"].alias("rs"), z["x"]["v"].alias("v")))
+    slots = tab.select("doc_id", "block", "ncol", "nrows", F.posexplode(placed).alias("seq", "p"))
+    slots = slots.select("doc_id", "block", "ncol", "nrows", "seq", "p.v", F.explode(F.flatten(F.transform(
+        F.sequence(F.lit(0), F.col("p.rs") - 1), lambda dr: F.transform(
+            F.sequence(F.lit(0), F.col("p.cs") - 1),
+            lambda dc: F.struct((F.col("p.r") + dr).alias("r"), (F.col("p.c") + dc).alias("c")))))).alias("s"))
+    slots = slots.filter(F.col("s.r") < F.col("nrows"))
+    grid = (slots.groupBy("doc_id", "block", F.col("s.r").alias("r"), F.col("s.c").alias("c"))
+            .agg(F.max_by("v", "seq").alias("v"), F.max("ncol").alias("ncol"), F.max("nrows").alias("nrows")))
+    rows = (grid.groupBy("doc_id", "block", "r")
+            .agg(F.collect_list(F.struct("c", "v")).alias("vals"), F.max("ncol").alias("ncol"),
+                 F.max("nrows").alias("nrows")))
+    cols = F.transform(F.sequence(F.lit(0), F.col("ncol") - 1), lambda c: F.coalesce(
+        F.try_element_at(F.filter("vals", lambda x: x["c"] == c), F.lit(1))["v"], F.lit(" ")))
+    line = F.concat(F.lit("| "), F.array_join(cols, " | "), F.lit(" |"))
+    sep = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), F.col("ncol")), "|"), F.lit("|"))
+    r = F.col("r").cast("bigint")
+    out = (F.when(r == 0, F.concat(_lines_at(F.lit(0), F.array(F.lit(TABLE_FENCE))),
+                                   _lines_at(F.lit(4), F.array(line)), _lines_at(F.lit(6), F.array(sep))))
+           .otherwise(_lines_at(r * 4 + 4, F.array(line))))
+    out = F.when(r == F.col("nrows") - 1,
+                 F.concat(out, _lines_at(F.col("nrows").cast("bigint") * 4 + 4, F.array(F.lit(TABLE_FENCE)))))\
+        .otherwise(out)
+    return rows.select("doc_id", "block", F.explode(out).alias("l")).select(
+        "doc_id", "block", F.col("l.gkey").alias("gkey"), F.col("l.idx").alias("idx"), F.col("l.line").alias("line"))
+
+
 # ---------------------------------------------------------------------------
 # EXT-18: assemble
 # ---------------------------------------------------------------------------
@@ -428,18 +637,46 @@ def _format_lines(kind: str) -> Column:
 def block_lines(nodes: DataFrame, docs: DataFrame, kind: str = "generic",
                 page_root: str = DEFAULT_PAGE_ROOT) -> DataFrame:
     """(doc_id, block, gkey, idx, line) for every rendered block of every document."""
-    return render_events(blocks(nodes, kind), docs, kind, page_root)
+    b = blocks(nodes, kind)
+    t = (table_lines(b).withColumn("hlevel", F.lit(None).cast("int"))
+         .withColumn("htitle", F.lit(None).cast("string")))
+    return render_events(b, docs, kind, page_root).unionByName(t)
 
 
-def assemble(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text): top anchor, blocks separated by blank lines, blank runs collapsed."""
-    body = (lines.groupBy("doc_id")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-                F.struct("block", "gkey", "idx", "line"))), lambda x: x["line"]), "\n").alias("body")))
+def assemble(lines: DataFrame, docs: DataFrame, kind: str = "generic") -> DataFrame:
+    """(doc_id, text): top anchor, blocks separated by blank lines, blank runs collapsed.
+
+    wikipedia adds the contents block (level 2/3 headings, only when there are
+    at least two) before the first heading, and a back-to-top line when any
+    heading was rendered.
+    """
+    if "hlevel" not in lines.columns:
+        lines = lines.withColumn("hlevel", F.lit(None).cast("int")).withColumn("htitle", F.lit(None).cast("string"))
+    items = F.array_sort(F.collect_list(F.struct("block", "gkey", "idx", "line", "hlevel", "htitle")))
+    body = lines.groupBy("doc_id").agg(items.alias("items"))
+    if kind == "wikipedia":
+        heads = F.filter("items", lambda x: x["hlevel"].isNotNull())
+        toc = F.filter(heads, lambda x: x["hlevel"].isin(2, 3))
+        entries = F.transform(toc, lambda x: F.concat(
+            F.when(x["hlevel"] == 3, F.lit("  ")).otherwise(F.lit("")), F.lit(f"• `F{NAV_COLOR}`_`["),
+            T.clean_label(x["htitle"]), F.lit("`#"), T.slug(x["htitle"]), F.lit("]`_`f")))
+        toc_lines = F.concat(F.array(F.lit(""), F.lit(">>Contents"), F.lit("")), entries,
+                             F.array(F.lit(""), F.lit(CONTENTS_RULE), F.lit("")))
+        first = F.try_element_at(heads, F.lit(1))["block"]
+        placed = F.transform(toc_lines, lambda x, i: F.struct(
+            first.alias("block"), F.lit(-2).cast("bigint").alias("gkey"), i.alias("idx"), x.alias("line"),
+            F.lit(None).cast("int").alias("hlevel"), F.lit(None).cast("string").alias("htitle")))
+        all_items = F.when(F.size(toc) >= 2, F.array_sort(F.concat("items", placed))).otherwise(F.col("items"))
+        text = F.array_join(F.transform(all_items, lambda x: x["line"]), "\n")
+        tail = F.when(F.size(heads) > 0, F.lit(BACK_TO_TOP)).otherwise(F.lit(""))
+        body = body.select("doc_id", text.alias("body"), tail.alias("tail"))
+    else:
+        body = body.select("doc_id", F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("body"),
+                           F.lit("").alias("tail"))
     d = docs.select("doc_id").join(body, "doc_id", "left")
-    return d.select("doc_id", F.concat(F.lit(TOP_ANCHOR + "\n"),
-                                       T.collapse_blank(F.coalesce("body", F.lit(""))),
-                                       F.lit("\n")).alias("text"))
+    doc = F.concat(F.lit(TOP_ANCHOR + "\n"), T.collapse_blank(F.coalesce("body", F.lit(""))),
+                   F.coalesce("tail", F.lit("")))
+    return d.select("doc_id", F.concat(T.collapse_blank(doc), F.lit("\n")).alias("text"))
 
 
 def render_documents(docs: DataFrame, kind: str = "generic", page_root: str = DEFAULT_PAGE_ROOT,
@@ -447,7 +684,7 @@ def render_documents(docs: DataFrame, kind: str = "generic", page_root: str = DE
     """(doc_id, text) rendered markup of HTML documents (doc_id, archive, path, html)."""
     if nodes is None:
         nodes = H.html_nodes(docs)
-    return assemble(block_lines(nodes, docs, kind, page_root), docs)
+    return assemble(block_lines(nodes, docs, kind, page_root), docs, kind)
 
 
 def headings(nodes: DataFrame, kind: str = "generic") -> DataFrame:

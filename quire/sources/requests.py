@@ -27,8 +27,8 @@ PAGE_PARAM = r"[?&]page=([^&#]*)"
 
 def title_query(title) -> Column:
     t = terms(title)
-    second = F.substring(F.coalesce(F.element_at(t, 2), F.lit("")), 1, 3)
-    first = F.coalesce(F.element_at(t, 1), F.lit(""))
+    second = F.substring(F.coalesce(F.try_element_at(t, F.lit(2)), F.lit("")), 1, 3)
+    first = F.coalesce(F.try_element_at(t, F.lit(1)), F.lit(""))
     return F.when(F.size(t) >= 2, F.concat(first, F.lit(" "), second)).otherwise(first)
 
 

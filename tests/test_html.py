@@ -90,3 +90,74 @@ def test_gutenberg_first_id_only(spark):
             "<pre>> quoted\n</pre></body>")
     d = spark.createDataFrame([(1, "g.zim", "A", html)], "doc_id long, archive string, path string, html string")
     assert X.render_documents(d, "gutenberg").first().text == "`:top\nh2\n\n\\> quoted\n"
+
+
+def test_table_spans(spark):
+    t = ("<body><table><tr><td rowspan='2'>a</td><td colspan='2'>b</td></tr>"
+         "<tr><td>c</td><td>d</td></tr><tr><td>x|y</td></tr></table>"
+         "<table><tr><td>one row</td></tr></table>"
+         "<table><tr><td><table><tr><td>i</td></tr><tr><td>j</td></tr></table></td></tr>"
+         "<tr><td>k</td></tr></table></body>")
+    d = spark.createDataFrame([(1, "z.zim", "A", t)], "doc_id long, archive string, path string, html string")
+    got = X.render_documents(d, "generic").first().text
+    assert got == ("`:top\n`t\n| a | b | b |\n|---|---|---|\n| a | c | d |\n| x/y |   |   |\n`t\n")
+
+
+WIKI = ('<html><body><div class="mw-parser-output">'
+        '<p>Intro<sup id="cite_ref-a" class="reference"><a href="#cite_note-a">[1]</a></sup> text.</p>'
+        '<div class="mw-heading"><h2>History</h2><span class="mw-editsection">[edit]</span></div>'
+        '<p>More<sup class="reference"><a href="#cite_note-a">[2]</a></sup>.</p>'
+        '<h3>Early</h3>'
+        '<table class="wikitable"><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>'
+        '<table><tr><td>x</td></tr><tr><td>y</td></tr></table>'
+        '<h2>Notes</h2><ol class="references">'
+        '<li id="cite_note-a"><span class="mw-cite-backlink"><a href="#cite_ref-a">^</a></span> '
+        '<span class="reference-text">Alpha <i>ref</i></span></li>'
+        '<li id="cite_note-b"><span class="mw-cite-backlink"><a href="#cite_ref-b">^</a></span> Beta plain</li>'
+        '<li id="cite_note-c">Gamma</li></ol></div></body></html>')
+
+WIKI_EXPECTED = """`:top
+Intro`:cite-ref-a[`F5bf`_`[1`#cite-note-a]`_`f] text.
+
+>>Contents
+
+• `F0af`_`[History`#history]`_`f
+  • `F0af`_`[Early`#early]`_`f
+• `F0af`_`[Notes`#notes]`_`f
+
+-─
+
+>>History
+
+More[`F5bf`_`[2`#cite-note-a]`_`f].
+
+>>>Early
+
+`t
+| A | B |
+|---|---|
+| 1 | 2 |
+`t
+
+>>Notes
+
+`:cite-note-a`!2.`! `F0af`_`[↑`#cite-ref-a]`_`f Alpha `*ref`*
+`:cite-note-b`!1.`! Beta plain
+`:cite-note-c`!2.`! Gamma
+
+`c`F0af`_`[↑ Back to top`#top]`_`f`a
+"""
+
+
+def test_render_wikipedia(spark):
+    d = spark.createDataFrame([(1, "w.zim", "A/W", WIKI)], "doc_id long, archive string, path string, html string")
+    assert X.render_documents(d, "wikipedia").first().text == WIKI_EXPECTED
+
+
+def test_references_before_citations(spark):
+    html = ('<body><ol class="references"><li id="a">A</li><li id="b">B</li><li id="c">C</li></ol>'
+            '<p>x<sup class="reference"><a href="#a">[9]</a></sup></p></body>')
+    d = spark.createDataFrame([(1, "w.zim", "A", html)], "doc_id long, archive string, path string, html string")
+    text = X.render_documents(d, "wikipedia").first().text
+    assert "`:a`!1.`! A\n`:b`!2.`! B\n`:c`!3.`! C" in text
+    assert "back to top" not in text.lower()
