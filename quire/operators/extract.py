@@ -18,6 +18,8 @@ never a per-row branch in Python.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,14 +79,22 @@ BACK_TO_TOP = f"\n\n`c`F{NAV_COLOR}`_`[↑ Back to top`#top]`_`f`a\n"
 DEFAULT_PAGE_ROOT = "/page"
 
 
+# Fixed predicates are built once per process: composing a Column costs JVM
+# round trips, and these are used dozens of times per plan.
+@functools.cache
 def _is_tag(*names) -> Column:
     return (F.col("kind") == "tag") & F.col("tag").isin(*names)
 
 
-def _class_any(names) -> Column:
+@functools.cache
+def _class_any_t(names: tuple) -> Column:
     return F.arrays_overlap("classes", F.array(*[F.lit(n) for n in names])) if names else F.lit(False)
 
 
+def _class_any(names) -> Column:
+    return _class_any_t(tuple(names))
+
+
 # ---------------------------------------------------------------------------
 # EXT-2 / EXT-3: root choice and boilerplate removal
 # ---------------------------------------------------------------------------
@@ -106,15 +116,13 @@ def clean_tree(nodes: DataFrame, kind: str = "generic") -> DataFrame:
     cand = F.when(_root_priority(kind).isNotNull(),
                   F.struct(_root_priority(kind).alias("p"), F.col("pos").alias("q"),
                            F.col("end_pos").alias("e")))
-    n = (nodes.repartition("doc_id")
-         .withColumn("_root", F.min(cand).over(w_doc))
-         .withColumn("root_pos", F.coalesce(F.col("_root.q"), F.lit(-1)))
-         .withColumn("root_end", F.coalesce(F.col("_root.e"), F.max("pos").over(w_doc)))
-         .drop("_root"))
-    in_root = (F.col("pos") > F.col("root_pos")) & (F.col("pos") <= F.col("root_end"))
-    n = n.withColumn("in_root", in_root)
-    tag_rm = F.col("in_root") & _is_tag(*rules["tags"])
-    n = n.withColumn("_tag_rm", tag_rm)
+    n = nodes.repartition("doc_id").withColumns(
+        {"_root": F.min(cand).over(w_doc), "_last": F.max("pos").over(w_doc)})
+    root_pos = F.coalesce(F.col("_root.q"), F.lit(-1))
+    root_end = F.coalesce(F.col("_root.e"), F.col("_last"))
+    in_root = (F.col("pos") > root_pos) & (F.col("pos") <= root_end)
+    n = n.withColumns({"root_pos": root_pos, "root_end": root_end, "in_root": in_root,
+                       "_tag_rm": in_root & _is_tag(*rules["tags"])}).drop("_root", "_last")
     rm = F.col("_tag_rm") | (F.col("in_root") & (F.col("kind") == "tag") & _class_any(rules["classes"]))
     if rules["ids"]:
         # first element per id in document order among what the tag pass left
@@ -125,8 +133,8 @@ def clean_tree(nodes: DataFrame, kind: str = "generic") -> DataFrame:
         n = n.withColumn("_rm", rm).drop("_after_tags")
     else:
         n = n.withColumn("_rm", rm)
-    n = n.withColumn("removed", H.running_cover(F.col("_rm")))
-    return n.withColumn("kept", F.col("in_root") & ~F.col("removed")).drop("_tag_rm", "_rm")
+    removed = H.running_cover(F.col("_rm"))
+    return n.withColumns({"removed": removed, "kept": F.col("in_root") & ~removed}).drop("_tag_rm", "_rm")
 
 
 # ---------------------------------------------------------------------------
@@ -151,16 +159,15 @@ def blocks(nodes: DataFrame, kind: str = "generic") -> DataFrame:
         cond = _is_tag(tag)
         btype = F.when(cond, bt) if btype is None else btype.when(cond, bt)
     btype = btype.when(_is_tag(*skip), "skip").when(F.col("kind").isin(*TEXTLIKE), "text")
-    n = n.withColumn("_bt", F.when(F.col("kept"), btype))
-    handler = F.col("kept") & F.col("_bt").isNotNull() & (F.col("kind") == "tag")
-    n = n.withColumn("_covered", H.running_cover(handler, inclusive=False))
+    bt = F.when(F.col("kept"), btype)
+    handler = F.col("kept") & bt.isNotNull() & (F.col("kind") == "tag")
+    n = n.withColumns({"_bt": bt, "_covered": H.running_cover(handler, inclusive=False)})
     root = F.col("kept") & ~F.col("_covered") & F.col("_bt").isNotNull() & (F.col("_bt") != "skip")
     n = n.withColumn("btype", F.when(root, F.col("_bt")))
     is_root = F.col("btype").isNotNull()
-    n = (n.withColumn("block", H.last_open(is_root, "pos"))
-         .withColumn("_bend", H.last_open(is_root, "end_pos"))
-         .withColumn("block_type", H.last_open(is_root, "btype"))
-         .withColumn("block_depth", H.last_open(is_root, "depth")))
+    n = n.withColumns({"block": H.last_open(is_root, "pos"), "_bend": H.last_open(is_root, "end_pos"),
+                       "block_type": H.last_open(is_root, "btype"),
+                       "block_depth": H.last_open(is_root, "depth")})
     in_block = F.col("kept") & F.col("block").isNotNull() & (F.col("pos") <= F.col("_bend"))
     return n.withColumn("in_block", in_block).drop("_bt", "_covered", "_bend")
 
@@ -176,6 +183,7 @@ def _ordered_join(col_struct: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(col_struct)), lambda x: x["v"]), sep)
 
 
+@functools.cache
 def _link_kind() -> Column:
     href = T.py_strip(F.coalesce("href", F.lit("")))
     ext = F.lit(False)
@@ -186,6 +194,7 @@ def _link_kind() -> Column:
             .when(ext, "external").otherwise("entry"))
 
 
+@functools.cache
 def _cite() -> Column:
     return _is_tag("sup") & F.array_contains("classes", "reference")
 
@@ -194,9 +203,14 @@ def inline_marks(b: DataFrame) -> DataFrame:
     """Adds ``link_kind``, ``_atomic`` (replaced by one rendered value),
     ``_inside_atomic`` and ``_owner`` (the atomic element a node sits in)."""
     inline = F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES) & (F.col("pos") > F.col("block"))
-    n = b.withColumn("link_kind", F.when(_is_tag("a"), _link_kind()))
-    atomic = inline & (F.col("link_kind").isin("anchor", "entry") | _cite() | _is_tag("style", "script", "br"))
-    n = n.withColumn("_inside_atomic", H.running_cover(atomic, inclusive=False))
+    # regex work on node text happens once per node
+    lk = F.when(_is_tag("a"), _link_kind())
+    atomic = inline & (lk.isin("anchor", "entry") | _cite() | _is_tag("style", "script", "br"))
+    n = b.withColumns({
+        "_piece": F.when(F.col("kind") == "text", T.py_strip(F.col("text"))),
+        "_textv": F.when(F.col("kind").isin(*TEXTLIKE), T.escape_markup(T.norm_space(F.col("text")))),
+        "link_kind": lk,
+        "_inside_atomic": H.running_cover(atomic, inclusive=False)})
     # only outermost atomic elements render; everything below belongs to them
     n = n.withColumn("_atomic", atomic & ~F.col("_inside_atomic"))
     return n.withColumn("_owner", F.when(F.col("_inside_atomic"), H.last_open(F.col("_atomic"), "pos")))
@@ -234,8 +248,8 @@ def _with_atomic_values(n: DataFrame, page_root: str) -> DataFrame:
                                                F.struct(F.col("pos"), F.col("text").alias("v")))).over(w))
     first_a = F.min(F.when(below & _is_tag("a") & F.col("href").isNotNull(),
                            F.struct("pos", "end_pos", "href"))).over(w)
-    n = n.withColumn("_texts", F.when(F.col("_atomic"), texts)).withColumn(
-        "_first_a", F.when(F.col("_atomic") & _cite(), first_a))
+    n = n.withColumns({"_texts": F.when(F.col("_atomic"), texts),
+                       "_first_a": F.when(F.col("_atomic") & _cite(), first_a)})
     # links
     is_link = F.col("_atomic") & F.col("link_kind").isin("anchor", "entry")
     href = T.py_strip(F.coalesce("href", F.lit("")))
@@ -252,12 +266,10 @@ def _with_atomic_values(n: DataFrame, page_root: str) -> DataFrame:
     sid = F.when(F.coalesce(F.col("id"), F.lit("")) != "", T.slug("id"))
     cite_v = F.concat(F.coalesce(F.concat(F.lit("`:"), sid), F.lit("")), F.lit(f"[`F{CITE_COLOR}`_`["),
                       num, F.lit("`#"), target, F.lit("]`_`f]"))
-    n = (n.withColumn("cite_ok", F.coalesce(cite_ok, F.lit(False)))
-         .withColumn("cite_target", F.when(cite_ok, target))
-         .withColumn("cite_num", F.when(cite_ok, num))
-         .withColumn("cite_sid", F.when(cite_ok, sid)))
     v = F.when(is_link, link_v).when(F.col("_atomic") & _cite(), F.when(cite_ok, cite_v).otherwise(F.lit("")))
-    return n.withColumn("link_v", v).drop("_grp", "_texts", "_first_a")
+    n = n.withColumns({"cite_ok": F.coalesce(cite_ok, F.lit(False)), "cite_target": F.when(cite_ok, target),
+                       "cite_num": F.when(cite_ok, num), "cite_sid": F.when(cite_ok, sid), "link_v": v})
+    return n.drop("_grp", "_texts", "_first_a")
 
 
 def _references(n: DataFrame) -> DataFrame:
@@ -294,6 +306,14 @@ def _references(n: DataFrame) -> DataFrame:
             .drop("_back", "_span", "_back_a"))
 
 
+def _no_references(n: DataFrame) -> DataFrame:
+    """Reference-list columns for rule sets without reference lists."""
+    for c, t in [("_ref_li", "boolean"), ("ref_owner", "int"), ("in_back", "boolean"), ("has_span", "boolean"),
+                 ("in_span", "boolean"), ("ref_anchor", "string"), ("back_dest", "string")]:
+        n = n.withColumn(c, F.lit(None).cast(t))
+    return n.withColumn("_ref_li", F.lit(False)).withColumn("in_back", F.lit(False))
+
+
 def _reference_numbers(n: DataFrame) -> DataFrame:
     """Number and back-link of every reference item, from what was rendered before it.
 
@@ -333,30 +353,29 @@ def _list_structure(n: DataFrame) -> DataFrame:
     odd = off % 2 == 1
     ok = (F.col("pos") == F.col("block")) | ((F.col("kind") == "tag") & (
         (odd & (F.col("tag") == "li")) | (~odd & F.col("tag").isin("ul", "ol"))))
-    n = n.withColumn("_lflag", in_list & ~ok).withColumn("_off", F.when(in_list, off))
-    n = n.withColumn("_ltop", F.col("_lflag") & ~H.running_cover(F.col("_lflag"), inclusive=False))
-    n = (n.withColumn("_lt_pos", H.last_open(F.col("_ltop"), "pos"))
-         .withColumn("_lt_end", H.last_open(F.col("_ltop"), "end_pos"))
-         .withColumn("_lt_off", H.last_open(F.col("_ltop"), "_off"))
-         .withColumn("_lt_par", H.last_open(F.col("_ltop"), "parent")))
+    lflag = in_list & ~ok
+    n = n.withColumns({"_lflag": lflag, "_off": F.when(in_list, off),
+                       "_ltop": lflag & ~H.running_cover(lflag, inclusive=False)})
+    n = n.withColumns({"_lt_pos": H.last_open(F.col("_ltop"), "pos"),
+                       "_lt_end": H.last_open(F.col("_ltop"), "end_pos"),
+                       "_lt_off": H.last_open(F.col("_ltop"), "_off"),
+                       "_lt_par": H.last_open(F.col("_ltop"), "parent")})
     under = in_list & F.col("_lt_pos").isNotNull() & (F.col("pos") <= F.col("_lt_end"))
-    n = n.withColumn("_under", under)
-    n = n.withColumn("item", F.when(under & (F.col("_lt_off") % 2 == 0), F.col("_lt_par")))
-    is_li = in_list & ~F.col("_under") & _is_tag("li")
-    is_nested = in_list & ~F.col("_under") & _is_tag("ul", "ol") & (F.col("pos") > F.col("block"))
+    is_li = in_list & ~under & _is_tag("li")
+    is_nested = in_list & ~under & _is_tag("ul", "ol") & (F.col("pos") > F.col("block"))
     w_sib = Window.partitionBy("doc_id", "parent").orderBy("pos")
-    n = n.withColumn("ordinal", F.when(is_li, F.sum(is_li.cast("int")).over(
-        w_sib.rowsBetween(Window.unboundedPreceding, 0))))
-    return n.withColumn("_is_li", is_li).withColumn("_is_nested", is_nested)
+    return n.withColumns({
+        "item": F.when(under & (F.col("_lt_off") % 2 == 0), F.col("_lt_par")),
+        "ordinal": F.when(is_li, F.sum(is_li.cast("int")).over(w_sib.rowsBetween(Window.unboundedPreceding, 0))),
+        "_is_li": is_li, "_is_nested": is_nested})
 
 
 def _dl_structure(n: DataFrame) -> DataFrame:
     """Definition lists: direct dt/dd children own their inline content."""
     in_dl = F.col("in_block") & (F.col("block_type") == "dl")
     is_def = in_dl & _is_tag("dt", "dd") & (F.col("parent") == F.col("block"))
-    n = n.withColumn("_is_def", is_def)
-    n = (n.withColumn("_d_pos", H.last_open(F.col("_is_def"), "pos"))
-         .withColumn("_d_end", H.last_open(F.col("_is_def"), "end_pos")))
+    n = n.withColumns({"_is_def": is_def, "_d_pos": H.last_open(is_def, "pos"),
+                       "_d_end": H.last_open(is_def, "end_pos")})
     return n.withColumn("def_item", F.when(in_dl & (F.col("pos") > F.col("_d_pos"))
                                            & (F.col("pos") <= F.col("_d_end")), F.col("_d_pos")))
 
@@ -370,7 +389,9 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
     values rebuilds the inline text of every paragraph, list item, definition,
     quote, heading and preformatted block in one aggregation.
     """
-    n = _with_atomic_values(_dl_structure(_list_structure(_references(inline_marks(b)))), page_root)
+    n = inline_marks(b)
+    n = _references(n) if kind == "wikipedia" else _no_references(n)
+    n = _with_atomic_values(_dl_structure(_list_structure(n)), page_root)
     inline = F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES)
     refs = F.col("block_type") == "references"
     live = (inline & (F.col("pos") > F.col("block")) & ~F.col("_inside_atomic")
@@ -380,15 +401,18 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
     anchor_ok = live & (F.col("kind") == "tag") & ~no_anchor & (ident != "")
     anchor = F.when(anchor_ok, F.concat(F.lit("`:"), ident, F.lit("`a")))
     # anchors emitted while rendering (id anchors, cited sup ids), for back-links
-    n = n.withColumn("_emit", F.when(anchor_ok, ident).when(live & F.col("cite_ok"), F.col("cite_sid")))
-    n = n.withColumn("_cite_live", live & F.col("cite_ok"))
-    n = _reference_numbers(n)
-    leaf = (F.when(F.col("kind").isin(*TEXTLIKE), T.escape_markup(T.norm_space(F.col("text"))))
+    n = n.withColumns({"_emit": F.when(anchor_ok, ident).when(live & F.col("cite_ok"), F.col("cite_sid")),
+                       "_cite_live": live & F.col("cite_ok")})
+    if kind == "wikipedia":
+        n = _reference_numbers(n)
+    else:
+        n = n.withColumns({"ref_num": F.lit(None).cast("string"), "ref_back": F.lit(None).cast("string")})
+    leaf = (F.when(F.col("kind").isin(*TEXTLIKE), F.col("_textv"))
             .when(_is_tag("br"), F.lit("\n"))
             .when(_is_tag("style", "script"), F.lit(""))
             .when(_cite() | F.col("link_kind").isin("anchor", "entry"), F.coalesce("link_v", F.lit(""))))
     leaf = F.when(live, leaf)
-    n = n.withColumn("_anchor", anchor).withColumn("_leaf", leaf)
+    n = n.withColumns({"_anchor": anchor, "_leaf": leaf})
     nb = (F.when(F.coalesce(T.py_strip(F.col("_leaf")), F.lit("")) != "", 1).otherwise(0)
           + F.when(F.col("_anchor").isNotNull(), 1).otherwise(0))
     # wrapped iff the next non-blank contribution after this node lies inside it:
@@ -406,10 +430,13 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
     # heading text: stripped strings of the (first) heading, space separated
     first_h = F.min(F.when(F.col("in_block") & _is_tag(*HEADINGS) & (F.col("pos") > F.col("block")),
                            F.struct("pos", "end_pos", "tag"))).over(Window.partitionBy("doc_id", "block"))
-    n = n.withColumn("_fh", F.when(F.col("block_type") == "wheading", first_h))
+    if kind == "wikipedia":
+        n = n.withColumn("_fh", F.when(F.col("block_type") == "wheading", first_h))
+    else:
+        n = n.withColumn("_fh", F.lit(None).cast("struct<pos:int,end_pos:int,tag:string>"))
     in_heading = (F.col("block_type") == "heading") | (
         (F.col("pos") > F.col("_fh.pos")) & (F.col("pos") <= F.col("_fh.end_pos")))
-    piece = T.py_strip(F.col("text"))
+    piece = F.coalesce(F.col("_piece"), F.lit(""))
     heading_v = F.when(in_heading & (F.col("kind") == "text") & (F.col("pos") > F.col("block")) & (piece != ""),
                        F.concat(F.lit(" "), piece))
     btype = F.col("block_type")
