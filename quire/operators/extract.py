@@ -770,3 +770,70 @@ def anchors(nodes: DataFrame, kind: str = "generic") -> DataFrame:
     return (n.filter((F.col("kind") == "tag") & ~no_anchor & (F.col("pos") > F.col("block"))
                      & ~F.col("_inside_atomic") & (s != ""))
             .select("doc_id", F.col("pos").cast("bigint").alias("pos"), s.alias("anchor")))
+
+
+# ---------------------------------------------------------------------------
+# EXT-13 / SORT-4: first qualifying paragraph of a page (description)
+# ---------------------------------------------------------------------------
+MIN_DESCRIPTION_CHARS = 40
+
+
+def first_paragraphs(nodes: DataFrame, min_chars: int = MIN_DESCRIPTION_CHARS) -> DataFrame:
+    """(doc_id, text): the first ``p`` anywhere in the (uncleaned) page whose
+    collapsed text is longer than ``min_chars``.
+
+    A paragraph's collapsed length is sum(len(piece)) + pieces - 1 over its
+    stripped, collapsed strings, so prefix sums over ``pos`` give it; the value
+    at ``end_pos`` comes from one equi join on (doc_id, pos).  Only the chosen
+    paragraph's strings are gathered.
+    """
+    piece = T.py_strip(T.norm_space(F.col("text")))
+    n = (nodes.repartition("doc_id")
+         .withColumn("_pc", F.when((F.col("kind") == "text") & (piece != ""), piece)))
+    w = H.by_doc().rowsBetween(Window.unboundedPreceding, 0)
+    n = n.withColumns({"_cl": F.sum(F.coalesce(F.length("_pc"), F.lit(0))).over(w),
+                       "_cn": F.sum(F.col("_pc").isNotNull().cast("int")).over(w)})
+    at_end = n.select("doc_id", F.col("pos").alias("end_pos"), F.col("_cl").alias("_cl_e"),
+                      F.col("_cn").alias("_cn_e"))
+    p = n.filter(_is_tag("p")).join(at_end, ["doc_id", "end_pos"])
+    length = (F.col("_cl_e") - F.col("_cl")) + (F.col("_cn_e") - F.col("_cn")) - 1
+    first = (p.filter(length > min_chars).groupBy("doc_id")
+             .agg(F.min_by(F.struct("pos", "end_pos"), F.col("pos")).alias("_p")))
+    texts = n.filter(F.col("_pc").isNotNull()).join(first, "doc_id").filter(
+        (F.col("pos") > F.col("_p.pos")) & (F.col("pos") <= F.col("_p.end_pos")))
+    return texts.groupBy("doc_id").agg(
+        _ordered_join(F.struct(F.col("pos"), F.col("_pc").alias("v")), " ").alias("text"))
+
+
+def descriptions(nodes: DataFrame, min_chars: int = MIN_DESCRIPTION_CHARS) -> DataFrame:
+    """(doc_id, description): first qualifying paragraph cut by the snippet rule."""
+    fp = first_paragraphs(nodes, min_chars)
+    return fp.select("doc_id", T.snippet(T.py_strip(T.norm_space("text"))).alias("description"))
+
+
+# ---------------------------------------------------------------------------
+# PRJ-9: renderer dispatch by archive type
+# ---------------------------------------------------------------------------
+RENDERER_BY_TYPE = {"wikipedia": "wikipedia", "gutenberg": "gutenberg"}   # anything else: generic
+MEDIA_ARCHIVE_TYPES = ["pdf", "video"]
+
+
+def render_by_type(docs: DataFrame, types: DataFrame, page_root: str = DEFAULT_PAGE_ROOT) -> DataFrame:
+    """(doc_id, renderer, text): each readable document rendered with its archive's
+    rule set; media archives are not rendered.  ``types`` is (archive, type).
+
+    Dispatch is a filter per rule set and a union, never a per-row branch.
+    """
+    d = docs.join(types.select("archive", "type"), "archive", "left")
+    d = d.filter(~F.coalesce(F.col("type"), F.lit("generic")).isin(*MEDIA_ARCHIVE_TYPES))
+    kind = F.coalesce(F.col("type"), F.lit("generic"))
+    out = None
+    for renderer in ("generic", "wikipedia", "gutenberg"):
+        if renderer == "generic":
+            sel = ~kind.isin(*RENDERER_BY_TYPE)
+        else:
+            sel = kind == renderer
+        part = render_documents(d.filter(sel).drop("type"), renderer, page_root)
+        part = part.withColumn("renderer", F.lit(renderer))
+        out = part if out is None else out.unionByName(part)
+    return out.select("doc_id", "renderer", "text")

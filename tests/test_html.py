@@ -161,3 +161,16 @@ def test_references_before_citations(spark):
     text = X.render_documents(d, "wikipedia").first().text
     assert "`:a`!1.`! A\n`:b`!2.`! B\n`:c`!3.`! C" in text
     assert "back to top" not in text.lower()
+
+
+def test_first_paragraph_description(spark):
+    html = ("<body><p>short</p><p>" + "word " * 20 + "</p><div><p>" + "x" * 200 + "</p></div></body>")
+    long_first = "<body><p><b>" + "Lead sentence here. " * 3 + "<br><p>" + "more " * 40 + "</p></body>"
+    d = spark.createDataFrame([(1, "w.zim", "A", html), (2, "w.zim", "B", long_first)],
+                              "doc_id long, archive string, path string, html string")
+    got = {r.doc_id: r.description for r in X.descriptions(H.html_nodes(d)).collect()}
+    assert got[1] == ("word " * 20).strip()
+    # literal nesting: the first p holds everything after it; its last '.' before 180 is at
+    # index 58 (not past 60), so the text is cut at 150 characters
+    full = ("Lead sentence here. " * 3).strip() + " " + ("more " * 40).strip()
+    assert got[2] == full[:150] + "…"
