@@ -42,7 +42,8 @@ def _line_facts(lines: Column) -> Column:
     return F.transform(lines, lambda x, i: F.struct(
         (F.octet_length(x) + 1).cast("bigint").alias("b"),
         (x.startswith(">>") & ~x.startswith(">>>")).alias("sec"),
-        T.py_strip(x).startswith(TABLE_FENCE).alias("fence"),
+        # strip().startswith("`t") only needs the leading whitespace: anchored, O(1)
+        x.rlike("^" + T.PYWS + "*" + TABLE_FENCE).alias("fence"),
         ((i > 0) & F.coalesce(F.try_element_at(lines, F.greatest(i, F.lit(1))).startswith(">"), F.lit(False))).alias("ph"),
         i.alias("i"),
     ))
@@ -106,17 +107,21 @@ def line_chunks(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) ->
 # -- CHK-2 ---------------------------------------------------------------------
 
 def section_structs(lines, breaks) -> Column:
-    """Array of (line_no, chunk_no, level, title) for '>>'/'>>>' section lines."""
+    """Array of (line_no, chunk_no, level, title) for '>>'/'>>>' section lines.
+
+    Only lines starting '>>' (and not '>>>>') are looked at further, so long
+    body lines cost one prefix test each.
+    """
     lines, breaks = _c(lines), _c(breaks)
-    tagged = F.transform(lines, lambda x, i: F.struct(
-        i.cast("bigint").alias("line_no"),
-        (F.size(F.filter(breaks, lambda b: b <= i)) + 1).cast("bigint").alias("chunk_no"),
-        (F.length(x) - F.length(F.regexp_replace(x, "^>+", ""))).cast("int").alias("level"),
-        T.py_strip(F.regexp_replace(x, "^>+", "")).alias("title"),
-        (x.startswith(">>") & ~x.startswith(">>>>")).alias("_is"),
+    cand = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
+                    lambda s: s["x"].startswith(">>") & ~s["x"].startswith(">>>>"))
+    tagged = F.transform(cand, lambda s: F.struct(
+        s["i"].cast("bigint").alias("line_no"),
+        (F.size(F.filter(breaks, lambda b: b <= s["i"])) + 1).cast("bigint").alias("chunk_no"),
+        (F.length(s["x"]) - F.length(F.regexp_replace(s["x"], "^>+", ""))).cast("int").alias("level"),
+        T.py_strip(F.regexp_replace(s["x"], "^>+", "")).alias("title"),
     ))
-    keep = F.filter(tagged, lambda s: s["_is"] & (s["title"] != "") & s["level"].isin(2, 3))
-    return F.transform(keep, lambda s: F.struct(s["line_no"], s["chunk_no"], s["level"], s["title"]))
+    return F.filter(tagged, lambda s: (s["title"] != "") & s["level"].isin(2, 3))
 
 
 def section_index(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:

@@ -56,41 +56,59 @@ def build_prefix_index(index: DataFrame) -> DataFrame:
     return g.select("archive", F.expr("substring(term, 1, _n)").alias("gram"), "term", "path")
 
 
+def _qkey(terms_col: Column) -> Column:
+    """Key of a distinct query: its terms (no term contains U+0001)."""
+    return F.concat_ws("\u0001", terms_col)
+
+
 def query_terms(requests: DataFrame) -> DataFrame:
-    """(request_id, archive, qpos, qterm, is_last, n_q) for non-blank queries."""
-    q = requests.select("request_id", "archive", terms("query").alias("_q"))
-    q = q.filter(F.size("_q") > 0)
-    return q.select("request_id", "archive", F.size("_q").alias("n_q"),
+    """(archive, qkey, n_q, qpos, qterm, is_last) per *distinct* non-blank query."""
+    q = (requests.select("archive", terms("query").alias("_q")).filter(F.size("_q") > 0)
+         .select("archive", _qkey(F.col("_q")).alias("qkey"), "_q").distinct())
+    return q.select("archive", "qkey", F.size("_q").alias("n_q"),
                     F.posexplode("_q").alias("qpos", "qterm")) \
         .withColumn("is_last", F.col("qpos") == F.col("n_q") - 1)
 
 
-def match_titles(requests: DataFrame, index: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(request_id, archive, path) for every title matching all query terms."""
+def match_queries(requests: DataFrame, index: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(archive, qkey, path) for every title matching all terms of a distinct query.
+
+    Candidates come from each query's rarest term only (term frequencies are
+    a partial aggregate, so hot terms cost nothing extra); the other terms are
+    then checked against the candidate's own title terms with equi joins on
+    (archive, path).  Work is the sum of the smallest posting lists, not of all.
+    """
     qt = query_terms(requests)
-    exact = (qt.filter(~F.col("is_last"))
-             .join(index.select("archive", F.col("term").alias("qterm"), "path"), ["archive", "qterm"])
-             .select("request_id", "qpos", "n_q", "path"))
-    last = qt.filter(F.col("is_last")).withColumn("gram", F.substring("qterm", 1, MAX_GRAM))
-    pref = (last.join(prefixes, ["archive", "gram"])
-            .filter(F.col("term").startswith(F.col("qterm")))
-            .select("request_id", "qpos", "n_q", "path"))
-    # several title terms can share the prefix: count distinct query positions
-    hits = exact.unionByName(pref)
-    matched = hits.groupBy("request_id", "path", "n_q").agg(F.count_distinct("qpos").alias("_m"))
-    return matched.filter(F.col("_m") == F.col("n_q")).select("request_id", "path")
-
-
-def page_counts(requests: DataFrame, matches: DataFrame) -> DataFrame:
-    """(request_id, total, pages, page, start) - page clamped into 1..pages."""
-    tot = matches.groupBy("request_id").agg(F.count(F.lit(1)).alias("total"))
-    r = requests.filter(T.py_strip("query") != "").join(tot, "request_id", "left")
-    total = F.coalesce("total", F.lit(0)).cast("bigint")
-    pages = F.greatest(F.lit(1), F.floor((total + PAGE_SIZE - 1) / PAGE_SIZE)).cast("bigint")
-    asked = F.greatest(F.lit(1), F.coalesce(T.strict_int("page_number"), F.lit(1)))
-    page = F.least(asked, pages)
-    return r.select("request_id", total.alias("total"), pages.alias("pages"), page.alias("page"),
-                    ((page - 1) * PAGE_SIZE).cast("bigint").alias("start"))
+    df_exact = index.groupBy("archive", "term").agg(F.count(F.lit(1)).alias("_df"))
+    df_gram = prefixes.groupBy("archive", "gram").agg(F.count(F.lit(1)).alias("_df"))
+    qt = qt.withColumn("gram", F.substring("qterm", 1, MAX_GRAM))
+    ex = (qt.filter(~F.col("is_last"))
+          .join(df_exact.withColumnRenamed("term", "qterm"), ["archive", "qterm"], "left"))
+    px = qt.filter(F.col("is_last")).join(df_gram, ["archive", "gram"], "left")
+    freq = ex.unionByName(px).withColumn("_df", F.coalesce("_df", F.lit(0)))
+    # queries with a term that matches nothing can not match at all
+    best = (freq.groupBy("archive", "qkey", "n_q")
+            .agg(F.min_by(F.struct("qpos", "qterm", "is_last", "gram"), "_df").alias("d"),
+                 F.min("_df").alias("_min")))
+    best = best.filter(F.col("_min") > 0)
+    drv_exact = (best.filter(~F.col("d.is_last"))
+                 .select("archive", "qkey", "n_q", F.col("d.qterm").alias("term"))
+                 .join(index.select("archive", "term", "path"), ["archive", "term"])
+                 .select("archive", "qkey", "n_q", "path"))
+    drv_prefix = (best.filter(F.col("d.is_last"))
+                  .select("archive", "qkey", "n_q", F.col("d.gram").alias("gram"), F.col("d.qterm").alias("_qt"))
+                  .join(prefixes, ["archive", "gram"])
+                  .filter(F.col("term").startswith(F.col("_qt")))
+                  .select("archive", "qkey", "n_q", "path").distinct())
+    cand = drv_exact.unionByName(drv_prefix)
+    # verify every term against the candidate title's own terms
+    checks = (cand.join(qt.select("archive", "qkey", "qpos", "qterm", "is_last"), ["archive", "qkey"])
+              .join(index.select("archive", "path", "term"), ["archive", "path"])
+              .filter(F.when(F.col("is_last"), F.col("term").startswith(F.col("qterm")))
+                      .otherwise(F.col("term") == F.col("qterm"))))
+    ok = (checks.groupBy("archive", "qkey", "path", "n_q").agg(F.count_distinct("qpos").alias("_m"))
+          .filter(F.col("_m") == F.col("n_q")))
+    return ok.select("archive", "qkey", "path")
 
 
 def rank_keys(query: Column) -> list[Column]:
@@ -99,38 +117,79 @@ def rank_keys(query: Column) -> list[Column]:
     return [(lt == q).cast("int").alias("_exact"), lt.startswith(q).cast("int").alias("_starts")]
 
 
+def _request_keys(requests: DataFrame) -> DataFrame:
+    return requests.select("request_id", "archive", "query", "page_number",
+                           _qkey(terms("query")).alias("qkey"))
+
+
+def match_titles(requests: DataFrame, index: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(request_id, path) for every title matching a request's query."""
+    m = match_queries(requests, index, prefixes)
+    return _request_keys(requests).join(m, ["archive", "qkey"]).select("request_id", "path")
+
+
+def page_counts(requests: DataFrame, matches: DataFrame | None = None, index: DataFrame | None = None,
+                prefixes: DataFrame | None = None, qmatches: DataFrame | None = None) -> DataFrame:
+    """(request_id, total, pages, page, start) - page clamped into 1..pages.
+
+    Totals are counted once per distinct query (``qmatches``) and attached to
+    requests; ``matches`` (request_id, path) is accepted for direct use.
+    """
+    r = _request_keys(requests).filter(T.py_strip("query") != "")
+    if qmatches is None and matches is None:
+        qmatches = match_queries(requests, index, prefixes)
+    if qmatches is not None:
+        tot = qmatches.groupBy("archive", "qkey").agg(F.count(F.lit(1)).alias("total"))
+        r = r.join(tot, ["archive", "qkey"], "left")
+    else:
+        tot = matches.groupBy("request_id").agg(F.count(F.lit(1)).alias("total"))
+        r = r.join(tot, "request_id", "left")
+    total = F.coalesce("total", F.lit(0)).cast("bigint")
+    pages = F.greatest(F.lit(1), F.floor((total + PAGE_SIZE - 1) / PAGE_SIZE)).cast("bigint")
+    asked = F.greatest(F.lit(1), F.coalesce(T.strict_int("page_number"), F.lit(1)))
+    page = F.least(asked, pages)
+    return r.select("request_id", total.alias("total"), pages.alias("pages"), page.alias("page"),
+                    ((page - 1) * PAGE_SIZE).cast("bigint").alias("start"))
+
+
 def search_page(requests: DataFrame, entries: DataFrame, index: DataFrame | None = None,
                 prefixes: DataFrame | None = None, archive_types: DataFrame | None = None,
                 salt: int = DEFAULT_SALT) -> DataFrame:
     """One result page per request: (request_id, number, path, title, size_label).
 
+    Ranking runs once per distinct query: each (query, salt) keeps its best
+    ``deepest page * 15`` rows, survivors are ranked per query and cut into
+    pages; requests then pick their page with an equi join on (query, page).
     Duplicates (after book-path normalisation in gutenberg archives) are
-    removed within the page, then hits are looked up by path; failed lookups
-    are dropped and do not consume a number.
+    removed within the page, hits are looked up by path, failed lookups are
+    dropped and do not consume a number.
     """
     if index is None:
         index = build_title_index(entries)
     if prefixes is None:
         prefixes = build_prefix_index(index)
-    m = match_titles(requests, index, prefixes)
-    counts = page_counts(requests, m)
+    qm = match_queries(requests, index, prefixes)
+    counts = page_counts(requests, qmatches=qm)
+    req = _request_keys(requests).join(counts.select("request_id", "page", "start"), "request_id")
+    deepest = req.groupBy("archive", "qkey").agg(F.max("page").alias("_deep"),
+                                                 F.first("query").alias("query"))
     titles = entries.select("archive", "path", "title", F.size(terms("title")).cast("bigint").alias("n_terms"))
-    req = requests.select("request_id", "archive", "query")
-    cand = (m.join(req, "request_id").join(titles, ["archive", "path"])
-            .join(counts.select("request_id", "page", "start"), "request_id"))
+    cand = qm.join(deepest, ["archive", "qkey"]).join(titles, ["archive", "path"])
     ex, st = rank_keys(F.col("query"))
     cand = cand.select("*", ex, st)
     order = [F.col("_exact").desc(), F.col("_starts").desc(), F.col("n_terms").asc(),
              F.col("title").asc(), F.col("path").asc()]
-    limit = F.col("page") * PAGE_SIZE
-    # stage 1: best page*15 per (request, salt) - a hot query is spread over `salt` tasks
+    limit = F.col("_deep") * PAGE_SIZE
+    # stage 1: best deepest-page*15 per (query, salt) - a hot query is spread over `salt` tasks
     salted = cand.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salt)))
-    w1 = Window.partitionBy("request_id", "_salt").orderBy(*order)
+    w1 = Window.partitionBy("archive", "qkey", "_salt").orderBy(*order)
     s1 = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= limit)
-    # stage 2: at most salt * page * 15 rows per request
-    w2 = Window.partitionBy("request_id").orderBy(*order)
-    s2 = s1.withColumn("rank", F.row_number().over(w2))
-    sl = s2.filter((F.col("rank") > F.col("start")) & (F.col("rank") <= F.col("start") + PAGE_SIZE))
+    # stage 2: at most salt * deepest-page * 15 rows per query
+    w2 = Window.partitionBy("archive", "qkey").orderBy(*order)
+    ranked = (s1.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= limit)
+              .withColumn("page", F.floor((F.col("rank") - 1) / PAGE_SIZE).cast("bigint") + 1)
+              .select("archive", "qkey", "page", "rank", "path"))
+    sl = req.select("request_id", "archive", "qkey", "page", "start").join(ranked, ["archive", "qkey", "page"])
     # SET-1: dedupe normalised paths within the page, keep the first
     if archive_types is not None:
         sl = sl.join(archive_types.select("archive", "type"), "archive", "left")
