@@ -32,6 +32,18 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def materialize(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
+    """Compute ``cols`` once per row.
+
+    The optimizer merges adjacent projections and would copy an expensive
+    expression (a split, a fold) into every place that uses it, including
+    lambda bodies evaluated per array element.  A one-row generator between
+    the steps keeps each value computed once.
+    """
+    packed = F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    return df.select(*keep, packed)
+
+
 def split_lines(text) -> Column:
     """Text -> array of lines (split on '\\n'; '' gives one empty line)."""
     return F.split(F.coalesce(_c(text), F.lit("")), "\n", -1)
@@ -87,8 +99,11 @@ def chunk_array(lines, breaks) -> Column:
 
 def chunk_documents(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
     """(key, chunk_no, text, bytes) - one row per part, 1-based numbering."""
-    lines = split_lines(text)
-    parts = docs.select(key, chunk_array(lines, chunk_breaks(lines, cap)).alias("_parts"))
+    # lines and breaks are materialised columns: lambdas then read a column
+    # instead of re-splitting the text for every element
+    b = materialize(docs, [key], _l=split_lines(text))
+    b = materialize(b, [key, "_l"], _b=chunk_breaks("_l", cap))
+    parts = b.select(key, chunk_array("_l", "_b").alias("_parts"))
     return parts.select(key, F.posexplode("_parts").alias("_p", "text")).select(
         key, (F.col("_p") + 1).cast("bigint").alias("chunk_no"), "text",
         T.byte_size("text").alias("bytes"))
@@ -97,7 +112,8 @@ def chunk_documents(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP
 def line_chunks(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
     """(key, line_no, chunk_no, line) - the part number of every line (0-based line_no)."""
     lines = split_lines(text)
-    b = docs.select(key, lines.alias("_l")).withColumn("_b", chunk_breaks("_l", cap))
+    b = materialize(docs, [key], _l=lines)
+    b = materialize(b, [key, "_l"], _b=chunk_breaks("_l", cap))
     e = b.select(key, "_b", F.posexplode("_l").alias("line_no", "line"))
     return e.select(key, F.col("line_no").cast("bigint").alias("line_no"),
                     (F.size(F.filter("_b", lambda x: x <= F.col("line_no"))) + 1)
@@ -127,7 +143,8 @@ def section_structs(lines, breaks) -> Column:
 def section_index(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
     """(key, chunk_no, line_no, level, title) for every level-2/3 section line."""
     lines = split_lines(text)
-    b = docs.select(key, lines.alias("_l")).withColumn("_b", chunk_breaks("_l", cap))
+    b = materialize(docs, [key], _l=lines)
+    b = materialize(b, [key, "_l"], _b=chunk_breaks("_l", cap))
     s = b.select(key, F.explode(section_structs("_l", "_b")).alias("s"))
     return s.select(key, "s.chunk_no", "s.line_no", "s.level", "s.title")
 
@@ -138,10 +155,9 @@ def part_index(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) ->
     """(key, chunk_no, bytes, label, sections): part list with up to three section
     titles in document order; an untitled first part is the Introduction."""
     lines = split_lines(text)
-    b = (docs.select(key, lines.alias("_l"))
-         .withColumn("_b", chunk_breaks("_l", cap))
-         .withColumn("_parts", chunk_array("_l", "_b"))
-         .withColumn("_secs", section_structs("_l", "_b")))
+    b = materialize(docs, [key], _l=lines)
+    b = materialize(b, [key, "_l"], _b=chunk_breaks("_l", cap))
+    b = materialize(b, [key], _parts=chunk_array("_l", "_b"), _secs=section_structs("_l", "_b"))
     p = b.select(key, "_secs", F.posexplode("_parts").alias("_p", "_text"))
     no = (F.col("_p") + 1).cast("bigint")
     titles = F.transform(F.filter("_secs", lambda s: s["chunk_no"] == no), lambda s: s["title"])
@@ -157,15 +173,15 @@ def part_index(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) ->
 
 def chunk_stats(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
     """(key, parts, bytes, max_part_bytes, size_label): per-document part facts."""
-    lines = split_lines(text)
-    parts = chunk_array(lines, chunk_breaks(lines, cap))
-    sizes = F.transform(parts, lambda p: F.octet_length(p).cast("bigint"))
-    return docs.select(
+    b = materialize(docs, [key], _t=F.col(text), _l=split_lines(text))
+    b = materialize(b, [key, "_t", "_l"], _b=chunk_breaks("_l", cap))
+    sizes = F.transform(chunk_array("_l", "_b"), lambda p: F.octet_length(p).cast("bigint"))
+    return b.select(
         key,
-        F.size(parts).cast("bigint").alias("parts"),
-        T.byte_size(text).alias("bytes"),
+        (F.size("_b") + 1).cast("bigint").alias("parts"),
+        T.byte_size("_t").alias("bytes"),
         F.array_max(sizes).alias("max_part_bytes"),
-        T.human_size(T.byte_size(text)).alias("size_label"),
+        T.human_size(T.byte_size("_t")).alias("size_label"),
     )
 
 

@@ -42,7 +42,19 @@ PDF_MIMETYPE = "application/pdf"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work at least one task per core.
+
+    A small table stored as one Parquet row group is read by one task; the
+    document-level jobs here (tokenising, folds over lines) are CPU bound, so
+    such inputs are spread round-robin over the default parallelism.  Inputs
+    that already have that many splits (any large table) are left alone.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
