@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.plan import materialize
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -32,18 +33,6 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def materialize(df: DataFrame, keep: list[str], **cols: Column) -> DataFrame:
-    """Compute ``cols`` once per row.
-
-    The optimizer merges adjacent projections and would copy an expensive
-    expression (a split, a fold) into every place that uses it, including
-    lambda bodies evaluated per array element.  A one-row generator between
-    the steps keeps each value computed once.
-    """
-    packed = F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
-    return df.select(*keep, packed)
-
-
 def split_lines(text) -> Column:
     """Text -> array of lines (split on '\\n'; '' gives one empty line)."""
     return F.split(F.coalesce(_c(text), F.lit("")), "\n", -1)

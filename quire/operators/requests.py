@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import catalog as C
+from quire.session import ensure_checkpoint_dir
 
 MAX_HOPS = 8
 RAW_FORMATS = ["micron", "html"]
@@ -18,28 +19,35 @@ RAW_FORMATS = ["micron", "html"]
 def resolve_redirects(entries: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """(archive, path, final_path, hops, resolved): follow redirect chains.
 
-    A bounded loop of equi joins on (archive, path); a chain longer than
-    ``max_hops`` (or a cycle) ends unresolved.  Each hop only carries the
-    still-redirecting rows, so the join input shrinks every round.
+    A bounded loop of equi joins on (archive, path).  Only rows still
+    redirecting take part in a hop (no null-key rows in the join), each hop's
+    result is checkpointed to the session's checkpoint folder so the plan and
+    lineage stay one hop long, and the loop stops as soon as nothing is left.
+    A chain longer than ``max_hops`` (or a cycle) ends unresolved.
     """
+    ensure_checkpoint_dir(entries.sparkSession)
     e = entries.select("archive", "path", "is_redirect", "redirect_path")
     links = e.filter("is_redirect").select("archive", F.col("path").alias("_at"),
                                            F.col("redirect_path").alias("_next"))
+    cols = ["archive", "path", "_at", "_next", "hops"]
     cur = e.select("archive", "path", F.col("path").alias("_at"),
                    F.when(F.col("is_redirect"), F.col("redirect_path")).alias("_next"),
                    F.lit(0).alias("hops"))
-    done = cur.filter(F.col("_next").isNull())
-    todo = cur.filter(F.col("_next").isNotNull())
+    done = [cur.filter(F.col("_next").isNull())]
+    todo = cur.filter(F.col("_next").isNotNull()).checkpoint()
     for _ in range(max_hops):
+        if todo.isEmpty():
+            break
         step = (todo.select("archive", "path", F.col("_next").alias("_at"), (F.col("hops") + 1).alias("hops"))
-                .join(links, ["archive", "_at"], "left"))
-        done = done.unionByName(step.filter(F.col("_next").isNull()).select(*cur.columns))
-        todo = step.filter(F.col("_next").isNotNull()).select(*cur.columns)
-    stuck = todo.select("archive", "path", F.col("_at"), F.col("_next"), "hops")
-    out = (done.select("archive", "path", F.col("_at").alias("final_path"), "hops",
-                       F.lit(True).alias("resolved"))
-           .unionByName(stuck.select("archive", "path", F.lit(None).cast("string").alias("final_path"),
-                                     "hops", F.lit(False).alias("resolved"))))
+                .join(links, ["archive", "_at"], "left").select(*cols).checkpoint())
+        done.append(step.filter(F.col("_next").isNull()))
+        todo = step.filter(F.col("_next").isNotNull())
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    out = (out.select("archive", "path", F.col("_at").alias("final_path"), "hops", F.lit(True).alias("resolved"))
+           .unionByName(todo.select("archive", "path", F.lit(None).cast("string").alias("final_path"),
+                                    "hops", F.lit(False).alias("resolved"))))
     # a redirect to a path that does not exist is not resolved either
     exists = entries.select("archive", F.col("path").alias("final_path"), F.lit(True).alias("_ok"))
     out = out.join(exists, ["archive", "final_path"], "left")

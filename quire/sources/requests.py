@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.plan import materialize
 from quire.operators.search import terms
 from quire.sources import archive as A
 
@@ -36,23 +37,27 @@ def page_requests(pages: DataFrame) -> DataFrame:
     """(request_id, archive, entry_path, chunk, format, query, page_number)."""
     https = F.regexp_extract("url", r"^([A-Za-z]+)://", 1) == "https"
     param = F.nullif(F.regexp_extract("url", PAGE_PARAM, 1), F.lit(""))
-    return pages.select(
+    base = materialize(pages, ["page_id", "url"], _title=A.page_title("html"))
+    base = materialize(base, ["page_id", "url"], query=title_query("_title"))
+    return base.select(
         F.col("page_id").cast("bigint").alias("request_id"),
         F.when(https, F.concat(A.url_host("url"), F.lit(A.ARCHIVE_SUFFIX))).alias("archive"),
         A.url_path("url").alias("entry_path"),
         param.alias("chunk"),
         F.lit(None).cast("string").alias("format"),
-        title_query(A.page_title("html")).alias("query"),
+        "query",
         param.alias("page_number"),
     )
 
 
 def search_requests(pages: DataFrame) -> DataFrame:
     """Title-search requests against the archive of each page."""
-    return pages.select(
+    base = materialize(pages, ["page_id", "url"], _title=A.page_title("html"))
+    base = materialize(base, ["page_id", "url"], query=title_query("_title"))
+    return base.select(
         F.col("page_id").cast("bigint").alias("request_id"),
         F.concat(A.url_host("url"), F.lit(A.ARCHIVE_SUFFIX)).alias("archive"),
-        title_query(A.page_title("html")).alias("query"),
+        "query",
         F.nullif(F.regexp_extract("url", PAGE_PARAM, 1), F.lit("")).alias("page_number"),
     )
 
@@ -72,9 +77,10 @@ def part_entries(part: DataFrame) -> DataFrame:
 
 
 def part_requests(part: DataFrame) -> DataFrame:
-    return part.select(
+    base = materialize(part, ["p_partkey", "p_size"], query=title_query("p_name"))
+    return base.select(
         F.col("p_partkey").cast("bigint").alias("request_id"),
         F.lit(PARTS_ARCHIVE).alias("archive"),
-        title_query("p_name").alias("query"),
+        "query",
         F.col("p_size").cast("string").alias("page_number"),
     )
