@@ -14,7 +14,8 @@ PART_REQUESTS = [None, "parts", "1", "2", "0", "-2", "99", " 3 ", "abc", "3.7"]
 
 
 def _docs(spark, sf_dir):
-    return A.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    # documents are CPU-bound per row (line folds): spread a single-split file over the cores
+    return A.spread(A.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _markup(spark, sf_dir):
