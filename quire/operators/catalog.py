@@ -50,7 +50,7 @@ def list_archives(entries: DataFrame, fallback: str | None = None) -> DataFrame:
         spark = entries.sparkSession
         fb = spark.createDataFrame([(fallback.rsplit("/", 1)[-1],)], "archive string")
         names = with_fallback(names, fb)
-    return names
+    return names.orderBy("archive")   # SORT-1: code-point (binary) order
 
 
 def valid_archive_name(col) -> Column:

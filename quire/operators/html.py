@@ -42,9 +42,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
-# comments, atomic script/style elements, tags, text, stray '<'
+# comments, atomic script/style elements, CDATA sections, tags, text, stray '<'
 TOKEN_RE = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-            r"|<[!?/]?[A-Za-z][^>]*>|<!--.*|[^<]+|<")
+            r"|<!\[CDATA\[.*?\]\]>|<[!?/]?[A-Za-z][^>]*>|<!--.*|[^<]+|<")
 # elements that never have children (closed as soon as they open)
 VOID_TAGS = frozenset([
     "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link",
@@ -120,7 +120,10 @@ def _nest_one(doc_id, toks, out):
         pos = len(ends)
         parent = stack[-1] if stack else -1
         kind, tag, raw, opens = "text", None, tok, False
-        if tok.startswith("<!--"):
+        cdata = tok.startswith("<![CDATA[")
+        if cdata:
+            raw = tok[9:-3]                # character data, not entity-decoded
+        elif tok.startswith("<!--"):
             kind, raw = "comment", tok[4:-3] if tok.endswith("-->") and len(tok) >= 7 else tok[4:]
         elif tok.startswith("<!"):
             kind, raw = "doctype", tok[2:-1]
@@ -146,12 +149,13 @@ def _nest_one(doc_id, toks, out):
         at = _attrs(raw) if kind == "tag" else {}
         for a in ATTRS:
             out[a].append(at.get(a))
-        out["text"].append(_html.unescape(raw) if kind == "text" else (raw if kind != "tag" else None))
+        out["text"].append(raw if cdata else _html.unescape(raw) if kind == "text"
+                           else (raw if kind != "tag" else None))
         ends.append(pos)
         if opens:
             stack.append(pos)
             names.append(tag)
-        last_text = kind == "text"
+        last_text = kind == "text" and not cdata
     for node in stack:
         ends[node] = len(ends) - 1
     out["end_pos"].extend(ends)

@@ -174,3 +174,9 @@ def test_first_paragraph_description(spark):
     # index 58 (not past 60), so the text is cut at 150 characters
     full = ("Lead sentence here. " * 3).strip() + " " + ("more " * 40).strip()
     assert got[2] == full[:150] + "…"
+
+
+def test_cdata_is_text(spark):
+    html = "<body><p>a <![CDATA[x &amp; <y>]]> b</p></body>"
+    d = spark.createDataFrame([(1, "z.zim", "A", html)], "doc_id long, archive string, path string, html string")
+    assert X.render_documents(d, "generic").first().text == "`:top\na x &amp; <y> b\n"
