@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.functions.plan import materialize
 from quire.operators import html as H
 
 # ---------------------------------------------------------------------------
@@ -203,14 +204,14 @@ def inline_marks(b: DataFrame) -> DataFrame:
     """Adds ``link_kind``, ``_atomic`` (replaced by one rendered value),
     ``_inside_atomic`` and ``_owner`` (the atomic element a node sits in)."""
     inline = F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES) & (F.col("pos") > F.col("block"))
-    # regex work on node text happens once per node
-    lk = F.when(_is_tag("a"), _link_kind())
-    atomic = inline & (lk.isin("anchor", "entry") | _cite() | _is_tag("style", "script", "br"))
-    n = b.withColumns({
-        "_piece": F.when(F.col("kind") == "text", T.py_strip(F.col("text"))),
-        "_textv": F.when(F.col("kind").isin(*TEXTLIKE), T.escape_markup(T.norm_space(F.col("text")))),
-        "link_kind": lk,
-        "_inside_atomic": H.running_cover(atomic, inclusive=False)})
+    # regex work on node text happens once per node (a generator keeps the
+    # optimizer from copying these expressions into every later use)
+    n = materialize(b, b.columns,
+                    _piece=F.when(F.col("kind") == "text", T.py_strip(F.col("text"))),
+                    _textv=F.when(F.col("kind").isin(*TEXTLIKE), T.escape_markup(T.norm_space(F.col("text")))),
+                    link_kind=F.when(_is_tag("a"), _link_kind()))
+    atomic = inline & (F.col("link_kind").isin("anchor", "entry") | _cite() | _is_tag("style", "script", "br"))
+    n = n.withColumn("_inside_atomic", H.running_cover(atomic, inclusive=False))
     # only outermost atomic elements render; everything below belongs to them
     n = n.withColumn("_atomic", atomic & ~F.col("_inside_atomic"))
     return n.withColumn("_owner", F.when(F.col("_inside_atomic"), H.last_open(F.col("_atomic"), "pos")))
