@@ -1,3 +1,64 @@
-"""DuckDB twins of the training-data queries, where SQL can express them."""
+"""DuckDB twins of the training-data queries, where SQL can express them.
 
-ORACLE: dict[str, str] = {}
+Not expressible: op1 (the tokenizer), op2 (reachability over similarity links
+needs a recursion that SQL runs too slowly on whole tables), op3 (a trained
+model), op5 (CRC-32) and op7 (span positions).  They are tested against
+brute-force versions.
+"""
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_ALNUM} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, {_ALNUM} AS w FROM benchmark),
+size AS (SELECT DISTINCT least(10, len(w)) AS n FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n,
+              unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2),
+                                    lambda i: array_to_string(w[i:i + least(10, len(w)) - 1], ' '))) AS g
+       FROM b WHERE len(w) > 0),
+dw AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, size WHERE len(w) >= n),
+hit AS (SELECT r, p, bw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND array_to_string(w[p:p + dw.n - 1], ' ') = g),
+covered AS (SELECT r, count(DISTINCT q) AS n_hit
+            FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+"""
+
+
+def _op4() -> str:
+    from quire.llm.quality_rules import STOP_WORDS
+
+    stops = ", ".join(f"'{form}'" for w in STOP_WORDS for form in (w, w.capitalize()))
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, {_WORDS} AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)),
+                              lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+win AS (SELECT r, unnest(range(1, len(w) - 3)) AS p, w FROM d WHERE len(w) >= 5),
+twin AS (SELECT r, list(p) AS ps FROM win GROUP BY r, array_to_string(w[p:p + 4], ' ') HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 5)) AS q
+        FROM (SELECT r, unnest(ps) AS p FROM twin)) GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words,
+             coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
+             coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+             len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop
+      FROM d LEFT JOIN rep USING (r)),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 15.0 AND n_symbols / word_chars <= 0.08
+       AND n_words / 10 - n_stop <= 2.0 AND n_dup_lines / n_lines <= 0.5 AS kept
+FROM v
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op4_quality_rules": _op4(),
+    "op6_decontamination": OP6,
+}

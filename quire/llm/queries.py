@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import mixing, quality_rules, sharding, token_output
+from quire.llm import decontaminate, mixing, quality_rules, sharding, token_output, toxicity
 from quire.llm.common import new_path, table
 from quire.llm.oracle import ORACLE  # noqa: F401
 
@@ -24,6 +24,20 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def usable_label() -> Column:
+    """Labels that a model may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.training_texts(docs, table(spark, sf_dir, "labels"), usable=usable_label()))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", (~F.coalesce(usable_label(), F.lit(True))).alias("held_out"), "score",
+        (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document."""
     return quality_rules.keep_good(table(spark, sf_dir, "documents")).select(
@@ -42,6 +56,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark hits of every document."""
+    found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+                        "contaminated")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the target weights of their sources."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
@@ -49,7 +71,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op8_mixing": op8_mixing,
 }
