@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, mixing, quality_rules, sharding, token_output, toxicity
+from quire.llm import decontaminate, mixing, quality_rules, secret_scan, sharding, token_output, toxicity
 from quire.llm.common import new_path, table
 from quire.llm.oracle import ORACLE  # noqa: F401
 
@@ -64,6 +64,22 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "contaminated")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    found = secret_scan.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    kinds = F.array(*[F.lit(k) for k in secret_scan.KINDS])
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(
+            ":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda x: x["kind"] < 3)
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+                        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
+                        written(F.col("spans")).alias("spans"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the target weights of their sources."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
@@ -75,5 +91,6 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_secret_scan": op7_secret_scan,
     "op8_mixing": op8_mixing,
 }
