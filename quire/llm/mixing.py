@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import once, words
+from quire.llm.common import once, stored, words
 
 BLOCK = 64
 SHARDS = 16
@@ -89,7 +89,9 @@ def place(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
                        order.alias("place"), *kept)
     width = F.lit(groups)
-    rows = rows.withColumn("band", (F.conv(F.substring("place", 1, 6), 16, 10).cast("long") % width).cast("int"))
+    band = (F.conv(F.substring("place", 1, 6), 16, 10).cast("long") % width).cast("int")
+    # the texts are read once: all that follows works on sizes
+    rows = stored(rows.withColumn("band", band), "sizes")
     sums = rows.groupBy("source", "band").agg(F.sum("size").alias("words"))
     earlier = W.partitionBy("source").orderBy("band").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("of_source"), F.col("band").alias("of_band"),
@@ -102,32 +104,44 @@ def place(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
                          *(keep or []))
 
 
-def permuted(index: Column, n: Column, key: list[Column], rounds: int = ROUNDS) -> Column:
-    """Swap-or-not shuffle: a permutation of [0, n) picked by ``key``, at ``index``."""
-    def step(x: Column, r: Column) -> Column:
-        mirror = (_digest([*key, r, F.lit("k")]) % n + n - x) % n
-        swap = _digest([*key, r, F.greatest(x, mirror)], 7) % 2 == 1
-        return F.when(swap, mirror).otherwise(x)
+def _round_keys(passes: Column, key: list[Column], rounds: int) -> Column:
+    """The shuffle's offset numbers, per pass and round."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), passes - 1), lambda p: F.transform(
+        F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: _digest([*key, p, r, F.lit("k")])))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), index.cast("long"), step)
+
+def permuted(index: Column, n: Column, offsets: Column, key: list[Column]) -> Column:
+    """Swap-or-not shuffle: a permutation of [0, n) picked by key and offsets, at ``index``."""
+    def step(state: Column, offset: Column) -> Column:
+        x, r = state["x"], state["r"]
+        mirror = (offset % n + n - x) % n
+        text = F.concat_ws("/", *[p.cast("string") for p in [*key, r, F.greatest(x, mirror)]])
+        # half of the hex digits have an odd code
+        swap = F.ascii(F.md5(text.cast("binary"))) % 2 == 1
+        return F.struct(F.when(swap, mirror).otherwise(x).alias("x"), (r + 1).alias("r"))
+
+    start = F.struct(index.cast("long").alias("x"), F.lit(0).alias("r"))
+    return F.aggregate(offsets, start, step, lambda s: s["x"])
 
 
 def draw(shares: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """(rank, shard, pass, block): the drawn slots of every source."""
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     slots = F.round(F.col("target") * blocks / F.col("source_size")).cast("long")
-    per = shares.where("source_size > 0 and target > 0").select("rank", blocks.alias("n"), slots.alias("slots"))
-    runs = per.where("slots > 0").select("rank", "n", "slots", F.explode(
-        F.sequence(F.lit(0).cast("long"), ((F.col("slots") - 1) / SLOT_RUN).cast("long"))).alias("run"))
+    per = (shares.where("source_size > 0 and target > 0").select("rank", blocks.alias("n"), slots.alias("slots"))
+           .where("slots > 0"))
+    keys = _round_keys(F.expr("(slots - 1) div n + 1"), [F.lit(seed), F.col("rank")], ROUNDS)
+    runs = per.select("rank", "n", "slots", keys.alias("keys"), F.explode(
+        F.expr(f"sequence(0L, (slots - 1) div {SLOT_RUN})")).alias("run"))
     spread = runs.repartition("rank", "run")
-    each = spread.select("rank", "n", F.explode(F.sequence(
+    each = spread.select("rank", "n", "keys", F.explode(F.sequence(
         F.col("run") * SLOT_RUN, F.least((F.col("run") + 1) * SLOT_RUN, F.col("slots")) - 1)).alias("slot"))
     numbered = each.select(
-        "rank", "n", "slot", (F.col("slot") / F.col("n")).cast("long").alias("pass"),
+        "rank", "n", "keys", "slot", F.expr("slot div n").alias("pass"),
         (_digest([F.lit(seed), F.col("rank"), F.col("slot"), F.lit("shard")]) % shards).cast("int").alias("shard"))
-    key = [F.lit(seed), F.col("rank"), F.col("pass")]
     return numbered.select("rank", "shard", "pass", permuted(
-        F.col("slot") - F.col("pass") * F.col("n"), F.col("n"), key).alias("block"))
+        F.col("slot") - F.col("pass") * F.col("n"), F.col("n"), F.get("keys", F.col("pass").cast("int")),
+        [F.lit(seed), F.col("rank"), F.col("pass")]).alias("block"))
 
 
 def shard_counts(drawn: DataFrame) -> DataFrame:
@@ -138,9 +152,8 @@ def shard_counts(drawn: DataFrame) -> DataFrame:
 def pieces(placed: DataFrame, shares: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each (document, block) that overlap, with the words they share."""
     ranked = _with_share(placed, shares)
-    last = ((F.col("first") + F.col("size") - 1) / block).cast("long")
-    cut = ranked.where("size > 0").select("*", F.explode(F.sequence(
-        (F.col("first") / block).cast("long"), last)).alias("block"))
+    cut = ranked.where("size > 0").select("*", F.explode(F.expr(
+        f"sequence(first div {block}, (first + size - 1) div {block})")).alias("block"))
     start = F.greatest(F.col("first"), F.col("block") * block)
     stop = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block)
     return cut.select("*", (start - F.col("first")).alias("at"), (stop - start).alias("n_words"))
@@ -158,7 +171,7 @@ def source_sizes(placed: DataFrame) -> DataFrame:
 def taken_words(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, weights=WEIGHTS, cap: int = CAP,
                 seed: str = SEED, **cols) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken."""
-    placed = place(docs, seed=seed, **cols)
+    placed = stored(place(docs, seed=seed, **cols), "placed")
     shares = targets(source_sizes(placed), weights, cap)
     times = draw(shares, block=block, shards=shards, seed=seed).groupBy("rank", "block").agg(
         F.count("*").alias("times"))
@@ -172,31 +185,31 @@ def taken_words(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, we
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def mixture(docs: DataFrame, *, text_col: str = "text", block: int = BLOCK, shards: int = SHARDS, weights=WEIGHTS,
-            cap: int = CAP, seed: str = SEED, **cols) -> DataFrame:
+def mixture(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
+            block: int = BLOCK, shards: int = SHARDS, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mix itself: every drawn piece of a document as a row.
 
     Columns: the input's, with the text cut to the piece (white space after
     its words stays), and ``mix_shard``, ``mix_pass``, ``mix_block``.
     """
-    # the whole input row rides along under one name, so no column can clash
-    wrapped = docs.select(F.col(cols.get("id_col", "doc_id")).alias("doc_id"),
-                          F.col(cols.get("source_col", "source")).alias("source"),
-                          F.col(text_col).alias("text"), F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
-    placed = place(wrapped, keep=["__row"], seed=seed)
+    # equal rows have one identity: whose draw it is does not matter, the pieces are the same
+    same = [F.xxhash64(*docs.columns).alias("__i1"), F.xxhash64(F.lit(seed), *docs.columns).alias("__i2")]
+    placed = stored(place(docs.select("*", *same), id_col=id_col, text_col=text_col, source_col=source_col,
+                          keep=["__i1", "__i2"], seed=seed), "placed")
     shares = targets(source_sizes(placed), weights, cap)
     drawn = draw(shares, block=block, shards=shards, seed=seed)
-    light = pieces(placed.drop("__row"), shares, block)
-    hit = (light.join(drawn, ["rank", "block"])
-           .groupBy("rank", "first", "shard", "pass", "block").agg(F.first("at").alias("at"),
-                                                                  F.first("n_words").alias("n_words"))
-           .groupBy("rank", "first").agg(F.collect_list(F.struct("shard", "pass", "block", "at", "n_words"))
-                                         .alias("__cuts")))
-    ranked = _with_share(placed, shares).where("size > 0")
-    both = ranked.select("rank", "first", "__row").join(hit, ["rank", "first"])
+    hit = pieces(placed, shares, block).join(drawn, ["rank", "block"])
+    cuts = hit.groupBy("__i1", "__i2", "rank", "first").agg(
+        F.collect_list(F.struct("shard", "pass", "block", "at", "n_words")).alias("__cuts"))
+    rows = docs.select(*same, F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
+    texts = rows.groupBy("__i1", "__i2").agg(F.first("__row").alias("__row"))
+    both = cuts.select("__i1", "__i2", "__cuts").join(texts, ["__i1", "__i2"])
     spaced = F.regexp_extract_all(F.col(f"__row.{text_col}"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cut = once(both, ["__row", "__cuts"], __words=spaced).select("__row", "__words", F.explode("__cuts").alias("__c"))
-    text = F.array_join(F.slice("__words", (F.col("__c.at") + 1).cast("int"), F.col("__c.n_words").cast("int")), "")
-    return cut.select(*[text.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns],
-                      F.col("__c.shard").alias("mix_shard"), F.col("__c.pass").alias("mix_pass"),
-                      F.col("__c.block").alias("mix_block"))
+    cut = once(both, ["__row", "__cuts"], __words=spaced)
+    texts_of = F.transform("__cuts", lambda c: F.struct(c.alias("c"), F.array_join(
+        F.slice("__words", (c["at"] + 1).cast("int"), c["n_words"].cast("int")), "").alias("text")))
+    each = cut.select("__row", F.explode(texts_of).alias("__p"))
+    return each.select(*[F.col("__p.text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c)
+                         for c in docs.columns],
+                       F.col("__p.c.shard").alias("mix_shard"), F.col("__p.c.pass").alias("mix_pass"),
+                       F.col("__p.c.block").alias("mix_block"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, mixing, quality_rules, secret_scan, sharding, token_output, toxicity
 from quire.llm.common import new_path, table
+from quire.llm.ngram_jaccard import Jaccard
 from quire.llm.oracle import ORACLE  # noqa: F401
 
 
@@ -24,6 +25,11 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document."""
+    return Jaccard(table(spark, sf_dir, "documents")).members()
+
+
 def usable_label() -> Column:
     """Labels that a model may learn from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
@@ -87,6 +93,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_sharding": op5_sharding,
