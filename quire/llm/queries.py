@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, mixing, quality_rules, secret_scan, sharding, token_output, toxicity
+from quire.llm import decontaminate, licenses, mixing, quality_rules, secret_scan, sharding, token_output, toxicity
 from quire.llm.common import new_path, table
 from quire.llm.ngram_jaccard import Jaccard
 from quire.llm.oracle import ORACLE  # noqa: F401
@@ -91,6 +91,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, laid out as files of three depths under their source."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat_ws(
+            "/", F.coalesce("source", F.lit("none")), F.when(F.col("doc_id") % 3 > 0, F.coalesce("lang", F.lit("none"))),
+            F.when(F.col("doc_id") % 3 > 1, F.expr("cast(doc_id div 50 as string)")),
+            F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return licenses.scan(docs, keep=["doc_id", "path"])
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -100,4 +110,5 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_mixing": op8_mixing,
+    "op10_license_scan": op10_license_scan,
 }
