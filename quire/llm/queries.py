@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, licenses, mixing, quality_rules, secret_scan, sharding, token_output, toxicity
+from quire.llm import decontaminate, licenses, lm_score, mixing, quality_rules, secret_scan, sharding, token_output, toxicity
 from quire.llm.common import new_path, table
 from quire.llm.ngram_jaccard import Jaccard
 from quire.llm.oracle import ORACLE  # noqa: F401
@@ -91,6 +91,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document under the counts of all others."""
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document, laid out as files of three depths under their source."""
     docs = table(spark, sf_dir, "documents").select(
@@ -110,5 +115,6 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_mixing": op8_mixing,
+    "op9_lm_score": op9_lm_score,
     "op10_license_scan": op10_license_scan,
 }
