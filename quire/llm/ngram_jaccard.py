@@ -34,7 +34,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,9 +146,9 @@ class Jaccard:
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N,
                  percent: int = PERCENT):
         self.n, self.percent = n, percent
-        self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).alias("doc_id"), *_text_key(text_col), F.col(text_col).alias("text"))
         describe = lambda grams, off: _describe(grams, off, percent)
-        self.rows = stored(_map_sets(self.docs, ["doc_id"], "n long, class long, twin long, sampled long, "
+        self.rows = stored(_map_sets(self.docs, ["doc_id", "k1", "k2"], "n long, class long, twin long, sampled long, "
                                      "grams array<bigint>", describe, n), "sets")
 
     # -- candidates ------------------------------------------------------
@@ -258,11 +257,11 @@ class Jaccard:
     # -- results ---------------------------------------------------------
 
     def classes(self) -> DataFrame:
-        """(doc_id, n, class, component): a row for each document; component is a class."""
+        """(doc_id, k1, k2, n, component): a row for each document; k1, k2 name its text."""
         roots = components(self.links())
-        rows = self.rows.select("doc_id", "n", "class")
+        rows = self.rows.select("doc_id", "k1", "k2", "n", "class")
         return rows.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
-            "doc_id", "n", "class", F.coalesce("root", "class").alias("component"))
+            "doc_id", "k1", "k2", "n", F.coalesce("root", "class").alias("component"))
 
     def members(self) -> DataFrame:
         """(doc_id, n_shingles, component_id): component_id is the least doc_id in reach."""
@@ -273,15 +272,30 @@ class Jaccard:
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents without all but the first (least id) of each group of linked ones.
+    def firsts(self) -> DataFrame:
+        """(doc_id, k1, k2): the document of the least id of each component, and all without words."""
+        named = self.classes()
+        first = named.where("n > 0").groupBy("component").agg(F.min(F.struct(
+            F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")).alias("x"))
+        return first.select("x.doc_id", "x.k1", "x.k2").unionByName(
+            named.where("n = 0").select("doc_id", "k1", "k2").distinct())
+
+
+def _text_key(text_col: str) -> list[Column]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("2"), text).alias("k2")]
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group of linked ones, the one of the least id, with the input's columns.
 
-    Rows that share the kept id share its fate: they stay unless an equal row
-    is among them, which then stays once.
+    Rows with the same id and the same text count as one.
     """
-    id_col = options.get("id_col", "doc_id")
-    kept = Jaccard(docs, **options).members().where(F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .select(F.col("doc_id").alias("__kept")).distinct()
-    first = W.partitionBy(F.col(id_col)).orderBy(F.xxhash64(*docs.columns))
-    one = docs.withColumn("__at", F.row_number().over(first)).where("__at = 1").drop("__at")
-    return one.join(kept, one[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    firsts = Jaccard(docs, id_col=id_col, text_col=text_col, **options).firsts()
+    rows = docs.select(F.col(id_col).alias("doc_id"), *_text_key(text_col),
+                       F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
+    once = rows.groupBy("doc_id", "k1", "k2").agg(F.first("__row").alias("__row"))
+    same = (F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.k1") == F.col("f.k1"))
+            & (F.col("r.k2") == F.col("f.k2")))
+    return once.alias("r").join(firsts.alias("f"), same, "left_semi").select(
+        *[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
