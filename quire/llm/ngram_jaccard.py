@@ -49,7 +49,6 @@ SAMPLED = 0.25
 PARTS = 16
 
 _U = np.uint64
-_CUT = _U(int(SAMPLED * 2 ** 64))
 
 
 def _sets(column: pa.Array, n: int):
@@ -113,13 +112,13 @@ def _lists(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off, type=pa.int32()), _signed(values))
 
 
-def _describe(grams: np.ndarray, off: np.ndarray, percent: int) -> dict:
+def _describe(grams: np.ndarray, off: np.ndarray, percent: int, cut: int) -> dict:
     """Size, identity and the n-grams that count for the prefix: the sampled, at least a prefix."""
     n = np.diff(off)
     identity = words.mix(_reduce(np.add, words.mix(grams ^ _U(0xA5A5A5A5)), off) + n.astype(_U))
     other = _reduce(np.bitwise_xor, words.mix(grams + _U(0x5C5C5C5C)), off)
     row = np.repeat(np.arange(len(n)), n)
-    low = grams < _CUT
+    low = grams < _U(cut)
     sampled = np.bincount(row[low], minlength=len(n))
     taken = np.maximum(sampled, np.where(n > 0, _prefix(n, percent), 0))
     place = np.arange(len(grams)) - off[:-1][row]
@@ -144,10 +143,13 @@ class Jaccard:
     """The join over one table; see the module's text."""
 
     def __init__(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N,
-                 percent: int = PERCENT):
-        self.n, self.percent = n, percent
+                 percent: int = PERCENT, sampled: float = SAMPLED):
+        if not 0 < sampled <= 0.5:
+            raise ValueError("sampled must lie in (0, 0.5]: sampled hashes are to be positive longs")
+        self.n, self.percent, self.cut = n, percent, min(int(sampled * 2 ** 64), 2 ** 63 - 1)
         self.docs = docs.select(F.col(id_col).alias("doc_id"), *_text_key(text_col), F.col(text_col).alias("text"))
-        describe = lambda grams, off: _describe(grams, off, percent)
+        cut = self.cut
+        describe = lambda grams, off: _describe(grams, off, percent, cut)
         self.rows = stored(_map_sets(self.docs, ["doc_id", "k1", "k2"], "n long, class long, twin long, sampled long, "
                                      "grams array<bigint>", describe, n), "sets")
 
@@ -165,7 +167,7 @@ class Jaccard:
         # equal rows of a class meet by n-gram, so copies go before rows are gathered by class
         shared = each.join(counts, "gram").select("class", "rank", "gram", "held").distinct()
         # unsigned hash order puts the sampled n-grams at 0 .. cut
-        later = ~((F.col("gram") >= 0) & (F.col("gram") < F.lit(int(SAMPLED * 2 ** 64))))
+        later = ~((F.col("gram") >= 0) & (F.col("gram") < F.lit(self.cut)))
         ordered = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct(
             later.alias("later"), F.when(~later, F.col("held")).alias("held"), "rank", "gram"))).alias("ordered"))
         one = rows.groupBy("class").agg(F.first("n").alias("n"), F.first("sampled").alias("sampled"))

@@ -12,7 +12,8 @@ joins them to one value: near 0 for wording, anything from 0 to 1 for random
 symbols.
 
 Tokens of letters in one case are wording and serve as the null: a candidate's
-p-value is the share of wording of its length class that looks as random.
+p-value is the share of wording of its length class or a shorter one that
+looks as random.
 Benjamini-Hochberg within each length class then sets the threshold at which
 at most ``FALSE_SHARE`` of the flagged tokens are expected to be wording.  All
 tokens of the corpus are counted; only counts per (length class, score bin)
@@ -221,7 +222,12 @@ def thresholds(scanned: DataFrame, false_share: float = FALSE_SHARE) -> list[int
     null = scanned.select(F.explode("wording").alias("x")).select(
         (F.col("x") / 1000).cast("int").alias("class"), (F.col("x") % 1000).alias("bin"),
         F.lit(0).alias("c"), F.lit(1).alias("w"))
-    counts = seen.unionByName(null).groupBy("class", "bin").agg(F.sum("c").alias("c"), F.sum("w").alias("w"))
+    counted = seen.unionByName(null).groupBy("class", "bin").agg(F.sum("c").alias("c"), F.sum("w").alias("w"))
+    # shorter wording looks more random, so it may stand in the null of longer classes, which have less
+    further = counted.where("w > 0").select(
+        F.explode(F.sequence(F.col("class") + 1, F.lit(len(LENGTH_CLASSES)))).alias("class"), "bin",
+        F.lit(0).cast("long").alias("c"), "w").where(F.col("class") < len(LENGTH_CLASSES))
+    counts = counted.unionByName(further).groupBy("class", "bin").agg(F.sum("c").alias("c"), F.sum("w").alias("w"))
     upto = W.partitionBy("class").orderBy("bin")
     every = W.partitionBy("class")
     ranked = counts.select(
