@@ -11,7 +11,8 @@ above and below the middle, and lag-one serial correlation.  Fisher's method
 joins them to one value: near 0 for wording, anything from 0 to 1 for random
 symbols.
 
-Tokens of letters in one case are wording and serve as the null: a candidate's
+Tokens of letters in one case, and names and paths made of such words with a
+few digits behind, are wording and serve as the null: a candidate's
 p-value is the share of wording of its length class or a shorter one that
 looks as random.
 Benjamini-Hochberg within each length class then sets the threshold at which
@@ -52,6 +53,8 @@ BINS_A_POWER, LAST_BIN = 20, 600
 ASSIGN = re.compile(
     rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+#: Names and paths: words in one case, each with up to four digits behind, between separators.
+NAME = re.compile(rb"(?:[A-Z]?[a-z]*|[A-Z]+)\d{0,4}(?:[/_+-]+(?:[A-Z]?[a-z]*|[A-Z]+)\d{0,4})*")
 _KEYWORDS = [b"passw", b"secret", b"token", b"api"]
 
 
@@ -167,7 +170,7 @@ def _scan(data: np.ndarray, off: np.ndarray):
         classes = np.searchsorted(LENGTH_CLASSES, size, side="right") - 1
         for s, e, r, c, b, is_plain, is_mixed in zip(*[x.tolist() for x in (
                 start, end, row, classes, bins, plain, mixed)], strict=True):
-            if is_plain:
+            if is_plain or NAME.fullmatch(raw, s, e):
                 wording[r].append(c * 1000 + b)
             elif is_mixed:
                 found[r].append((s, e, c, b))
