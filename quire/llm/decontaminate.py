@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.common import stored
+from quire.llm.common import ship_package, stored
 
 WINDOW = 10
 K = 6
@@ -152,6 +152,7 @@ def text_key(text_col: str = "text") -> Column:
 def hits(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id",
          item_text_col: str = "text") -> DataFrame:
     """The extended hits: ``key`` of the text, ``item_id`` and the ``runs`` (first word, end) in the text."""
+    ship_package(docs.sparkSession)
     bench = (items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
              .where("text is not null").distinct())
     bench_prints = stored(fingerprints(bench, ["item_id", "text"], list(range(1, WINDOW)), whole_short=True)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words
-from quire.llm.common import stored
+from quire.llm.common import ship_package, stored
 
 ORDER = 3
 ALPHA = 0.4
@@ -191,6 +191,7 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     # the place in the scan, so that equal rows do not meet in one batch
     dealt = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"),
                         (F.monotonically_increasing_id() % batches).alias("batch"))
+    ship_package(docs.sparkSession)
     grouped = dealt.groupBy("batch")
     blocks = grouped.applyInArrow(lambda t: _blocks(t, order, parts),
                                   "part int, batch long, n int, grams binary, counts binary")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.common import stored
+from quire.llm.common import ship_package, stored
 from quire.llm.components import components
 
 N = 5
@@ -101,6 +101,7 @@ def _map_sets(docs: DataFrame, keep: list[str], fields: str, make, n: int) -> Da
                 row += len(off) - 1
 
     schema = T.StructType(docs.select(*keep).schema.fields + T.StructType.fromDDL(fields).fields)
+    ship_package(docs.sparkSession)
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 

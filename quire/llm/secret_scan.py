@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.common import stored
+from quire.llm.common import ship_package, stored
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
@@ -215,6 +215,7 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
             T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
             T.StructField("class", T.IntegerType()), T.StructField("bin", T.IntegerType())]))),
         T.StructField("wording", T.ArrayType(T.IntegerType()))])
+    ship_package(docs.sparkSession)
     return source.mapInArrow(run, schema)
 
 

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
+from quire.llm.common import ship_package
 
 END_ID = 1
 #: Parquet layout: version 2 pages, row groups of 32 MB, pages of 64 KB.
@@ -210,6 +211,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, id_col
     schema = T.StructType([ordered.schema[c] for c in kept] + [
         T.StructField("part", T.IntegerType()), T.StructField("part_start", T.LongType()),
         T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    ship_package(docs.sparkSession)
     encoded = ordered.mapInArrow(lambda b: _encode_part(b, tokenizer_path, end_id, kept), schema)
     encoded.write.options(**LAYOUT).parquet(f"{path}/tokens")
     # one row a file; the running total over files is the only ordered step
@@ -245,4 +247,5 @@ def with_checksums(tokens: DataFrame) -> DataFrame:
     rest = tokens.drop("token_ids").columns
     ordered = tokens.select(*rest, "token_ids")
     schema = T.StructType([ordered.schema[c] for c in rest] + [T.StructField("ids_crc32", T.LongType())])
+    ship_package(tokens.sparkSession)
     return ordered.mapInArrow(_checksums, schema)

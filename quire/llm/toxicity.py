@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import words
+from quire.llm.common import ship_package
 
 TRAIN_TOXIC = 2000
 TRAIN_ORDINARY = 4000
@@ -334,6 +335,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
                 [batch.column(c) for c in kept] + [pa.array(values, type=pa.float64())], names=[*kept, score_col])
 
     schema = docs.select(*kept).schema.add(score_col, "double")
+    ship_package(docs.sparkSession)
     return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(scored, schema)
 
 
