@@ -232,9 +232,13 @@ class Jaccard:
         return stored(found.unionByName(rest.where("linked").select("a", "b")), "links")
 
     def _whole_sets(self, wanted: DataFrame) -> DataFrame:
-        """Whole sets of the wanted classes, one row a class, read from the texts anew."""
+        """Whole sets of the wanted classes, one row a class, read from the texts anew.
+
+        The wanted grow with the documents, so they are never broadcast.
+        """
+        wanted = wanted.hint("merge")
         heads = self.rows.join(wanted, "class", "left_semi").groupBy("class").agg(
-            F.min(F.struct("doc_id")).alias("x")).select("x.doc_id").distinct()
+            F.min(F.struct("doc_id")).alias("x")).select("x.doc_id").distinct().hint("merge")
         texts = self.docs.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")),
                                           "left_semi")
         sets = _map_sets(texts, ["doc_id"], "class long, grams array<bigint>, parts array<int>", _whole, self.n)
