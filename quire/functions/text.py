@@ -196,10 +196,13 @@ def thousands(col) -> Column:
 
 
 def strict_int(col) -> Column:
-    """Integer parse like Python ``int(str)``; anything else -> null."""
+    """Integer parse like Python ``int(str)``; anything else -> null.  Beyond 64 bits
+    the value saturates, so clamping a huge page or part number still clamps high."""
     c = _c(col)
     ok = c.rlike(r"^" + PYWS + r"*[+-]?[0-9]+" + PYWS + r"*$")
-    return F.when(ok, F.regexp_replace(py_strip(c), r"^\+", "").try_cast("bigint"))
+    n = F.regexp_replace(py_strip(c), r"^\+", "")
+    beyond = F.when(n.startswith("-"), F.lit(-(2 ** 63) + 1)).otherwise(F.lit(2 ** 63 - 1))
+    return F.when(ok, F.coalesce(n.try_cast("bigint"), beyond))
 
 
 def cell_span(col) -> Column:

@@ -126,12 +126,13 @@ def clean_tree(nodes: DataFrame, kind: str = "generic") -> DataFrame:
                        "_tag_rm": in_root & _is_tag(*rules["tags"])}).drop("_root", "_last")
     rm = F.col("_tag_rm") | (F.col("in_root") & (F.col("kind") == "tag") & _class_any(rules["classes"]))
     if rules["ids"]:
-        # first element per id in document order among what the tag pass left
-        n = n.withColumn("_after_tags", F.col("in_root") & ~H.running_cover(F.col("_tag_rm")))
+        # per id, the first element among what the tag pass and the ids before it left
+        n = n.withColumn("_gone", F.col("_tag_rm"))
         for ident in rules["ids"]:
-            first = F.min(F.when(F.col("_after_tags") & (F.col("id") == ident), F.col("pos"))).over(w_doc)
-            rm = rm | (F.col("pos") == first)
-        n = n.withColumn("_rm", rm).drop("_after_tags")
+            n = n.withColumn("_left", F.col("in_root") & ~H.running_cover(F.col("_gone")))
+            first = F.min(F.when(F.col("_left") & (F.col("id") == ident), F.col("pos"))).over(w_doc)
+            n = n.withColumn("_gone", F.col("_gone") | F.coalesce(F.col("pos") == first, F.lit(False)))
+        n = n.withColumn("_rm", rm | F.col("_gone")).drop("_gone", "_left")
     else:
         n = n.withColumn("_rm", rm)
     removed = H.running_cover(F.col("_rm"))
@@ -381,29 +382,36 @@ def _dl_structure(n: DataFrame) -> DataFrame:
                                            & (F.col("pos") <= F.col("_d_end")), F.col("_d_pos")))
 
 
-def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
-                  page_root: str = DEFAULT_PAGE_ROOT) -> DataFrame:
-    """Rendered lines of every block: (doc_id, block, gkey, idx, line).
-
-    Each node contributes an *open* value at ``pos`` and a *close* value at
-    ``end_pos``; grouping by (block, owner) and sorting the collected
-    values rebuilds the inline text of every paragraph, list item, definition,
-    quote, heading and preformatted block in one aggregation.
-    """
+def _emitting(b: DataFrame, kind: str, page_root: str) -> tuple[DataFrame, Column, Column]:
+    """Nodes with the anchor that each emits while rendering (``_emit``): id anchors and
+    cited sup ids; also the conditions *live* (rendered inline) and *refs* (in a reference list)."""
     n = inline_marks(b)
     n = _references(n) if kind == "wikipedia" else _no_references(n)
     n = _with_atomic_values(_dl_structure(_list_structure(n)), page_root)
     inline = F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES)
     refs = F.col("block_type") == "references"
-    live = (inline & (F.col("pos") > F.col("block")) & ~F.col("_inside_atomic")
+    # items of lists and definition lists are laid out by their block: only what is in them is inline
+    own_item = F.col("_is_li") | F.col("_is_nested") | F.col("_is_def")
+    live = (inline & (F.col("pos") > F.col("block")) & ~F.col("_inside_atomic") & ~F.coalesce(own_item, F.lit(False))
             & (~refs | (F.col("has_span") & F.col("in_span"))))
     ident = T.slug(F.coalesce("id", F.lit("")))
     no_anchor = _is_tag("br", "style", "script") | _cite()
     anchor_ok = live & (F.col("kind") == "tag") & ~no_anchor & (ident != "")
     anchor = F.when(anchor_ok, F.concat(F.lit("`:"), ident, F.lit("`a")))
-    # anchors emitted while rendering (id anchors, cited sup ids), for back-links
-    n = n.withColumns({"_emit": F.when(anchor_ok, ident).when(live & F.col("cite_ok"), F.col("cite_sid")),
-                       "_cite_live": live & F.col("cite_ok")})
+    return n.withColumns({"_emit": F.when(anchor_ok, ident).when(live & F.col("cite_ok"), F.col("cite_sid")),
+                          "_cite_live": live & F.col("cite_ok"), "_anchor": anchor}), live, refs
+
+
+def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
+                  page_root: str = DEFAULT_PAGE_ROOT) -> DataFrame:
+    """Rendered lines of every block: (doc_id, block, gkey, idx, line).
+
+    Each node contributes an *open* value at ``pos`` and a *close* value at
+    ``end_pos``; grouping by (block, owner) and sorting the collected
+    values rebuilds the inline text of every paragraph, list item, definition,
+    quote, heading and preformatted block in one aggregation.
+    """
+    n, live, refs = _emitting(b, kind, page_root)
     if kind == "wikipedia":
         n = _reference_numbers(n)
     else:
@@ -413,7 +421,7 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
             .when(_is_tag("style", "script"), F.lit(""))
             .when(_cite() | F.col("link_kind").isin("anchor", "entry"), F.coalesce("link_v", F.lit(""))))
     leaf = F.when(live, leaf)
-    n = n.withColumns({"_anchor": anchor, "_leaf": leaf})
+    n = n.withColumn("_leaf", leaf)
     nb = (F.when(F.coalesce(T.py_strip(F.col("_leaf")), F.lit("")) != "", 1).otherwise(0)
           + F.when(F.col("_anchor").isNotNull(), 1).otherwise(0))
     # wrapped iff the next non-blank contribution after this node lies inside it:
@@ -697,12 +705,16 @@ def assemble(lines: DataFrame, docs: DataFrame, kind: str = "generic") -> DataFr
         all_items = F.when(F.size(toc) >= 2, F.array_sort(F.concat("items", placed))).otherwise(F.col("items"))
         text = F.array_join(F.transform(all_items, lambda x: x["line"]), "\n")
         tail = F.when(F.size(heads) > 0, F.lit(BACK_TO_TOP)).otherwise(F.lit(""))
-        body = body.select("doc_id", text.alias("body"), tail.alias("tail"))
+        # the empty place of the contents leaves a blank line above a heading that comes first
+        lead = F.when((F.size(heads) > 0) & (F.size(toc) < 2)
+                      & T.collapse_blank(text).startswith(">"), F.lit("\n")).otherwise(F.lit(""))
+        body = body.select("doc_id", text.alias("body"), tail.alias("tail"), lead.alias("lead"))
     else:
         body = body.select("doc_id", F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("body"),
-                           F.lit("").alias("tail"))
+                           F.lit("").alias("tail"), F.lit("").alias("lead"))
     d = docs.select("doc_id").join(body, "doc_id", "left")
-    doc = F.concat(F.lit(TOP_ANCHOR + "\n"), T.collapse_blank(F.coalesce("body", F.lit(""))),
+    doc = F.concat(F.lit(TOP_ANCHOR + "\n"), F.coalesce("lead", F.lit("")),
+                   T.collapse_blank(F.coalesce("body", F.lit(""))),
                    F.coalesce("tail", F.lit("")))
     return d.select("doc_id", F.concat(T.collapse_blank(doc), F.lit("\n")).alias("text"))
 
@@ -763,14 +775,10 @@ def links(nodes: DataFrame, docs: DataFrame | None = None, kind: str = "generic"
 
 
 def anchors(nodes: DataFrame, kind: str = "generic") -> DataFrame:
-    """(doc_id, pos, anchor) for id-bearing inline elements (not br/style/script)."""
-    b = blocks(nodes, kind)
-    n = inline_marks(b).filter(F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES))
-    no_anchor = _is_tag("br", "style", "script")
-    s = T.slug(F.coalesce("id", F.lit("")))
-    return (n.filter((F.col("kind") == "tag") & ~no_anchor & (F.col("pos") > F.col("block"))
-                     & ~F.col("_inside_atomic") & (s != ""))
-            .select("doc_id", F.col("pos").cast("bigint").alias("pos"), s.alias("anchor")))
+    """(doc_id, pos, anchor): the distinct anchors that rendering emits, each at its first place."""
+    n, _, _ = _emitting(blocks(nodes, kind), kind, DEFAULT_PAGE_ROOT)
+    return (n.filter(F.col("_emit").isNotNull()).groupBy("doc_id", F.col("_emit").alias("anchor"))
+            .agg(F.min("pos").cast("bigint").alias("pos")).select("doc_id", "pos", "anchor"))
 
 
 # ---------------------------------------------------------------------------

@@ -44,7 +44,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # ---------------------------------------------------------------------------
 # comments, atomic script/style elements, CDATA sections, tags, text, stray '<'
 TOKEN_RE = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-            r"|<!\[CDATA\[.*?\]\]>|<[!?/]?[A-Za-z][^>]*>|<!--.*|[^<]+|<")
+            r"|<!\[CDATA\[.*?\]\]>"
+            # a tag ends at the first '>' outside a quoted attribute value
+            r"|<[!?/]?[A-Za-z](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+>|<[!?/]?[A-Za-z][^>]*>"
+            r"|<!--.*|[^<]+|<")
 # elements that never have children (closed as soon as they open)
 VOID_TAGS = frozenset([
     "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link",
@@ -52,6 +55,7 @@ VOID_TAGS = frozenset([
     "command", "frame", "image", "isindex", "nextid", "spacer",
 ])
 RAW_TEXT_TAGS = ("script", "style")
+FRAME_NODES = 50_000            # nodes handed from Python to Spark at a time
 _NAME = re.compile(r"^</?([A-Za-z][^\s/>]*)")
 
 NODE_SCHEMA = StructType([
@@ -163,20 +167,26 @@ def _nest_one(doc_id, toks, out):
 
 
 def _nest_partition(batches, carry=()):
+    """Node frames of bounded size: a frame is handed on once it has FRAME_NODES nodes."""
     cols = [f.name for f in NODE_SCHEMA.fields]
+
+    def frame(out, extra):
+        made = pd.DataFrame(out, columns=cols)
+        for c in carry:
+            made[c] = extra[c]
+        return made.astype({"pos": "int32", "parent": "int32", "end_pos": "int32", "depth": "int32"})
+
     for pdf in batches:
-        out = {c: [] for c in cols + ["raw"]}
-        extra = {c: [] for c in carry}
+        out, extra = {c: [] for c in cols + ["raw"]}, {c: [] for c in carry}
         for i, (doc_id, toks) in enumerate(zip(pdf["doc_id"].tolist(), pdf["tokens"])):
             before = len(out["pos"])
-            _nest_one(int(doc_id), list(toks) if toks is not None else [], out)
+            _nest_one(doc_id, list(toks) if toks is not None else [], out)
             for c in carry:
                 extra[c].extend([pdf[c].iat[i]] * (len(out["pos"]) - before))
-        frame = pd.DataFrame(out, columns=cols)
-        for c in carry:
-            frame[c] = extra[c]
-        yield frame.astype(
-            {"doc_id": "int64", "pos": "int32", "parent": "int32", "end_pos": "int32", "depth": "int32"})
+            if len(out["pos"]) >= FRAME_NODES:
+                yield frame(out, extra)
+                out, extra = {c: [] for c in cols + ["raw"]}, {c: [] for c in carry}
+        yield frame(out, extra)
 
 
 def html_nodes(docs: DataFrame, key: str = "doc_id", html: str = "html",
@@ -188,8 +198,12 @@ def html_nodes(docs: DataFrame, key: str = "doc_id", html: str = "html",
     archive and path) need no join back to the documents.
     """
     carry = tuple(c for c in carry if c in docs.columns)
-    toks = docs.select(F.col(key).cast("bigint").alias("doc_id"), *carry, tokens(html).alias("tokens"))
-    schema = StructType(list(NODE_SCHEMA.fields) + [StructField(c, StringType()) for c in carry])
+    # the key may be a string (a cache key): ordinals are unique within an archive only
+    by_text = isinstance(docs.schema[key].dataType, StringType)
+    doc_id = F.col(key) if by_text else F.col(key).cast("bigint")
+    toks = docs.select(doc_id.alias("doc_id"), *carry, tokens(html).alias("tokens"))
+    first = StructField("doc_id", StringType() if by_text else LongType())
+    schema = StructType([first, *NODE_SCHEMA.fields[1:], *[StructField(c, StringType()) for c in carry]])
     nodes = toks.mapInPandas(lambda it: _nest_partition(it, carry), schema=schema)
     cls = F.col("class")
     return nodes.select(

@@ -33,24 +33,37 @@ def cached_render(requests: DataFrame, cache: DataFrame) -> DataFrame:
                     F.when(hit, F.col("cached_text")).alias("cached_text"))
 
 
-def upsert_cache(cache: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Cache rows replaced by key with the fresh ones (last writer wins)."""
+def last_writes(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row per cache key: the greatest by ``order``, then by validator and text."""
     cols = ["cache_key", "archive", "path", "validator", "text"]
-    keep = cache.select(*cols).join(fresh.select("cache_key"), "cache_key", "left_anti")
-    return keep.unionByName(fresh.select(*cols))
+    by = [c for c in [*(order or []), "validator", "text"]]
+    last = rows.groupBy("cache_key").agg(F.max(F.struct(*by, "archive", "path")).alias("_l"))
+    return last.select("cache_key", *[F.col(f"_l.{c}").alias(c) for c in cols[1:]])
+
+
+def upsert_cache(cache: DataFrame, fresh: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Cache rows replaced by key with the fresh ones; of several fresh rows the last by ``order``."""
+    cols = ["cache_key", "archive", "path", "validator", "text"]
+    new = last_writes(fresh, order)
+    keep = cache.select(*cols).join(new.select("cache_key"), "cache_key", "left_anti")
+    return keep.unionByName(new.select(*cols))
 
 
 def render_missing(entries: DataFrame, cache: DataFrame, render) -> DataFrame:
     """Render only entries without a valid cache row; returns fresh cache rows.
 
-    ``render`` maps a DataFrame (doc_id, archive, path, html) to (doc_id, text).
+    ``render`` maps a DataFrame (doc_id, archive, path, html) to (doc_id, text);
+    the document key is the cache key, as entry ids repeat between archives.
+    Of several entries with one key the one of the greatest id is rendered.
     """
     e = with_cache_keys(entries)
     valid = cache.select("cache_key", "validator")
     todo = e.join(valid, ["cache_key", "validator"], "left_anti")
-    docs = todo.select(F.col("entry_id").alias("doc_id"), "archive", "path", "html", "cache_key", "validator")
+    last = todo.groupBy("cache_key").agg(
+        F.max(F.struct("entry_id", "size", "validator", "archive", "path", "html")).alias("_e"))
+    docs = last.select(F.col("cache_key").alias("doc_id"), "_e.archive", "_e.path", "_e.html", "_e.validator")
     out = render(docs.select("doc_id", "archive", "path", "html"))
-    return (docs.select("doc_id", "cache_key", "archive", "path", "validator")
+    return (docs.select(F.col("doc_id"), F.col("doc_id").alias("cache_key"), "archive", "path", "validator")
             .join(out, "doc_id").drop("doc_id"))
 
 
@@ -72,7 +85,15 @@ def write_cache(spark: SparkSession, rows: DataFrame, path: str) -> str:
     Readers switch to the newest complete version, so a failed write never
     replaces a good cache.
     """
+    import time
     import uuid
-    target = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
+    target = f"{path.rstrip('/')}/version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     rows.write.mode("errorifexists").parquet(target)
     return target
+
+
+def read_latest_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that :func:`write_cache` left under ``path``."""
+    versions = spark.read.schema(CACHE_SCHEMA + ", version string").parquet(path)
+    newest = versions.agg(F.max("version")).first()[0]   # one value
+    return versions.filter(F.col("version") == newest).drop("version")

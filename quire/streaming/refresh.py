@@ -11,7 +11,7 @@ and stops, which is how a scheduled refresh runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import extract as X
@@ -22,12 +22,12 @@ ENTRY_SCHEMA = ("archive string, entry_id bigint, path string, title string, mim
 CACHE_LOG_SCHEMA = RF.CACHE_SCHEMA + ", epoch bigint"
 
 
-def read_cache(spark: SparkSession, cache_dir: str) -> DataFrame:
-    """Newest cache row per key from the append-only cache log."""
+def read_cache(spark: SparkSession, cache_dir: str, before: int | None = None) -> DataFrame:
+    """Newest cache row per key from the append-only cache log, of epochs below ``before``."""
     log = spark.read.schema(CACHE_LOG_SCHEMA).parquet(cache_dir)
-    w = Window.partitionBy("cache_key").orderBy(F.col("epoch").desc())
-    return (log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .drop("_rn", "epoch"))
+    if before is not None:
+        log = log.filter(F.col("epoch") < before)
+    return RF.last_writes(log, ["epoch"])
 
 
 def init_cache(spark: SparkSession, cache_dir: str) -> None:
@@ -40,7 +40,8 @@ def _batch(cache_dir: str, kind: str):
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         entries = batch.filter(F.col("mimetype").startswith("text/html"))
-        cache = read_cache(spark, cache_dir)
+        # a replayed batch must not see what its first run wrote
+        cache = read_cache(spark, cache_dir, before=epoch_id)
         fresh = RF.render_missing(entries, cache, lambda d: X.render_documents(d, kind))
         (fresh.select("cache_key", "archive", "path", "validator", "text")
          .write.mode("overwrite").parquet(f"{cache_dir.rstrip('/')}/epoch={epoch_id}"))

@@ -91,4 +91,3 @@ def test_thousands_and_stem(spark):
     assert one_col(spark, [7155441, 0], T.thousands, "v long") == ["7,155,441", "0"]
     assert one_col(spark, ["/x/wiki_en.zim", ".zim", "a.b.zim"], T.stem) == ["wiki_en", ".zim", "a.b"]
     assert one_col(spark, ["<p>hi</p>  "], T.visible_length) == [2]
-    assert F is not None
