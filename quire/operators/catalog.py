@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import redirects as RD
 
 # ---------------------------------------------------------------------------
 # Fixed values (classification rules and defaults)
 # ---------------------------------------------------------------------------
 ARCHIVE_TYPES = ["gutenberg", "video", "pdf", "wikipedia", "spa", "generic"]
 MEDIA_TYPES = ["pdf", "video"]
-SAMPLE_ENTRIES = 300            # entries inspected per archive for media ratios
 MEDIA_RATIO = 0.1               # strictly greater than this share -> media archive
 MIN_VISIBLE_CHARS = 40          # tag-stripped main page shorter than this -> spa
 WIKI_MARKER = "mw-parser-output"
@@ -72,15 +72,14 @@ def first_metadata(meta: DataFrame, keys: list[str], alias: str = "value") -> Da
 
 # -- AGG-1 / WIN-1 ------------------------------------------------------------
 
-def sample_first(entries: DataFrame, n: int = SAMPLE_ENTRIES) -> DataFrame:
+def sample_first(entries: DataFrame, n: int) -> DataFrame:
     """First ``n`` entries per archive by entry id.
 
     ``row_number() <= n`` is planned as a partial window group limit: every map
     task keeps at most ``n`` rows per archive before the shuffle.
     """
     w = Window.partitionBy("archive").orderBy("entry_id")
-    return (entries.select("archive", "entry_id", "mimetype")
-            .withColumn("_rn", F.row_number().over(w))
+    return (entries.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= n).drop("_rn"))
 
 
@@ -91,15 +90,36 @@ def media_class(mimetype) -> Column:
             .when(m.contains("pdf"), F.lit("pdf")))
 
 
-def media_ratio(entries: DataFrame, n: int = SAMPLE_ENTRIES) -> DataFrame:
+def target_mimetypes(entries: DataFrame) -> DataFrame:
+    """(archive, mimetype) of every entry; a redirect has its final target's, or null if it has none."""
+    own = entries.filter(~F.col("is_redirect")).select("archive", "mimetype")
+    ends = RD.resolve_redirects(entries, only_redirects=True)
+    at = entries.select("archive", F.col("path").alias("final_path"), "mimetype")
+    return own.unionByName(ends.join(at, ["archive", "final_path"], "left").select("archive", "mimetype"))
+
+
+def media_ratio(entries: DataFrame, first_n: int | None = None) -> DataFrame:
+    """Shares of video and PDF among the entries with a mimetype.
+
+    All entries of an archive count; ``first_n`` limits it to the first ones
+    by entry id (redirects still end at any entry).
+    """
+    kinds = target_mimetypes(entries)
+    if first_n is not None:
+        low = sample_first(entries, first_n)
+        ends = RD.resolve_redirects(entries, only_redirects=True).select("archive", "path", "final_path")
+        at = entries.select("archive", F.col("path").alias("final_path"), F.col("mimetype").alias("_m"))
+        kinds = (low.join(ends, ["archive", "path"], "left").join(at, ["archive", "final_path"], "left")
+                 .select("archive", F.when(F.col("is_redirect"), F.col("_m")).otherwise(F.col("mimetype"))
+                         .alias("mimetype")))
     cls = media_class("mimetype")
-    return (sample_first(entries, n).groupBy("archive").agg(
-        F.count(F.lit(1)).alias("sampled"),
+    return (kinds.groupBy("archive").agg(
+        F.count("mimetype").alias("sampled"),
         F.count_if(cls == "video").cast("bigint").alias("video"),
         F.count_if(cls == "pdf").cast("bigint").alias("pdf"),
     ).select("archive", "sampled", "video", "pdf",
-             (F.col("video") / F.col("sampled")).alias("video_ratio"),
-             (F.col("pdf") / F.col("sampled")).alias("pdf_ratio")))
+             F.try_divide("video", "sampled").alias("video_ratio"),
+             F.try_divide("pdf", "sampled").alias("pdf_ratio")))
 
 
 # -- SRC-5 -------------------------------------------------------------------
@@ -118,20 +138,19 @@ def main_pages(archives: DataFrame, entries: DataFrame) -> DataFrame:
 
 # -- AGG-2 -------------------------------------------------------------------
 
-def classify_archives(meta: DataFrame, entries: DataFrame, mains: DataFrame) -> DataFrame:
-    """(archive, type): first matching rule of the fixed rule list."""
-    tag_parts = [first_metadata(meta, [k], alias=k) for k in TYPE_KEYS]
-    names = mains.select("archive")
-    tags = names
-    for part in tag_parts:
-        tags = tags.join(part, "archive", "left")
-    tags = tags.select("archive", F.lower(F.concat_ws(
-        " ", *[F.coalesce(F.col(k), F.lit("")) for k in TYPE_KEYS])).alias("tags"))
-    ratios = media_ratio(entries)
+def classify_archives(meta: DataFrame, entries: DataFrame, mains: DataFrame,
+                      first_n: int | None = None) -> DataFrame:
+    """(archive, type): first matching rule of the fixed rule list; ``first_n`` as in media_ratio."""
+    # one pivot aggregate: a column a key
+    values = (meta.filter(F.col("key").isin(*TYPE_KEYS) & (F.octet_length("value") > 0)).groupBy("archive")
+              .agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in TYPE_KEYS]))
+    tags = values.select("archive", F.lower(F.concat_ws(" ", *[
+        F.coalesce(T.py_strip(_decode(F.col(k))), F.lit("")) for k in TYPE_KEYS])).alias("tags"))
+    ratios = media_ratio(entries, first_n)
     html = F.coalesce(F.col("main_html"), F.lit(""))
     low = F.lower(html)
     sampled = F.coalesce(F.col("sampled"), F.lit(0))
-    kind = (F.when(F.col("tags").contains("gutenberg"), "gutenberg")
+    kind = (F.when(F.coalesce("tags", F.lit("")).contains("gutenberg"), "gutenberg")
             .when((sampled > 0) & (F.col("video") / sampled > MEDIA_RATIO), "video")
             .when((sampled > 0) & (F.col("pdf") / sampled > MEDIA_RATIO), "pdf")
             .when(html.contains(WIKI_MARKER), "wikipedia")
@@ -172,7 +191,7 @@ def article_counts(entries: DataFrame) -> DataFrame:
 # -- AGG-8 -------------------------------------------------------------------
 
 def build_catalog(archives: DataFrame, meta: DataFrame, entries: DataFrame,
-                  descriptions: DataFrame | None = None) -> DataFrame:
+                  descriptions: DataFrame | None = None, first_n: int | None = None) -> DataFrame:
     """One catalogue record per archive.
 
     ``descriptions`` (archive, description) overrides the metadata
@@ -180,7 +199,7 @@ def build_catalog(archives: DataFrame, meta: DataFrame, entries: DataFrame,
     comes from the extraction jobs).
     """
     mains = main_pages(archives, entries)
-    kinds = classify_archives(meta, entries, mains)
+    kinds = classify_archives(meta, entries, mains, first_n)
     titles = archive_titles(meta, mains)
     desc = first_metadata(meta, ["Description"], alias="md_desc")
     out = (mains.join(kinds, "archive").join(titles, "archive")
@@ -242,8 +261,17 @@ def readable_archives(catalog: DataFrame) -> DataFrame:
     return catalog.filter(~F.col("type").isin(*MEDIA_TYPES))
 
 
-def catalog_routes(listing: DataFrame, page_root: str = "/page") -> DataFrame:
+def _with_main_path(rows: DataFrame, archives: DataFrame | None) -> DataFrame:
+    """Rows whose empty main path is the archive's own, where ``archives`` is given."""
+    if archives is None:
+        return rows
+    paths = resolve_main_path(rows.select("archive", "main_path"), archives)
+    return rows.drop("main_path").join(paths, "archive", "left")
+
+
+def catalog_routes(listing: DataFrame, archives: DataFrame | None = None, page_root: str = "/page") -> DataFrame:
     """Link target per archive: wikipedia -> main entry; media -> none; else archive card."""
+    listing = _with_main_path(listing, archives)
     route = (F.when(F.col("type") == "wikipedia",
                     F.concat(F.lit(f"{page_root}/entry.mu`zim="), "archive",
                              F.lit("|entry_path="), "main_path"))
@@ -260,8 +288,9 @@ def catalog_info(listing: DataFrame) -> DataFrame:
     return listing.select("archive", F.concat_ws(" · ", typ, cnt).alias("info"))
 
 
-def archive_cards(catalog: DataFrame) -> DataFrame:
+def archive_cards(catalog: DataFrame, archives: DataFrame | None = None) -> DataFrame:
     """Archive card fields: title (default name), description, count line, main link."""
+    catalog = _with_main_path(catalog, archives)
     return catalog.select(
         "archive",
         F.coalesce(F.nullif(F.coalesce("title", F.lit("")), F.lit("")), "archive").alias("title"),

@@ -10,52 +10,12 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import catalog as C
-from quire.session import ensure_checkpoint_dir
+from quire.operators import redirects as RD
+from quire.operators.redirects import resolve_redirects  # noqa: F401
 
-MAX_HOPS = 8
 RAW_FORMATS = ["micron", "html"]
 
 
-def resolve_redirects(entries: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
-    """(archive, path, final_path, hops, resolved): follow redirect chains.
-
-    A bounded loop of equi joins on (archive, path).  Only rows still
-    redirecting take part in a hop (no null-key rows in the join), each hop's
-    result is checkpointed to the session's checkpoint folder so the plan and
-    lineage stay one hop long, and the loop stops as soon as nothing is left.
-    A chain longer than ``max_hops`` (or a cycle) ends unresolved.
-    """
-    ensure_checkpoint_dir(entries.sparkSession)
-    e = entries.select("archive", "path", "is_redirect", "redirect_path")
-    links = e.filter("is_redirect").select("archive", F.col("path").alias("_at"),
-                                           F.col("redirect_path").alias("_next"))
-    cols = ["archive", "path", "_at", "_next", "hops"]
-    cur = e.select("archive", "path", F.col("path").alias("_at"),
-                   F.when(F.col("is_redirect"), F.col("redirect_path")).alias("_next"),
-                   F.lit(0).alias("hops"))
-    done = [cur.filter(F.col("_next").isNull())]
-    todo = cur.filter(F.col("_next").isNotNull()).checkpoint()
-    for _ in range(max_hops):
-        if todo.isEmpty():
-            break
-        step = (todo.select("archive", "path", F.col("_next").alias("_at"), (F.col("hops") + 1).alias("hops"))
-                .join(links, ["archive", "_at"], "left").select(*cols).checkpoint())
-        done.append(step.filter(F.col("_next").isNull()))
-        todo = step.filter(F.col("_next").isNotNull())
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    out = (out.select("archive", "path", F.col("_at").alias("final_path"), "hops", F.lit(True).alias("resolved"))
-           .unionByName(todo.select("archive", "path", F.lit(None).cast("string").alias("final_path"),
-                                    "hops", F.lit(False).alias("resolved"))))
-    # a redirect to a path that does not exist is not resolved either
-    exists = entries.select("archive", F.col("path").alias("final_path"), F.lit(True).alias("_ok"))
-    out = out.join(exists, ["archive", "final_path"], "left")
-    return out.select("archive", "path", F.when(F.col("_ok"), F.col("final_path")).alias("final_path"),
-                      F.col("hops").cast("int").alias("hops"),
-                      (F.col("resolved") & F.coalesce("_ok", F.lit(False))).alias("resolved"))
-
-
 def request_status(requests: DataFrame, entries: DataFrame, catalog: DataFrame,
                    available: DataFrame) -> DataFrame:
     """(request_id, archive, entry_path, status, final_path, title).
@@ -63,27 +23,33 @@ def request_status(requests: DataFrame, entries: DataFrame, catalog: DataFrame,
     First match: no archive available -> ``no_archive``; no entry path ->
     ``prompt``; archive unknown -> ``missing_archive``; entry unknown ->
     ``missing_entry``; media archive -> ``media``; target not HTML ->
-    ``not_text``; else ``ok``.  Redirects are followed one hop (the entry's
-    own lookup), like a reader opening the entry.
+    ``not_text``; else ``ok``.  An archive is known if it has entries, with or
+    without a catalogue record.  Book paths of gutenberg archives are
+    normalised first.  Redirects are followed to the end; the title is that of
+    the first target, like a reader that opens the entry.
     """
     r = C.default_archive(requests, available)
-    r = r.withColumn("entry_path", F.coalesce("entry_path", F.lit("")))
-    known = catalog.select("archive", "type", F.lit(True).alias("_known"))
-    e = entries.select("archive", F.col("path").alias("entry_path"), "is_redirect", "redirect_path",
-                       F.col("mimetype").alias("_m0"), F.col("title").alias("_t0"), F.lit(True).alias("_found"))
-    tgt = entries.select(F.col("archive"), F.col("path").alias("redirect_path"),
-                         F.col("path").alias("_tp"), F.col("mimetype").alias("_m1"),
-                         F.col("title").alias("_t1"))
-    j = (r.join(known, "archive", "left").join(e, ["archive", "entry_path"], "left")
-         .join(tgt, ["archive", "redirect_path"], "left"))
+    names = entries.select("archive").distinct().withColumn("_known", F.lit(True))
+    r = (r.join(catalog.select("archive", "type"), "archive", "left").join(names, "archive", "left")
+         .withColumn("entry_path", F.coalesce("entry_path", F.lit(""))))
+    at = F.when(F.col("type") == "gutenberg", T.book_path("entry_path")).otherwise(F.col("entry_path"))
+    r = r.withColumn("_at", at)
+    own = entries.select("archive", F.col("path").alias("_at"), "is_redirect", F.col("redirect_path").alias("_hop"),
+                         F.col("mimetype").alias("_m0"), F.col("title").alias("_t0"), F.lit(True).alias("_found"))
+    ends = RD.resolve_redirects(entries, only_redirects=True).select(
+        "archive", F.col("path").alias("_at"), F.col("final_path").alias("_end"))
+    last = entries.select("archive", F.col("path").alias("_end"), F.col("mimetype").alias("_m1"))
+    first = entries.select("archive", F.col("path").alias("_hop"), F.col("title").alias("_t1"))
+    j = (r.join(own, ["archive", "_at"], "left").join(ends, ["archive", "_at"], "left")
+         .join(last, ["archive", "_end"], "left").join(first, ["archive", "_hop"], "left"))
     redirected = F.coalesce(F.col("is_redirect"), F.lit(False))
-    final_path = F.when(redirected, F.col("_tp")).otherwise(F.col("entry_path"))
+    final_path = F.when(redirected, F.col("_end")).otherwise(F.col("_at"))
     mimetype = F.when(redirected, F.col("_m1")).otherwise(F.col("_m0"))
     title = F.when(redirected, F.col("_t1")).otherwise(F.col("_t0"))
     status = (F.when(F.coalesce(F.col("archive"), F.lit("")) == "", "no_archive")
               .when(F.col("entry_path") == "", "prompt")
               .when(~T.base_name("archive").endswith(".zim") | F.col("_known").isNull(), "missing_archive")
-              .when(F.col("_found").isNull() | (redirected & F.col("_tp").isNull()), "missing_entry")
+              .when(F.col("_found").isNull() | (redirected & F.col("_end").isNull()), "missing_entry")
               .when(F.col("type").isin(*C.MEDIA_TYPES), "media")
               .when(~F.coalesce(mimetype, F.lit("")).startswith("text/html"), "not_text")
               .otherwise("ok"))

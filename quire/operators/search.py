@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import redirects as RD
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -28,7 +29,7 @@ from quire.functions import text as T
 PAGE_SIZE = 15
 TERM_SPLIT = r"[^\p{L}\p{N}]+"
 MAX_GRAM = 12
-DEFAULT_SALT = 16
+LEAD_CHARS = 3                  # title characters that split a ranking band
 
 
 def _c(col) -> Column:
@@ -153,13 +154,11 @@ def page_counts(requests: DataFrame, matches: DataFrame | None = None, index: Da
 
 
 def search_page(requests: DataFrame, entries: DataFrame, index: DataFrame | None = None,
-                prefixes: DataFrame | None = None, archive_types: DataFrame | None = None,
-                salt: int = DEFAULT_SALT) -> DataFrame:
+                prefixes: DataFrame | None = None, archive_types: DataFrame | None = None) -> DataFrame:
     """One result page per request: (request_id, number, path, title, size_label).
 
-    Ranking runs once per distinct query: each (query, salt) keeps its best
-    ``deepest page * 15`` rows, survivors are ranked per query and cut into
-    pages; requests then pick their page with an equi join on (query, page).
+    Ranking runs once per distinct query text, in bands; requests then pick
+    their page with an equi join on (query, page).
     Duplicates (after book-path normalisation in gutenberg archives) are
     removed within the page, hits are looked up by path, failed lookups are
     dropped and do not consume a number.
@@ -170,26 +169,31 @@ def search_page(requests: DataFrame, entries: DataFrame, index: DataFrame | None
         prefixes = build_prefix_index(index)
     qm = match_queries(requests, index, prefixes)
     counts = page_counts(requests, qmatches=qm)
-    req = _request_keys(requests).join(counts.select("request_id", "page", "start"), "request_id")
-    deepest = req.groupBy("archive", "qkey").agg(F.max("page").alias("_deep"),
-                                                 F.first("query").alias("query"))
+    # two spellings of one query match the same titles but rank them differently
+    req = (_request_keys(requests).withColumn("query", F.lower(T.py_strip("query")))
+           .join(counts.select("request_id", "page", "start"), "request_id"))
+    deepest = req.groupBy("archive", "qkey", "query").agg(F.max("page").alias("_deep"))
     titles = entries.select("archive", "path", "title", F.size(terms("title")).cast("bigint").alias("n_terms"))
     cand = qm.join(deepest, ["archive", "qkey"]).join(titles, ["archive", "path"])
     ex, st = rank_keys(F.col("query"))
     cand = cand.select("*", ex, st)
-    order = [F.col("_exact").desc(), F.col("_starts").desc(), F.col("n_terms").asc(),
-             F.col("title").asc(), F.col("path").asc()]
-    limit = F.col("_deep") * PAGE_SIZE
-    # stage 1: best deepest-page*15 per (query, salt) - a hot query is spread over `salt` tasks
-    salted = cand.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salt)))
-    w1 = Window.partitionBy("archive", "qkey", "_salt").orderBy(*order)
-    s1 = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= limit)
-    # stage 2: at most salt * deepest-page * 15 rows per query
-    w2 = Window.partitionBy("archive", "qkey").orderBy(*order)
-    ranked = (s1.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= limit)
+    # A hot query's matches are ranked in bands that follow the order of the ranking: band sizes
+    # give each band's first rank, bands behind the deepest page go, the rest are ranked apart.
+    group = ["archive", "qkey", "query"]
+    bands = [F.col("_exact").desc(), F.col("_starts").desc(), F.col("n_terms").asc(), F.col("_lead").asc()]
+    band = ["_exact", "_starts", "n_terms", "_lead"]
+    cand = cand.withColumn("_lead", F.substring("title", 1, LEAD_CHARS))
+    sizes = cand.groupBy(*group, "_deep", *band).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*group).orderBy(*bands).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+              .filter(F.col("_before") < F.col("_deep") * PAGE_SIZE).select(*group, *band, "_before"))
+    within = Window.partitionBy(*group, *band).orderBy("title", "path")
+    ranked = (cand.join(starts, [*group, *band])
+              .withColumn("rank", (F.col("_before") + F.row_number().over(within)).cast("bigint"))
               .withColumn("page", F.floor((F.col("rank") - 1) / PAGE_SIZE).cast("bigint") + 1)
-              .select("archive", "qkey", "page", "rank", "path"))
-    sl = req.select("request_id", "archive", "qkey", "page", "start").join(ranked, ["archive", "qkey", "page"])
+              .filter(F.col("page") <= F.col("_deep")).select(*group, "page", "rank", "path"))
+    sl = (req.select("request_id", *group, "page", "start").join(ranked, [*group, "page"])
+          .select("request_id", "archive", "qkey", "page", "start", "rank", "path"))
     # SET-1: dedupe normalised paths within the page, keep the first
     if archive_types is not None:
         sl = sl.join(archive_types.select("archive", "type"), "archive", "left")
@@ -201,7 +205,15 @@ def search_page(requests: DataFrame, entries: DataFrame, index: DataFrame | None
     sl = sl.withColumn("_d", F.row_number().over(wd)).filter(F.col("_d") == 1)
     # JOIN-5: look the normalised path up; misses are dropped
     look = entries.select("archive", F.col("path").alias("npath"), F.col("title").alias("entry_title"),
-                          "size")
+                          "size", "is_redirect")
+    # a redirect's hit shows the size of what it ends at
+    ends = RD.resolve_redirects(entries, only_redirects=True).select(
+        "archive", F.col("path").alias("npath"), F.col("final_path").alias("_end"))
+    last = entries.select("archive", F.col("path").alias("_end"), F.col("size").alias("_end_size"))
+    look = (look.join(ends, ["archive", "npath"], "left").join(last, ["archive", "_end"], "left")
+            .filter(~F.col("is_redirect") | F.col("_end_size").isNotNull())
+            .select("archive", "npath", "entry_title",
+                    F.when(F.col("is_redirect"), F.col("_end_size")).otherwise(F.col("size")).alias("size")))
     shown = sl.join(look, ["archive", "npath"])
     # WIN-2: numbering = page start + running count of shown rows
     wn = Window.partitionBy("request_id").orderBy("rank")

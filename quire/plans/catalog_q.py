@@ -57,7 +57,7 @@ def catalog_listing(spark, sf_dir):
 def catalog_routes(spark, sf_dir):
     t = _t(spark, sf_dir)
     cat = _catalog(t)
-    return C.catalog_routes(C.catalog_listing(C.list_archives(t["entries"]), cat))
+    return C.catalog_routes(C.catalog_listing(C.list_archives(t["entries"]), cat), t["archives"])
 
 
 def catalog_info(spark, sf_dir):
@@ -67,7 +67,8 @@ def catalog_info(spark, sf_dir):
 
 
 def archive_cards(spark, sf_dir):
-    return C.archive_cards(_catalog(_t(spark, sf_dir)))
+    t = _t(spark, sf_dir)
+    return C.archive_cards(_catalog(t), t["archives"])
 
 
 def readable_archives(spark, sf_dir):

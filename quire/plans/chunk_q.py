@@ -15,7 +15,9 @@ PART_REQUESTS = [None, "parts", "1", "2", "0", "-2", "99", " 3 ", "abc", "3.7"]
 
 def _docs(spark, sf_dir):
     # documents are CPU-bound per row (line folds): spread a single-split file over the cores
-    return A.spread(A.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = A.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    # CPU-bound work per document: dealt by key over all tasks, whatever files the table has
+    return docs.repartition("doc_id")
 
 
 def _markup(spark, sf_dir):

@@ -50,33 +50,39 @@ def stem(x: str) -> str:
             f"ELSE regexp_extract({x}, '^(\\.*[^.].*)\\.[^.]*$', 1) END")
 
 
+URL_PATH = """CASE WHEN starts_with(url, 'https://') THEN regexp_replace(url, '^https://[^/?#]*/?', '')
+              ELSE regexp_extract(url, '^([^:]*):', 1) || ':' || regexp_replace(url, '^[^:]*://[^/?#]*/?', '') END"""
+
 ENTRIES_CTE = f"""
 _base AS (
   SELECT CAST(page_id AS BIGINT) AS entry_id,
          regexp_extract(url, '{A.URL_HOST}', 1) || '{A.ARCHIVE_SUFFIX}' AS archive,
-         regexp_extract(url, '{A.URL_PATH}', 1) AS path,
+         {URL_PATH} AS path,
          html
   FROM pages),
 _dedup AS (
   SELECT * FROM _base
   QUALIFY row_number() OVER (PARTITION BY archive, path ORDER BY entry_id) = 1),
 _typed AS (
-  SELECT *, CASE WHEN entry_id % {A.VIDEO_EVERY} = 0 THEN '{A.VIDEO_MIMETYPE}'
-                 WHEN entry_id % {A.PDF_EVERY} = 0 THEN '{A.PDF_MIMETYPE}'
-                 ELSE '{A.HTML_MIMETYPE}' END AS mimetype
-  FROM _dedup),
+  SELECT entry_id, archive, path, html, strlen(html) AS bytes, html AS titled, '{A.HTML_MIMETYPE}' AS mimetype
+  FROM _dedup
+  UNION ALL
+  SELECT entry_id + {A.MEDIA_ID_BASE}, archive, path || CASE WHEN entry_id % {A.VIDEO_EVERY} = 0 THEN '.webm' ELSE '.pdf' END,
+         '', strlen(html), html,
+         CASE WHEN entry_id % {A.VIDEO_EVERY} = 0 THEN '{A.VIDEO_MIMETYPE}' ELSE '{A.PDF_MIMETYPE}' END
+  FROM _dedup WHERE entry_id % {A.VIDEO_EVERY} = 0 OR entry_id % {A.PDF_EVERY} = 0),
 _mains AS (
   SELECT archive, arg_min(path, entry_id) AS main_path, min(entry_id) AS main_id
   FROM _typed GROUP BY archive),
 entries AS (
   SELECT t.archive, t.entry_id, t.path,
-         {py_strip(norm_space(unescape("regexp_extract(t.html, '(?is)<title>(.*?)</title>', 1)")))} AS title,
+         {py_strip(norm_space(unescape("regexp_extract(t.titled, '(?is)<title>(.*?)</title>', 1)")))} AS title,
          t.mimetype,
          (t.entry_id % {A.REDIRECT_EVERY} = 0 AND t.mimetype LIKE 'text/html%'
           AND t.entry_id <> m.main_id) AS is_redirect,
          CASE WHEN t.entry_id % {A.REDIRECT_EVERY} = 0 AND t.mimetype LIKE 'text/html%'
               AND t.entry_id <> m.main_id THEN m.main_path END AS redirect_path,
-         CAST(strlen(t.html) AS BIGINT) AS size,
+         CAST(t.bytes AS BIGINT) AS size,
          t.html
   FROM _typed t LEFT JOIN _mains m USING (archive)),
 archives AS (
@@ -87,7 +93,7 @@ archives AS (
 archive_metadata AS (
   SELECT archive, 'Tags' AS key,
          string_agg(DISTINCT '_lang:' || lang, ';' ORDER BY '_lang:' || lang) AS value
-  FROM (SELECT archive, regexp_extract(path, '^([^/]+)/', 1) AS lang FROM entries)
+  FROM (SELECT archive, regexp_extract(path, '^(?:[a-z]+:)?([^/:?#]+)/', 1) AS lang FROM entries)
   WHERE lang <> '' GROUP BY archive)
 """
 
@@ -97,10 +103,10 @@ _main AS (
          CASE WHEN e.mimetype LIKE 'text/html%' THEN e.html ELSE '' END AS main_html
   FROM archives a LEFT JOIN entries e ON e.archive = a.archive AND e.path = a.main_path),
 _sample AS (
-  SELECT archive, mimetype FROM entries
-  QUALIFY row_number() OVER (PARTITION BY archive ORDER BY entry_id) <= 300),
+  SELECT e.archive, CASE WHEN e.is_redirect THEN t.mimetype ELSE e.mimetype END AS mimetype
+  FROM entries e LEFT JOIN entries t ON e.is_redirect AND t.archive = e.archive AND t.path = e.redirect_path),
 _ratio AS (
-  SELECT archive, count(*) AS sampled,
+  SELECT archive, count(mimetype) AS sampled,
          count(*) FILTER (WHERE mimetype LIKE '%webm%' OR mimetype LIKE 'video%') AS video,
          count(*) FILTER (WHERE NOT (mimetype LIKE '%webm%' OR mimetype LIKE 'video%')
                           AND mimetype LIKE '%pdf%') AS pdf

@@ -18,7 +18,6 @@ html), so :func:`entries_from_pages` maps those onto the entry shape.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -28,14 +27,16 @@ from quire.functions.html_text import html_unescape
 # Fixed values of the pages -> entries mapping (shared with the SQL oracle)
 # ---------------------------------------------------------------------------
 URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
-URL_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)"
+URL_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
+URL_REST = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?(.*)$"
 TITLE_TAG = r"(?is)<title>(.*?)</title>"
 ARCHIVE_SUFFIX = ".zim"
-# The crawl holds only HTML pages.  To exercise the media and redirect paths
-# of the catalogue, the mapping labels entries deterministically from their
-# id: every 13th entry is a video, every 17th (not 13th) a PDF, and every 11th
-# HTML entry is a redirect to its archive's main page.
+# The crawl holds only HTML pages, and every page is an HTML entry.  To
+# exercise the media paths of the catalogue, every 13th page gets a video entry
+# and every 17th (not 13th) a PDF entry beside it; every 11th page's entry is a
+# redirect to its archive's main page.
 VIDEO_EVERY, PDF_EVERY, REDIRECT_EVERY = 13, 17, 11
+MEDIA_ID_BASE = 1_000_000_000_000
 HTML_MIMETYPE = "text/html; charset=utf-8"
 VIDEO_MIMETYPE = "video/webm"
 PDF_MIMETYPE = "application/pdf"
@@ -45,18 +46,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy per-row work at least one task per core.
-
-    A small table stored as one Parquet row group is read by one task; the
-    document-level jobs here (tokenising, folds over lines) are CPU bound, so
-    such inputs are spread round-robin over the default parallelism.  Inputs
-    that already have that many splits (any large table) are left alone.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries already stored in the entry shape (Parquet)."""
     return spark.read.parquet(path)
@@ -67,7 +56,11 @@ def url_host(url) -> Column:
 
 
 def url_path(url) -> Column:
-    return F.regexp_extract(url, URL_PATH, 1)
+    """All of the URL behind its host, query string and fragment included; the
+    scheme leads it unless it is https.  With the host it names the whole URL."""
+    scheme = F.regexp_extract(url, URL_SCHEME, 1)
+    rest = F.regexp_extract(url, URL_REST, 1)
+    return F.when(scheme == "https", rest).otherwise(F.concat(scheme, F.lit(":"), rest))
 
 
 def page_title(html) -> Column:
@@ -79,9 +72,9 @@ def page_title(html) -> Column:
 def entries_from_pages(pages: DataFrame, with_html: bool = True) -> DataFrame:
     """Map the crawl's ``pages`` onto archive entries.
 
-    archive = URL host + '.zim'; path = URL path without the leading '/';
-    the lowest ``page_id`` wins per (archive, path).  The window shuffles on
-    the high-cardinality (archive, path) key, so no archive lands in one task.
+    archive = URL host + '.zim'; path = the rest of the URL; of pages with one
+    URL the lowest ``page_id`` stays.  Repeats are found on keys alone, so page
+    contents are not shuffled for it.
     """
     base = pages.select(
         F.col("page_id").cast("bigint").alias("entry_id"),
@@ -91,12 +84,17 @@ def entries_from_pages(pages: DataFrame, with_html: bool = True) -> DataFrame:
         F.octet_length("html").cast("bigint").alias("size"),
         "html",
     )
-    w = Window.partitionBy("archive", "path").orderBy("entry_id")
-    dedup = base.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    mimetype = (F.when(F.col("entry_id") % VIDEO_EVERY == 0, F.lit(VIDEO_MIMETYPE))
-                .when(F.col("entry_id") % PDF_EVERY == 0, F.lit(PDF_MIMETYPE))
-                .otherwise(F.lit(HTML_MIMETYPE)))
-    dedup = dedup.withColumn("mimetype", mimetype)
+    keys = base.select("archive", "path", "entry_id")
+    repeated = (keys.groupBy("archive", "path").agg(F.min("entry_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+                .filter("_n > 1").drop("_n"))
+    later = keys.join(repeated, ["archive", "path"]).filter("entry_id <> _first").select("entry_id")
+    pages_only = base.join(later, "entry_id", "left_anti").withColumn("mimetype", F.lit(HTML_MIMETYPE))
+    is_video = F.col("entry_id") % VIDEO_EVERY == 0
+    media = (pages_only.filter(is_video | (F.col("entry_id") % PDF_EVERY == 0))
+             .withColumn("path", F.concat("path", F.when(is_video, F.lit(".webm")).otherwise(F.lit(".pdf"))))
+             .withColumn("mimetype", F.when(is_video, F.lit(VIDEO_MIMETYPE)).otherwise(F.lit(PDF_MIMETYPE)))
+             .withColumn("html", F.lit("")).withColumn("entry_id", F.col("entry_id") + MEDIA_ID_BASE))
+    dedup = pages_only.unionByName(media)
     # main page = lowest entry id of the archive: a partial (map-side) min, so
     # a hot archive is pre-aggregated before the shuffle
     mains = (dedup.groupBy("archive")
@@ -123,7 +121,7 @@ def archive_metadata_from_pages(entries: DataFrame) -> DataFrame:
     ``_lang:xx`` joined with ';'.  The crawl has no Title/Name/Description, so
     titles fall back to the main page's <title> and then the file stem.
     """
-    lang = F.regexp_extract("path", r"^([^/]+)/", 1)
+    lang = F.regexp_extract("path", r"^(?:[a-z]+:)?([^/:?#]+)/", 1)
     per = (entries.select("archive", lang.alias("lang"))
            .filter(F.col("lang") != "")
            .groupBy("archive")
