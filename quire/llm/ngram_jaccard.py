@@ -46,7 +46,7 @@ PERCENT = 80
 #: Share of the hash range whose n-grams are counted and ordered by rarity.
 SAMPLED = 0.25
 #: Hashed partitions of the suffix filter.
-PARTS = 16
+PARTS = 128
 
 _U = np.uint64
 
@@ -157,7 +157,10 @@ class Jaccard:
     # -- candidates ------------------------------------------------------
 
     def prefixes(self) -> DataFrame:
-        """(gram, class, n, place): prefix n-grams that two classes hold at least."""
+        """(gram, class, n, place, alone): prefix n-grams that two classes hold at least.
+
+        ``alone`` counts the sampled n-grams that no other class holds.
+        """
         rows = self.rows.where("n > 0")
         # rank: place by hash, which for n-grams beyond the sample is their place in the order
         each = rows.select("class", F.posexplode("grams").alias("rank", "gram"))
@@ -180,19 +183,23 @@ class Jaccard:
             (F.col("n") - least + 1).cast("int").alias("prefix"), F.posexplode("ordered"))
         place = F.when(F.col("col.later"), F.col("col.rank")).otherwise(F.col("alone") + F.col("pos"))
         return placed.select(F.col("col.gram").alias("gram"), "class", "n", place.cast("int").alias("place"),
-                             "prefix").where("place < prefix").drop("prefix")
+                             "alone", "prefix").where("place < prefix").drop("prefix")
 
     def _needed(self, a: Column, b: Column) -> Column:
         """Least overlap of linked sets of these sizes: ceil(p (a + b) / (100 + p))."""
         return F.ceil(F.lit(self.percent) * (a + b) / F.lit(100 + self.percent))
 
-    def _fits(self, left: str, right: str) -> Column:
-        """Length and positional filters of two members of a group."""
+    def _fits(self, left: str, right: str, own: str | None = None) -> Column:
+        """Length and positional filters of two members of a group; ``own``: n-grams that cannot be common."""
         a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
         length = (F.lit(self.percent) * a <= 100 * b) & (F.lit(self.percent) * b <= 100 * a)
         before = F.least(F.col(f"{left}.place"), F.col(f"{right}.place"))
         from_here = F.least(a - F.col(f"{left}.place"), b - F.col(f"{right}.place"))
-        return length & (before + from_here >= self._needed(a, b))
+        fits = length & (before + from_here >= self._needed(a, b))
+        if own is not None:
+            most = F.least(a - F.col(f"{left}.{own}"), b - F.col(f"{right}.{own}"))
+            fits = fits & (most >= self._needed(a, b))
+        return fits
 
     def links(self) -> DataFrame:
         """(a, b): linked class pairs that join up all linked classes."""
@@ -200,36 +207,51 @@ class Jaccard:
         if groups.isEmpty():
             return groups.select(F.col("class").alias("a"), F.col("class").alias("b"))
         sets = stored(self._whole_sets(groups.select("class").distinct()), "whole")
-        # first round: every class against the least leader of its groups
-        lead = groups.groupBy("gram").agg(F.min(F.struct("class", "n", "place")).alias("lead"))
+        # first round: every class against the leader, among those of its groups, that has the fewest
+        # n-grams of its own, as an unedited original has
+        lead = groups.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "place")).alias("lead"))
         star = (groups.alias("m").join(lead.select("gram", "lead.*").alias("l"), "gram")
                 .where(F.col("m.class") != F.col("l.class")).where(self._fits("m", "l")))
-        first = star.groupBy(F.col("m.class").alias("b")).agg(F.min("l.class").alias("a"))
-        tried = stored(self._verified(first.select("a", "b"), sets), "tried")
-        # second round: against the leaders of the groups that are still apart
-        roots = components(tried.where("linked").select("a", "b")).select("node", "root")
-        named = lambda x: (x == F.col("node"))
-        again = (star.select(F.col("l.class").alias("a"), F.col("m.class").alias("b")).distinct()
-                 .join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        apart = (again.join(roots, named(F.col("a")), "left").withColumn("ra", F.coalesce("root", "a"))
-                 .drop("node", "root").join(roots, named(F.col("b")), "left")
-                 .withColumn("rb", F.coalesce("root", "b")).where("ra <> rb").select("a", "b"))
-        tried = tried.unionByName(stored(self._verified(apart, sets), "tried"))
-        found = tried.where("linked").select("a", "b")
-        # last round: all that is left between components
-        roots = components(found)
+        first = star.groupBy(F.col("m.class").alias("b")).agg(F.min(F.struct("l.alone", "l.class")).alias("l"))
+        tried = stored(self._verified(first.select(F.col("l.class").alias("a"), "b"), sets), "tried")
+        # second round: against the leaders of all groups that are still apart
+        apart = stored(self._apart(groups, tried, sets), "apart")
+        lead = apart.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "place", "root", "own")).alias("lead"))
+        again = (apart.alias("m").join(lead.select("gram", "lead.*").alias("l"), "gram")
+                 .where((F.col("m.root") != F.col("l.root")) & self._fits("m", "l", "own"))
+                 .select(F.col("l.class").alias("a"), F.col("m.class").alias("b")).distinct())
+        tried = tried.unionByName(stored(self._verified(self._untried(again, tried), sets), "tried"))
+        # last round: all pairs that are left between components
+        apart = stored(self._apart(groups, tried, sets), "apart")
+        pairs = (apart.alias("x").join(apart.alias("y"), "gram")
+                 .where((F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
+                 .where(self._fits("x", "y", "own"))
+                 .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct())
+        rest = self._verified(self._untried(pairs, tried), sets)
+        return stored(tried.unionByName(rest).where("linked").select("a", "b"), "links")
+
+    def _untried(self, pairs: DataFrame, tried: DataFrame) -> DataFrame:
+        """Candidate pairs that were not verified before, in either order."""
+        done = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return pairs.join(done, ["a", "b"], "left_anti")
+
+    def _apart(self, groups: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
+        """Members of groups of two components or more, with ``root`` and ``own``.
+
+        ``own`` counts the n-grams of the whole set that no other of these
+        classes has: they are in no overlap with any of them.
+        """
+        roots = components(tried.where("linked").select("a", "b"))
         members = groups.join(roots.withColumnRenamed("node", "class"), "class", "left") \
             .withColumn("root", F.coalesce("root", "class"))
         open_groups = members.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
             .where("low <> high").select("gram")
         left = stored(members.join(open_groups, "gram", "left_semi"), "open")
-        pairs = (left.alias("x").join(left.alias("y"), "gram")
-                 .where((F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
-                 .where(self._fits("x", "y"))
-                 .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct())
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = self._verified(pairs.join(done, ["a", "b"], "left_anti"), sets)
-        return stored(found.unionByName(rest.where("linked").select("a", "b")), "links")
+        whole = sets.join(left.select("class").distinct().hint("merge"), "class", "left_semi")
+        held = whole.select("class", F.explode("grams").alias("gram")).groupBy("gram").agg(
+            F.min("class").alias("low"), F.max("class").alias("high"))
+        own = held.where("low = high").groupBy(F.col("low").alias("class")).agg(F.count("*").alias("own"))
+        return left.join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0)))
 
     def _whole_sets(self, wanted: DataFrame) -> DataFrame:
         """Whole sets of the wanted classes, one row a class, read from the texts anew.
