@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,17 +91,56 @@ def _grams(column: pa.Array, order: int):
     return np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64), joined
 
 
-def _column(table: pa.Table, name: str) -> pa.Array:
-    chunked = table.column(name).cast(pa.large_string())
-    return pa.concat_arrays(chunked.chunks) if chunked.num_chunks else pa.array([], type=pa.large_string())
+def _pack_docs(docs: pa.Table) -> bytes:
+    import zstandard as z
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as stream:
+        stream.write_table(docs)
+    return z.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def _unpack_docs(data: bytes) -> tuple[pa.ChunkedArray, pa.Array]:
+    """(ids, texts) of a batch."""
+    import zstandard as z
+
+    docs = pa.ipc.open_stream(z.ZstdDecompressor().decompress(data)).read_all()
+    texts = docs.column("text").cast(pa.large_string())
+    return docs.column("doc_id"), pa.concat_arrays(texts.chunks)
+
+
+def _deal(batches, batch_bytes: int):
+    """Rows of a task into batches of ``batch_bytes`` of text: (batch, packed documents)."""
+    from pyspark import TaskContext
+
+    task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def packed():
+        return pa.RecordBatch.from_arrays(
+            [pa.array([(task << 32) + number], type=pa.int64()),
+             pa.array([_pack_docs(pa.Table.from_batches(held))], type=pa.binary())], names=["batch", "docs"])
+
+    for rows in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(rows.column("text")), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < rows.num_rows:
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + batch_bytes - size, side="right")))
+            held.append(rows.slice(start, stop - start))
+            size += int(ends[stop - 1]) - done
+            start = stop
+            if size >= batch_bytes or start < rows.num_rows:
+                yield packed()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield packed()
 
 
 def _blocks(table: pa.Table, order: int, parts: int) -> pa.Table:
     out = {"part": [], "batch": [], "n": [], "grams": [], "counts": []}
-    if table.num_rows:
-        batch = table.column("batch")[0].as_py()
-        edges = _part_edges(parts)
-        for n, (grams, _, _) in enumerate(_grams(_column(table, "text"), order)[1], start=1):
+    edges = _part_edges(parts)
+    for batch, docs in zip(table.column("batch").to_pylist(), table.column("docs"), strict=True):
+        for n, (grams, _, _) in enumerate(_grams(_unpack_docs(docs.as_py())[1], order)[1], start=1):
             keys, counts = np.unique(grams, return_counts=True)
             cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
             for p in np.flatnonzero(np.diff(cut)).tolist():
@@ -142,9 +182,10 @@ def _others(grams: np.ndarray, rows: np.ndarray, totals: np.ndarray) -> np.ndarr
     return totals[code].astype(np.int64) - own[inverse]
 
 
-def _scored(docs: pa.Table, replies: pa.Table, order: int, alpha: float) -> pa.Table:
-    """Per document: words, log sum without the corpus size, and words that fell back to it."""
-    counts, grams = _grams(_column(docs, "text"), order)
+def _scored(batch: pa.Table, replies: pa.Table, order: int, alpha: float) -> pa.Table:
+    """Per document of a batch: words, log sum without the corpus size, and words that fell back to it."""
+    ids, texts = _unpack_docs(batch.column("docs")[0].as_py())
+    counts, grams = _grams(texts, order)
     answer: dict[int, list] = {}
     for r in sorted(replies.to_pylist(), key=lambda r: (r["n"], r["part"])):
         answer.setdefault(r["n"], []).append(unpack(r["totals"], _U))
@@ -174,10 +215,10 @@ def _scored(docs: pa.Table, replies: pa.Table, order: int, alpha: float) -> pa.T
            "n_backed": np.bincount(row[level < 2], minlength=size)}
     for n in range(1, order + 1):
         per[f"seen_{n}"] = np.bincount(row[level == n], minlength=size)
-    schema = pa.schema([("doc_id", docs.schema.field("doc_id").type), ("n_words", pa.int64()),
+    schema = pa.schema([("doc_id", ids.type), ("n_words", pa.int64()),
                         ("log_sum", pa.float64()), ("n_backed", pa.int64()),
                         *[(f"seen_{n}", pa.int64()) for n in range(1, order + 1)]])
-    return pa.table([docs.column("doc_id"), *[pa.array(per[f.name], type=f.type) for f in list(schema)[1:]]],
+    return pa.table([ids, *[pa.array(per[f.name], type=f.type) for f in list(schema)[1:]]],
                     schema=schema)
 
 
@@ -186,12 +227,13 @@ def scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     """(doc_id, n_words, score, seen_1 .. seen_order): seen_n counts the words scored by n-grams."""
     text = F.col(text_col)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    batches = max(1, -(-size // BATCH_BYTES))
     parts = max(1, -(-size * order // PART_BYTES))
-    # the place in the scan, so that equal rows do not meet in one batch
-    dealt = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"),
-                        (F.monotonically_increasing_id() % batches).alias("batch"))
     ship_package(docs.sparkSession)
+    # batches follow the scan, so equal rows do not meet in one task; they travel compressed, once, as
+    # both uses below read the same exchange
+    batch_bytes = BATCH_BYTES
+    dealt = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).mapInArrow(
+        lambda b: _deal(b, batch_bytes), "batch long, docs binary")
     grouped = dealt.groupBy("batch")
     blocks = grouped.applyInArrow(lambda t: _blocks(t, order, parts),
                                   "part int, batch long, n int, grams binary, counts binary")
