@@ -172,8 +172,9 @@ def hits(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_c
            .groupBy("key", "item_id", "item_key")
            .agg(F.collect_set(F.col("places") - F.col("item_place")).alias("shifts")))
     met = stored(met, "hits")
-    # texts of the documents that met an item, once a text
-    wanted = met.select("key").distinct()
+    # texts of the documents that met an item, once a text; their number grows with the documents, so
+    # they are never broadcast
+    wanted = met.select("key").distinct().hint("merge")
     texts = source.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     pairs = (met.join(bench.select("item_id", F.col("text").alias("item_text"),
                                    F.xxhash64("text").alias("item_key")), ["item_id", "item_key"])
@@ -218,5 +219,5 @@ def report(docs: DataFrame, items: DataFrame, *, text_col: str = "text", keep: l
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **cols) -> DataFrame:
     """The documents that no item's window hits, with the input's columns."""
-    found = hits(docs, items, text_col=text_col, **cols).select(F.col("key").alias("__key")).distinct()
+    found = hits(docs, items, text_col=text_col, **cols).select(F.col("key").alias("__key")).distinct().hint("merge")
     return docs.withColumn("__key", text_key(text_col)).join(found, "__key", "left_anti").select(*docs.columns)

@@ -133,7 +133,9 @@ def draw(shares: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: s
     keys = _round_keys(F.expr("(slots - 1) div n + 1"), [F.lit(seed), F.col("rank")], ROUNDS)
     runs = per.select("rank", "n", "slots", keys.alias("keys"), F.explode(
         F.expr(f"sequence(0L, (slots - 1) div {SLOT_RUN})")).alias("run"))
-    spread = runs.repartition("rank", "run")
+    # tiny rows that stand for much work: a set number of tasks, which are not merged by size
+    tasks = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = runs.repartition(tasks, "rank", "run")
     each = spread.select("rank", "n", "keys", F.explode(F.sequence(
         F.col("run") * SLOT_RUN, F.least((F.col("run") + 1) * SLOT_RUN, F.col("slots")) - 1)).alias("slot"))
     numbered = each.select(
@@ -176,7 +178,8 @@ def taken_words(docs: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, we
     times = draw(shares, block=block, shards=shards, seed=seed).groupBy("rank", "block").agg(
         F.count("*").alias("times"))
     # rows are told apart by their place in the stream, not by an id that may repeat
-    hit = pieces(placed, shares, block).join(times, ["rank", "block"]).groupBy(
+    # as many rows as blocks, which the planner cannot foresee: never a broadcast
+    hit = pieces(placed, shares, block).join(times.hint("merge"), ["rank", "block"]).groupBy(
         "rank", "first").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
     ranked = _with_share(placed, shares)
     return ranked.join(
@@ -198,7 +201,7 @@ def mixture(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
                           keep=["__i1", "__i2"], seed=seed), "placed")
     shares = targets(source_sizes(placed), weights, cap)
     drawn = draw(shares, block=block, shards=shards, seed=seed)
-    hit = pieces(placed, shares, block).join(drawn, ["rank", "block"])
+    hit = pieces(placed, shares, block).join(drawn.hint("merge"), ["rank", "block"])
     cuts = hit.groupBy("__i1", "__i2", "rank", "first").agg(
         F.collect_list(F.struct("shard", "pass", "block", "at", "n_words")).alias("__cuts"))
     rows = docs.select(*same, F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))

@@ -2,8 +2,8 @@
 
 Not expressible: op1 (the tokenizer), op2 (reachability over similarity links
 needs a recursion that SQL runs too slowly on whole tables), op3 (a trained
-model), op5 (CRC-32) and op7 (span positions).  They are tested against
-brute-force versions.
+model), op5 (CRC-32) and op7 (span positions).  These and op10 are tested
+against brute-force versions and fixtures.
 """
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -58,7 +58,60 @@ FROM v
 """
 
 
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+                  md5('mix/' || coalesce(doc_id::VARCHAR, 'null')) AS place FROM documents),
+ss AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM ss),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][rank % 3 + 1]::DOUBLE AS weight, (source_size * 3)::DOUBLE AS most FROM ranked),
+level AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER f, 0))
+                    / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS rest
+          FROM weighed WINDOW f AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+found AS (SELECT arg_min(rest, (most / weight, rank)) AS rest FROM level WHERE rest <= most / weight),
+src AS (SELECT source, source_size, rank, least(most, coalesce(weight * (SELECT rest FROM found), most)) AS target,
+               ceil(source_size / 64)::BIGINT AS n FROM weighed),
+placed AS (SELECT doc_id, size, src.rank, source_size, target, row_number() OVER () AS r,
+                  coalesce(sum(size) OVER (PARTITION BY src.rank
+                    ORDER BY ('0x' || substr(place, 1, 6))::BIGINT % 4096, place, doc_id NULLS FIRST, size
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+           FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
+slots AS (SELECT rank, n, unnest(range(round(target * n / source_size)::BIGINT)) AS slot
+          FROM src WHERE source_size > 0 AND target > 0),
+passes AS (SELECT rank, n, slot // n AS pass, slot % n AS spot FROM slots),
+drawn AS (SELECT rank, list_reduce(list_concat([spot], range(12)), lambda x, r:
+            CASE WHEN ascii(md5('mix/' || rank || '/' || pass || '/' || r || '/' || greatest(x, {{M}}))) % 2 = 1
+                 THEN {{M}} ELSE x END) AS block FROM passes),
+times AS (SELECT rank, block, count(*) AS times FROM drawn GROUP BY rank, block),
+cut AS (SELECT r, rank, first, size, unnest(range(first // 64, (first + size - 1) // 64 + 1)) AS block
+        FROM placed WHERE size > 0),
+got AS (SELECT r, sum((least(first + size, (block + 1) * 64) - greatest(first, block * 64)) * times) AS taken
+        FROM cut JOIN times USING (rank, block) GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (r)
+""".replace("{M}", "((('0x' || substr(md5('mix/' || rank || '/' || pass || '/' || r || '/k'), 1, 13))::BIGINT % n + n - x) % n)")
+
+OP9 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_SPACED} AS w FROM documents),
+t AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT r, i, len(w) AS n_words, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS w2,
+             CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS w3 FROM t),
+c AS (SELECT r, i, n_words, count(*) OVER () AS total,
+             count(w1) OVER (PARTITION BY w1) - count(w1) OVER (PARTITION BY r, w1) AS c1,
+             count(w2) OVER (PARTITION BY w2) - count(w2) OVER (PARTITION BY r, w2) AS c2,
+             count(w3) OVER (PARTITION BY w3) - count(w3) OVER (PARTITION BY r, w3) AS c3 FROM g),
+x AS (SELECT *, lag(c1) OVER o AS b1, lag(c2) OVER o AS b2 FROM c WINDOW o AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT r, avg(CASE WHEN c3 > 0 THEN ln(c3 / b2) WHEN c2 > 0 THEN ln(c2 / b1) + ln(0.4)
+                         ELSE ln(CASE WHEN c1 > 0 THEN c1 ELSE 0.5 END / greatest(total - n_words, 1)) + 2 * ln(0.4) END) AS score,
+             count(*) FILTER (WHERE c3 > 0) AS seen_3, count(*) FILTER (WHERE c3 = 0 AND c2 > 0) AS seen_2,
+             count(*) FILTER (WHERE c3 = 0 AND c2 = 0 AND c1 > 0) AS seen_1 FROM x GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, score, coalesce(seen_1, 0) AS seen_1, coalesce(seen_2, 0) AS seen_2,
+       coalesce(seen_3, 0) AS seen_3 FROM d LEFT JOIN s USING (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op4_quality_rules": _op4(),
     "op6_decontamination": OP6,
+    "op8_mixing": OP8,
+    "op9_lm_score": OP9,
 }
