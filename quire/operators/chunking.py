@@ -98,31 +98,38 @@ def chunk_documents(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP
         T.byte_size("text").alias("bytes"))
 
 
+def part_lines(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
+    """(key, chunk_no, first, lines): a row a part with its lines and the number of its
+    first line, so that work on lines goes through each line once."""
+    b = materialize(docs, [key], _l=split_lines(text))
+    b = materialize(b, [key, "_l"], _b=chunk_breaks("_l", cap))
+    bounds = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("_b")).alias("s"),
+                          F.concat(F.col("_b"), F.array(F.size("_l"))).alias("e"))
+    parts = F.transform(bounds, lambda r: F.struct(
+        r["s"].alias("first"), F.slice(F.col("_l"), r["s"] + 1, r["e"] - r["s"]).alias("lines")))
+    return b.select(key, F.posexplode(parts).alias("_p", "_part")).select(
+        key, (F.col("_p") + 1).cast("bigint").alias("chunk_no"), "_part.first", "_part.lines")
+
+
 def line_chunks(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
     """(key, line_no, chunk_no, line) - the part number of every line (0-based line_no)."""
-    lines = split_lines(text)
-    b = materialize(docs, [key], _l=lines)
-    b = materialize(b, [key, "_l"], _b=chunk_breaks("_l", cap))
-    e = b.select(key, "_b", F.posexplode("_l").alias("line_no", "line"))
-    return e.select(key, F.col("line_no").cast("bigint").alias("line_no"),
-                    (F.size(F.filter("_b", lambda x: x <= F.col("line_no"))) + 1)
-                    .cast("bigint").alias("chunk_no"), "line")
+    e = part_lines(docs, key, text, cap).select(key, "chunk_no", "first", F.posexplode("lines").alias("_i", "line"))
+    return e.select(key, (F.col("first") + F.col("_i")).cast("bigint").alias("line_no"), "chunk_no", "line")
 
 
 # -- CHK-2 ---------------------------------------------------------------------
 
-def section_structs(lines, breaks) -> Column:
-    """Array of (line_no, chunk_no, level, title) for '>>'/'>>>' section lines.
+def section_structs(lines, first) -> Column:
+    """Array of (line_no, level, title) for '>>'/'>>>' section lines of a part.
 
     Only lines starting '>>' (and not '>>>>') are looked at further, so long
     body lines cost one prefix test each.
     """
-    lines, breaks = _c(lines), _c(breaks)
+    lines = _c(lines)
     cand = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
                     lambda s: s["x"].startswith(">>") & ~s["x"].startswith(">>>>"))
     tagged = F.transform(cand, lambda s: F.struct(
-        s["i"].cast("bigint").alias("line_no"),
-        (F.size(F.filter(breaks, lambda b: b <= s["i"])) + 1).cast("bigint").alias("chunk_no"),
+        (_c(first) + s["i"]).cast("bigint").alias("line_no"),
         (F.length(s["x"]) - F.length(F.regexp_replace(s["x"], "^>+", ""))).cast("int").alias("level"),
         T.py_strip(F.regexp_replace(s["x"], "^>+", "")).alias("title"),
     ))
@@ -131,11 +138,9 @@ def section_structs(lines, breaks) -> Column:
 
 def section_index(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
     """(key, chunk_no, line_no, level, title) for every level-2/3 section line."""
-    lines = split_lines(text)
-    b = materialize(docs, [key], _l=lines)
-    b = materialize(b, [key, "_l"], _b=chunk_breaks("_l", cap))
-    s = b.select(key, F.explode(section_structs("_l", "_b")).alias("s"))
-    return s.select(key, "s.chunk_no", "s.line_no", "s.level", "s.title")
+    p = part_lines(docs, key, text, cap)
+    s = p.select(key, "chunk_no", F.explode(section_structs("lines", "first")).alias("s"))
+    return s.select(key, "chunk_no", "s.line_no", "s.level", "s.title")
 
 
 # -- CHK-3 / AGG-5 / AGG-6 -------------------------------------------------------
@@ -143,13 +148,10 @@ def section_index(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP)
 def part_index(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
     """(key, chunk_no, bytes, label, sections): part list with up to three section
     titles in document order; an untitled first part is the Introduction."""
-    lines = split_lines(text)
-    b = materialize(docs, [key], _l=lines)
-    b = materialize(b, [key, "_l"], _b=chunk_breaks("_l", cap))
-    b = materialize(b, [key], _parts=chunk_array("_l", "_b"), _secs=section_structs("_l", "_b"))
-    p = b.select(key, "_secs", F.posexplode("_parts").alias("_p", "_text"))
-    no = (F.col("_p") + 1).cast("bigint")
-    titles = F.transform(F.filter("_secs", lambda s: s["chunk_no"] == no), lambda s: s["title"])
+    p = materialize(part_lines(docs, key, text, cap), [key, "chunk_no"],
+                    _text=F.array_join("lines", "\n"), _secs=section_structs("lines", "first"))
+    no = F.col("chunk_no")
+    titles = F.transform("_secs", lambda s: s["title"])
     first3 = F.slice(titles, 1, MAX_SECTION_LABELS)
     desc = F.when((F.size(titles) == 0) & (no == 1), F.lit(INTRO_LABEL)) \
         .otherwise(F.array_join(first3, ", "))
