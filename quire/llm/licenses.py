@@ -200,7 +200,8 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", ke
         *kept, "dir", "own", (F.col("own").isNotNull() & (F.col("mostly") | F.col("is_named")))
         .alias("is_license_file"))
     mine = stored(mine, "own")
-    above = inherit(mine.select("dir", "own", "is_license_file"))
+    # stored, so that the join shuffles both sides and a directory of many files can be split
+    above = stored(inherit(mine.select("dir", "own", "is_license_file")), "inherited")
     joined = mine.join(above, "dir", "left")
     inherits = F.col("own").isNull() & F.col("license").isNotNull()
     return joined.select(
