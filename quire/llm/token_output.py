@@ -52,7 +52,7 @@ LAYOUT = {
 #: Cached encodings a worker; the cache starts anew beyond it.
 CACHE_ENTRIES = 1_500_000
 #: Bytes of text that are encoded at a time.
-ENCODE_BYTES = 3 << 20
+ENCODE_BYTES = 1 << 20
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
@@ -142,11 +142,12 @@ class WordEncoder:
         begin = self.total + np.concatenate([[0], np.cumsum(size[order])[:-1]])
         self.ids = [np.concatenate([*self.ids, *ids])]
         self.total = len(self.ids[0])
-        joined = np.concatenate([self.keys, keys[order]])
-        by_key = np.argsort(joined, kind="stable")
-        self.keys = joined[by_key]
-        self.begin = np.concatenate([self.begin, begin])[by_key]
-        self.size = np.concatenate([self.size, size[order]])[by_key]
+        by_key = np.argsort(keys[order])
+        fresh = keys[order][by_key]
+        at = np.searchsorted(self.keys, fresh)
+        self.keys = np.insert(self.keys, at, fresh)
+        self.begin = np.insert(self.begin, at, begin[by_key])
+        self.size = np.insert(self.size, at, size[order][by_key])
 
 
 def _pieces(data: np.ndarray, off: np.ndarray):

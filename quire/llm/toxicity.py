@@ -55,6 +55,8 @@ WINDOW_BYTES = 48
 PREDICT_AT = 0.7
 #: Cached windows a worker; the cache starts anew beyond it.
 CACHE_ENTRIES = 1_500_000
+#: Bytes of text that are scored at a time; array memory is a small multiple of it.
+SCORE_BYTES = 1 << 20
 #: Savings are counted in this range.
 LEAST, MOST = -4, 10
 
@@ -106,7 +108,7 @@ class Scorer:
     def savings(self, column: pa.Array):
         """(saving of every window, index of each row's first window) for runs of rows."""
         column = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
-        for _, data, off in words.chunks(column, 2 << 20):
+        for _, data, off in words.chunks(column, SCORE_BYTES):
             start, end, first = _windows(data, off)
             if not len(start):
                 yield np.zeros(0, dtype=np.int64), first
@@ -138,10 +140,10 @@ class Scorer:
         for i, w in enumerate(windows):
             block = _HEAD + b" " + w + b" " + _TAIL
             saved[i] = len(plain(block)) - len(with_toxic(block))
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.saved = np.concatenate([self.saved, np.clip(saved, LEAST, MOST).astype(np.int8)])[order]
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.saved = np.insert(self.saved, at, np.clip(saved, LEAST, MOST).astype(np.int8)[order])
 
     def sums(self, column: pa.Array) -> np.ndarray:
         """Summed log likelihood ratio of each text."""
@@ -326,17 +328,19 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[s
           score_col: str = "score") -> DataFrame:
     """The columns in ``keep`` (all by default) and the score of every row."""
     kept = docs.columns if keep is None else keep
+    read = text_col if text_col in kept else "__text"  # the text goes to Python once
 
     def scored(batches):
         scorer = _scorer(model)
         for batch in batches:
-            values = scorer.scores(batch.column("__text"))
+            values = scorer.scores(batch.column(read))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(values, type=pa.float64())], names=[*kept, score_col])
 
     schema = docs.select(*kept).schema.add(score_col, "double")
     ship_package(docs.sparkSession)
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(scored, schema)
+    source = docs.select(*kept) if read == text_col else docs.select(*kept, F.col(text_col).alias(read))
+    return source.mapInArrow(scored, schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", at: float = PREDICT_AT) -> DataFrame:
