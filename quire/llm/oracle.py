@@ -2,8 +2,8 @@
 
 Not expressible: op1 (the tokenizer), op2 (reachability over similarity links
 needs a recursion that SQL runs too slowly on whole tables), op3 (a trained
-model), op5 (CRC-32) and op7 (span positions).  These and op10 are tested
-against brute-force versions and fixtures.
+model), op5 (CRC-32) and op7 (span positions).  They are tested against
+brute-force versions.
 """
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -109,9 +109,57 @@ SELECT doc_id, len(w)::BIGINT AS n_words, score, coalesce(seen_1, 0) AS seen_1,
        coalesce(seen_3, 0) AS seen_3 FROM d LEFT JOIN s USING (r)
 """
 
+
+
+def _op10() -> str:
+    from quire.llm import licenses as lic
+
+    rows = ", ".join(f"({i}, '{name}', '{term}')" for i, (name, text) in enumerate(lic.TEMPLATES)
+                     for term in lic._term_list(text))
+    lower = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    terms = lambda x: f"regexp_extract_all({lower.format(x=x)}, '{lic.TERM}')"
+    n_words = lambda x: f"len(regexp_extract_all({x}, '[^\\x20\\x09-\\x0D]+'))"
+    return f"""
+WITH tt(template, license, term) AS (VALUES {rows}),
+d AS (SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'none'),
+             CASE WHEN doc_id % 3 > 0 THEN coalesce(lang, 'none') END,
+             CASE WHEN doc_id % 3 > 1 THEN (doc_id // 50)::VARCHAR END, doc_id::VARCHAR || '.txt') AS path
+      FROM documents),
+n AS (SELECT count(*) AS files FROM d),
+held AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({terms('text')})) AS term FROM d) GROUP BY term),
+idf AS (SELECT DISTINCT tt.term, ln((1 + files) / (1 + coalesce(df, 0))) + 1 AS idf
+        FROM tt CROSS JOIN n LEFT JOIN held USING (term)),
+raw AS (SELECT template, license, term, count(*) * any_value(idf) AS w FROM tt JOIN idf USING (term) GROUP BY ALL),
+tv AS (SELECT template, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS w FROM raw),
+ln_ AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM d),
+lt AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest({terms('line')}) AS term FROM ln_) GROUP BY ALL),
+lw AS (SELECT line, lt.term, tf * coalesce(idf, ln(1 + files) + 1) AS w FROM lt CROSS JOIN n LEFT JOIN idf USING (term)),
+norm AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY line),
+near AS (SELECT line, license, round(sum(lw.w * tv.w) / any_value(norm), 9) AS cosine
+         FROM lw JOIN tv USING (term) JOIN norm USING (line) GROUP BY line, template, license),
+named AS (SELECT line, min((-cosine, license)) AS best FROM near WHERE cosine >= {lic.LEAST} GROUP BY line),
+hit AS (SELECT DISTINCT text, line, best FROM (SELECT text, unnest(string_split(text, chr(10))) AS line FROM d)
+        JOIN named USING (line)),
+own AS (SELECT text, min(best)[2] AS own, sum({n_words('line')}) >= {lic.FILE_SHARE} * {n_words('text')} AS mostly
+        FROM hit GROUP BY text),
+f AS (SELECT doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, own, own IS NOT NULL AND mostly AS is_file
+      FROM d LEFT JOIN own USING (text)),
+votes AS (SELECT dir, own AS license, count(*) AS votes FROM f WHERE is_file GROUP BY ALL),
+licensed AS (SELECT dir AS license_dir, min((-votes, license))[2] AS license FROM votes GROUP BY dir),
+above AS (SELECT dir, arg_max((license, license_dir), length(license_dir)) AS x
+          FROM (SELECT DISTINCT dir FROM f WHERE own IS NULL)
+          JOIN licensed ON license_dir = '' OR dir = license_dir OR starts_with(dir, license_dir || '/') GROUP BY dir)
+SELECT doc_id, path, coalesce(own, x[1]) AS license,
+       CASE WHEN own IS NOT NULL THEN 'own' WHEN x IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN own IS NULL THEN x[2] END AS license_dir
+FROM f LEFT JOIN above USING (dir)
+"""
+
+
 ORACLE: dict[str, str] = {
     "op4_quality_rules": _op4(),
     "op6_decontamination": OP6,
     "op8_mixing": OP8,
     "op9_lm_score": OP9,
+    "op10_license_scan": _op10(),
 }
