@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.common import ship_package, stored
+from quire.llm.common import once, ship_package, stored
 from quire.llm.components import components
 
 N = 5
@@ -177,10 +177,11 @@ class Jaccard:
         one = rows.groupBy("class").agg(F.first("n").alias("n"), F.first("sampled").alias("sampled"))
         in_sample = F.size(F.filter("ordered", lambda x: ~x["later"]))
         least = F.floor((F.lit(self.percent) * F.col("n") + 99) / 100)
-        # places before the shared ones: n-grams of this class alone, which are the rarest
-        placed = one.join(ordered, "class").select(
-            "class", "n", (F.col("sampled") - in_sample).alias("alone"),
-            (F.col("n") - least + 1).cast("int").alias("prefix"), F.posexplode("ordered"))
+        # places before the shared ones: n-grams of this class alone, which are the rarest; counted
+        # once a class, before its n-grams become rows
+        counted = once(one.join(ordered, "class"), ["class", "n", "ordered"],
+                       alone=F.col("sampled") - in_sample, prefix=(F.col("n") - least + 1).cast("int"))
+        placed = counted.select("class", "n", "alone", "prefix", F.posexplode("ordered"))
         place = F.when(F.col("col.later"), F.col("col.rank")).otherwise(F.col("alone") + F.col("pos"))
         return placed.select(F.col("col.gram").alias("gram"), "class", "n", place.cast("int").alias("place"),
                              "alone", "prefix").where("place < prefix").drop("prefix")
@@ -323,8 +324,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     firsts = Jaccard(docs, id_col=id_col, text_col=text_col, **options).firsts()
     rows = docs.select(F.col(id_col).alias("doc_id"), *_text_key(text_col),
                        F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
-    once = rows.groupBy("doc_id", "k1", "k2").agg(F.first("__row").alias("__row"))
+    single = rows.groupBy("doc_id", "k1", "k2").agg(F.first("__row").alias("__row"))
     same = (F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.k1") == F.col("f.k1"))
             & (F.col("r.k2") == F.col("f.k2")))
-    return once.alias("r").join(firsts.alias("f"), same, "left_semi").select(
+    return single.alias("r").join(firsts.alias("f"), same, "left_semi").select(
         *[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
