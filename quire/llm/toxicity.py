@@ -8,8 +8,11 @@ the bytes that the toxic dictionary saves are compared:
 
 * per window, the saving is turned into a log likelihood ratio by thresholds
   calibrated on labelled windows that the dictionaries were not trained on;
-* per text, the sum of the ratios is calibrated to a probability; a window
-  that speaks for toxicity counts once a text, so repeats do not add up.
+* per passage, the ratios are summed; a window that speaks for toxicity counts
+  once a passage, so repeats do not add up.  Passages are the whole text and
+  overlapping runs of ``PASSAGE`` windows and of 4, 16, ... times as many;
+* per text, the largest sum of its passages is calibrated to a probability.
+  Clean text before or behind a passage takes nothing from it.
 
 Only the text is used for a score.  The fit uses a bounded sample: at most
 ``TRAIN_TOXIC`` and ``TRAIN_ORDINARY`` labelled rows in the order of the hash
@@ -52,6 +55,8 @@ ORDINARY_WORDS = 150_000
 #: How much more often toxic wording must stand in toxic texts than in ordinary ones.
 RARITY = 15
 WINDOW_BYTES = 48
+#: Windows in the shortest passages of a text; passages start every half of their length.
+PASSAGE = 256
 PREDICT_AT = 0.7
 #: Cached windows a worker; the cache starts anew beyond it.
 CACHE_ENTRIES = 1_500_000
@@ -106,12 +111,12 @@ class Scorer:
         self.saved = np.zeros(0, dtype=np.int8)
 
     def savings(self, column: pa.Array):
-        """(saving of every window, index of each row's first window) for runs of rows."""
+        """(saving and code of every window, index of each row's first window) for runs of rows."""
         column = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
         for _, data, off in words.chunks(column, SCORE_BYTES):
             start, end, first = _windows(data, off)
             if not len(start):
-                yield np.zeros(0, dtype=np.int64), first
+                yield np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), first
                 continue
             codes, distinct = pd.factorize(words.word_hashes(data, start, end))
             if len(self.keys) + len(distinct) > CACHE_ENTRIES:
@@ -125,7 +130,7 @@ class Scorer:
                 self._learn(distinct[~known], [
                     data[a:b].tobytes() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
                 at = self._places(distinct)
-            yield _first_only(self.saved[at][codes].astype(np.int64), codes, first), first
+            yield self.saved[at][codes].astype(np.int64), codes, first
 
     def _places(self, distinct: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, distinct)
@@ -146,12 +151,20 @@ class Scorer:
         self.saved = np.insert(self.saved, at, np.clip(saved, LEAST, MOST).astype(np.int8)[order])
 
     def sums(self, column: pa.Array) -> np.ndarray:
-        """Summed log likelihood ratio of each text."""
+        """Largest summed log likelihood ratio of each text's passages."""
         ratios = np.array(self.model.ratios)
         out = [np.zeros(0)]
-        for saved, first in self.savings(column):
+        for saved, codes, first in self.savings(column):
+            best = np.full(len(first) - 1, -np.inf)
+            hits = np.flatnonzero(saved >= 2)
+            gain = ratios[saved[hits] - LEAST] - ratios[-LEAST]
+            saved[hits] = 0
             total = np.concatenate([[0.0], np.cumsum(ratios[saved - LEAST])])
-            out.append(total[first[1:]] - total[first[:-1]])
+            for row, start, end in _passages(first):
+                passage, at = _distinct_hits(hits, codes, start, end)
+                sums = total[end] - total[start] + np.bincount(passage, gain[at], len(start))
+                np.maximum.at(best, row, sums)
+            out.append(best)
         return np.concatenate(out)
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -160,16 +173,32 @@ class Scorer:
         return _logistic(self.model.slope * self.sums(column) + self.model.offset)
 
 
-def _first_only(saved: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Savings of two bytes or more count as none where the window repeats in its row."""
-    at = np.flatnonzero(saved >= 2)
-    if len(at):
-        pairs = words.rows_of(at, first) * (int(codes.max()) + 1) + codes[at]
-        _, kept = np.unique(pairs, return_index=True)
-        again = np.ones(len(at), dtype=bool)
-        again[kept] = False
-        saved[at[again]] = 0
-    return saved
+def _passages(first: np.ndarray):
+    """(row, first window, last window + 1) of passages: whole texts, then the runs of each length."""
+    counts = np.diff(first)
+    yield np.arange(len(counts)), first[:-1], first[1:]
+    length = PASSAGE
+    while (longer := np.flatnonzero(counts > length)).size:
+        step = length // 2
+        room = counts[longer] - length
+        many = -(-room // step) + 1
+        row = np.repeat(longer, many)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        start = first[row] + np.minimum(nth * step, np.repeat(room, many))  # the last ends with its text
+        yield row, start, start + length
+        length *= 4
+
+
+def _distinct_hits(hits: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(passage, index in ``hits``) of the hits in each passage, of equal windows the first only."""
+    low, high = np.searchsorted(end, hits, side="right"), np.searchsorted(start, hits, side="right")
+    many = high - low
+    at = np.repeat(np.arange(len(hits)), many)
+    passage = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+    if not len(at):
+        return passage, at
+    _, kept = np.unique(passage * (int(codes.max()) + 1) + codes[hits[at]], return_index=True)
+    return passage[kept], at[kept]
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -258,13 +287,18 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     scorer = Scorer(model)
 
     def histogram(texts):
-        counts, each = Counter(), []
-        for saved, first in scorer.savings(pa.array(texts, type=pa.large_string())):
+        counts = Counter()
+        for saved, codes, first in scorer.savings(pa.array(texts, type=pa.large_string())):
+            # side by side, so that a passage counts its windows as a score does
+            start = np.concatenate([np.arange(a, b, PASSAGE) for a, b in zip(first[:-1], first[1:], strict=True)])
+            hits = np.flatnonzero(saved >= 2)
+            _, once = _distinct_hits(hits, codes, start, np.append(start[1:], len(saved)))
+            again = np.delete(hits, once)
+            saved[again] = 0
             counts.update((saved - LEAST).tolist())
-            each += [saved[a:b] - LEAST for a, b in zip(first[:-1], first[1:], strict=True)]
-        return counts, each
+        return counts
 
-    (t, t_each), (o, o_each) = histogram(check(toxic)), histogram(check(ordinary))
+    t, o = histogram(check(toxic)), histogram(check(ordinary))
     n_t, n_o = sum(t.values()), sum(o.values())
     if not n_t or not n_o:
         return flat
@@ -272,8 +306,9 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
                        for i in range(MOST - LEAST + 1)])
     ratios[:2 - LEAST] = np.minimum(ratios[:2 - LEAST], 0.5)   # a saving under two bytes is chance
     ratios[2 - LEAST:] = np.maximum.accumulate(ratios[2 - LEAST:])  # more saved is never less toxic
-    x = np.array([ratios[s].sum() for s in t_each + o_each])
-    y = np.array([1.0] * len(t_each) + [0.0] * len(o_each))
+    scorer.model = Model(model.ordinary, model.toxic, tuple(ratios.tolist()))
+    x = scorer.sums(pa.array(check(toxic) + check(ordinary), type=pa.large_string()))
+    y = np.array([1.0] * len(check(toxic)) + [0.0] * len(check(ordinary)))
     slope, offset = _calibrate(x, y)
     return Model(model.ordinary, model.toxic, tuple(ratios.tolist()), slope, offset)
 

@@ -148,6 +148,39 @@ def test_toxicity_on_held_out_rows(labelled):
     assert (flagged & ~toxic).sum() < 0.01 * (~toxic).sum()
 
 
+def test_toxic_passages_of_long_texts_score_as_toxic(labelled):
+    model, rows = labelled
+    scorer = toxicity.Scorer(model)
+    flagged = dict(zip([r["text"] for r in rows], scorer.scores(pa.array([r["text"] for r in rows])) >= toxicity.PREDICT_AT,
+                       strict=True))
+    toxic = [r["text"] for r in rows if r["toxic"] == 1 and r["text"] and flagged[r["text"]]]
+    clean = [r["text"] for r in rows if r["toxic"] == 0 and r["text"] and not flagged[r["text"]]]
+    words, padding = 0, []
+    while words < 20_000:
+        padding.append(clean[len(padding)])
+        words += len(padding[-1].split())
+    padding = "\n".join(padding)
+    found = scorer.scores(pa.array([x for t in toxic for x in (f"{t}\n{padding}", f"{padding}\n{t}")])) >= toxicity.PREDICT_AT
+    assert found.mean() > 0.8
+    joined = scorer.scores(pa.array(["\n".join(toxic), "\n".join([padding, *toxic, padding]), padding]))
+    assert (joined >= toxicity.PREDICT_AT).tolist() == [True, True, False]
+
+
+def test_best_passage_by_brute_force():
+    model = toxicity.Model(b"plain words", b" scum  idiot ", tuple([-0.1] * 6 + [4.0] * 9), 1.0, 0.0)
+    texts = ["", "idiot", "ok " * 300 + "idiot scum idiot " + "ok " * 900, "scum " * 1500, "ok " * 257]
+    got = toxicity.Scorer(model).sums(pa.array([*texts, None]))
+    for text, value in zip([*texts, ""], got, strict=True):
+        run = text.split()
+        size, passages = toxicity.PASSAGE, [run]
+        while len(run) > size:
+            steps = range(0, len(run) - size, size // 2)
+            passages += [run[i:i + size] for i in [*steps, len(run) - size]]
+            size *= 4
+        sums = [sum(-0.1 for w in p) + 4.1 * len({*p} & {"idiot", "scum"}) for p in passages]
+        assert value == pytest.approx(max(sums)), text[:40]
+
+
 def test_toxicity_scores_in_spark_equal_the_scorer(spark, labelled):
     model, _ = labelled
     docs = brute.frame(spark, brute.EDGES + [(20, "worthless " * 3 + "pathetic scum, you idiot")])
