@@ -394,6 +394,56 @@ def test_license_scan(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+MIT_FILE = """Copyright (c) 2021 Somebody Else
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_license_scan_of_wrapped_notices_and_whole_files(spark):
+    code = "\nint f(int a) { return a + 1; }" * 40
+    wrapped = {
+        "bsd.c": ("BSD-3-Clause", ["Redistribution and use in source and binary forms, with or without",
+                                   "modification, are permitted provided that the following conditions are met:"]),
+        "style.c": ("BSD-3-Clause", ["Use of this source code is governed by a BSD-style", "license that can be found in",
+                                     "the LICENSE file."]),
+        "isc.c": ("ISC", ["Permission to use, copy, modify, and/or distribute", "this software for any purpose with or",
+                          "without fee is hereby granted"]),
+        "gpl.c": ("GPL-3.0", ["This program is free software: you can redistribute it", "and/or modify it under the terms",
+                              "of the GNU General Public License as", "published by the Free Software Foundation, either",
+                              "version 3 of the License, or any later version."]),
+    }
+    files = [(f"w/{mark}/{name}", "".join(f"\n{mark} {x}" for x in lines) + code, license)
+             for mark in ("#", "*") for name, (license, lines) in wrapped.items()]
+    files.append(("x/paragraph.txt", "Some long paragraph of other wording, and then: released under the MIT License. " + "It "
+                  "goes on for quite a while after that with words of no telling kind at all, on one and the same line. " * 3, "MIT"))
+    files += [(f"f{i}/whole.txt", text, name) for i, (name, text) in enumerate(licenses.FILES)]
+    files += [(f"f{i}/a.c", code, name) for i, (name, _) in enumerate(licenses.FILES)]
+    files += [("m/text", MIT_FILE, "MIT"), ("m/a.c", code, "MIT"), ("w/#/other.c", code, None)]
+    files += [(f"v/{i}", "the words of this file and the use of any other, in the form that you have " * 3 + str(i), None)
+              for i in range(60)]
+    rows = licenses.scan(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()
+    assert len(rows) == len(files)
+    got = {r["path"]: r["license"] for r in rows}
+    assert got == {path: license for path, _, license in files}
+    assert {r["origin"] for r in rows if r["path"].endswith("/a.c")} == {"inherited"}
+
+
 def test_left_out_lines_are_out_of_reach():
     idf = licenses.weights(1000, {t: 500 if len(t) < 4 else 3 for _, x in licenses.TEMPLATES for t in licenses._term_list(x)})
     vectors = licenses.template_vectors(idf)
