@@ -98,10 +98,15 @@ class WordEncoder:
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of all texts, number of ids of each) for runs of rows."""
         for _, data, off in words.chunks(column, ENCODE_BYTES):
-            yield self._chunk(words.LOWER[data], off)
+            yield self._chunk(data, off)
 
-    def _chunk(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _chunk(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = words.LOWER[raw]
         start, end, first = _pieces(data, off)
+        # special tokens are looked for before letters are lower-cased
+        special = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+        for i in np.unique(np.searchsorted(start, special, side="right") - 1).tolist():
+            data[start[i]:end[i]] = raw[start[i]:end[i]]
         if not len(start):
             return np.zeros(0, dtype=np.int32), np.zeros(len(off) - 1, dtype=np.int64)
         codes, distinct = pd.factorize(words.word_hashes(data, start, end))

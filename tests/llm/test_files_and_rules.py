@@ -6,6 +6,8 @@ import struct
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +43,18 @@ def expected_tokens(tokenizer, rows):
     return out
 
 
+def test_special_tokens_in_any_case_equal_whole_texts():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|ENDOFTEXT|>", "<|endoftext|>", "A <|EndOfText|> b, X<|ENDOFTEXT|>Y.Z <|StartOfText|>", "IF A<|B|>C<", "|ENDOFTEXT|>",
+             "", "Plain WORDS don't", "<|ENDOFTEXT|><|endoftext|>Word"]
+    ids, sizes = next(token_output.WordEncoder(tokenizer_path()).encode(pa.array(texts)))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+
 def test_token_files_hold_whole_text_encodings(spark, tokenizer):
     docs = brute.frame(spark, brute.EDGES)
     path = new_path(spark, "test")
