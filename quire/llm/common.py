@@ -71,6 +71,13 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def refuse_clash(columns, written) -> None:
+    """Raise the one error that operators give where a kept column has the name of one they write."""
+    clash = sorted(set(written) & set(columns))
+    if clash:
+        raise ValueError(f"columns {clash} are written by the operator; rename them first")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, licenses, lm_score, mixing, quality_rules, secret_scan, sharding, token_output, toxicity
+from quire.llm import decontaminate, fill_middle, licenses, lm_score, mixing, quality_rules, secret_scan, sharding, token_output, toxicity
 from quire.llm.common import new_path, table
 from quire.llm.ngram_jaccard import Jaccard
 from quire.llm.oracle import ORACLE  # noqa: F401
@@ -106,6 +106,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, keep=["doc_id", "path"])
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its fill-in-middle form, and the text rebuilt from that."""
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    digests = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    return fill_middle.restore(made, keep=digests).select(*digests, "restored_sha256")
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -117,4 +124,5 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_lm_score": op9_lm_score,
     "op10_license_scan": op10_license_scan,
+    "op12_fill_middle": op12_fill_middle,
 }
