@@ -180,6 +180,26 @@ FROM o
 """
 
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH it AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+total AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d),
+m AS (SELECT r, doc_id, 50 + (50 * len(t) * n_docs) // n_terms AS m FROM d, total WHERE len(t) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d)
+       SEMI JOIN (SELECT DISTINCT term FROM it) USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+s AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM it JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score,
+             row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM s JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+
 ORACLE: dict[str, str] = {
     "op4_quality_rules": _op4(),
     "op6_decontamination": OP6,
@@ -187,4 +207,5 @@ ORACLE: dict[str, str] = {
     "op9_lm_score": OP9,
     "op10_license_scan": _op10(),
     "op12_fill_middle": OP12,
+    "op13_lexical_search": OP13,
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, fill_middle, licenses, lm_score, mixing, quality_rules, secret_scan, sharding, token_output, toxicity
+from quire.llm import (decontaminate, fill_middle, lexical_tree, licenses, lm_score, mixing, quality_rules, secret_scan,
+                       sharding, token_output, toxicity)
 from quire.llm.common import new_path, table
 from quire.llm.ngram_jaccard import Jaccard
 from quire.llm.oracle import ORACLE  # noqa: F401
@@ -113,6 +114,11 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.restore(made, keep=digests).select(*digests, "restored_sha256")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -125,4 +131,5 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_license_scan": op10_license_scan,
     "op12_fill_middle": op12_fill_middle,
+    "op13_lexical_search": op13_lexical_search,
 }
