@@ -57,7 +57,7 @@ BLOCK_TERMS = 8192
 GROUP_DOCS = 1 << 14
 GROUP_ENTRIES = 1 << 21
 #: Documents below a node that is not divided further.
-LEAF = 32
+LEAF = 64
 #: Parts in which the best of an item are ranked first.
 SALTS = 64
 

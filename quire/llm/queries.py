@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import (decontaminate, fill_middle, lexical_tree, licenses, lm_score, mixing, quality_rules, secret_scan,
-                       sharding, token_output, toxicity)
+from quire.llm import (curve_packing, decontaminate, fill_middle, lexical_tree, licenses, lm_score, mixing, quality_rules,
+                       secret_scan, sharding, token_output, toxicity)
 from quire.llm.common import new_path, table
 from quire.llm.ngram_jaccard import Jaccard
 from quire.llm.oracle import ORACLE  # noqa: F401
@@ -107,6 +107,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, keep=["doc_id", "path"])
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens, read back from them."""
+    path = new_path(spark, "sequences")
+    curve_packing.pack(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return curve_packing.pieces(curve_packing.read_sequences(spark, path))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in its fill-in-middle form, and the text rebuilt from that."""
     made = fill_middle.transform(table(spark, sf_dir, "documents"))
@@ -130,6 +137,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_lm_score": op9_lm_score,
     "op10_license_scan": op10_license_scan,
+    "op11_packing": op11_packing,
     "op12_fill_middle": op12_fill_middle,
     "op13_lexical_search": op13_lexical_search,
 }
