@@ -260,7 +260,7 @@ class Best:
             self.score, self.ids = score[order], ids[order]
 
 
-def _groups(batches):
+def _groups(batches, most_docs: int):
     """Vectors of one tree's documents: (ids, n, offsets, terms, counts)."""
     def joined(held):
         sizes = np.concatenate([h[2] for h in held])
@@ -277,7 +277,7 @@ def _groups(batches):
         row = 0
         while row < batch.num_rows:
             end = int(np.searchsorted(off, off[row] + GROUP_ENTRIES - entries, side="right")) - 1
-            end = min(max(end, row + (not held)), row + GROUP_DOCS - docs, batch.num_rows)
+            end = min(max(end, row + (not held)), row + most_docs - docs, batch.num_rows)
             if end > row:
                 run = slice(off[row] - off[0], off[end] - off[0])
                 held.append((ids[row:end], n[row:end], np.diff(off[row:end + 1]),
@@ -293,8 +293,8 @@ def _groups(batches):
 class Block:
     """The items that are searched together: their terms, and the weights once df is known."""
 
-    def __init__(self, items: list[tuple[int | None, list[int]]]):
-        self.items = items
+    def __init__(self, items: list[tuple[int | None, list[int]]], group_docs: int = GROUP_DOCS, leaf: int = LEAF):
+        self.items, self.group_docs, self.leaf = items, group_docs, leaf
         self.vocabulary = np.unique(np.array([t for _, terms in items for t in terms], dtype=np.int64).view(np.uint64))
 
     def weigh(self, df: dict[int, int], n_docs: int, n_terms: int) -> None:
@@ -313,12 +313,12 @@ class Block:
         """The best documents of one task for each item."""
         best = [Best(top) for _ in self.items]
         dense = np.zeros(len(self.vocabulary), dtype=np.int64)
-        for ids, n, off, terms, counts in _groups(batches):
+        for ids, n, off, terms, counts in _groups(batches, self.group_docs):
             # entries of a document in the order of the tree
             doc = np.repeat(np.arange(len(ids)), np.diff(off))
             order = np.lexsort((self.place[terms], doc))
             m = 50 + (50 * n * self.n_docs) // self.n_terms
-            tree = Tree(off, self.place[terms][order], counts[order], m, ids, len(self.vocabulary))
+            tree = Tree(off, self.place[terms][order], counts[order], m, ids, len(self.vocabulary), self.leaf)
             for wanted, found in zip(self.wanted, best, strict=True):
                 dense[wanted] = self.weight[wanted]
                 tree.search(wanted, self.weight[wanted], dense, found)
@@ -333,7 +333,7 @@ class Block:
 
 def search(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
            item_col: str = "item_id", item_text_col: str = "text", top: int = TOP,
-           block_terms: int = BLOCK_TERMS) -> DataFrame:
+           block_terms: int = BLOCK_TERMS, group_docs: int = GROUP_DOCS, leaf: int = LEAF) -> DataFrame:
     """(item_id, rank, doc_id, score): the best documents of each item.  Ids are integers."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -344,15 +344,16 @@ def search(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_co
     found = spark.createDataFrame([], "item_id long, doc_id long, score long")
     for number in range(n_blocks):
         found = found.unionByName(_search_block(
-            texts, terms.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == number), top))
+            texts, terms.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == number), top, group_docs, leaf))
     return ranked(found, top)
 
 
-def _search_block(texts: DataFrame, terms: DataFrame, top: int) -> DataFrame:
+def _search_block(texts: DataFrame, terms: DataFrame, top: int, group_docs: int, leaf: int) -> DataFrame:
     """(item_id, doc_id, score): candidates of the block's items from each task."""
     # one block of items, bounded by its terms
     block = Block([(r["item_id"], r["terms"]) for r in
-                   terms.groupBy("item_id").agg(F.collect_list("term").alias("terms")).orderBy("item_id").collect()])
+                   terms.groupBy("item_id").agg(F.collect_list("term").alias("terms")).orderBy("item_id").collect()],
+                  group_docs, leaf)
     vocabulary = block.vocabulary
     vectors = stored(texts.mapInArrow(lambda b: _vectors(b, vocabulary),
                                       "doc_id long, n long, terms array<int>, counts array<int>"), "vectors")

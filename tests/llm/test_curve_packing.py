@@ -31,7 +31,7 @@ def test_similar_documents_lie_close_along_the_curve():
     base = [[rng.randrange(40_000) for _ in range(300)] for _ in range(300)]
     near = [[t if rng.random() > 0.02 else rng.randrange(40_000) for t in ids] for ids in base]
     ids = np.array([t for doc in base + near for t in doc], dtype=np.int32)
-    cells = cp.cells_of(ids, np.full(600, 300))
+    cells = cp.cells_of(ids, np.full(600, 300), cp.projection(40_000))
     place = np.argsort(np.argsort(cp.hilbert_key(cells), kind="stable"))
     apart = np.abs(place[:300] - place[300:])
     assert np.median(apart) <= 10  # 200 if they lay at random
@@ -76,11 +76,11 @@ def wanted():
     return lambda text: (*tokenizer.encode(text, add_special_tokens=False).ids, 1)
 
 
-@pytest.mark.parametrize("length,parts", [(16, 1), (2048, 3), (1, 2)])
-def test_every_id_lies_in_one_piece(spark, wanted, length, parts):
+@pytest.mark.parametrize("length,parts,segment", [(16, 1, 7), (2048, 3, 4096), (1, 2, 100_000)])
+def test_every_id_lies_in_one_piece(spark, wanted, length, parts, segment):
     rows = brute.EDGES[:-4] + brute.EDGES[-3:] if length == 1 else brute.EDGES + [(100 + i, f"w{i} " * i) for i in range(60)]
     docs = brute.frame(spark, rows).repartition(parts)
-    check(packed(spark, docs, length=length).collect(), rows, wanted, length)
+    check(packed(spark, docs, length=length, segment=segment).collect(), rows, wanted, length)
 
 
 def test_string_ids_clashing_columns_and_empty_tables(spark, wanted):

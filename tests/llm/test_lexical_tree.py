@@ -61,14 +61,12 @@ def some_text(rng, n):
 
 @pytest.mark.parametrize("seed,top,leaf,group,block", [(1, 50, 64, 1 << 14, 8192), (2, 5, 2, 40, 8192), (3, 7, 1, 300, 12),
                                                      (4, 1, 4, 7, 30)])
-def test_search_equals_plain_scoring(spark, monkeypatch, seed, top, leaf, group, block):
-    monkeypatch.setattr(lt, "GROUP_DOCS", group)
-    monkeypatch.setattr(lt.Tree.__init__, "__defaults__", (leaf,))
+def test_search_equals_plain_scoring(spark, seed, top, leaf, group, block):
     rng = random.Random(seed)
     docs = [(i, some_text(rng, rng.randrange(0, 60))) for i in range(300)]
     docs += [(300 + i, docs[i % 3][1]) for i in range(90)]  # large groups of copies: ties by id
     items = [(i, some_text(rng, rng.randrange(1, 12))) for i in range(12)] + [(2, "w39 w1"), (90, None), (91, ""), (None, "w3 w30")]
-    check(spark, docs, items, top=top, block_terms=block)
+    check(spark, docs, items, top=top, block_terms=block, group_docs=group, leaf=leaf)
 
 
 def test_edges(spark):
