@@ -126,9 +126,9 @@ def _encode(batches, tokenizer_path: str, end_id: int, kind: str, n_ids: int, se
             segments = -(-(sizes + 1) // segment)
             doc = np.repeat(np.arange(rows), segments)
             start = segment * (np.arange(len(doc)) - np.repeat(np.cumsum(segments) - segments, segments))
-            own = batch.slice(row, rows).take(pa.array(doc))
+            own = batch.slice(row, rows)
             yield pa.RecordBatch.from_arrays(
-                [own.column("id"), own.column("tie"), pa.array(hilbert_key(cells_of(ids, sizes, projected))[doc]),
+                [own.column("id").take(pa.array(doc)), own.column("tie").take(pa.array(doc)), pa.array(hilbert_key(cells_of(ids, sizes, projected))[doc]),
                  pa.array(start), pa.array((sizes + 1)[doc]), _bytes(values, np.append(before[doc] + start, before[-1]))],
                 names=["id", "tie", "key", "start", "doc_tokens", "ids"])
             row += rows
