@@ -3,8 +3,11 @@
 A document is one row, so everything here runs *inside the row* on arrays
 with Spark's higher-order functions: no shuffle, no per-document grouping,
 and the work is spread over the input splits.  Only the greedy split itself
-is a sequential fold (``aggregate``); its state holds just the break
-positions and the running byte count, so it is O(lines + breaks²).
+is sequential.  Documents of up to ``LONG_LINES`` lines go through a fold
+(``aggregate``) whose state holds the break positions and the running byte
+count.  The engine copies that state at every line, which would make the fold
+quadratic, so longer documents jump from break to break over prefix sums of
+their line sizes: a binary search a break, linear in the document.
 
 Line-table variants (:func:`in_table_flags`, :func:`prev_heading_flags`)
 work on ``(doc, line_no, line)`` relations with window functions, for lines
@@ -13,18 +16,27 @@ that come from elsewhere.
 
 from __future__ import annotations
 
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.plan import materialize
 
+# Worker-side functions of this module travel by value, so executors need no
+# copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # ---------------------------------------------------------------------------
 # Fixed values
 # ---------------------------------------------------------------------------
 DEFAULT_CAP = 4096          # target part size in bytes
 SECTION_NUM, SECTION_DEN = 3, 5   # a section heading breaks once a part is past 3/5 of cap
 TABLE_FENCE = "`t"
+LONG_LINES = 4096           # documents of more lines are split outside the fold
 INTRO_LABEL = "Introduction"
 MAX_SECTION_LABELS = 3
 
@@ -76,6 +88,58 @@ def chunk_breaks(lines, cap: int = DEFAULT_CAP) -> Column:
     return F.aggregate(_line_facts(lines), init, step)["breaks"]
 
 
+def _jump_breaks(text: str, cap: int) -> list[int]:
+    """The breaks of one document: from each break straight to the next one."""
+    import numpy as np
+
+    lines = text.split("\n")
+    n = len(lines)
+    ends = np.append(np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 10) + 1, len(text.encode()) + 1)
+    before = np.concatenate([[0], ends])                # bytes before each line, newlines included
+    fence = np.fromiter((x.lstrip().startswith(TABLE_FENCE) for x in lines), bool, n)
+    in_table = (np.cumsum(fence) - fence) % 2 == 1
+    heading = np.fromiter((x.startswith(">") for x in lines), bool, n)
+    can = ~in_table
+    can[0] = False
+    can[1:] &= ~heading[:-1]
+    section = can & np.fromiter((x.startswith(">>") and not x.startswith(">>>") for x in lines), bool, n)
+    can, section = np.flatnonzero(can), np.flatnonzero(section)
+    threshold = cap * SECTION_NUM // SECTION_DEN
+
+    def first(places, at):
+        k = np.searchsorted(places, at)
+        return int(places[k]) if k < len(places) else n
+
+    breaks, at = [], 0
+    while True:
+        full = np.searchsorted(before[1:], before[at] + cap, side="right")       # the line that goes over the cap
+        late = np.searchsorted(before, before[at] + threshold, side="right")     # lines past the section threshold
+        at = min(first(can, max(full, at + 1)), first(section, max(late, at + 1)))
+        if at == n:
+            return breaks
+        breaks.append(at)
+
+
+def _long_breaks(text: Column, cap: int) -> Column:
+    """Breaks of the texts that are not null, as an array column."""
+    @F.pandas_udf("array<int>")
+    def jump(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else _jump_breaks(x, cap) for x in texts], dtype=object)
+
+    return jump(text)
+
+
+def _with_breaks(docs: DataFrame, keep: list[str], text: str, cap: int) -> DataFrame:
+    """``keep`` columns with the lines (``_l``) and breaks (``_b``) of every document."""
+    # lines and breaks are materialised columns: lambdas then read a column
+    # instead of re-splitting the text for every element
+    b = materialize(docs.select(*dict.fromkeys([*keep, text])), [*dict.fromkeys([*keep, text])], _l=split_lines(text))
+    is_long = F.size("_l") > LONG_LINES
+    # nulls stand for the documents of the other way, which skips them
+    b = materialize(b, [*keep, "_l"], _far=_long_breaks(F.when(is_long, F.col(text)), cap))
+    return materialize(b, [*keep, "_l"], _b=F.coalesce("_far", chunk_breaks(F.when(~is_long, F.col("_l")), cap)))
+
+
 def chunk_array(lines, breaks) -> Column:
     """Array of part texts from lines and break positions."""
     lines, breaks = _c(lines), _c(breaks)
@@ -88,10 +152,7 @@ def chunk_array(lines, breaks) -> Column:
 
 def chunk_documents(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
     """(key, chunk_no, text, bytes) - one row per part, 1-based numbering."""
-    # lines and breaks are materialised columns: lambdas then read a column
-    # instead of re-splitting the text for every element
-    b = materialize(docs, [key], _l=split_lines(text))
-    b = materialize(b, [key, "_l"], _b=chunk_breaks("_l", cap))
+    b = _with_breaks(docs, [key], text, cap)
     parts = b.select(key, chunk_array("_l", "_b").alias("_parts"))
     return parts.select(key, F.posexplode("_parts").alias("_p", "text")).select(
         key, (F.col("_p") + 1).cast("bigint").alias("chunk_no"), "text",
@@ -101,8 +162,7 @@ def chunk_documents(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP
 def part_lines(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
     """(key, chunk_no, first, lines): a row a part with its lines and the number of its
     first line, so that work on lines goes through each line once."""
-    b = materialize(docs, [key], _l=split_lines(text))
-    b = materialize(b, [key, "_l"], _b=chunk_breaks("_l", cap))
+    b = _with_breaks(docs, [key], text, cap)
     bounds = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("_b")).alias("s"),
                           F.concat(F.col("_b"), F.array(F.size("_l"))).alias("e"))
     parts = F.transform(bounds, lambda r: F.struct(
@@ -164,8 +224,7 @@ def part_index(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) ->
 
 def chunk_stats(docs: DataFrame, key: str, text: str, cap: int = DEFAULT_CAP) -> DataFrame:
     """(key, parts, bytes, max_part_bytes, size_label): per-document part facts."""
-    b = materialize(docs, [key], _t=F.col(text), _l=split_lines(text))
-    b = materialize(b, [key, "_t", "_l"], _b=chunk_breaks("_l", cap))
+    b = _with_breaks(docs.withColumn("_t", F.col(text)), [key, "_t"], "_t", cap)
     sizes = F.transform(chunk_array("_l", "_b"), lambda p: F.octet_length(p).cast("bigint"))
     return b.select(
         key,
