@@ -3,9 +3,9 @@
 The cache is a Parquet table ``render_cache(cache_key, archive, path,
 validator, text)``.  A hit needs the stored validator to equal the current one
 (entry size + renderer version), so only new or changed entries are rendered;
-an upsert replaces rows by key (last writer wins).  Writes go to a fresh
-directory that replaces the old one, so a failed job never leaves a half
-written cache behind.
+an upsert replaces rows by key (last writer wins).  A written cache is a
+version (``sources.versions``), so a failed job never leaves a half written
+one behind.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.sources import versions as V
 
 CACHE_SCHEMA = "cache_key string, archive string, path string, validator string, text string"
+CACHE_COLUMNS = ["cache_key", "archive", "path", "validator", "text"]
 
 
 def with_cache_keys(entries: DataFrame, version: str = T.RENDER_VERSION) -> DataFrame:
@@ -35,7 +37,7 @@ def cached_render(requests: DataFrame, cache: DataFrame) -> DataFrame:
 
 def last_writes(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per cache key: the greatest by ``order``, then by validator and text."""
-    cols = ["cache_key", "archive", "path", "validator", "text"]
+    cols = CACHE_COLUMNS
     by = [c for c in [*(order or []), "validator", "text"]]
     last = rows.groupBy("cache_key").agg(F.max(F.struct(*by, "archive", "path")).alias("_l"))
     return last.select("cache_key", *[F.col(f"_l.{c}").alias(c) for c in cols[1:]])
@@ -43,7 +45,7 @@ def last_writes(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 def upsert_cache(cache: DataFrame, fresh: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Cache rows replaced by key with the fresh ones; of several fresh rows the last by ``order``."""
-    cols = ["cache_key", "archive", "path", "validator", "text"]
+    cols = CACHE_COLUMNS
     new = last_writes(fresh, order)
     keep = cache.select(*cols).join(new.select("cache_key"), "cache_key", "left_anti")
     return keep.unionByName(new.select(*cols))
@@ -58,10 +60,13 @@ def render_missing(entries: DataFrame, cache: DataFrame, render) -> DataFrame:
     """
     e = with_cache_keys(entries)
     valid = cache.select("cache_key", "validator")
-    todo = e.join(valid, ["cache_key", "validator"], "left_anti")
-    last = todo.groupBy("cache_key").agg(
-        F.max(F.struct("entry_id", "size", "validator", "archive", "path", "html")).alias("_e"))
-    docs = last.select(F.col("cache_key").alias("doc_id"), "_e.archive", "_e.path", "_e.html", "_e.validator")
+    todo = e.select("cache_key", "validator", "entry_id", "size").join(valid, ["cache_key", "validator"], "left_anti")
+    # keys alone are aggregated; contents are read for the chosen ones
+    last = todo.groupBy("cache_key").agg(F.max(F.struct("entry_id", "size", "validator")).alias("_e")).select(
+        "cache_key", "_e.entry_id", "_e.size", "_e.validator")
+    docs = (e.join(last, ["cache_key", "entry_id", "size", "validator"], "left_semi")
+            .select(F.col("cache_key").alias("doc_id"), "archive", "path", "html", "validator")
+            .dropDuplicates(["doc_id"]))
     out = render(docs.select("doc_id", "archive", "path", "html"))
     return (docs.select(F.col("doc_id"), F.col("doc_id").alias("cache_key"), "archive", "path", "validator")
             .join(out, "doc_id").drop("doc_id"))
@@ -79,21 +84,20 @@ def render_incremental(entries: DataFrame, cache: DataFrame, render) -> DataFram
     return hits.select(*cols).unionByName(fresh.select(*cols))
 
 
-def write_cache(spark: SparkSession, rows: DataFrame, path: str) -> str:
-    """Write cache rows to a new versioned directory under ``path``; returns it.
+def write_cache(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Make ``rows`` the cache under ``path``: a new data folder, then the manifest that names it.
 
-    Readers switch to the newest complete version, so a failed write never
-    replaces a good cache.
+    A job that fails before the manifest is written leaves the old cache in place.
     """
-    import time
-    import uuid
-    target = f"{path.rstrip('/')}/version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    rows.write.mode("errorifexists").parquet(target)
-    return target
+    folder = V.new_folder(path, "cache")
+    rows.select(*CACHE_COLUMNS).write.mode("errorifexists").parquet(f"{path.rstrip('/')}/{folder}")
+    V.publish(spark, path, [folder])
 
 
 def read_latest_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version that :func:`write_cache` left under ``path``."""
-    versions = spark.read.schema(CACHE_SCHEMA + ", version string").parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]   # one value
-    return versions.filter(F.col("version") == newest).drop("version")
+    """The cache that :func:`write_cache` left last under ``path``, empty if there is none.
+
+    Only the current version's files are read, and a version without rows is one like any other.
+    """
+    folders, _ = V.current(spark, path)
+    return V.read(spark, folders, CACHE_SCHEMA)
