@@ -1,27 +1,39 @@
-"""Paged title search for many queries at once.
+"""Paged title search for many queries at once, over an index that is kept.
 
 Index: titles are lower-cased and split on runs of non letters/digits.  Every
 query term must equal a title term, except the last, which must be a prefix
 of one.  Prefix lookups use an edge n-gram table (prefix lengths 1..12), so
 matching is an equi join; terms longer than 12 are re-checked with
-``startswith``.  A title matches a query when *all* query terms match
-(relational division: count of matched query terms = number of query terms).
+``startswith``.  A title matches a query when *all* query terms match.
+
+``TitleIndex`` holds titles (with their terms, and the size that a hit shows),
+postings by term and by gram, and the number of postings of each.
+``build_index`` derives it from entries; ``write_index`` saves it, postings
+dealt into folders by a hash of (archive, term or gram) and sorted in them, so
+a search reads the folders of its terms.  ``append_index`` saves new, changed
+and deleted entries as a delta, which ``read_index`` merges; ``compact_index``
+folds the deltas in.
 
 Ranking: exact title match, title starts with the query, fewer title terms,
 title, path.  Paging: 15 per page, page clamped to the last page.  A popular
-query can match a large share of an archive, so the per-page top-k runs in
-two stages over a salted key: each (query, salt) keeps its best ``page*15``
-rows, then the survivors are ranked per query.  No query's matches ever have
-to sit in one task.
+query can match a large share of an archive.  Its matches are counted in bands
+by the first three keys, and bands behind the deepest wanted page are dropped;
+the others are range partitioned by query and ranking keys, so one query's
+matches lie in as many tasks as they need, and a match's rank is its place in
+its task behind the matches of the tasks before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import redirects as RD
+from quire.session import stored
+from quire.sources import versions as V
 
 # ---------------------------------------------------------------------------
 # Fixed values
@@ -29,7 +41,7 @@ from quire.operators import redirects as RD
 PAGE_SIZE = 15
 TERM_SPLIT = r"[^\p{L}\p{N}]+"
 MAX_GRAM = 12
-LEAD_CHARS = 3                  # title characters that split a ranking band
+INDEX_BUCKETS = 16              # folders of saved postings; in proportion to the postings on a large table
 
 
 def _c(col) -> Column:
@@ -57,59 +69,193 @@ def build_prefix_index(index: DataFrame) -> DataFrame:
     return g.select("archive", F.expr("substring(term, 1, _n)").alias("gram"), "term", "path")
 
 
+@dataclass
+class TitleIndex:
+    """titles(archive, path, title, terms, n_terms, size, shown); postings(bucket, archive, term, path);
+    grams(bucket, archive, gram, term, path); term_counts and gram_counts(bucket, archive, term | gram, df)."""
+
+    titles: DataFrame
+    postings: DataFrame
+    grams: DataFrame
+    term_counts: DataFrame
+    gram_counts: DataFrame
+    buckets: int
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64("archive", key), F.lit(buckets)).cast("int")
+
+
+def index_titles(entries: DataFrame) -> DataFrame:
+    """The titles table of the index.  A redirect's hit shows the size of what it ends at; one that
+    ends nowhere matches, but is not shown."""
+    return _titles_and_ends(entries).drop("_end")
+
+
+def _titles_and_ends(entries: DataFrame) -> DataFrame:
+    ends = RD.resolve_redirects(entries, only_redirects=True).select("archive", "path", F.col("final_path").alias("_end"))
+    last = entries.select("archive", F.col("path").alias("_end"), F.col("size").alias("_end_size"))
+    to = ends.join(last, ["archive", "_end"]).select("archive", "path", "_end", "_end_size")
+    e = entries.select("archive", "path", "title", "size", "is_redirect", terms("title").alias("terms")) \
+        .join(to, ["archive", "path"], "left")
+    size = F.when(F.col("is_redirect"), F.col("_end_size")).otherwise(F.col("size"))
+    return e.select("archive", "path", "title", "terms", F.size("terms").cast("bigint").alias("n_terms"),
+                    size.cast("bigint").alias("size"),
+                    (~F.col("is_redirect") | F.col("_end_size").isNotNull()).alias("shown"), "_end")
+
+
+def _of_titles(titles: DataFrame, buckets: int) -> TitleIndex:
+    postings = (titles.select("archive", "path", F.explode(F.array_distinct("terms")).alias("term"))
+                .select(_bucket("term", buckets).alias("bucket"), "archive", "term", "path"))
+    grams = build_prefix_index(postings).select(_bucket("gram", buckets).alias("bucket"), "archive", "gram", "term", "path")
+    return TitleIndex(titles, postings, grams, _counts(postings, "term"), _counts(grams, "gram"), buckets)
+
+
+def _counts(postings: DataFrame, key: str) -> DataFrame:
+    return postings.groupBy("bucket", "archive", key).agg(F.count(F.lit(1)).alias("df"))
+
+
+def build_index(entries: DataFrame, buckets: int = INDEX_BUCKETS) -> TitleIndex:
+    """The index of these entries, derived where it is used."""
+    return _of_titles(index_titles(entries), buckets)
+
+
+# -- the saved index ----------------------------------------------------------
+
+_TITLES = "archive string, path string, title string, terms array<string>, n_terms bigint, size bigint, shown boolean"
+_TABLES = {
+    "titles": _TITLES + ", deleted boolean",
+    "postings": "archive string, term string, path string, bucket int",
+    "grams": "archive string, gram string, term string, path string, bucket int",
+    "term_counts": "archive string, term string, df bigint, bucket int",
+    "gram_counts": "archive string, gram string, df bigint, bucket int",
+}
+
+
+def _write_tables(titles: DataFrame, folder: str, buckets: int) -> None:
+    """One data folder of the index; ``titles`` has the column ``deleted``."""
+    spark = titles.sparkSession
+    titles.sortWithinPartitions("archive", "path").write.parquet(f"{folder}/titles")
+    kept = spark.read.schema(_TABLES["titles"]).parquet(f"{folder}/titles").filter(~F.col("deleted")).drop("deleted")
+    made = _of_titles(kept, buckets)
+    for name, key in (("postings", "term"), ("grams", "gram")):
+        # a folder a bucket; a hot bucket's rows are dealt by path as well, and sorted by key in each file
+        (getattr(made, name).repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(4)))
+         .sortWithinPartitions("bucket", "archive", key).write.partitionBy("bucket").parquet(f"{folder}/{name}"))
+        saved = spark.read.schema(_TABLES[name]).parquet(f"{folder}/{name}")
+        (_counts(saved, key).sortWithinPartitions("bucket", "archive", key)
+         .write.partitionBy("bucket").parquet(f"{folder}/{key}_counts"))
+
+
+def write_index(entries: DataFrame, path: str, buckets: int = INDEX_BUCKETS) -> None:
+    """Save the index of all entries under ``path`` as a new version."""
+    folder = V.new_folder(path, "base")
+    _write_tables(index_titles(entries).withColumn("deleted", F.lit(False)), f"{path}/{folder}", buckets)
+    V.publish(entries.sparkSession, path, [folder], upto=buckets)
+
+
+def append_index(spark: SparkSession, path: str, entries: DataFrame | None = None, deleted: DataFrame | None = None,
+                 against: DataFrame | None = None) -> None:
+    """Add a delta: new or changed ``entries``, and ``deleted`` (archive, path) ones.
+
+    ``against`` are all entries that redirects lead through and end at; by default those of the delta.
+    Redirects among them that end at an entry of the delta are indexed anew with it.
+    """
+    folders, buckets = V.current(spark, path)
+    rows = spark.createDataFrame([], _TABLES["titles"])
+    if entries is not None:
+        near = entries if against is None else against.join(
+            entries.select("archive", "path"), ["archive", "path"], "left_anti").unionByName(entries)
+        keys = entries.select("archive", "path")
+        titles = stored(_titles_and_ends(near), "titles")
+        fresh = titles.join(keys, ["archive", "path"], "left_semi").unionByName(
+            titles.join(keys, ["archive", "path"], "left_anti")
+            .join(keys.withColumnRenamed("path", "_end"), ["archive", "_end"], "left_semi"))
+        rows = rows.unionByName(fresh.drop("_end").withColumn("deleted", F.lit(False)))
+    if deleted is not None:
+        rows = rows.unionByName(deleted.select("archive", "path").withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+    folder = V.new_folder(path, "delta")
+    _write_tables(rows, f"{path.rstrip('/')}/{folder}", buckets)
+    V.publish(spark, path, [f.rsplit("/", 1)[1] for f in folders] + [folder], upto=buckets)
+
+
+def read_index(spark: SparkSession, path: str) -> TitleIndex:
+    """The saved index, deltas merged: of an entry's rows those of the newest folder that has it."""
+    folders, buckets = V.current(spark, path)
+    if not folders:
+        raise FileNotFoundError(f"no index under {path}")
+    merged: dict[str, DataFrame] = {}
+    later = None            # entries that folders behind this one hold
+    for folder in reversed(folders):
+        read = {n: spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in _TABLES.items()}
+        if later is not None:
+            for name in ("titles", "postings", "grams"):
+                read[name] = read[name].join(later, ["archive", "path"], "left_anti").select(*read[name].columns)
+        own = spark.read.schema(_TABLES["titles"]).parquet(f"{folder}/titles").select("archive", "path")
+        later = own if later is None else later.unionByName(own)
+        merged = {n: merged[n].unionByName(df) if n in merged else df for n, df in read.items()}
+    # counts of replaced entries stay in: they choose the term to start from, and none is missed
+    for key in ("term", "gram"):
+        if len(folders) > 1:
+            merged[f"{key}_counts"] = merged[f"{key}_counts"].groupBy("bucket", "archive", key).agg(F.sum("df").alias("df"))
+    merged["titles"] = merged["titles"].filter(~F.col("deleted")).drop("deleted")
+    return TitleIndex(**merged, buckets=buckets)
+
+
+def compact_index(spark: SparkSession, path: str) -> None:
+    """Fold the deltas into a new base."""
+    _, buckets = V.current(spark, path)
+    folder = V.new_folder(path, "base")
+    _write_tables(read_index(spark, path).titles.withColumn("deleted", F.lit(False)), f"{path.rstrip('/')}/{folder}", buckets)
+    V.publish(spark, path, [folder], upto=buckets)
+
+
+# -- matching -------------------------------------------------------------------
+
 def _qkey(terms_col: Column) -> Column:
     """Key of a distinct query: its terms (no term contains U+0001)."""
     return F.concat_ws("\u0001", terms_col)
 
 
 def query_terms(requests: DataFrame) -> DataFrame:
-    """(archive, qkey, n_q, qpos, qterm, is_last) per *distinct* non-blank query."""
-    q = (requests.select("archive", terms("query").alias("_q")).filter(F.size("_q") > 0)
-         .select("archive", _qkey(F.col("_q")).alias("qkey"), "_q").distinct())
-    return q.select("archive", "qkey", F.size("_q").alias("n_q"),
-                    F.posexplode("_q").alias("qpos", "qterm")) \
-        .withColumn("is_last", F.col("qpos") == F.col("n_q") - 1)
+    """(archive, qkey, wanted, qpos, qterm, is_last) per *distinct* non-blank query; ``wanted``: all its terms."""
+    q = (requests.select("archive", terms("query").alias("wanted")).filter(F.size("wanted") > 0)
+         .select("archive", _qkey(F.col("wanted")).alias("qkey"), "wanted").distinct())
+    return q.select("archive", "qkey", "wanted", F.posexplode("wanted").alias("qpos", "qterm")) \
+        .withColumn("is_last", F.col("qpos") == F.size("wanted") - 1)
 
 
-def match_queries(requests: DataFrame, index: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(archive, qkey, path) for every title matching all terms of a distinct query.
+def match_queries(requests: DataFrame, index: TitleIndex) -> DataFrame:
+    """(archive, qkey, path, title, n_terms) for every title matching all terms of a distinct query.
 
-    Candidates come from each query's rarest term only (term frequencies are
-    a partial aggregate, so hot terms cost nothing extra); the other terms are
-    then checked against the candidate's own title terms with equi joins on
-    (archive, path).  Work is the sum of the smallest posting lists, not of all.
+    Candidates come from each query's rarest term only; the other terms are
+    then checked against the candidate's own title terms, in its row of the
+    titles.  Work is the sum of the smallest posting lists, not of all.
     """
-    qt = query_terms(requests)
-    df_exact = index.groupBy("archive", "term").agg(F.count(F.lit(1)).alias("_df"))
-    df_gram = prefixes.groupBy("archive", "gram").agg(F.count(F.lit(1)).alias("_df"))
-    qt = qt.withColumn("gram", F.substring("qterm", 1, MAX_GRAM))
-    ex = (qt.filter(~F.col("is_last"))
-          .join(df_exact.withColumnRenamed("term", "qterm"), ["archive", "qterm"], "left"))
-    px = qt.filter(F.col("is_last")).join(df_gram, ["archive", "gram"], "left")
-    freq = ex.unionByName(px).withColumn("_df", F.coalesce("_df", F.lit(0)))
+    qt = query_terms(requests).withColumn("gram", F.substring("qterm", 1, MAX_GRAM))
+    exact = (qt.filter(~F.col("is_last")).withColumn("bucket", _bucket("qterm", index.buckets))
+             .join(index.term_counts.withColumnRenamed("term", "qterm"), ["bucket", "archive", "qterm"], "left"))
+    prefix = (qt.filter("is_last").withColumn("bucket", _bucket("gram", index.buckets))
+              .join(index.gram_counts, ["bucket", "archive", "gram"], "left"))
+    found = exact.unionByName(prefix).withColumn("df", F.coalesce("df", F.lit(0)))
     # queries with a term that matches nothing can not match at all
-    best = (freq.groupBy("archive", "qkey", "n_q")
-            .agg(F.min_by(F.struct("qpos", "qterm", "is_last", "gram"), "_df").alias("d"),
-                 F.min("_df").alias("_min")))
-    best = best.filter(F.col("_min") > 0)
-    drv_exact = (best.filter(~F.col("d.is_last"))
-                 .select("archive", "qkey", "n_q", F.col("d.qterm").alias("term"))
-                 .join(index.select("archive", "term", "path"), ["archive", "term"])
-                 .select("archive", "qkey", "n_q", "path"))
-    drv_prefix = (best.filter(F.col("d.is_last"))
-                  .select("archive", "qkey", "n_q", F.col("d.gram").alias("gram"), F.col("d.qterm").alias("_qt"))
-                  .join(prefixes, ["archive", "gram"])
-                  .filter(F.col("term").startswith(F.col("_qt")))
-                  .select("archive", "qkey", "n_q", "path").distinct())
-    cand = drv_exact.unionByName(drv_prefix)
-    # verify every term against the candidate title's own terms
-    checks = (cand.join(qt.select("archive", "qkey", "qpos", "qterm", "is_last"), ["archive", "qkey"])
-              .join(index.select("archive", "path", "term"), ["archive", "path"])
-              .filter(F.when(F.col("is_last"), F.col("term").startswith(F.col("qterm")))
-                      .otherwise(F.col("term") == F.col("qterm"))))
-    ok = (checks.groupBy("archive", "qkey", "path", "n_q").agg(F.count_distinct("qpos").alias("_m"))
-          .filter(F.col("_m") == F.col("n_q")))
-    return ok.select("archive", "qkey", "path")
+    best = (found.groupBy("archive", "qkey")
+            .agg(F.min_by(F.struct("bucket", "qterm", "is_last", "gram", "wanted"), F.struct("df", "qpos")).alias("d"),
+                 F.min("df").alias("least"))
+            .filter(F.col("least") > 0).select("archive", "qkey", "d.*"))
+    by_term = (best.filter(~F.col("is_last")).withColumnRenamed("qterm", "term")
+               .join(index.postings, ["bucket", "archive", "term"]).select("archive", "qkey", "wanted", "path"))
+    by_gram = (best.filter("is_last").select("bucket", "archive", "qkey", "wanted", "gram", "qterm")
+               .join(index.grams, ["bucket", "archive", "gram"]).filter(F.col("term").startswith(F.col("qterm")))
+               .select("archive", "qkey", "wanted", "path"))
+    # several terms of a title can begin with one gram
+    candidates = by_term.unionByName(by_gram).dropDuplicates(["archive", "qkey", "path"])
+    checked = candidates.join(index.titles.select("archive", "path", "title", "terms", "n_terms"), ["archive", "path"])
+    first = F.slice("wanted", 1, F.size("wanted") - 1)
+    last = F.element_at("wanted", -1)
+    return (checked.filter((F.size(F.array_except(first, F.col("terms"))) == 0)
+                           & F.exists("terms", lambda t: t.startswith(last)))
+            .select("archive", "qkey", "path", "title", "n_terms"))
 
 
 def rank_keys(query: Column) -> list[Column]:
@@ -123,28 +269,20 @@ def _request_keys(requests: DataFrame) -> DataFrame:
                            _qkey(terms("query")).alias("qkey"))
 
 
-def match_titles(requests: DataFrame, index: DataFrame, prefixes: DataFrame) -> DataFrame:
+def match_titles(requests: DataFrame, index: TitleIndex) -> DataFrame:
     """(request_id, path) for every title matching a request's query."""
-    m = match_queries(requests, index, prefixes)
-    return _request_keys(requests).join(m, ["archive", "qkey"]).select("request_id", "path")
+    return _request_keys(requests).join(match_queries(requests, index), ["archive", "qkey"]).select("request_id", "path")
 
 
-def page_counts(requests: DataFrame, matches: DataFrame | None = None, index: DataFrame | None = None,
-                prefixes: DataFrame | None = None, qmatches: DataFrame | None = None) -> DataFrame:
+def page_counts(requests: DataFrame, matches: DataFrame) -> DataFrame:
     """(request_id, total, pages, page, start) - page clamped into 1..pages.
 
-    Totals are counted once per distinct query (``qmatches``) and attached to
-    requests; ``matches`` (request_id, path) is accepted for direct use.
+    Totals are counted once per distinct query of ``matches``
+    (:func:`match_queries`) and attached to requests.
     """
     r = _request_keys(requests).filter(T.py_strip("query") != "")
-    if qmatches is None and matches is None:
-        qmatches = match_queries(requests, index, prefixes)
-    if qmatches is not None:
-        tot = qmatches.groupBy("archive", "qkey").agg(F.count(F.lit(1)).alias("total"))
-        r = r.join(tot, ["archive", "qkey"], "left")
-    else:
-        tot = matches.groupBy("request_id").agg(F.count(F.lit(1)).alias("total"))
-        r = r.join(tot, "request_id", "left")
+    tot = matches.groupBy("archive", "qkey").agg(F.count(F.lit(1)).alias("total"))
+    r = r.join(tot, ["archive", "qkey"], "left")
     total = F.coalesce("total", F.lit(0)).cast("bigint")
     pages = F.greatest(F.lit(1), F.floor((total + PAGE_SIZE - 1) / PAGE_SIZE)).cast("bigint")
     asked = F.greatest(F.lit(1), F.coalesce(T.strict_int("page_number"), F.lit(1)))
@@ -153,75 +291,75 @@ def page_counts(requests: DataFrame, matches: DataFrame | None = None, index: Da
                     ((page - 1) * PAGE_SIZE).cast("bigint").alias("start"))
 
 
-def search_page(requests: DataFrame, entries: DataFrame, index: DataFrame | None = None,
-                prefixes: DataFrame | None = None, archive_types: DataFrame | None = None) -> DataFrame:
+GROUP = ["archive", "qkey", "query"]
+
+
+def _wanted_bands(matches: DataFrame) -> DataFrame:
+    """Matches without the bands that lie behind the deepest page (``_deep``) of their query."""
+    keys = ["_exact", "_starts", "n_terms"]
+    sizes = matches.groupBy(*GROUP, "_deep", *keys).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = (Window.partitionBy(*GROUP).orderBy(F.col("_exact").desc(), F.col("_starts").desc(), F.col("n_terms"))
+               .rowsBetween(Window.unboundedPreceding, -1))
+    near = (sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+            .filter(F.col("_before") < F.col("_deep") * PAGE_SIZE).select(*GROUP, *keys))
+    return matches.join(near, [*GROUP, *keys], "left_semi")
+
+
+def ranked(matches: DataFrame) -> DataFrame:
+    """Adds ``rank`` within a query: no task holds all matches of a query.
+
+    Matches are range partitioned by query and ranking keys and written in
+    that order.  The first row and the number of rows of each query in each
+    partition then give every row its rank.
+    """
+    order = [F.col(c).asc() for c in GROUP] + [F.col("_exact").desc(), F.col("_starts").desc(), F.col("n_terms").asc(),
+                                               F.col("title").asc(), F.col("path").asc()]
+    placed = stored(matches.repartitionByRange(*order).sortWithinPartitions(*order)
+                    .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "ranked")
+    runs = placed.groupBy(*GROUP, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*GROUP).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return (placed.join(runs, [*GROUP, "_part"])
+            .withColumn("rank", F.col("_before") + F.col("_row") - F.col("_first") + 1)
+            .drop("_part", "_row", "_first", "_before"))
+
+
+def search_page(requests: DataFrame, index: TitleIndex, archive_types: DataFrame | None = None) -> DataFrame:
     """One result page per request: (request_id, number, path, title, size_label).
 
-    Ranking runs once per distinct query text, in bands; requests then pick
+    Matching and ranking run once per distinct query text; requests then pick
     their page with an equi join on (query, page).
     Duplicates (after book-path normalisation in gutenberg archives) are
     removed within the page, hits are looked up by path, failed lookups are
     dropped and do not consume a number.
     """
-    if index is None:
-        index = build_title_index(entries)
-    if prefixes is None:
-        prefixes = build_prefix_index(index)
-    qm = match_queries(requests, index, prefixes)
-    counts = page_counts(requests, qmatches=qm)
+    matches = stored(match_queries(requests, index), "matches")
+    counts = page_counts(requests, matches)
     # two spellings of one query match the same titles but rank them differently
     req = (_request_keys(requests).withColumn("query", F.lower(T.py_strip("query")))
            .join(counts.select("request_id", "page", "start"), "request_id"))
-    deepest = req.groupBy("archive", "qkey", "query").agg(F.max("page").alias("_deep"))
-    titles = entries.select("archive", "path", "title", F.size(terms("title")).cast("bigint").alias("n_terms"))
-    cand = qm.join(deepest, ["archive", "qkey"]).join(titles, ["archive", "path"])
-    ex, st = rank_keys(F.col("query"))
-    cand = cand.select("*", ex, st)
-    # A hot query's matches are ranked in bands that follow the order of the ranking: band sizes
-    # give each band's first rank, bands behind the deepest page go, the rest are ranked apart.
-    group = ["archive", "qkey", "query"]
-    bands = [F.col("_exact").desc(), F.col("_starts").desc(), F.col("n_terms").asc(), F.col("_lead").asc()]
-    band = ["_exact", "_starts", "n_terms", "_lead"]
-    cand = cand.withColumn("_lead", F.substring("title", 1, LEAD_CHARS))
-    sizes = cand.groupBy(*group, "_deep", *band).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*group).orderBy(*bands).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
-              .filter(F.col("_before") < F.col("_deep") * PAGE_SIZE).select(*group, *band, "_before"))
-    within = Window.partitionBy(*group, *band).orderBy("title", "path")
-    ranked = (cand.join(starts, [*group, *band])
-              .withColumn("rank", (F.col("_before") + F.row_number().over(within)).cast("bigint"))
-              .withColumn("page", F.floor((F.col("rank") - 1) / PAGE_SIZE).cast("bigint") + 1)
-              .filter(F.col("page") <= F.col("_deep")).select(*group, "page", "rank", "path"))
-    sl = (req.select("request_id", *group, "page", "start").join(ranked, [*group, "page"])
-          .select("request_id", "archive", "qkey", "page", "start", "rank", "path"))
+    deepest = req.groupBy(*GROUP).agg(F.max("page").alias("_deep"))
+    exact, starts = rank_keys(F.col("query"))
+    candidates = matches.join(deepest, ["archive", "qkey"]).select("*", exact, starts)
+    pages = (ranked(_wanted_bands(candidates))
+             .withColumn("page", F.floor((F.col("rank") - 1) / PAGE_SIZE).cast("bigint") + 1)
+             .filter(F.col("page") <= F.col("_deep")).select(*GROUP, "page", "rank", "path"))
+    sl = (req.select("request_id", *GROUP, "page", "start").join(pages, [*GROUP, "page"])
+          .select("request_id", "archive", "start", "rank", "path"))
     # SET-1: dedupe normalised paths within the page, keep the first
+    npath = F.col("path")
     if archive_types is not None:
         sl = sl.join(archive_types.select("archive", "type"), "archive", "left")
-        norm = F.when(F.col("type") == "gutenberg", T.book_path("path")).otherwise(F.col("path"))
-    else:
-        norm = F.col("path")
-    sl = sl.withColumn("npath", norm)
-    wd = Window.partitionBy("request_id", "npath").orderBy("rank")
-    sl = sl.withColumn("_d", F.row_number().over(wd)).filter(F.col("_d") == 1)
+        npath = F.when(F.col("type") == "gutenberg", T.book_path("path")).otherwise(npath)
+    sl = (sl.groupBy("request_id", "archive", "start", npath.alias("path")).agg(F.min("rank").alias("rank")))
     # JOIN-5: look the normalised path up; misses are dropped
-    look = entries.select("archive", F.col("path").alias("npath"), F.col("title").alias("entry_title"),
-                          "size", "is_redirect")
-    # a redirect's hit shows the size of what it ends at
-    ends = RD.resolve_redirects(entries, only_redirects=True).select(
-        "archive", F.col("path").alias("npath"), F.col("final_path").alias("_end"))
-    last = entries.select("archive", F.col("path").alias("_end"), F.col("size").alias("_end_size"))
-    look = (look.join(ends, ["archive", "npath"], "left").join(last, ["archive", "_end"], "left")
-            .filter(~F.col("is_redirect") | F.col("_end_size").isNotNull())
-            .select("archive", "npath", "entry_title",
-                    F.when(F.col("is_redirect"), F.col("_end_size")).otherwise(F.col("size")).alias("size")))
-    shown = sl.join(look, ["archive", "npath"])
+    look = index.titles.filter("shown").select("archive", "path", "title", "size")
+    shown = sl.join(look, ["archive", "path"])
     # WIN-2: numbering = page start + running count of shown rows
     wn = Window.partitionBy("request_id").orderBy("rank")
     return shown.select(
-        "request_id",
-        (F.col("start") + F.row_number().over(wn)).cast("bigint").alias("number"),
-        F.col("npath").alias("path"), F.col("entry_title").alias("title"),
-        T.human_size("size").alias("size_label"))
+        "request_id", (F.col("start") + F.row_number().over(wn)).cast("bigint").alias("number"),
+        "path", "title", T.human_size("size").alias("size_label"))
 
 
 def search_navigation(requests: DataFrame, counts: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ def test_spellings_of_one_query_rank_apart(spark):
                         hop("a.zim", 3, "p3", "p1", "paris france")])
     req = spark.createDataFrame([(1, "a.zim", "paris fr", "1"), (2, "a.zim", "paris-fr", "1")],
                                 "request_id long, archive string, query string, page_number string")
-    rows = Q.search_page(req, e).orderBy("request_id", "number").collect()
+    rows = Q.search_page(req, Q.build_index(e)).orderBy("request_id", "number").collect()
     assert [r["path"] for r in rows if r["request_id"] == 1][0] == "p1"
     assert [r["path"] for r in rows if r["request_id"] == 2][0] == "p2"
     assert {r["size_label"] for r in rows} == {"1 B"}
@@ -164,7 +164,7 @@ def test_a_hot_query_is_ranked_in_bands(spark):
     e = entries(spark, [page("a.zim", i, f"p{i:03d}", "x", f"alpha {chr(97 + i % 5)}{i:03d}") for i in range(100)])
     req = spark.createDataFrame([(1, "a.zim", "alpha", "3"), (2, "a.zim", "alpha", "99999999999999999999")],
                                 "request_id long, archive string, query string, page_number string")
-    rows = Q.search_page(req, e).collect()
+    rows = Q.search_page(req, Q.build_index(e)).collect()
     titles = sorted(r["title"] for r in e.select("title").collect())
     got = lambda i: [r["title"] for r in sorted((r for r in rows if r["request_id"] == i), key=lambda r: r["number"])]
     assert got(1) == titles[30:45] and got(2) == titles[90:]
