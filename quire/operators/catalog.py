@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import redirects as RD
+from quire.session import stored
 
 # ---------------------------------------------------------------------------
 # Fixed values (classification rules and defaults)
@@ -90,24 +91,30 @@ def media_class(mimetype) -> Column:
             .when(m.contains("pdf"), F.lit("pdf")))
 
 
-def target_mimetypes(entries: DataFrame) -> DataFrame:
+def _ends(entries: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """Where redirects end: ``ends`` as resolved before, or resolved here."""
+    return ends if ends is not None else RD.resolve_redirects(entries, only_redirects=True)
+
+
+def target_mimetypes(entries: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(archive, mimetype) of every entry; a redirect has its final target's, or null if it has none."""
     own = entries.filter(~F.col("is_redirect")).select("archive", "mimetype")
-    ends = RD.resolve_redirects(entries, only_redirects=True)
+    ends = _ends(entries, ends)
     at = entries.select("archive", F.col("path").alias("final_path"), "mimetype")
     return own.unionByName(ends.join(at, ["archive", "final_path"], "left").select("archive", "mimetype"))
 
 
-def media_ratio(entries: DataFrame, first_n: int | None = None) -> DataFrame:
+def media_ratio(entries: DataFrame, first_n: int | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Shares of video and PDF among the entries with a mimetype.
 
     All entries of an archive count; ``first_n`` limits it to the first ones
     by entry id (redirects still end at any entry).
     """
-    kinds = target_mimetypes(entries)
-    if first_n is not None:
+    if first_n is None:
+        kinds = target_mimetypes(entries, ends)
+    else:
         low = sample_first(entries, first_n)
-        ends = RD.resolve_redirects(entries, only_redirects=True).select("archive", "path", "final_path")
+        ends = _ends(entries, ends).select("archive", "path", "final_path")
         at = entries.select("archive", F.col("path").alias("final_path"), F.col("mimetype").alias("_m"))
         kinds = (low.join(ends, ["archive", "path"], "left").join(at, ["archive", "final_path"], "left")
                  .select("archive", F.when(F.col("is_redirect"), F.col("_m")).otherwise(F.col("mimetype"))
@@ -124,29 +131,46 @@ def media_ratio(entries: DataFrame, first_n: int | None = None) -> DataFrame:
 
 # -- SRC-5 -------------------------------------------------------------------
 
-def main_pages(archives: DataFrame, entries: DataFrame) -> DataFrame:
-    """(archive, main_path, main_html): html '' when the main entry is not HTML."""
-    e = entries.select("archive", F.col("path").alias("main_path"), "mimetype", "html")
-    j = archives.select("archive", "main_path").join(e, ["archive", "main_path"], "left")
-    return j.select(
-        "archive",
-        F.coalesce("main_path", F.lit("")).alias("main_path"),
-        F.when(F.col("mimetype").startswith("text/html"), F.col("html"))
-        .otherwise(F.lit("")).alias("main_html"),
-    )
+def resolved_mains(archives: DataFrame, entries: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """(archive, main_path): the path of what is behind the main entry, '' if there is nothing."""
+    own = entries.select("archive", F.col("path").alias("main_path"), "is_redirect")
+    to = _ends(entries, ends).select("archive", F.col("path").alias("main_path"), F.col("final_path").alias("_end"))
+    j = (archives.select("archive", "main_path").join(own, ["archive", "main_path"], "left")
+         .join(to, ["archive", "main_path"], "left"))
+    path = F.when(F.col("is_redirect"), F.col("_end")).when(~F.col("is_redirect"), F.col("main_path"))
+    return j.select("archive", F.coalesce(path, F.lit("")).alias("main_path"))
+
+
+def main_pages(archives: DataFrame, entries: DataFrame, ends: DataFrame | None = None,
+               pages: DataFrame | None = None) -> DataFrame:
+    """(archive, main_path, main_html) of what is behind each archive's main entry.
+
+    A main entry that redirects is followed to the end.  html is '' where that
+    is not HTML; path and html are '' without a main entry, or where it ends
+    nowhere.  ``entries`` has ``html``, or names the row of ``pages(page_id,
+    html)`` that holds it; contents are only read for main pages.
+    """
+    mains = resolved_mains(archives, entries, ends)
+    holds = "html" if pages is None else "page_id"
+    e = (entries.filter(F.col("mimetype").startswith("text/html"))
+         .select("archive", F.col("path").alias("main_path"), holds).join(mains, ["archive", "main_path"]))
+    if pages is not None:
+        e = e.join(pages.select("page_id", "html"), "page_id")
+    return mains.join(e.select("archive", F.col("html").alias("main_html")), "archive", "left").select(
+        "archive", "main_path", F.coalesce("main_html", F.lit("")).alias("main_html"))
 
 
 # -- AGG-2 -------------------------------------------------------------------
 
 def classify_archives(meta: DataFrame, entries: DataFrame, mains: DataFrame,
-                      first_n: int | None = None) -> DataFrame:
+                      first_n: int | None = None, ends: DataFrame | None = None) -> DataFrame:
     """(archive, type): first matching rule of the fixed rule list; ``first_n`` as in media_ratio."""
     # one pivot aggregate: a column a key
     values = (meta.filter(F.col("key").isin(*TYPE_KEYS) & (F.octet_length("value") > 0)).groupBy("archive")
               .agg(*[F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in TYPE_KEYS]))
     tags = values.select("archive", F.lower(F.concat_ws(" ", *[
         F.coalesce(T.py_strip(_decode(F.col(k))), F.lit("")) for k in TYPE_KEYS])).alias("tags"))
-    ratios = media_ratio(entries, first_n)
+    ratios = media_ratio(entries, first_n, ends)
     html = F.coalesce(F.col("main_html"), F.lit(""))
     low = F.lower(html)
     sampled = F.coalesce(F.col("sampled"), F.lit(0))
@@ -191,15 +215,21 @@ def article_counts(entries: DataFrame) -> DataFrame:
 # -- AGG-8 -------------------------------------------------------------------
 
 def build_catalog(archives: DataFrame, meta: DataFrame, entries: DataFrame,
-                  descriptions: DataFrame | None = None, first_n: int | None = None) -> DataFrame:
+                  descriptions: DataFrame | None = None, first_n: int | None = None,
+                  mains: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """One catalogue record per archive.
 
+    ``mains`` (:func:`main_pages`) and ``ends`` (resolved redirects) are worked
+    out from ``entries`` where they are not given; with ``mains``, ``entries``
+    needs no ``html``.
+
     ``descriptions`` (archive, description) overrides the metadata
     description fallback (the first-paragraph snippet of wikipedia main pages
     comes from the extraction jobs).
     """
-    mains = main_pages(archives, entries)
-    kinds = classify_archives(meta, entries, mains, first_n)
+    if mains is None:
+        mains = main_pages(archives, entries, ends)
+    kinds = classify_archives(meta, entries, mains, first_n, ends)
     titles = archive_titles(meta, mains)
     desc = first_metadata(meta, ["Description"], alias="md_desc")
     out = (mains.join(kinds, "archive").join(titles, "archive")
@@ -248,7 +278,10 @@ def catalog_listing(names: DataFrame, catalog: DataFrame, fallback: str | None =
 # -- SRC-6 ---------------------------------------------------------------------
 
 def resolve_main_path(catalog: DataFrame, archives: DataFrame) -> DataFrame:
-    """Catalogue main path if non-empty, else the archive's main entry, else ''."""
+    """Catalogue main path if non-empty, else that of ``archives``, else ''.
+
+    ``archives`` holds resolved paths (:func:`resolved_mains`).
+    """
     j = catalog.select("archive", F.col("main_path").alias("c_main")).join(
         archives.select("archive", F.col("main_path").alias("a_main")), "archive", "left")
     return j.select("archive", F.coalesce(F.nullif(F.coalesce("c_main", F.lit("")), F.lit("")),
@@ -314,17 +347,50 @@ def default_archive(requests: DataFrame, available: DataFrame) -> DataFrame:
 
 # -- SRC-8 / SET-3 -------------------------------------------------------------------
 
+def catalog_errors(archives: DataFrame, meta: DataFrame, entries: DataFrame) -> DataFrame:
+    """(archive, error): archives whose record cannot be built, with the first reason.
+
+    What a whole-archive job would stumble over is looked for in the data:
+    a missing or unsuited name, no entries, entries without a path or with a
+    negative or missing size, and one path twice.
+    """
+    per = entries.groupBy("archive").agg(
+        F.count_if(F.col("path").isNull()).alias("_pathless"),
+        F.count_if(F.coalesce(F.col("size"), F.lit(-1)) < 0).alias("_sizeless"))
+    twice = (entries.groupBy("archive", "path").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+             .groupBy("archive").agg(F.min("path").alias("_twice")))
+    j = archives.select("archive").join(per, "archive", "left").join(twice, "archive", "left")
+    error = (F.when(~F.coalesce(valid_archive_name("archive"), F.lit(False)), F.lit("not an archive name"))
+             .when(F.col("_pathless").isNull(), F.lit("no entries"))
+             .when(F.col("_pathless") > 0, F.lit("entry without a path"))
+             .when(F.col("_sizeless") > 0, F.lit("entry without a size"))
+             .when(F.col("_twice").isNotNull(), F.concat(F.lit("two entries at "), F.col("_twice"))))
+    return j.select("archive", error.alias("error")).filter(F.col("error").isNotNull())
+
+
 def refresh_catalog(archives: DataFrame, meta: DataFrame, entries: DataFrame,
                     existing: DataFrame | None, force: bool = False,
-                    descriptions: DataFrame | None = None) -> DataFrame:
-    """Catalogue with new archives added; existing rows kept unless ``force``.
+                    descriptions: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """Catalogue with new archives added; existing rows kept unless ``force``; a row a failed archive.
 
     Only archives missing from ``existing`` are scanned: the anti join is
-    applied to ``archives`` and ``entries`` before any aggregation.
+    applied to ``archives`` and ``entries`` before any aggregation.  An archive
+    that fails (:func:`catalog_errors`) does not stop the others: its row holds
+    nothing but the name and ``error``, and :func:`written_catalog` leaves it
+    out, so the next refresh tries it again.
     """
+    if existing is not None and not force:
+        archives = archives.join(existing.select("archive"), "archive", "left_anti")
+        entries = entries.join(existing.select("archive"), "archive", "left_anti")
+    errors = stored(catalog_errors(archives, meta, entries), "catalog-errors")
+    sound = archives.join(errors, "archive", "left_anti")
+    fresh = build_catalog(sound, meta, entries.join(errors, "archive", "left_anti"), descriptions, ends=ends)
+    out = fresh.withColumn("error", F.lit(None).cast("string")).unionByName(errors, allowMissingColumns=True)
     if existing is None or force:
-        return build_catalog(archives, meta, entries, descriptions)
-    todo = archives.join(existing.select("archive"), "archive", "left_anti")
-    todo_entries = entries.join(existing.select("archive"), "archive", "left_anti")
-    fresh = build_catalog(todo, meta, todo_entries, descriptions)
-    return existing.select(*fresh.columns).unionByName(fresh)
+        return out
+    return existing.select(*fresh.columns).withColumn("error", F.lit(None).cast("string")).unionByName(out)
+
+
+def written_catalog(refreshed: DataFrame) -> DataFrame:
+    """The rows of a refresh that are written: those without an error."""
+    return refreshed.filter(F.col("error").isNull()).drop("error")

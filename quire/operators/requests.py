@@ -17,7 +17,7 @@ RAW_FORMATS = ["micron", "html"]
 
 
 def request_status(requests: DataFrame, entries: DataFrame, catalog: DataFrame,
-                   available: DataFrame) -> DataFrame:
+                   available: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(request_id, archive, entry_path, status, final_path, title).
 
     First match: no archive available -> ``no_archive``; no entry path ->
@@ -36,7 +36,9 @@ def request_status(requests: DataFrame, entries: DataFrame, catalog: DataFrame,
     r = r.withColumn("_at", at)
     own = entries.select("archive", F.col("path").alias("_at"), "is_redirect", F.col("redirect_path").alias("_hop"),
                          F.col("mimetype").alias("_m0"), F.col("title").alias("_t0"), F.lit(True).alias("_found"))
-    ends = RD.resolve_redirects(entries, only_redirects=True).select(
+    if ends is None:
+        ends = RD.resolve_redirects(entries, only_redirects=True)
+    ends = ends.select(
         "archive", F.col("path").alias("_at"), F.col("final_path").alias("_end"))
     last = entries.select("archive", F.col("path").alias("_end"), F.col("mimetype").alias("_m1"))
     first = entries.select("archive", F.col("path").alias("_hop"), F.col("title").alias("_t1"))

@@ -86,14 +86,16 @@ def _bucket(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64("archive", key), F.lit(buckets)).cast("int")
 
 
-def index_titles(entries: DataFrame) -> DataFrame:
+def index_titles(entries: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """The titles table of the index.  A redirect's hit shows the size of what it ends at; one that
     ends nowhere matches, but is not shown."""
-    return _titles_and_ends(entries).drop("_end")
+    return _titles_and_ends(entries, ends).drop("_end")
 
 
-def _titles_and_ends(entries: DataFrame) -> DataFrame:
-    ends = RD.resolve_redirects(entries, only_redirects=True).select("archive", "path", F.col("final_path").alias("_end"))
+def _titles_and_ends(entries: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    if ends is None:
+        ends = RD.resolve_redirects(entries, only_redirects=True)
+    ends = ends.select("archive", "path", F.col("final_path").alias("_end"))
     last = entries.select("archive", F.col("path").alias("_end"), F.col("size").alias("_end_size"))
     to = ends.join(last, ["archive", "_end"]).select("archive", "path", "_end", "_end_size")
     e = entries.select("archive", "path", "title", "size", "is_redirect", terms("title").alias("terms")) \
@@ -115,9 +117,9 @@ def _counts(postings: DataFrame, key: str) -> DataFrame:
     return postings.groupBy("bucket", "archive", key).agg(F.count(F.lit(1)).alias("df"))
 
 
-def build_index(entries: DataFrame, buckets: int = INDEX_BUCKETS) -> TitleIndex:
+def build_index(entries: DataFrame, buckets: int = INDEX_BUCKETS, ends: DataFrame | None = None) -> TitleIndex:
     """The index of these entries, derived where it is used."""
-    return _of_titles(index_titles(entries), buckets)
+    return _of_titles(index_titles(entries, ends), buckets)
 
 
 # -- the saved index ----------------------------------------------------------

@@ -11,12 +11,12 @@ from quire.plans import sql as S
 from quire.sources import archive as A
 
 
-def _t(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _t(spark: SparkSession, sf_dir: str) -> A.Tables:
     return A.load(spark, sf_dir)
 
 
-def _catalog(t: dict[str, DataFrame]) -> DataFrame:
-    return C.build_catalog(t["archives"], t["archive_metadata"], t["entries"])
+def _catalog(t: A.Tables) -> DataFrame:
+    return t.catalog
 
 
 def archive_list(spark, sf_dir):
@@ -24,19 +24,18 @@ def archive_list(spark, sf_dir):
 
 
 def media_ratio(spark, sf_dir):
-    return C.media_ratio(_t(spark, sf_dir)["entries"])
+    t = _t(spark, sf_dir)
+    return C.media_ratio(t["entries"], ends=t["ends"])
 
 
 def archive_classify(spark, sf_dir):
     t = _t(spark, sf_dir)
-    mains = C.main_pages(t["archives"], t["entries"])
-    return C.classify_archives(t["archive_metadata"], t["entries"], mains)
+    return C.classify_archives(t["archive_metadata"], t["entries"], t["mains"], ends=t["ends"])
 
 
 def archive_title(spark, sf_dir):
     t = _t(spark, sf_dir)
-    mains = C.main_pages(t["archives"], t["entries"])
-    return C.archive_titles(t["archive_metadata"], mains)
+    return C.archive_titles(t["archive_metadata"], t["mains"])
 
 
 def article_count(spark, sf_dir):
@@ -57,7 +56,7 @@ def catalog_listing(spark, sf_dir):
 def catalog_routes(spark, sf_dir):
     t = _t(spark, sf_dir)
     cat = _catalog(t)
-    return C.catalog_routes(C.catalog_listing(C.list_archives(t["entries"]), cat), t["archives"])
+    return C.catalog_routes(C.catalog_listing(C.list_archives(t["entries"]), cat), t["mains"])
 
 
 def catalog_info(spark, sf_dir):
@@ -68,7 +67,7 @@ def catalog_info(spark, sf_dir):
 
 def archive_cards(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return C.archive_cards(_catalog(t), t["archives"])
+    return C.archive_cards(_catalog(t), t["mains"])
 
 
 def readable_archives(spark, sf_dir):
@@ -77,19 +76,36 @@ def readable_archives(spark, sf_dir):
 
 def main_path(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return C.resolve_main_path(_catalog(t), t["archives"])
+    # every other record has lost its path, as older sidecars have none
+    cat = _catalog(t).withColumn("main_path", F.when(F.length("archive") % 2 == 0, F.col("main_path")).otherwise(""))
+    return C.resolve_main_path(cat, C.resolved_mains(t["archives"], t["entries"], t["ends"]))
+
+
+def _older(t: A.Tables) -> DataFrame:
+    """What an earlier run left: mobile hosts ('m.' prefix), by an older title rule (file stem)."""
+    return (t["mains"].filter(F.col("archive").startswith("m.")).join(t["archives"].drop("main_path"), "archive")
+            .select("archive", T.stem("archive").alias("title"), F.lit("generic").alias("type"),
+                    F.lit("").alias("description"), F.col("article_count").cast("bigint").alias("article_count"),
+                    "main_path"))
 
 
 def catalog_refresh(spark, sf_dir):
-    """Incremental catalogue: rows already catalogued (mobile hosts, 'm.' prefix,
-    recorded with an older title rule = file stem) are kept, the rest are built."""
+    """Incremental catalogue: rows already catalogued are kept, the rest are built."""
+    t = _t(spark, sf_dir)
+    return C.written_catalog(C.refresh_catalog(
+        t["archives"], t["archive_metadata"], t["contents"], _older(t), ends=t["ends"]))
+
+
+def catalog_refresh_errors(spark, sf_dir):
+    """A refresh of damaged archives: PDF archives have lost their entries' sizes, blogs hold their first
+    path twice.  They end as a row with an error, all others are built."""
     t = _t(spark, sf_dir)
-    existing = (t["archives"].filter(F.col("archive").startswith("m."))
-                .select("archive", T.stem("archive").alias("title"), F.lit("generic").alias("type"),
-                        F.lit("").alias("description"),
-                        F.col("article_count").cast("bigint").alias("article_count"),
-                        "main_path"))
-    return C.refresh_catalog(t["archives"], t["archive_metadata"], t["entries"], existing)
+    e = t["contents"]
+    e = e.withColumn("size", F.when(~F.col("archive").startswith(A.PDF_PREFIX), F.col("size")))
+    first = e.filter(F.col("archive").startswith("blog.")).groupBy("archive").agg(F.min("path").alias("path"))
+    e = e.unionByName(e.join(first, ["archive", "path"], "left_semi"))
+    out = C.refresh_catalog(t["archives"], t["archive_metadata"], e, _older(t), ends=t["ends"])
+    return out.select("archive", "title", "type", "article_count", "main_path", "error")
 
 
 QUERIES = {
@@ -106,6 +122,7 @@ QUERIES = {
     "readable_archives": readable_archives,
     "main_path": main_path,
     "catalog_refresh": catalog_refresh,
+    "catalog_refresh_errors": catalog_refresh_errors,
 }
 
 ORACLE = {
@@ -140,11 +157,20 @@ ORACLE = {
     "readable_archives": S.with_catalog(
         "SELECT archive, type FROM catalog WHERE type NOT IN ('pdf', 'video')"),
     "main_path": S.with_catalog(
-        "SELECT c.archive, coalesce(nullif(c.main_path, ''), a.main_path, '') AS main_path "
-        "FROM catalog c LEFT JOIN archives a USING (archive)"),
+        "SELECT c.archive, coalesce(nullif(CASE WHEN length(c.archive) % 2 = 0 THEN c.main_path ELSE '' END, ''), "
+        "m.main_path, '') AS main_path FROM catalog c LEFT JOIN _main m USING (archive)"),
     "catalog_refresh": S.with_catalog(
         "SELECT archive, " + S.stem("archive") + " AS title, 'generic' AS type, '' AS description, "
-        "CAST(article_count AS BIGINT) AS article_count, main_path FROM archives "
+        "article_count, main_path FROM catalog "
         "WHERE starts_with(archive, 'm.') "
         "UNION ALL SELECT * FROM catalog WHERE NOT starts_with(archive, 'm.')"),
+    "catalog_refresh_errors": S.with_catalog(
+        "SELECT archive, " + S.stem("archive") + " AS title, 'generic' AS type, article_count, main_path, "
+        "NULL::VARCHAR AS error FROM catalog WHERE starts_with(archive, 'm.') "
+        "UNION ALL SELECT archive, NULL, NULL, NULL, NULL, 'entry without a size' FROM catalog "
+        f"WHERE starts_with(archive, '{A.PDF_PREFIX}') "
+        "UNION ALL SELECT archive, NULL, NULL, NULL, NULL, 'two entries at ' || min(path) FROM entries "
+        "WHERE starts_with(archive, 'blog.') GROUP BY archive "
+        "UNION ALL SELECT archive, title, type, article_count, main_path, NULL FROM catalog "
+        f"WHERE NOT starts_with(archive, 'm.') AND NOT starts_with(archive, 'blog.') AND NOT starts_with(archive, '{A.PDF_PREFIX}')"),
 }

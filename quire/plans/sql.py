@@ -67,29 +67,39 @@ _typed AS (
   SELECT entry_id, archive, path, html, strlen(html) AS bytes, html AS titled, '{A.HTML_MIMETYPE}' AS mimetype
   FROM _dedup
   UNION ALL
-  SELECT entry_id + {A.MEDIA_ID_BASE}, archive, path || CASE WHEN entry_id % {A.VIDEO_EVERY} = 0 THEN '.webm' ELSE '.pdf' END,
+  SELECT entry_id + {A.MEDIA_ID_BASE},
+         CASE WHEN entry_id % {A.VIDEO_EVERY} = 0 THEN '{A.VIDEO_PREFIX}' ELSE '{A.PDF_PREFIX}' END || archive,
+         path || CASE WHEN entry_id % {A.VIDEO_EVERY} = 0 THEN '.webm' ELSE '.pdf' END,
          '', strlen(html), html,
          CASE WHEN entry_id % {A.VIDEO_EVERY} = 0 THEN '{A.VIDEO_MIMETYPE}' ELSE '{A.PDF_MIMETYPE}' END
   FROM _dedup WHERE entry_id % {A.VIDEO_EVERY} = 0 OR entry_id % {A.PDF_EVERY} = 0),
 _mains AS (
-  SELECT archive, arg_min(path, entry_id) AS main_path, min(entry_id) AS main_id
+  SELECT archive, arg_min(path, entry_id) AS main_path, min(entry_id) AS main_id,
+         arg_max(path, entry_id) AS last_path, max(entry_id) AS last_id
   FROM _typed GROUP BY archive),
+_led AS (
+  SELECT t.*, CASE WHEN t.mimetype NOT LIKE 'text/html%' OR t.entry_id = m.last_id THEN NULL
+                   WHEN t.entry_id = m.main_id AND t.entry_id % {A.MAIN_REDIRECT_EVERY} = 0 THEN m.last_path
+                   WHEN t.entry_id <> m.main_id AND t.entry_id % {A.REDIRECT_EVERY} = 0 THEN m.main_path
+              END AS redirect_path
+  FROM _typed t JOIN _mains m USING (archive)),
 entries AS (
-  SELECT t.archive, t.entry_id, t.path,
-         {py_strip(norm_space(unescape("regexp_extract(t.titled, '(?is)<title>(.*?)</title>', 1)")))} AS title,
-         t.mimetype,
-         (t.entry_id % {A.REDIRECT_EVERY} = 0 AND t.mimetype LIKE 'text/html%'
-          AND t.entry_id <> m.main_id) AS is_redirect,
-         CASE WHEN t.entry_id % {A.REDIRECT_EVERY} = 0 AND t.mimetype LIKE 'text/html%'
-              AND t.entry_id <> m.main_id THEN m.main_path END AS redirect_path,
-         CAST(t.bytes AS BIGINT) AS size,
-         t.html
-  FROM _typed t LEFT JOIN _mains m USING (archive)),
+  SELECT archive, entry_id, path,
+         {py_strip(norm_space(unescape("regexp_extract(titled, '(?is)<title>(.*?)</title>', 1)")))} AS title,
+         mimetype, redirect_path IS NOT NULL AS is_redirect, redirect_path, CAST(bytes AS BIGINT) AS size, html
+  FROM _led),
 archives AS (
   SELECT archive, count(*) AS entry_count,
          count(*) FILTER (WHERE NOT is_redirect AND mimetype LIKE 'text/html%') AS article_count,
          arg_min(path, entry_id) AS main_path
   FROM entries GROUP BY archive),
+-- chains are walked to the end; the data has chains of up to two hops, three are allowed for
+_ends AS (
+  SELECT e.archive, e.path, coalesce(CASE WHEN c.is_redirect THEN d.path END, CASE WHEN NOT c.is_redirect THEN c.path END,
+         CASE WHEN NOT b.is_redirect THEN b.path END, CASE WHEN NOT e.is_redirect THEN e.path END) AS final_path
+  FROM entries e LEFT JOIN entries b ON e.is_redirect AND b.archive = e.archive AND b.path = e.redirect_path
+  LEFT JOIN entries c ON b.is_redirect AND c.archive = e.archive AND c.path = b.redirect_path
+  LEFT JOIN entries d ON c.is_redirect AND d.archive = e.archive AND d.path = c.redirect_path AND NOT d.is_redirect),
 archive_metadata AS (
   SELECT archive, 'Tags' AS key,
          string_agg(DISTINCT '_lang:' || lang, ';' ORDER BY '_lang:' || lang) AS value
@@ -99,12 +109,12 @@ archive_metadata AS (
 
 CATALOG_CTE = ENTRIES_CTE + f""",
 _main AS (
-  SELECT a.archive, coalesce(a.main_path, '') AS main_path,
+  SELECT a.archive, coalesce(x.final_path, '') AS main_path,
          CASE WHEN e.mimetype LIKE 'text/html%' THEN e.html ELSE '' END AS main_html
-  FROM archives a LEFT JOIN entries e ON e.archive = a.archive AND e.path = a.main_path),
+  FROM archives a LEFT JOIN _ends x ON x.archive = a.archive AND x.path = a.main_path
+  LEFT JOIN entries e ON e.archive = a.archive AND e.path = x.final_path),
 _sample AS (
-  SELECT e.archive, CASE WHEN e.is_redirect THEN t.mimetype ELSE e.mimetype END AS mimetype
-  FROM entries e LEFT JOIN entries t ON e.is_redirect AND t.archive = e.archive AND t.path = e.redirect_path),
+  SELECT x.archive, t.mimetype FROM _ends x LEFT JOIN entries t ON t.archive = x.archive AND t.path = x.final_path),
 _ratio AS (
   SELECT archive, count(mimetype) AS sampled,
          count(*) FILTER (WHERE mimetype LIKE '%webm%' OR mimetype LIKE 'video%') AS video,

@@ -17,11 +17,16 @@ html), so :func:`entries_from_pages` maps those onto the entry shape.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.functions.html_text import html_unescape
+from quire.operators import catalog as C
+from quire.operators.redirects import resolve_redirects
+from quire.session import stored
 
 # ---------------------------------------------------------------------------
 # Fixed values of the pages -> entries mapping (shared with the SQL oracle)
@@ -31,11 +36,13 @@ URL_SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*)://"
 URL_REST = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?(.*)$"
 TITLE_TAG = r"(?is)<title>(.*?)</title>"
 ARCHIVE_SUFFIX = ".zim"
-# The crawl holds only HTML pages, and every page is an HTML entry.  To
-# exercise the media paths of the catalogue, every 13th page gets a video entry
-# and every 17th (not 13th) a PDF entry beside it; every 11th page's entry is a
-# redirect to its archive's main page.
-VIDEO_EVERY, PDF_EVERY, REDIRECT_EVERY = 13, 17, 11
+# The crawl holds only HTML pages, and every page is an HTML entry.  To exercise
+# the media paths of the catalogue, every 13th page also gives a video entry and
+# every 17th (not 13th) a PDF entry, in archives of their own.  Every 11th page's
+# entry is a redirect to its archive's main page, and the main page of an archive
+# whose lowest page id is divisible by 3 redirects to the archive's last entry.
+VIDEO_EVERY, PDF_EVERY, REDIRECT_EVERY, MAIN_REDIRECT_EVERY = 13, 17, 11, 3
+VIDEO_PREFIX, PDF_PREFIX = "video.", "pdf."
 MEDIA_ID_BASE = 1_000_000_000_000
 HTML_MIMETYPE = "text/html; charset=utf-8"
 VIDEO_MIMETYPE = "video/webm"
@@ -69,12 +76,13 @@ def page_title(html) -> Column:
     return T.py_strip(T.norm_space(html_unescape(raw)))
 
 
-def entries_from_pages(pages: DataFrame, with_html: bool = True) -> DataFrame:
-    """Map the crawl's ``pages`` onto archive entries.
+def entries_from_pages(pages: DataFrame) -> DataFrame:
+    """Map the crawl's ``pages`` onto archive entries, without their contents.
 
     archive = URL host + '.zim'; path = the rest of the URL; of pages with one
-    URL the lowest ``page_id`` stays.  Repeats are found on keys alone, so page
-    contents are not shuffled for it.
+    URL the lowest ``page_id`` stays.  ``page_id`` names the page that holds an
+    entry's content (:func:`with_contents`).  Pages are read once, titles are
+    decoded once, and only keys are shuffled and stored.
     """
     base = pages.select(
         F.col("page_id").cast("bigint").alias("entry_id"),
@@ -82,36 +90,40 @@ def entries_from_pages(pages: DataFrame, with_html: bool = True) -> DataFrame:
         url_path("url").alias("path"),
         page_title("html").alias("title"),
         F.octet_length("html").cast("bigint").alias("size"),
-        "html",
     )
-    keys = base.select("archive", "path", "entry_id")
-    repeated = (keys.groupBy("archive", "path").agg(F.min("entry_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-                .filter("_n > 1").drop("_n"))
-    later = keys.join(repeated, ["archive", "path"]).filter("entry_id <> _first").select("entry_id")
-    pages_only = base.join(later, "entry_id", "left_anti").withColumn("mimetype", F.lit(HTML_MIMETYPE))
+    kept = base.groupBy("archive", "path").agg(
+        F.min_by(F.struct("entry_id", "title", "size"), "entry_id").alias("_e")).select("archive", "path", "_e.*")
     is_video = F.col("entry_id") % VIDEO_EVERY == 0
-    media = (pages_only.filter(is_video | (F.col("entry_id") % PDF_EVERY == 0))
-             .withColumn("path", F.concat("path", F.when(is_video, F.lit(".webm")).otherwise(F.lit(".pdf"))))
-             .withColumn("mimetype", F.when(is_video, F.lit(VIDEO_MIMETYPE)).otherwise(F.lit(PDF_MIMETYPE)))
-             .withColumn("html", F.lit("")).withColumn("entry_id", F.col("entry_id") + MEDIA_ID_BASE))
-    dedup = pages_only.unionByName(media)
-    # main page = lowest entry id of the archive: a partial (map-side) min, so
-    # a hot archive is pre-aggregated before the shuffle
-    mains = (dedup.groupBy("archive")
-             .agg(F.min_by("path", "entry_id").alias("_main_path"),
-                  F.min("entry_id").alias("_main_id")))
-    out = dedup.join(mains, "archive", "left")
-    redirect = ((F.col("entry_id") % REDIRECT_EVERY == 0)
-                & F.col("mimetype").startswith("text/html")
-                & (F.col("entry_id") != F.col("_main_id")))
-    out = out.select(
-        "archive", "entry_id", "path", "title", "mimetype",
-        redirect.alias("is_redirect"),
-        F.when(redirect, F.col("_main_path")).alias("redirect_path"),
-        "size",
-        *(["html"] if with_html else []),
-    )
-    return out
+    media = F.struct(
+        F.concat(F.when(is_video, F.lit(VIDEO_PREFIX)).otherwise(F.lit(PDF_PREFIX)), "archive").alias("archive"),
+        F.concat("path", F.when(is_video, F.lit(".webm")).otherwise(F.lit(".pdf"))).alias("path"),
+        (F.col("entry_id") + MEDIA_ID_BASE).alias("entry_id"),
+        F.when(is_video, F.lit(VIDEO_MIMETYPE)).otherwise(F.lit(PDF_MIMETYPE)).alias("mimetype"))
+    page = F.struct("archive", "path", "entry_id", F.lit(HTML_MIMETYPE).alias("mimetype"))
+    both = F.when(is_video | (F.col("entry_id") % PDF_EVERY == 0), F.array(page, media)).otherwise(F.array(page))
+    typed = stored(kept.select("title", "size", F.col("entry_id").alias("page_id"), F.explode(both).alias("_x"))
+                   .select("_x.*", "title", "size", "page_id"), "entries")
+    # main page = lowest entry id of the archive: partial (map-side) min and max
+    is_html = F.col("mimetype").startswith("text/html")
+    mains = typed.groupBy("archive").agg(
+        F.min_by("path", "entry_id").alias("_main_path"), F.min("entry_id").alias("_main_id"),
+        F.max_by("path", F.when(is_html, F.col("entry_id"))).alias("_last_path"),
+        F.max(F.when(is_html, F.col("entry_id"))).alias("_last_id"))
+    is_main = F.col("entry_id") == F.col("_main_id")
+    is_last = F.coalesce(F.col("entry_id") == F.col("_last_id"), F.lit(False))
+    to = F.when(is_html & ~is_last, F.when(is_main & (F.col("entry_id") % MAIN_REDIRECT_EVERY == 0), F.col("_last_path"))
+                .when(~is_main & (F.col("entry_id") % REDIRECT_EVERY == 0), F.col("_main_path")))
+    return typed.join(mains, "archive").withColumn("redirect_path", to).select(
+        "archive", "entry_id", "path", "title", "mimetype", F.col("redirect_path").isNotNull().alias("is_redirect"),
+        "redirect_path", "size", "page_id")
+
+
+def with_contents(entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """Entries with their ``html`` ('' for media), joined by page id."""
+    html = pages.select(F.col("page_id").cast("bigint").alias("_page"), "html")
+    page = F.when(F.col("mimetype").startswith("text/html"), F.col("page_id"))
+    return (entries.withColumn("_page", page).join(html, "_page", "left").drop("_page", "page_id")
+            .withColumn("html", F.coalesce("html", F.lit(""))))
 
 
 def archive_metadata_from_pages(entries: DataFrame) -> DataFrame:
@@ -131,7 +143,7 @@ def archive_metadata_from_pages(entries: DataFrame) -> DataFrame:
 
 
 def archives_table(entries: DataFrame) -> DataFrame:
-    """One row per archive: entry count, article count, main path."""
+    """One row per archive: entry count, article count, main path (that of the main entry, as it is)."""
     return entries.groupBy("archive").agg(
         F.count(F.lit(1)).alias("entry_count"),
         F.count_if(~F.col("is_redirect") & F.col("mimetype").startswith("text/html"))
@@ -140,13 +152,48 @@ def archives_table(entries: DataFrame) -> DataFrame:
     )
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class Tables:
+    """The archive relations of one test scale, each made once, when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.pages = read_table(spark, sf_dir, "pages")
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    @functools.cached_property
+    def entries(self) -> DataFrame:
+        """All entries, without contents; stored."""
+        return stored(entries_from_pages(self.pages), "entries")
+
+    @functools.cached_property
+    def contents(self) -> DataFrame:
+        """Entries with ``html``."""
+        return with_contents(self.entries, self.pages)
+
+    @functools.cached_property
+    def ends(self) -> DataFrame:
+        """Where redirects end; stored."""
+        return stored(resolve_redirects(self.entries, only_redirects=True), "ends")
+
+    @functools.cached_property
+    def mains(self) -> DataFrame:
+        """Main pages, behind redirects; stored."""
+        return stored(C.main_pages(self.archives, self.entries, self.ends, self.pages), "mains")
+
+    @functools.cached_property
+    def catalog(self) -> DataFrame:
+        return C.build_catalog(self.archives, self.archive_metadata, self.entries, mains=self.mains, ends=self.ends)
+
+    @functools.cached_property
+    def archives(self) -> DataFrame:
+        return archives_table(self.entries)
+
+    @functools.cached_property
+    def archive_metadata(self) -> DataFrame:
+        return archive_metadata_from_pages(self.entries)
+
+
+def load(spark: SparkSession, sf_dir: str) -> Tables:
     """The archive relations for one test scale."""
-    pages = read_table(spark, sf_dir, "pages")
-    entries = entries_from_pages(pages)
-    return {
-        "pages": pages,
-        "entries": entries,
-        "archive_metadata": archive_metadata_from_pages(entries),
-        "archives": archives_table(entries),
-    }
+    return Tables(spark, sf_dir)

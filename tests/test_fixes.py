@@ -168,3 +168,55 @@ def test_a_hot_query_is_ranked_in_bands(spark):
     titles = sorted(r["title"] for r in e.select("title").collect())
     got = lambda i: [r["title"] for r in sorted((r for r in rows if r["request_id"] == i), key=lambda r: r["number"])]
     assert got(1) == titles[30:45] and got(2) == titles[90:]
+
+
+def test_a_main_entry_that_redirects_is_followed(spark):
+    wiki = "<html><title>W</title><div class='mw-parser-output'><p>x</p></div></html>"
+    e = entries(spark, [hop("w.zim", 1, "mainPage", "A/Old"), hop("w.zim", 2, "A/Old", "A/Main"), page("w.zim", 3, "A/Main", wiki),
+                        hop("c.zim", 1, "x", "y"), hop("c.zim", 2, "y", "x"), hop("d.zim", 1, "x", "nowhere"),
+                        page("p.zim", 1, "x", "<p>plain text that is long enough to be read by people</p>")])
+    mains = spark.createDataFrame([("w.zim", 3, 1, "mainPage"), ("c.zim", 2, 0, "x"), ("d.zim", 1, 0, "x"), ("p.zim", 1, 1, "x"),
+                                   ("e.zim", 0, 0, None)], "archive string, entry_count long, article_count long, main_path string")
+    meta = spark.createDataFrame([], "archive string, key string, value binary")
+    got = {r.archive: (r.title, r.type, r.main_path) for r in C.build_catalog(mains, meta, e).collect()}
+    assert got == {"w.zim": ("W", "wikipedia", "A/Main"), "c.zim": ("c", "generic", ""), "d.zim": ("d", "generic", ""),
+                   "p.zim": ("p", "generic", "x"), "e.zim": ("e", "generic", "")}
+
+
+def test_media_share_must_exceed_a_tenth(spark):
+    rows = [page("a.zim", i, f"p{i}", "x") for i in range(9)] + [("a.zim", 9, "v", "V", "video/webm", False, None, 1, "")]
+    rows += [(("b.zim", *r[1:])) for r in rows] + [("b.zim", 10, "w", "V", "video/mp4", False, None, 1, "")]
+    e = entries(spark, rows)
+    mains = spark.createDataFrame([("a.zim", ""), ("b.zim", "")], "archive string, main_html string")
+    meta = spark.createDataFrame([], "archive string, key string, value binary")
+    assert {r.archive: r.type for r in C.classify_archives(meta, e, mains).collect()} == {"a.zim": "generic", "b.zim": "video"}
+
+
+def test_one_failing_archive_does_not_stop_a_refresh(spark):
+    e = entries(spark, [page("a.zim", 1, "x", "<title>A</title>"), page("b.zim", 1, "x", ""), page("b.zim", 2, "x", ""),
+                        page("c.zim", 1, None, ""), page("d.txt", 1, "x", "")])
+    names = spark.createDataFrame([(n, 1, 1, "x") for n in ("a.zim", "b.zim", "c.zim", "d.txt", "e.zim")],
+                                  "archive string, entry_count long, article_count long, main_path string")
+    meta = spark.createDataFrame([], "archive string, key string, value binary")
+    out = C.refresh_catalog(names, meta, e, None)
+    assert {r.archive: r.error for r in out.collect()} == {
+        "a.zim": None, "b.zim": "two entries at x", "c.zim": "entry without a path", "d.txt": "not an archive name",
+        "e.zim": "no entries"}
+    written = C.written_catalog(out)
+    assert [r.title for r in written.collect()] == ["A"] and "error" not in written.columns
+    # the next refresh tries the failed ones again, and only them
+    again = C.refresh_catalog(names, meta, entries(spark, [page("e.zim", 1, "x", "<title>E</title>")]), written)
+    assert {r.archive: r.error for r in again.collect()}["e.zim"] is None
+
+
+def test_redirects_that_share_a_target_are_spread(spark, monkeypatch):
+    from quire.operators import redirects as RD
+
+    monkeypatch.setattr(RD, "HOT_TARGET", 50)
+    rows = [hop("a.zim", i, f"r{i}", "main") for i in range(300)] + [page("a.zim", 900, "main", "x")]
+    rows += [hop("a.zim", 1000 + i, f"s{i}", f"r{i}") for i in range(100)] + [hop("a.zim", 2000, "lost", "gone")]
+    out = RD.resolve_redirects(entries(spark, rows), only_redirects=True)
+    got = {r.path: (r.final_path, r.hops, r.resolved) for r in out.collect()}
+    assert len(got) == 401 and got["r7"] == ("main", 1, True) and got["s7"] == ("main", 2, True)
+    assert got["lost"] == (None, 1, False)
+    assert "_salt" in out._jdf.queryExecution().executedPlan().toString()

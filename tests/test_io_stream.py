@@ -31,7 +31,7 @@ def test_catalog_roundtrip_with_bad_record(spark):
 
 def test_streaming_incremental_render(spark):
     d = tempfile.mkdtemp(prefix="quire-stream-")
-    entries = A.entries_from_pages(A.read_table(spark, SF, "pages")).select(*[
+    entries = A.load(spark, SF)["contents"].select(*[
         c.split()[0] for c in S.ENTRY_SCHEMA.split(", ")])
     entries.filter(F.col("entry_id") < 25).write.mode("append").parquet(d + "/in")
     S.init_cache(spark, d + "/cache")

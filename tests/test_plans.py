@@ -26,7 +26,10 @@ def test_filter_and_projection_reach_the_scan(spark):
     assert "ReadSchema: struct<p_name:string,p_size:int>" in plan
 
 
-def test_entries_projection_prunes_html(spark):
-    e = A.entries_from_pages(A.read_table(spark, "/root/testdata/sf0.001", "pages"))
-    plan = e.select("archive", "path")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<page_id:bigint,url:string>" in plan
+def test_entries_are_stored_without_contents(spark):
+    t = A.load(spark, "/root/testdata/sf0.001")
+    plan = t["entries"].select("archive", "path")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<archive:string,path:string>" in plan and "html" not in plan
+    # the catalogue reads pages for the entries and for main pages, both before its own plan
+    assert "pages.parquet" not in t["catalog"]._jdf.queryExecution().executedPlan().toString()
+    assert t["contents"]._jdf.queryExecution().executedPlan().toString().count("pages.parquet") == 1
