@@ -12,8 +12,10 @@ node table (one shuffle), plus co-partitioned joins on ``(doc_id, pos)``:
 5. lines per block, then the document: blocks joined by blank lines,
    blank runs collapsed.
 
-Renderer dispatch by archive type is a filter + union over three rule sets,
-never a per-row branch in Python.
+Rule sets differ in removal rules, roots and a few blocks.  With ``BY_TYPE`` in
+place of a rule set's name, each document's own rule set is taken from its
+column ``renderer``: one plan renders documents of all types, each node is made
+once, and where rule sets differ an expression chooses by that column.
 """
 
 from __future__ import annotations
@@ -60,6 +62,8 @@ RULES = {
         "roots": [("class", "document"), ("id", "content"), ("tag", "body")],
     },
 }
+RENDERERS = list(RULES)
+BY_TYPE = "by_type"      # the rule set that the column ``renderer`` names
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 BLOCK_TYPES = {**{h: "heading" for h in HEADINGS}, "p": "p", "ul": "list", "ol": "list",
                "dl": "dl", "blockquote": "quote", "pre": "pre", "table": "table"}
@@ -96,6 +100,26 @@ def _class_any(names) -> Column:
     return _class_any_t(tuple(names))
 
 
+def _by_kind(kind: str, make) -> Column:
+    """What ``make`` gives for the rule set: one, or each document's own."""
+    if kind != BY_TYPE:
+        return make(kind)
+    return (F.when(F.col("renderer") == "wikipedia", make("wikipedia"))
+            .when(F.col("renderer") == "gutenberg", make("gutenberg")).otherwise(make("generic")))
+
+
+def _may_be(kind: str, one: str) -> bool:
+    return kind in (one, BY_TYPE)
+
+
+def _is_kind(kind: str, one: str) -> Column:
+    return F.col("renderer") == one if kind == BY_TYPE else F.lit(kind == one)
+
+
+def _own_columns(kind: str) -> list[str]:
+    return ["renderer"] if kind == BY_TYPE else []
+
+
 # ---------------------------------------------------------------------------
 # EXT-2 / EXT-3: root choice and boilerplate removal
 # ---------------------------------------------------------------------------
@@ -112,25 +136,25 @@ def _root_priority(kind: str) -> Column:
 
 def clean_tree(nodes: DataFrame, kind: str = "generic") -> DataFrame:
     """Adds ``root_pos, in_root, removed, kept`` under the ``kind`` rule set."""
-    rules = RULES[kind]
     w_doc = H.by_doc(order=False)
-    cand = F.when(_root_priority(kind).isNotNull(),
-                  F.struct(_root_priority(kind).alias("p"), F.col("pos").alias("q"),
-                           F.col("end_pos").alias("e")))
+    priority = _by_kind(kind, _root_priority)
+    cand = F.when(priority.isNotNull(), F.struct(priority.alias("p"), F.col("pos").alias("q"), F.col("end_pos").alias("e")))
     n = nodes.repartition("doc_id").withColumns(
         {"_root": F.min(cand).over(w_doc), "_last": F.max("pos").over(w_doc)})
     root_pos = F.coalesce(F.col("_root.q"), F.lit(-1))
     root_end = F.coalesce(F.col("_root.e"), F.col("_last"))
     in_root = (F.col("pos") > root_pos) & (F.col("pos") <= root_end)
     n = n.withColumns({"root_pos": root_pos, "root_end": root_end, "in_root": in_root,
-                       "_tag_rm": in_root & _is_tag(*rules["tags"])}).drop("_root", "_last")
-    rm = F.col("_tag_rm") | (F.col("in_root") & (F.col("kind") == "tag") & _class_any(rules["classes"]))
-    if rules["ids"]:
+                       "_tag_rm": in_root & _by_kind(kind, lambda k: _is_tag(*RULES[k]["tags"]))}).drop("_root", "_last")
+    rm = F.col("_tag_rm") | (F.col("in_root") & (F.col("kind") == "tag")
+                             & _by_kind(kind, lambda k: _class_any(RULES[k]["classes"])))
+    with_ids = [k for k in RENDERERS if RULES[k]["ids"] and _may_be(kind, k)]
+    if with_ids:
         # per id, the first element among what the tag pass and the ids before it left
         n = n.withColumn("_gone", F.col("_tag_rm"))
-        for ident in rules["ids"]:
+        for one, ident in [(k, i) for k in with_ids for i in RULES[k]["ids"]]:
             n = n.withColumn("_left", F.col("in_root") & ~H.running_cover(F.col("_gone")))
-            first = F.min(F.when(F.col("_left") & (F.col("id") == ident), F.col("pos"))).over(w_doc)
+            first = F.min(F.when(F.col("_left") & (F.col("id") == ident) & _is_kind(kind, one), F.col("pos"))).over(w_doc)
             n = n.withColumn("_gone", F.col("_gone") | F.coalesce(F.col("pos") == first, F.lit(False)))
         n = n.withColumn("_rm", rm | F.col("_gone")).drop("_gone", "_left")
     else:
@@ -151,16 +175,17 @@ def blocks(nodes: DataFrame, kind: str = "generic") -> DataFrame:
     ``block_depth`` and ``in_block``.
     """
     n = clean_tree(nodes, kind)
-    skip = BLOCK_SKIP + (WIKI_BLOCK_SKIP if kind == "wikipedia" else [])
-    btype = None
-    if kind == "wikipedia":
-        btype = F.when((F.col("tag") == "div") & F.array_contains("classes", "mw-heading"), "wheading")
-        btype = btype.when(_is_tag("ol") & F.array_contains("classes", "references"), "references")
-        btype = btype.when(_is_tag("table") & ~F.array_contains("classes", "wikitable"), "skip")
+    wiki = _is_kind(kind, "wikipedia")
+    skip = _is_tag(*BLOCK_SKIP)
+    btype = F.when(F.lit(False), F.lit(""))
+    if _may_be(kind, "wikipedia"):
+        skip = skip | (wiki & _is_tag(*WIKI_BLOCK_SKIP))
+        btype = F.when(wiki & (F.col("tag") == "div") & F.array_contains("classes", "mw-heading"), "wheading")
+        btype = btype.when(wiki & _is_tag("ol") & F.array_contains("classes", "references"), "references")
+        btype = btype.when(wiki & _is_tag("table") & ~F.array_contains("classes", "wikitable"), "skip")
     for tag, bt in BLOCK_TYPES.items():
-        cond = _is_tag(tag)
-        btype = F.when(cond, bt) if btype is None else btype.when(cond, bt)
-    btype = btype.when(_is_tag(*skip), "skip").when(F.col("kind").isin(*TEXTLIKE), "text")
+        btype = btype.when(_is_tag(tag), bt)
+    btype = btype.when(skip, "skip").when(F.col("kind").isin(*TEXTLIKE), "text")
     bt = F.when(F.col("kept"), btype)
     handler = F.col("kept") & bt.isNotNull() & (F.col("kind") == "tag")
     n = n.withColumns({"_bt": bt, "_covered": H.running_cover(handler, inclusive=False)})
@@ -386,7 +411,7 @@ def _emitting(b: DataFrame, kind: str, page_root: str) -> tuple[DataFrame, Colum
     """Nodes with the anchor that each emits while rendering (``_emit``): id anchors and
     cited sup ids; also the conditions *live* (rendered inline) and *refs* (in a reference list)."""
     n = inline_marks(b)
-    n = _references(n) if kind == "wikipedia" else _no_references(n)
+    n = _references(n) if _may_be(kind, "wikipedia") else _no_references(n)
     n = _with_atomic_values(_dl_structure(_list_structure(n)), page_root)
     inline = F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES)
     refs = F.col("block_type") == "references"
@@ -412,7 +437,7 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
     quote, heading and preformatted block in one aggregation.
     """
     n, live, refs = _emitting(b, kind, page_root)
-    if kind == "wikipedia":
+    if _may_be(kind, "wikipedia"):
         n = _reference_numbers(n)
     else:
         n = n.withColumns({"ref_num": F.lit(None).cast("string"), "ref_back": F.lit(None).cast("string")})
@@ -439,7 +464,7 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
     # heading text: stripped strings of the (first) heading, space separated
     first_h = F.min(F.when(F.col("in_block") & _is_tag(*HEADINGS) & (F.col("pos") > F.col("block")),
                            F.struct("pos", "end_pos", "tag"))).over(Window.partitionBy("doc_id", "block"))
-    if kind == "wikipedia":
+    if _may_be(kind, "wikipedia"):
         n = n.withColumn("_fh", F.when(F.col("block_type") == "wheading", first_h))
     else:
         n = n.withColumn("_fh", F.lit(None).cast("struct<pos:int,end_pos:int,tag:string>"))
@@ -466,7 +491,7 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
              .when(btype.isin("list", "dl"), F.lit(None))
              .otherwise(F.col("block")))
     ev = n.filter(F.col("in_block")).select(
-        "doc_id", "block", btype.alias("btype"), owner.alias("owner"), "pos", "end_pos", "tag",
+        "doc_id", *_own_columns(kind), "block", btype.alias("btype"), owner.alias("owner"), "pos", "end_pos", "tag",
         "ptag", "_off", "ordinal", "_is_li", "_is_nested", "_is_def", "_ref_li", "ref_anchor", "ref_num",
         "ref_back", "has_span",
         F.struct(F.col("pos").cast("bigint").alias("k1"), F.lit(0).alias("k2"),
@@ -495,6 +520,7 @@ def render_events(b: DataFrame, docs: DataFrame, kind: str = "generic",
         F.max(F.when(me, F.col("ref_back"))).alias("ref_back"),
         F.max(F.when(me, F.col("has_span"))).alias("has_span"),
         F.max("_htag").alias("htag"),
+        *[F.first(c).alias(c) for c in _own_columns(kind)],
     )
     return g.select("doc_id", "block", "owner", F.explode(_format_lines(kind)).alias("l")) \
         .select("doc_id", "block", F.col("l.gkey").alias("gkey"), F.col("l.idx").alias("idx"),
@@ -532,11 +558,9 @@ def _format_lines(kind: str) -> Column:
     # preformatted
     pre_t = T.norm_newlines(c)
     pre_l = F.split(pre_t, "\n", -1)
-    if kind == "gutenberg":
-        pre_fmt = F.transform(pre_l, lambda s: T.guard_line(T.escape_markup(T.py_rstrip(s))))
-    else:
-        pre_fmt = F.transform(pre_l, lambda s: F.concat(F.lit(f"`B{CODE_BG}`F{CODE_FG}"),
-                                                          T.escape_markup(T.py_rstrip(s)), F.lit("`f`b")))
+    pre_fmt = _by_kind(kind, lambda k: F.transform(pre_l, lambda s: T.guard_line(T.escape_markup(T.py_rstrip(s))))
+                       if k == "gutenberg" else F.transform(pre_l, lambda s: F.concat(
+                           F.lit(f"`B{CODE_BG}`F{CODE_FG}"), T.escape_markup(T.py_rstrip(s)), F.lit("`f`b"))))
     pre = F.when(T.py_strip(pre_t) != "", pre_fmt).otherwise(empty)
     quote = F.when(flat != "", F.array(F.concat(F.lit("  `*"), flat, F.lit("`*")))).otherwise(empty)
     # list items
@@ -670,15 +694,6 @@ def table_lines(b: DataFrame) -> DataFrame:
 # EXT-18: assemble
 # ---------------------------------------------------------------------------
 
-def block_lines(nodes: DataFrame, docs: DataFrame, kind: str = "generic",
-                page_root: str = DEFAULT_PAGE_ROOT) -> DataFrame:
-    """(doc_id, block, gkey, idx, line) for every rendered block of every document."""
-    b = blocks(nodes, kind)
-    t = (table_lines(b).withColumn("hlevel", F.lit(None).cast("int"))
-         .withColumn("htitle", F.lit(None).cast("string")))
-    return render_events(b, docs, kind, page_root).unionByName(t)
-
-
 def assemble(lines: DataFrame, docs: DataFrame, kind: str = "generic") -> DataFrame:
     """(doc_id, text): top anchor, blocks separated by blank lines, blank runs collapsed.
 
@@ -689,42 +704,86 @@ def assemble(lines: DataFrame, docs: DataFrame, kind: str = "generic") -> DataFr
     if "hlevel" not in lines.columns:
         lines = lines.withColumn("hlevel", F.lit(None).cast("int")).withColumn("htitle", F.lit(None).cast("string"))
     items = F.array_sort(F.collect_list(F.struct("block", "gkey", "idx", "line", "hlevel", "htitle")))
-    body = lines.groupBy("doc_id").agg(items.alias("items"))
-    if kind == "wikipedia":
-        heads = F.filter("items", lambda x: x["hlevel"].isNotNull())
-        toc = F.filter(heads, lambda x: x["hlevel"].isin(2, 3))
-        entries = F.transform(toc, lambda x: F.concat(
-            F.when(x["hlevel"] == 3, F.lit("  ")).otherwise(F.lit("")), F.lit(f"• `F{NAV_COLOR}`_`["),
-            T.clean_label(x["htitle"]), F.lit("`#"), T.slug(x["htitle"]), F.lit("]`_`f")))
-        toc_lines = F.concat(F.array(F.lit(""), F.lit(">>Contents"), F.lit("")), entries,
-                             F.array(F.lit(""), F.lit(CONTENTS_RULE), F.lit("")))
-        first = F.try_element_at(heads, F.lit(1))["block"]
-        placed = F.transform(toc_lines, lambda x, i: F.struct(
-            first.alias("block"), F.lit(-2).cast("bigint").alias("gkey"), i.alias("idx"), x.alias("line"),
-            F.lit(None).cast("int").alias("hlevel"), F.lit(None).cast("string").alias("htitle")))
-        all_items = F.when(F.size(toc) >= 2, F.array_sort(F.concat("items", placed))).otherwise(F.col("items"))
-        text = F.array_join(F.transform(all_items, lambda x: x["line"]), "\n")
-        tail = F.when(F.size(heads) > 0, F.lit(BACK_TO_TOP)).otherwise(F.lit(""))
-        # the empty place of the contents leaves a blank line above a heading that comes first
-        lead = F.when((F.size(heads) > 0) & (F.size(toc) < 2)
-                      & T.collapse_blank(text).startswith(">"), F.lit("\n")).otherwise(F.lit(""))
-        body = body.select("doc_id", text.alias("body"), tail.alias("tail"), lead.alias("lead"))
-    else:
-        body = body.select("doc_id", F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("body"),
-                           F.lit("").alias("tail"), F.lit("").alias("lead"))
-    d = docs.select("doc_id").join(body, "doc_id", "left")
+    body = docs.select("doc_id", *_own_columns(kind)).join(lines.groupBy("doc_id").agg(items.alias("items")), "doc_id", "left")
+    plain = F.struct(F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("body"),
+                     F.lit("").alias("tail"), F.lit("").alias("lead"))
+    body = body.select("doc_id", _by_kind(kind, lambda k: _wiki_body() if k == "wikipedia" else plain).alias("_b")).select(
+        "doc_id", "_b.*")
     doc = F.concat(F.lit(TOP_ANCHOR + "\n"), F.coalesce("lead", F.lit("")),
                    T.collapse_blank(F.coalesce("body", F.lit(""))),
                    F.coalesce("tail", F.lit("")))
-    return d.select("doc_id", F.concat(T.collapse_blank(doc), F.lit("\n")).alias("text"))
+    return body.select("doc_id", F.concat(T.collapse_blank(doc), F.lit("\n")).alias("text"))
+
+
+def _wiki_body() -> Column:
+    """(body, tail, lead) with the contents block and the way back to the top."""
+    heads = F.filter("items", lambda x: x["hlevel"].isNotNull())
+    toc = F.filter(heads, lambda x: x["hlevel"].isin(2, 3))
+    entries = F.transform(toc, lambda x: F.concat(
+        F.when(x["hlevel"] == 3, F.lit("  ")).otherwise(F.lit("")), F.lit(f"• `F{NAV_COLOR}`_`["),
+        T.clean_label(x["htitle"]), F.lit("`#"), T.slug(x["htitle"]), F.lit("]`_`f")))
+    toc_lines = F.concat(F.array(F.lit(""), F.lit(">>Contents"), F.lit("")), entries,
+                         F.array(F.lit(""), F.lit(CONTENTS_RULE), F.lit("")))
+    first = F.try_element_at(heads, F.lit(1))["block"]
+    placed = F.transform(toc_lines, lambda x, i: F.struct(
+        first.alias("block"), F.lit(-2).cast("bigint").alias("gkey"), i.alias("idx"), x.alias("line"),
+        F.lit(None).cast("int").alias("hlevel"), F.lit(None).cast("string").alias("htitle")))
+    all_items = F.when(F.size(toc) >= 2, F.array_sort(F.concat("items", placed))).otherwise(F.col("items"))
+    text = F.array_join(F.transform(all_items, lambda x: x["line"]), "\n")
+    tail = F.when(F.size(heads) > 0, F.lit(BACK_TO_TOP)).otherwise(F.lit(""))
+    # the empty place of the contents leaves a blank line above a heading that comes first
+    lead = F.when((F.size(heads) > 0) & (F.size(toc) < 2)
+                  & T.collapse_blank(text).startswith(">"), F.lit("\n")).otherwise(F.lit(""))
+    return F.struct(text.alias("body"), tail.alias("tail"), lead.alias("lead"))
 
 
 def render_documents(docs: DataFrame, kind: str = "generic", page_root: str = DEFAULT_PAGE_ROOT,
-                     nodes: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text) rendered markup of HTML documents (doc_id, archive, path, html)."""
-    if nodes is None:
-        nodes = H.html_nodes(docs)
-    return assemble(block_lines(nodes, docs, kind, page_root), docs, kind)
+                     nodes: DataFrame | None = None, markup: bool = True, mode: str = "literal") -> DataFrame:
+    """(doc_id, text) rendered markup of HTML documents (doc_id, archive, path, html).
+
+    ``kind`` is a rule set, or ``BY_TYPE`` with a column ``renderer``.
+    ``markup=False`` gives plain text (:func:`plain_text`); ``mode`` is the way
+    tags are nested (``html.MODES``).
+    """
+    given = nodes is not None
+    if not given:
+        nodes = H.html_nodes(docs, mode=mode)
+    if not markup:
+        return plain_text(nodes, docs, kind)
+    lines = render_events(blocks(nodes, kind), docs, kind, page_root)
+    # documents without a table need no second walk of their nodes
+    holding = nodes if given else H.html_nodes(docs.filter(F.col("html").rlike("(?i)<table")), mode=mode)
+    tables = table_lines(blocks(holding, kind)).withColumns({"hlevel": F.lit(None).cast("int"),
+                                                             "htitle": F.lit(None).cast("string")})
+    return assemble(lines.unionByName(tables), docs, kind)
+
+
+LINE_TAGS = ["li", "dt", "dd", "tr"]
+CELL_TAGS = ["th", "td"]
+
+
+def plain_text(nodes: DataFrame, docs: DataFrame, kind: str = "generic") -> DataFrame:
+    """(doc_id, text): the words of every block, without markup.
+
+    A block's text is read straight from its interval: strings in document
+    order, a new line at ``br``, list items, definitions and table rows, a space
+    between cells; white space is collapsed in each line (kept in ``pre``,
+    trailing apart), blank lines go, and blocks without words too.  Blocks are
+    separated by a blank line.  Comments, scripts and styles have no words, and
+    nothing is escaped.
+    """
+    n = blocks(nodes, kind).filter("in_block")
+    piece = (F.when(F.col("kind") == "text", F.when(F.col("block_type") == "pre", T.norm_newlines("text"))
+                    .otherwise(T.norm_space(F.col("text"))))
+             .when(_is_tag("br", *LINE_TAGS), F.lit("\n")).when(_is_tag(*CELL_TAGS), F.lit(" ")))
+    n = n.withColumn("_v", piece).filter(F.col("_v").isNotNull())
+    per = n.groupBy("doc_id", "block").agg(_ordered_join(F.struct(F.col("pos"), F.col("_v").alias("v")), "").alias("t"),
+                                           F.first("block_type").alias("bt"))
+    lines = F.filter(F.transform(F.split("t", "\n", -1), lambda x: F.when(F.col("bt") == "pre", T.py_rstrip(x))
+                                 .otherwise(T.py_strip(T.norm_space(x)))), lambda x: x != "")
+    text = per.select("doc_id", "block", F.array_join(lines, "\n").alias("v")).filter("v <> ''").groupBy("doc_id").agg(
+        _ordered_join(F.struct(F.col("block").alias("pos"), "v"), "\n\n").alias("text"))
+    return docs.select("doc_id").join(text, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def headings(nodes: DataFrame, kind: str = "generic") -> DataFrame:
@@ -827,22 +886,20 @@ RENDERER_BY_TYPE = {"wikipedia": "wikipedia", "gutenberg": "gutenberg"}   # anyt
 MEDIA_ARCHIVE_TYPES = ["pdf", "video"]
 
 
-def render_by_type(docs: DataFrame, types: DataFrame, page_root: str = DEFAULT_PAGE_ROOT) -> DataFrame:
-    """(doc_id, renderer, text): each readable document rendered with its archive's
-    rule set; media archives are not rendered.  ``types`` is (archive, type).
-
-    Dispatch is a filter per rule set and a union, never a per-row branch.
-    """
+def with_renderer(docs: DataFrame, types: DataFrame) -> DataFrame:
+    """Readable documents with the rule set of their archive's type; media archives are not read."""
     d = docs.join(types.select("archive", "type"), "archive", "left")
-    d = d.filter(~F.coalesce(F.col("type"), F.lit("generic")).isin(*MEDIA_ARCHIVE_TYPES))
     kind = F.coalesce(F.col("type"), F.lit("generic"))
-    out = None
-    for renderer in ("generic", "wikipedia", "gutenberg"):
-        if renderer == "generic":
-            sel = ~kind.isin(*RENDERER_BY_TYPE)
-        else:
-            sel = kind == renderer
-        part = render_documents(d.filter(sel).drop("type"), renderer, page_root)
-        part = part.withColumn("renderer", F.lit(renderer))
-        out = part if out is None else out.unionByName(part)
-    return out.select("doc_id", "renderer", "text")
+    renderer = F.lit("generic")
+    for one, rules in RENDERER_BY_TYPE.items():
+        renderer = F.when(kind == one, F.lit(rules)).otherwise(renderer)
+    return d.filter(~kind.isin(*MEDIA_ARCHIVE_TYPES)).withColumn("renderer", renderer).drop("type")
+
+
+def render_by_type(docs: DataFrame, types: DataFrame, page_root: str = DEFAULT_PAGE_ROOT, **options) -> DataFrame:
+    """(doc_id, renderer, text): each readable document rendered with its archive's
+    rule set, all in one plan.  ``types`` is (archive, type); ``options`` as for :func:`render_documents`.
+    """
+    d = with_renderer(docs, types)
+    out = render_documents(d, BY_TYPE, page_root, **options)
+    return out.join(d.select("doc_id", "renderer"), "doc_id").select("doc_id", "renderer", "text")

@@ -12,10 +12,12 @@ With intervals that nest, every subtree question becomes a running window over
 ``end_pos`` over the removed elements seen so far.
 
 Tokenising is native (``regexp_extract_all``).  Nesting is the one sequential
-step: a small per-document stack walk in ``mapInPandas`` (literal mode: an end
-tag closes up to the nearest open element of that name and is ignored if
+step: a small per-document stack walk in ``mapInPandas``.  In ``literal`` mode an
+end tag closes up to the nearest open element of that name and is ignored if
 there is none, void and self-closed elements close at once, nothing closes
-implicitly).  The same pass reads the few attributes the renderers use and
+implicitly.  In ``repaired`` mode a start tag also closes what it cannot stand in,
+with all that is open in it: a block closes an open ``p``, an ``li`` the ``li``
+before it, and so on (``IMPLIED_ENDS``), as far as the element that holds both.  The same pass reads the few attributes the renderers use and
 decodes character references with the standard library, so the node table
 leaves Python once.
 """
@@ -54,6 +56,23 @@ VOID_TAGS = frozenset([
     "menuitem", "meta", "param", "source", "track", "wbr", "basefont", "bgsound",
     "command", "frame", "image", "isindex", "nextid", "spacer",
 ])
+# repaired mode: start tags -> (open elements they end, elements beyond which they do not look)
+_P_ENDERS = ("address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset",
+             "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr",
+             "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul")
+_HOLDERS = ("table", "td", "th", "caption", "button", "object", "template", "html")
+IMPLIED_ENDS = {
+    **{tag: [(("p",), _HOLDERS)] for tag in _P_ENDERS},
+    "li": [(("li",), ("ul", "ol", "menu", *_HOLDERS)), (("p",), _HOLDERS)],
+    "dt": [(("dt", "dd"), ("dl", *_HOLDERS)), (("p",), _HOLDERS)],
+    "dd": [(("dt", "dd"), ("dl", *_HOLDERS)), (("p",), _HOLDERS)],
+    "td": [(("td", "th"), ("tr", "table"))],
+    "th": [(("td", "th"), ("tr", "table"))],
+    "tr": [(("tr",), ("table",))],
+    **{tag: [(("tbody", "thead", "tfoot", "tr"), ("table",))] for tag in ("tbody", "thead", "tfoot")},
+    "option": [(("option",), ("select", "datalist"))],
+}
+MODES = ("literal", "repaired")
 RAW_TEXT_TAGS = ("script", "style")
 FRAME_NODES = 50_000            # nodes handed from Python to Spark at a time
 _NAME = re.compile(r"^</?([A-Za-z][^\s/>]*)")
@@ -98,7 +117,21 @@ def _attrs(tok: str) -> dict:
     return found
 
 
-def _nest_one(doc_id, toks, out):
+def _implied_end(tag, names):
+    """Depth of the outermost open element that a start tag ends implicitly; none: the present depth."""
+    cut = len(names)
+    for ended, holders in IMPLIED_ENDS.get(tag, ()):
+        for k in range(cut - 1, -1, -1):
+            if names[k] in holders and names[k] not in ended:
+                break
+            if names[k] in ended:
+                cut = k
+                if tag not in ("tbody", "thead", "tfoot"):
+                    break
+    return cut
+
+
+def _nest_one(doc_id, toks, out, repaired=False):
     """Stack walk over one document's tokens (appends node rows to ``out``)."""
     stack: list[int] = []
     names: list[str] = []
@@ -121,6 +154,12 @@ def _nest_one(doc_id, toks, out):
             out["raw"][-1] += tok          # adjacent character data is one string
             out["text"][-1] = _html.unescape(out["raw"][-1])
             continue
+        if repaired and len(tok) > 1 and tok[0] == "<" and tok[1].isalpha():
+            k = _implied_end(_NAME.match(tok).group(1).lower(), names)
+            for node in stack[k:]:
+                ends[node] = len(ends) - 1
+            del stack[k:]
+            del names[k:]
         pos = len(ends)
         parent = stack[-1] if stack else -1
         kind, tag, raw, opens = "text", None, tok, False
@@ -166,7 +205,7 @@ def _nest_one(doc_id, toks, out):
     assert len(out["end_pos"]) == base + len(ends)
 
 
-def _nest_partition(batches, carry=()):
+def _nest_partition(batches, carry=(), repaired=False):
     """Node frames of bounded size: a frame is handed on once it has FRAME_NODES nodes."""
     cols = [f.name for f in NODE_SCHEMA.fields]
 
@@ -180,7 +219,7 @@ def _nest_partition(batches, carry=()):
         out, extra = {c: [] for c in cols + ["raw"]}, {c: [] for c in carry}
         for i, (doc_id, toks) in enumerate(zip(pdf["doc_id"].tolist(), pdf["tokens"])):
             before = len(out["pos"])
-            _nest_one(doc_id, list(toks) if toks is not None else [], out)
+            _nest_one(doc_id, list(toks) if toks is not None else [], out, repaired)
             for c in carry:
                 extra[c].extend([pdf[c].iat[i]] * (len(out["pos"]) - before))
             if len(out["pos"]) >= FRAME_NODES:
@@ -190,13 +229,16 @@ def _nest_partition(batches, carry=()):
 
 
 def html_nodes(docs: DataFrame, key: str = "doc_id", html: str = "html",
-               carry: tuple[str, ...] = ("archive", "path")) -> DataFrame:
-    """Node relation of every document (see module doc).
+               carry: tuple[str, ...] = ("archive", "path", "renderer"), mode: str = "literal") -> DataFrame:
+    """Node relation of every document (see module doc); ``mode`` is one of ``MODES``.
 
     Columns named in ``carry`` (when present) are copied onto every node, so
     later steps that need them (entry links resolve against the document's
     archive and path) need no join back to the documents.
     """
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {MODES}")
+    repaired = mode == "repaired"
     carry = tuple(c for c in carry if c in docs.columns)
     # the key may be a string (a cache key): ordinals are unique within an archive only
     by_text = isinstance(docs.schema[key].dataType, StringType)
@@ -204,7 +246,7 @@ def html_nodes(docs: DataFrame, key: str = "doc_id", html: str = "html",
     toks = docs.select(doc_id.alias("doc_id"), *carry, tokens(html).alias("tokens"))
     first = StructField("doc_id", StringType() if by_text else LongType())
     schema = StructType([first, *NODE_SCHEMA.fields[1:], *[StructField(c, StringType()) for c in carry]])
-    nodes = toks.mapInPandas(lambda it: _nest_partition(it, carry), schema=schema)
+    nodes = toks.mapInPandas(lambda it: _nest_partition(it, carry, repaired), schema=schema)
     cls = F.col("class")
     return nodes.select(
         "doc_id", *carry, "pos", "parent", "end_pos", "depth", "kind", "tag", "ptag", "id",
