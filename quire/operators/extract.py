@@ -816,7 +816,10 @@ def links(nodes: DataFrame, docs: DataFrame | None = None, kind: str = "generic"
     contexts.  The label is the link's plain text (all text below it)."""
     b = blocks(nodes, kind)
     n = inline_marks(b)
-    is_a = (F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES) & _is_tag("a")
+    n = _references(n) if _may_be(kind, "wikipedia") else _no_references(n)
+    # of a reference only its text is inline; its back-link is not a link of the article
+    inline = (F.col("block_type") != "references") | F.coalesce(F.col("has_span") & F.col("in_span"), F.lit(False))
+    is_a = (F.col("in_block") & F.col("block_type").isin(*INLINE_TYPES) & _is_tag("a") & inline
             & (F.col("pos") > F.col("block")) & ~F.col("_inside_atomic"))
     n = n.withColumn("_a", F.when(is_a, F.col("pos")).otherwise(
         F.when(F.col("pos") <= H.last_open(is_a, "end_pos"), H.last_open(is_a, "pos"))))

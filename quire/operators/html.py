@@ -225,7 +225,8 @@ def _nest_partition(batches, carry=(), repaired=False):
             if len(out["pos"]) >= FRAME_NODES:
                 yield frame(out, extra)
                 out, extra = {c: [] for c in cols + ["raw"]}, {c: [] for c in carry}
-        yield frame(out, extra)
+        if out["pos"]:
+            yield frame(out, extra)
 
 
 def html_nodes(docs: DataFrame, key: str = "doc_id", html: str = "html",

@@ -5,13 +5,15 @@ Requests are a table, so a million page views resolve as one join job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import catalog as C
+from quire.operators import extract as X
 from quire.operators import redirects as RD
 from quire.operators.redirects import resolve_redirects  # noqa: F401
+from quire.session import stored
 
 RAW_FORMATS = ["micron", "html"]
 
@@ -67,6 +69,64 @@ def raw_requests(requests: DataFrame) -> DataFrame:
                            & (F.coalesce("entry_path", F.lit("")) != ""))
 
 
+def decode_content(content) -> Column:
+    """SRC-9: bytes as UTF-8 text, what is not UTF-8 as U+FFFD; never fails."""
+    return F.make_valid_utf8(F.col(content).cast("string") if isinstance(content, str) else content.cast("string"))
+
+
+def export_requests(requests: DataFrame, entries: DataFrame, catalog: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """Raw export of requested entries: (request_id, format, status, line_no, line).
+
+    Only requests that pass the gate (:func:`raw_requests`) are answered.  A
+    redirect is followed first; a request whose entry is missing, or is not
+    HTML, gives one row with that status and no line.  ``html`` exports the
+    entry's decoded content, ``micron`` its rendering by its archive's type, also
+    of archives that are closed to readers.  Each entry is decoded and rendered
+    once, however many requests name it.  ``entries`` hold bytes in ``content``,
+    or text in ``html``.
+    """
+    asked = raw_requests(requests).select("request_id", "format", "archive", "entry_path")
+    to = (ends if ends is not None else RD.resolve_redirects(entries, only_redirects=True)).select(
+        "archive", F.col("path").alias("entry_path"), F.col("final_path").alias("_end"))
+    types = catalog.select("archive", "type")
+    asked = asked.join(types, "archive", "left").withColumn(
+        "entry_path", F.when(F.col("type") == "gutenberg", T.book_path("entry_path")).otherwise(F.col("entry_path")))
+    own = entries.select("archive", F.col("path").alias("entry_path"), "is_redirect")
+    found = asked.join(own, ["archive", "entry_path"], "left").join(to, ["archive", "entry_path"], "left")
+    at = F.when(F.col("is_redirect"), F.col("_end")).when(~F.col("is_redirect"), F.col("entry_path"))
+    kinds = entries.select("archive", "path", "mimetype")
+    found = stored(found.select("request_id", "format", "archive", "type", at.alias("path"))
+                   .join(kinds, ["archive", "path"], "left"), "export-requests")
+    readable = F.coalesce(F.col("mimetype").startswith("text/html"), F.lit(False))
+    ok = found.filter(readable)
+    body = F.col("html") if "html" in entries.columns else decode_content("content")
+    wanted = (entries.join(ok.select("archive", "path").distinct(), ["archive", "path"], "left_semi")
+              .select("archive", "path", body.alias("html"), T.cache_key("archive", "path").alias("doc_id")))
+    read = wanted.join(ok.filter(F.col("format") == "html").select("archive", "path").distinct(),
+                       ["archive", "path"], "left_semi").select("archive", "path", F.lit("html").alias("format"),
+                                                                F.col("html").alias("text"))
+    drawn = wanted.join(ok.filter(F.col("format") == "micron").select("archive", "path", "type").distinct(), ["archive", "path"])
+    renderer = F.when(F.col("type").isin("wikipedia", "gutenberg"), F.col("type")).otherwise(F.lit("generic"))
+    drawn = drawn.withColumn("renderer", renderer)
+    rendered = X.render_documents(drawn, X.BY_TYPE).join(drawn.select("doc_id", "archive", "path"), "doc_id").select(
+        "archive", "path", F.lit("micron").alias("format"), "text")
+    lines = (ok.join(read.unionByName(rendered), ["archive", "path", "format"])
+             .select("request_id", "format", F.lit("ok").alias("status"),
+                     F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
+             .select("request_id", "format", "status", F.col("line_no").cast("bigint").alias("line_no"),
+                     T.guard_line(T.escape_markup("raw")).alias("line")))
+    status = F.when(F.col("mimetype").isNull(), F.lit("missing_entry")).otherwise(F.lit("not_text"))
+    rest = found.filter(~readable).select("request_id", "format", status.alias("status"), F.lit(None).cast("bigint").alias("line_no"),
+                                          F.lit(None).cast("string").alias("line"))
+    return lines.unionByName(rest)
+
+
+def write_export(exported: DataFrame, path: str) -> None:
+    """Write an export partitioned by the requested format, lines in order."""
+    (exported.repartition("format", "request_id").sortWithinPartitions("format", "request_id", "line_no")
+     .write.partitionBy("format").parquet(path))
+
+
 def export_raw(entries: DataFrame, text_col: str = "html") -> DataFrame:
     """(archive, path, line_no, line): escaped and guarded lines of readable entries."""
     e = entries.filter(F.col("mimetype").startswith("text/html"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import catalog_q, chunk_q, extract_q, search_q
+from quire.plans import article_q, catalog_q, chunk_q, extract_q, search_q
 
-_MODULES = [catalog_q, chunk_q, search_q, extract_q]
+_MODULES = [catalog_q, chunk_q, search_q, extract_q, article_q]
 
 
 def queries():
