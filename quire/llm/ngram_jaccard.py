@@ -18,10 +18,18 @@ as one.  Two sets link when ``100 * |A and B| >= PERCENT * |A or B|``.
    partitions do too (suffix filter).  Each candidate pair is verified once,
    on whole sets.
 5. Classes are first compared with one leader, then with the leaders of all
-   groups that are still apart, and the links joined up each time.  Only pairs
-   of a group that are in different components even then are all compared, so
-   groups of near copies are not expanded into all pairs, and no link between
-   components is lost.
+   groups that are still apart, and the links joined up each time.  So groups
+   of near copies are not expanded into all pairs.
+6. Before the second comparison and the last one, groups are made anew among
+   the classes that meet another component: now all their n-grams are counted,
+   a class's n-grams that no other component has come first, and a class with
+   fewer shared n-grams than ``PERCENT`` of its size, which cannot link, goes,
+   again and again.  Many texts that share a passage, but not enough, have no
+   group left then.
+7. What is left is compared in pairs across components, without loss.  The
+   shared n-grams bound the size of a partner, so the larger class of a pair is
+   only sent to the sizes that it can link with (``_reach``), and pairs that
+   cannot link are not emitted.
 
 Sets without words link with nothing.  A null text has no words, a null id
 never names a component unless all ids in it are null.  Repeated rows and
@@ -47,6 +55,8 @@ PERCENT = 80
 SAMPLED = 0.25
 #: Hashed partitions of the suffix filter.
 PARTS = 128
+#: Ratio of the bounds of a band of sizes in the last comparison.
+BAND = 1.04
 
 _U = np.uint64
 
@@ -190,15 +200,15 @@ class Jaccard:
         """Least overlap of linked sets of these sizes: ceil(p (a + b) / (100 + p))."""
         return F.ceil(F.lit(self.percent) * (a + b) / F.lit(100 + self.percent))
 
-    def _fits(self, left: str, right: str, own: str | None = None) -> Column:
-        """Length and positional filters of two members of a group; ``own``: n-grams that cannot be common."""
+    def _fits(self, left: str, right: str, shared: str | None = None) -> Column:
+        """Length and positional filters of two members of a group; ``shared``: n-grams that can be common."""
         a, b = F.col(f"{left}.n"), F.col(f"{right}.n")
         length = (F.lit(self.percent) * a <= 100 * b) & (F.lit(self.percent) * b <= 100 * a)
         before = F.least(F.col(f"{left}.place"), F.col(f"{right}.place"))
         from_here = F.least(a - F.col(f"{left}.place"), b - F.col(f"{right}.place"))
         fits = length & (before + from_here >= self._needed(a, b))
-        if own is not None:
-            most = F.least(a - F.col(f"{left}.{own}"), b - F.col(f"{right}.{own}"))
+        if shared is not None:
+            most = F.least(F.col(f"{left}.{shared}"), F.col(f"{right}.{shared}"))
             fits = fits & (most >= self._needed(a, b))
         return fits
 
@@ -216,43 +226,77 @@ class Jaccard:
         first = star.groupBy(F.col("m.class").alias("b")).agg(F.min(F.struct("l.alone", "l.class")).alias("l"))
         tried = stored(self._verified(first.select(F.col("l.class").alias("a"), "b"), sets), "tried")
         # second round: against the leaders of all groups that are still apart
-        apart = stored(self._apart(groups, tried, sets), "apart")
-        lead = apart.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "place", "root", "own")).alias("lead"))
+        apart = self._apart(groups, tried, sets)
+        lead = apart.groupBy("gram").agg(F.min(F.struct("place", "class", "n", "root", "shared")).alias("lead"))
         again = (apart.alias("m").join(lead.select("gram", "lead.*").alias("l"), "gram")
-                 .where((F.col("m.root") != F.col("l.root")) & self._fits("m", "l", "own"))
+                 .where((F.col("m.root") != F.col("l.root")) & self._fits("m", "l", "shared"))
                  .select(F.col("l.class").alias("a"), F.col("m.class").alias("b")).distinct())
         tried = tried.unionByName(stored(self._verified(self._untried(again, tried), sets), "tried"))
-        # last round: all pairs that are left between components
-        apart = stored(self._apart(groups, tried, sets), "apart")
-        pairs = (apart.alias("x").join(apart.alias("y"), "gram")
-                 .where((F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")))
-                 .where(self._fits("x", "y", "own"))
+        # last round: what is left between components, each larger class with the sizes it can reach
+        apart = self._apart(groups, tried, sets)
+        larger = apart.select("*", F.explode(self._reach()).alias("band")).alias("x")
+        smaller = apart.withColumn("band", _band(F.col("n"))).alias("y")
+        pairs = (larger.join(smaller, ["gram", "band"])
+                 .where((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") < F.col("y.class"))))
+                 .where((F.col("x.root") != F.col("y.root")) & self._fits("x", "y", "shared"))
                  .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct())
         rest = self._verified(self._untried(pairs, tried), sets)
         return stored(tried.unionByName(rest).where("linked").select("a", "b"), "links")
 
+    def _reach(self) -> Column:
+        """Bands of the sizes, its own at most, of the sets that a set can link with.
+
+        The overlap is ``shared`` at most, and ceil(p (a + b) / (100 + p)) at least.
+        """
+        n, p = F.col("n"), self.percent
+        least = F.floor((F.lit(p) * n + 99) / 100)
+        most = F.least(n, F.floor(F.lit(100 + p) * F.col("shared") / p) - n)
+        return F.when(most >= least, F.sequence(_band(least), _band(most))).otherwise(F.array().cast("array<int>"))
+
     def _untried(self, pairs: DataFrame, tried: DataFrame) -> DataFrame:
         """Candidate pairs that were not verified before, in either order."""
         done = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         return pairs.join(done, ["a", "b"], "left_anti")
 
     def _apart(self, groups: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
-        """Members of groups of two components or more, with ``root`` and ``own``.
+        """(gram, class, n, place, root, shared): prefix n-grams that classes of two components hold, stored.
 
-        ``own`` counts the n-grams of the whole set that no other of these
-        classes has: they are in no overlap with any of them.
+        All n-grams of the classes that meet another component are counted;
+        ``shared`` are those that classes of another component have too, the
+        rest come before them in the order.
         """
         roots = components(tried.where("linked").select("a", "b"))
         members = groups.join(roots.withColumnRenamed("node", "class"), "class", "left") \
             .withColumn("root", F.coalesce("root", "class"))
-        open_groups = members.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
+        met = members.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
             .where("low <> high").select("gram")
-        left = stored(members.join(open_groups, "gram", "left_semi"), "open")
-        whole = sets.join(left.select("class").distinct().hint("merge"), "class", "left_semi")
-        held = whole.select("class", F.explode("grams").alias("gram")).groupBy("gram").agg(
-            F.min("class").alias("low"), F.max("class").alias("high"))
-        own = held.where("low = high").groupBy(F.col("low").alias("class")).agg(F.count("*").alias("own"))
-        return left.join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        left = stored(members.join(met, "gram", "left_semi").select("class", "n", "root").distinct(), "open")
+        whole = sets.select("class", "grams").join(left.hint("merge"), "class")
+        grams = stored(whole.select("class", "n", "root", F.explode("grams").alias("gram")), "open-grams")
+        count = left.count()
+        while True:
+            held = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")) \
+                .where("low <> high").select("gram", "held")
+            grams = stored(grams.join(held, "gram").select("class", "n", "root", "gram", "held"), "open-grams")
+            enough = grams.groupBy("class").agg(F.first("n").alias("n"), F.count("*").alias("shared")) \
+                .where(100 * F.col("shared") >= F.lit(self.percent) * F.col("n"))
+            kept = stored(enough.select("class", "shared"), "enough")
+            now = kept.count()
+            if now >= 0.9 * count:
+                break
+            # n-grams of classes that went are no longer shared
+            grams = stored(grams.join(kept.hint("merge"), "class", "left_semi").drop("held"), "open-grams")
+            count = now
+        ordered = grams.groupBy("class").agg(F.first("n").alias("n"), F.first("root").alias("root"),
+                                             F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("ordered"))
+        own = once(ordered.join(kept.hint("merge"), "class"), ["class", "n", "root", "shared", "ordered"],
+                   prefix=(F.col("n") - F.floor((F.lit(self.percent) * F.col("n") + 99) / 100) + 1
+                           - F.col("n") + F.col("shared")).cast("int"))
+        placed = own.where("prefix > 0").select(
+            "class", "n", "root", "shared", F.posexplode(F.slice("ordered", F.lit(1), F.col("prefix"))).alias("pos", "x"))
+        return stored(placed.select(F.col("x.gram").alias("gram"), "class", "n",
+                                    (F.col("n") - F.col("shared") + F.col("pos")).cast("int").alias("place"), "root", "shared"),
+                      "apart")
 
     def _whole_sets(self, wanted: DataFrame) -> DataFrame:
         """Whole sets of the wanted classes, one row a class, read from the texts anew.
@@ -311,6 +355,11 @@ class Jaccard:
             named.where("n = 0").select("doc_id", "k1", "k2").distinct())
 
 
+def _band(n: Column) -> Column:
+    """Band of a set size."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
+
+
 def _text_key(text_col: str) -> list[Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("2"), text).alias("k2")]

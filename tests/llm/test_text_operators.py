@@ -499,3 +499,23 @@ def test_pipeline_against_brute_force(spark):
     tokenizer = Tokenizer.from_file(tokenizer_path())
     want = Counter((p["doc_id"], len(tokenizer.encode(p["text"], add_special_tokens=False).ids) + 1) for p in pieces)
     assert Counter((r["doc_id"], r["n_tokens"]) for r in outputs[4].collect()) == want
+
+
+def test_texts_that_share_a_passage_make_no_pairs(spark):
+    """Sets that meet in one passage, too short to link: no group is left for the last comparison."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(8)] + passage + [word() for _ in range(7)])) for i in range(150)]
+    # nearly enough: 0.74 of equal sizes, and a shorter set that some of them link with
+    rows += [(200 + i, " ".join(passage + [word() for _ in range(6 + i % 3)])) for i in range(40)] + [(300, " ".join(passage))]
+    join = ngram_jaccard.Jaccard(brute.frame(spark, rows))
+    groups = join.prefixes()
+    sets = join._whole_sets(groups.select("class").distinct())
+    tried = spark.createDataFrame([], "a long, b long, linked boolean")
+    apart = join._apart(groups, tried, sets)
+    short = {r["class"] for r in join.rows.where("doc_id >= 200").collect()}
+    assert {r["class"] for r in apart.collect()} <= short
+    roots = {r["doc_id"]: r["component_id"] for r in join.members().collect()}
+    want = brute.groups([t for _, t in rows])
+    assert [roots[i] for i, _ in rows] == [rows[w][0] for w in want]
