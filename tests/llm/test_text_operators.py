@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -519,3 +520,31 @@ def test_texts_that_share_a_passage_make_no_pairs(spark):
     roots = {r["doc_id"]: r["component_id"] for r in join.members().collect()}
     want = brute.groups([t for _, t in rows])
     assert [roots[i] for i, _ in rows] == [rows[w][0] for w in want]
+
+
+def test_repeated_words_are_hit_whole_and_fast(spark):
+    docs = [(i, "word " * 30_000) for i in range(4)] + [(9, "a b " * 5000 + "c"), (10, "x y z " * 3000)]
+    items = [(1, "word " * 3_000), (2, "b a " * 400), (3, "z x y " * 300)]
+    began = time.time()
+    got = {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in decontaminate.report(
+        brute.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), keep=["doc_id"]).collect()}
+    assert got == {**{i: (30_000, ["1"]) for i in range(4)}, 9: (10_000, ["2"]), 10: (9_000, ["3"])}
+    assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_hits_in_repetitive_texts_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+
+    def text(most):
+        parts = []
+        while len(parts) < most:
+            unit = [rng.choice("abc") for _ in range(rng.randint(1, 6))]
+            parts += unit * rng.randint(1, 8) + [rng.choice("abcxyz") for _ in range(rng.randint(0, 3))]
+        return " ".join(parts)
+
+    docs = [(i, text(rng.randint(5, 60))) for i in range(120)]
+    items = [(i, text(rng.randint(5, 30))) for i in range(12)]
+    got = {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in decontaminate.report(
+        brute.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), keep=["doc_id"]).collect()}
+    assert got == {i: brute.hits(t, items) for i, t in docs}
