@@ -4,8 +4,9 @@
    words, packed into blocks of ``BLOCK`` words (the last may be short).
 2. A source's target fixes how many slots it gets; each slot draws its output
    shard, so a source's counts over the shards are one multinomial draw, and
-   the sources' shares of a shard vary around the target weights.
-3. Slot ``j`` of a source with ``K`` blocks is in pass ``j div K``.  It takes
+   the sources' shares of a shard vary around the target weights.  A shard gets
+   as many consecutive indices of the source as drew it.
+3. Index ``j`` of a source with ``K`` blocks is in pass ``j div K``.  It takes
    the block that the pass's own pseudo-random permutation (swap-or-not
    shuffle: exact on any ``K``, computed per index) gives for ``j mod K``.
 4. Blocks and slots meet in a join on (source, block index).
@@ -21,7 +22,8 @@ excess goes to the other sources by weight, until none is above.
 Nulls: a null text has no words, a null source is a source of its own, null
 ids sort first.  Documents without words are never drawn (``taken`` 0).
 Repeated rows are separate rows of the stream; equal rows are interchangeable.
-An empty table gives an empty result.  Only the named columns are read.
+An empty table gives an empty result.  Only the named columns are read; ``mixture``
+carries all along and refuses one with the name of a column it writes.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import once, stored, words
+from quire.llm.common import once, refuse_clash, stored, words
 
 BLOCK = 64
 SHARDS = 16
@@ -124,31 +126,48 @@ def permuted(index: Column, n: Column, offsets: Column, key: list[Column]) -> Co
     return F.aggregate(offsets, start, step, lambda s: s["x"])
 
 
-def draw(shares: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """(rank, shard, pass, block): the drawn slots of every source."""
+def _slots(shares: DataFrame, block: int) -> DataFrame:
+    """(rank, n, slots): blocks and slots of every source that has any."""
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     slots = F.round(F.col("target") * blocks / F.col("source_size")).cast("long")
-    per = (shares.where("source_size > 0 and target > 0").select("rank", blocks.alias("n"), slots.alias("slots"))
-           .where("slots > 0"))
-    keys = _round_keys(F.expr("(slots - 1) div n + 1"), [F.lit(seed), F.col("rank")], ROUNDS)
-    runs = per.select("rank", "n", "slots", keys.alias("keys"), F.explode(
-        F.expr(f"sequence(0L, (slots - 1) div {SLOT_RUN})")).alias("run"))
-    # tiny rows that stand for much work: a set number of tasks, which are not merged by size
-    tasks = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = runs.repartition(tasks, "rank", "run")
-    each = spread.select("rank", "n", "keys", F.explode(F.sequence(
+    return (shares.where("source_size > 0 and target > 0").select("rank", blocks.alias("n"), slots.alias("slots"))
+            .where("slots > 0"))
+
+
+def shard_counts(shares: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
+    """(rank, n, slots, shard, first, count): the multinomial draw.
+
+    Each slot of a source draws one output shard; ``count`` says how many drew
+    this one, and the shard gets that many indices from ``first`` on.
+    """
+    runs = _slots(shares, block).select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOT_RUN})")).alias("run"))
+    each = _spread(runs, shares).select("rank", "n", "slots", F.explode(F.sequence(
         F.col("run") * SLOT_RUN, F.least((F.col("run") + 1) * SLOT_RUN, F.col("slots")) - 1)).alias("slot"))
-    numbered = each.select(
-        "rank", "n", "keys", "slot", F.expr("slot div n").alias("pass"),
-        (_digest([F.lit(seed), F.col("rank"), F.col("slot"), F.lit("shard")]) % shards).cast("int").alias("shard"))
-    return numbered.select("rank", "shard", "pass", permuted(
-        F.col("slot") - F.col("pass") * F.col("n"), F.col("n"), F.get("keys", F.col("pass").cast("int")),
-        [F.lit(seed), F.col("rank"), F.col("pass")]).alias("block"))
+    shard = (_digest([F.lit(seed), F.col("rank"), F.col("slot"), F.lit("shard")]) % shards).cast("int")
+    counts = each.groupBy("rank", "n", "slots", shard.alias("shard")).agg(F.count("*").alias("count"))
+    earlier = W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+
+
+def _spread(runs: DataFrame, shares: DataFrame) -> DataFrame:
+    """Tiny rows that stand for much work, in a set number of tasks, which are not merged by size."""
+    tasks = int(shares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(tasks, *[c for c in ("rank", "shard", "run") if c in runs.columns])
 
 
-def shard_counts(drawn: DataFrame) -> DataFrame:
-    """Slots of each source in each output shard (the multinomial counts)."""
-    return drawn.groupBy("rank", "shard").agg(F.count("*").alias("slots"))
+def draw(shares: DataFrame, *, block: int = BLOCK, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
+    """(rank, shard, pass, block): what every shard takes of every source, by the drawn counts."""
+    counts = shard_counts(shares, block=block, shards=shards, seed=seed)
+    keys = _round_keys(F.expr("(slots - 1) div n + 1"), [F.lit(seed), F.col("rank")], ROUNDS)
+    runs = counts.select("rank", "n", "shard", "first", "count", keys.alias("keys"), F.explode(
+        F.expr(f"sequence(0L, (count - 1) div {SLOT_RUN})")).alias("run"))
+    each = _spread(runs, shares).select("rank", "n", "shard", "keys", F.explode(F.sequence(
+        F.col("first") + F.col("run") * SLOT_RUN,
+        F.col("first") + F.least((F.col("run") + 1) * SLOT_RUN, F.col("count")) - 1)).alias("index"))
+    numbered = each.select("rank", "n", "shard", "keys", "index", F.expr("index div n").alias("pass"))
+    return numbered.select("rank", "shard", "pass", permuted(
+        F.col("index") - F.col("pass") * F.col("n"), F.col("n"), F.get("keys", F.col("pass").cast("int")),
+        [F.lit(seed), F.col("rank"), F.col("pass")]).alias("block"))
 
 
 def pieces(placed: DataFrame, shares: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -195,6 +214,7 @@ def mixture(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     Columns: the input's, with the text cut to the piece (white space after
     its words stays), and ``mix_shard``, ``mix_pass``, ``mix_block``.
     """
+    refuse_clash(docs.columns, ["mix_shard", "mix_pass", "mix_block"])
     # equal rows have one identity: whose draw it is does not matter, the pieces are the same
     same = [F.xxhash64(*docs.columns).alias("__i1"), F.xxhash64(F.lit(seed), *docs.columns).alias("__i2")]
     placed = stored(place(docs.select("*", *same), id_col=id_col, text_col=text_col, source_col=source_col,

@@ -79,7 +79,12 @@ placed AS (SELECT doc_id, size, src.rank, source_size, target, row_number() OVER
            FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
 slots AS (SELECT rank, n, unnest(range(round(target * n / source_size)::BIGINT)) AS slot
           FROM src WHERE source_size > 0 AND target > 0),
-passes AS (SELECT rank, n, slot // n AS pass, slot % n AS spot FROM slots),
+counts AS (SELECT rank, n, ('0x' || substr(md5('mix/' || rank || '/' || slot || '/shard'), 1, 13))::BIGINT % 16 AS shard,
+                  count(*) AS c FROM slots GROUP BY ALL),
+ranges AS (SELECT rank, n, shard, c, coalesce(sum(c) OVER (PARTITION BY rank ORDER BY shard
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f FROM counts),
+taken_ AS (SELECT rank, n, shard, unnest(range(f, f + c)) AS slot FROM ranges),
+passes AS (SELECT rank, n, slot // n AS pass, slot % n AS spot FROM taken_),
 drawn AS (SELECT rank, list_reduce(list_concat([spot], range(12)), lambda x, r:
             CASE WHEN ascii(md5('mix/' || rank || '/' || pass || '/' || r || '/' || greatest(x, {{M}}))) % 2 = 1
                  THEN {{M}} ELSE x END) AS block FROM passes),
