@@ -7,8 +7,8 @@ which its own number is the smallest, so none move between older shards.
 
 The key is the record id alone, so reruns and other texts do not move a
 record.  A null id is a key of its own.  Rows that share an id share a shard.
-An empty table gives an empty result.  Input columns that clash with the
-added names must be renamed by the caller.
+An empty table gives an empty result.  An input column with the name of an added
+one is refused with an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.llm.common import refuse_clash
+
 #: Slot groups a shard: rows are counted per group, then numbered within it.
 SLOT_GROUPS = 4096
 _DIGITS = 13  # hex digits of the digest that make the number (52 bits)
@@ -42,6 +44,7 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 def assign_shards(df: DataFrame, weights: Sequence[float], *, key_col: str = "doc_id",
                   shard_col: str = "shard") -> DataFrame:
     """``df`` with the shard of every row."""
+    refuse_clash(df.columns, [shard_col])
     return df.withColumn(shard_col, shard_of(F.col(key_col), weights))
 
 
@@ -54,6 +57,7 @@ def number_slots(df: DataFrame, *, shard_col: str = "shard", order_cols: Sequenc
     a shard) give each group's first number, and rows are numbered within
     their group in the order of ``order_cols``.
     """
+    refuse_clash(df.columns, [slot_col])
     group = F.pmod(F.xxhash64(*order_cols), F.lit(groups)).alias("__group")
     rows = df.select("*", group)
     sizes = rows.groupBy(shard_col, "__group").agg(F.count("*").alias("__rows"))
