@@ -18,11 +18,15 @@ looks as random.
 Benjamini-Hochberg within each length class then sets the threshold at which
 at most ``FALSE_SHARE`` of the flagged tokens are expected to be wording.  All
 tokens of the corpus are counted; only counts per (length class, score bin)
-are compared, so the table of counts has a fixed size.
+are compared, so the table of counts has a fixed size.  A fixed set of wording
+(``SHIPPED_WORDS`` run together, some thousands) always counts as wording too,
+so that p-values are fine enough on the smallest table and without any wording
+of its own; on a large corpus it weighs nothing.
 
 A null text is empty.  Offsets are code points, ends exclusive.  Repeated rows
 get equal results; an empty table gives an empty result and no threshold.
-Only the named columns are read.
+``keep`` (all columns by default) is carried along; a column with the name of a
+written one is refused with an error.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.common import ship_package, stored
+from quire.llm.common import refuse_clash, ship_package, stored
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
@@ -219,6 +223,25 @@ def scan(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
     return source.mapInArrow(run, schema)
 
 
+#: Ordinary words whose runs are wording in every table.
+SHIPPED_WORDS = """about after again answer before better between business change children company country course different
+every example family father follow friend general government great group house important interest large letter little
+living member moment money morning mother mountain nothing number office other people person picture place point power
+present problem question reason research result school service several should something story street student summer
+system teacher thing thought through together under village water weather without woman world writing""".split()
+
+
+def _shipped_null() -> dict[int, int]:
+    """Counts of the shipped wording by length class and bin (class * 1000 + bin)."""
+    n = len(SHIPPED_WORDS)
+    runs = [SHIPPED_WORDS[i] + SHIPPED_WORDS[(i * 7 + j) % n] + SHIPPED_WORDS[(i + j * 11) % n] * (j % 2)
+            + SHIPPED_WORDS[(i * 3 + j * 5) % n] * (j % 3) for i in range(n) for j in range(1, 37)]
+    data = " ".join(runs).encode()
+    _, _, wording = _scan(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
+    values, counts = np.unique(np.array(wording[0], dtype=np.int64), return_counts=True)
+    return dict(zip(values.tolist(), counts.tolist(), strict=True))
+
+
 def thresholds(scanned: DataFrame, false_share: float = FALSE_SHARE) -> list[int]:
     """Per length class, the last score bin that is flagged (-1: none), by Benjamini-Hochberg."""
     seen = scanned.select(F.explode("found").alias("x")).select(
@@ -226,7 +249,9 @@ def thresholds(scanned: DataFrame, false_share: float = FALSE_SHARE) -> list[int
     null = scanned.select(F.explode("wording").alias("x")).select(
         (F.col("x") / 1000).cast("int").alias("class"), (F.col("x") % 1000).alias("bin"),
         F.lit(0).alias("c"), F.lit(1).alias("w"))
-    counted = seen.unionByName(null).groupBy("class", "bin").agg(F.sum("c").alias("c"), F.sum("w").alias("w"))
+    shipped = scanned.sparkSession.createDataFrame(
+        [(v // 1000, v % 1000, 0, c) for v, c in _shipped_null().items()], "class int, bin int, c int, w int")
+    counted = seen.unionByName(null).unionByName(shipped).groupBy("class", "bin").agg(F.sum("c").alias("c"), F.sum("w").alias("w"))
     # shorter wording looks more random, so it may stand in the null of longer classes, which have less
     further = counted.where("w > 0").select(
         F.explode(F.sequence(F.col("class") + 1, F.lit(len(LENGTH_CLASSES)))).alias("class"), "bin",
@@ -247,6 +272,7 @@ def find(docs: DataFrame, *, text_col: str = "text", keep: list[str] | None = No
          false_share: float = FALSE_SHARE) -> DataFrame:
     """``keep`` columns and ``spans``: start, kind (index in KINDS) and end of every secret, in order."""
     kept = docs.columns if keep is None else keep
+    refuse_clash(kept, ["spans", "base", "found", "wording"])
     scanned = stored(scan(docs, text_col=text_col, keep=kept), "secrets")
     last = F.array(*[F.lit(b) for b in thresholds(scanned, false_share)])
     flagged = F.filter("found", lambda x: (x["bin"] <= F.get(last, x["class"])) & ~F.exists(

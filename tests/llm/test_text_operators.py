@@ -548,3 +548,23 @@ def test_hits_in_repetitive_texts_equal_brute_force(spark, seed):
     got = {r["doc_id"]: (r["n_hit"], r["item_ids"]) for r in decontaminate.report(
         brute.frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), keep=["doc_id"]).collect()}
     assert got == {i: brute.hits(t, items) for i, t in docs}
+
+
+def test_a_random_token_is_found_in_a_table_without_wording(spark):
+    docs = [(1, "x9Kq2LmZ7RtB4vNc8YwPd3HsFg6J"), (2, "a b c"), (3, None), (4, "plain small words"), (5, "d")]
+    got = {r["doc_id"]: [(x["start"], x["kind"], x["end"]) for x in r["spans"]]
+           for r in secret_scan.find(brute.frame(spark, docs), keep=["doc_id"]).collect()}
+    assert got == {1: [(0, 3, 28)], 2: [], 3: [], 4: [], 5: []}
+
+
+def test_written_columns_refuse_clashes(spark):
+    docs = brute.frame(spark, [(1, "a")])
+    items = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    from quire.llm import mixing, sharding
+
+    for name, call in [("spans", lambda d: secret_scan.find(d)), ("found", lambda d: secret_scan.masked(d)),
+                       ("n_hit", lambda d: decontaminate.report(d, items)), ("mix_shard", lambda d: mixing.mixture(d)),
+                       ("shard", lambda d: sharding.assign_shards(d, [1.0, 1.0])),
+                       ("slot", lambda d: sharding.number_slots(d, shard_col="source"))]:
+        with pytest.raises(ValueError, match=name):
+            call(docs.withColumnRenamed("n_chars", name))
