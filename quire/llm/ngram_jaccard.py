@@ -272,7 +272,8 @@ class Jaccard:
             .where("low <> high").select("gram")
         left = stored(members.join(met, "gram", "left_semi").select("class", "n", "root").distinct(), "open")
         whole = sets.select("class", "grams").join(left.hint("merge"), "class")
-        grams = stored(whole.select("class", "n", "root", F.explode("grams").alias("gram")), "open-grams")
+        # unfolded twice rather than stored: what is kept of it is a fraction
+        grams = whole.select("class", "n", "root", F.explode("grams").alias("gram"))
         count = left.count()
         while True:
             held = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")) \
