@@ -26,10 +26,11 @@ as one.  Two sets link when ``100 * |A and B| >= PERCENT * |A or B|``.
    fewer shared n-grams than ``PERCENT`` of its size, which cannot link, goes,
    again and again.  Many texts that share a passage, but not enough, have no
    group left then.
-7. What is left is compared in pairs across components, without loss.  The
-   shared n-grams bound the size of a partner, so the larger class of a pair is
-   only sent to the sizes that it can link with (``_reach``), and pairs that
-   cannot link are not emitted.
+7. What is left is compared across components, without loss: in groups of up
+   to ``SMALL`` classes pair by pair, in larger ones by the differences from
+   the group's leader.  Near copies share almost all, so what tells them apart
+   is what each has more or less than the leader: two that link are joined up
+   through the leader or share enough of those differences (``_differing``).
 
 Sets without words link with nothing.  A null text has no words, a null id
 never names a component unless all ids in it are null.  Repeated rows and
@@ -55,8 +56,8 @@ PERCENT = 80
 SAMPLED = 0.25
 #: Hashed partitions of the suffix filter.
 PARTS = 128
-#: Ratio of the bounds of a band of sizes in the last comparison.
-BAND = 1.04
+#: Members of the groups whose pairs are compared plainly in the last comparison.
+SMALL = 16
 
 _U = np.uint64
 
@@ -232,26 +233,68 @@ class Jaccard:
                  .where((F.col("m.root") != F.col("l.root")) & self._fits("m", "l", "shared"))
                  .select(F.col("l.class").alias("a"), F.col("m.class").alias("b")).distinct())
         tried = tried.unionByName(stored(self._verified(self._untried(again, tried), sets), "tried"))
-        # last round: what is left between components, each larger class with the sizes it can reach
+        # last round: what is left between components, pairs in small groups, differences in large ones
         apart = self._apart(groups, tried, sets)
-        larger = apart.select("*", F.explode(self._reach()).alias("band")).alias("x")
-        smaller = apart.withColumn("band", _band(F.col("n"))).alias("y")
-        pairs = (larger.join(smaller, ["gram", "band"])
-                 .where((F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") < F.col("y.class"))))
+        held = apart.groupBy("gram").agg(F.count("*").alias("held"),
+                                         F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "class", "n", "root"))
+                                         .alias("lead"))
+        small = apart.join(held.where(F.col("held") <= SMALL).select("gram"), "gram", "left_semi")
+        pairs = (small.alias("x").join(small.alias("y"), "gram").where(F.col("x.class") < F.col("y.class"))
                  .where((F.col("x.root") != F.col("y.root")) & self._fits("x", "y", "shared"))
                  .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct())
-        rest = self._verified(self._untried(pairs, tried), sets)
+        tried = tried.unionByName(stored(self._verified(self._untried(pairs, tried), sets), "tried"))
+        large = apart.join(held.where(F.col("held") > SMALL).select("gram", "lead"), "gram")
+        star = stored(large.select("class", "n", "root", F.col("lead.class").alias("lead"), F.col("lead.root").alias("lead_root"))
+                      .where("class <> lead").distinct(), "star")
+        with_lead = star.where("root <> lead_root").select(F.col("lead").alias("a"), F.col("class").alias("b"))
+        tried = tried.unionByName(stored(self._verified(self._untried(with_lead, tried), sets), "tried"))
+        rest = self._verified(self._untried(self._differing(star, tried, sets), tried), sets)
         return stored(tried.unionByName(rest).where("linked").select("a", "b"), "links")
 
-    def _reach(self) -> Column:
-        """Bands of the sizes, its own at most, of the sets that a set can link with.
-
-        The overlap is ``shared`` at most, and ceil(p (a + b) / (100 + p)) at least.
+    def _differing(self, star: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b): candidate pairs among the classes that have a leader in common, by their differences from it.
+
+        The difference E of a set from its leader is what only one of the two
+        holds.  Where those of A and B are disjoint, A and B's intersection lies
+        in the leader and the leader in their union, so both are at least as
+        similar to it as to each other: if they link, they are joined up through
+        it.  All other links share a difference, and at least
+        (|EA| + |EB| - most) / 2 of them, ``most`` being the largest symmetric
+        difference of linked sets of these sizes.  So a prefix filter over
+        differences, rarest first, finds them.
         """
-        n, p = F.col("n"), self.percent
-        least = F.floor((F.lit(p) * n + 99) / 100)
-        most = F.least(n, F.floor(F.lit(100 + p) * F.col("shared") / p) - n)
-        return F.when(most >= least, F.sequence(_band(least), _band(most))).otherwise(F.array().cast("array<int>"))
+        linked = tried.where("linked")
+        near = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))) \
+            .select(F.col("a").alias("lead"), F.col("b").alias("class"), F.lit(True).alias("joined")).distinct()
+        known = star.join(near.hint("merge"), ["lead", "class"], "left").withColumn(
+            "joined", F.coalesce("joined", F.lit(False)) | (F.col("root") == F.col("lead_root")))
+        both = (known.join(sets.select("class", F.col("grams").alias("g")), "class")
+                .join(sets.select(F.col("class").alias("lead"), F.col("grams").alias("l")), "lead"))
+        apart = once(both, ["lead", "class", "n", "root", "joined"],
+                     diff=F.concat(F.array_except("g", "l"), F.array_except("l", "g")))
+        apart = stored(apart.withColumn("size", F.size("diff")), "differences")
+        # a set's share in the largest symmetric difference, and what it exceeds that by
+        over = F.col("size") - F.lit(100 - self.percent) * F.col("n") / F.lit(100 + self.percent)
+        least = apart.groupBy("lead").agg(F.min(over).alias("least"))
+        each = apart.select("lead", "class", F.explode("diff").alias("gram"))
+        held = each.groupBy("lead", "gram").agg(F.count("*").alias("held")).where("held > 1")
+        ordered = each.join(held, ["lead", "gram"]).groupBy("lead", "class").agg(
+            F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("ordered"))
+        placed = (apart.drop("diff").join(ordered.hint("merge"), ["lead", "class"]).join(least, "lead")
+                  .withColumn("common", F.size("ordered"))
+                  .withColumn("needed", F.greatest(F.lit(1), F.ceil((over + F.col("least")) / 2 - F.lit(1e-6))))
+                  .withColumn("prefix", (F.col("common") - F.col("needed") + 1).cast("int")).where("prefix > 0"))
+        posted = stored(placed.select("lead", "class", "n", "root", "joined", "size", "common", F.posexplode(
+            F.slice("ordered", F.lit(1), F.col("prefix"))).alias("place", "x"))
+            .withColumn("gram", F.col("x.gram")).drop("x"), "posted")
+        a, b = F.col("x.n"), F.col("y.n")
+        most = a + b - 2 * self._needed(a, b)
+        needed = F.greatest(F.lit(0), F.col("x.size") + F.col("y.size") - most)
+        room = F.least("x.place", "y.place") + F.least(F.col("x.common") - F.col("x.place"), F.col("y.common") - F.col("y.place"))
+        return (posted.alias("x").join(posted.alias("y"), ["lead", "gram"]).where(F.col("x.class") < F.col("y.class"))
+                .where((F.col("x.root") != F.col("y.root")) & ~(F.col("x.joined") & F.col("y.joined")))
+                .where((F.lit(self.percent) * a <= 100 * b) & (F.lit(self.percent) * b <= 100 * a) & (2 * room >= needed))
+                .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct())
 
     def _untried(self, pairs: DataFrame, tried: DataFrame) -> DataFrame:
         """Candidate pairs that were not verified before, in either order."""
@@ -356,11 +399,6 @@ class Jaccard:
             named.where("n = 0").select("doc_id", "k1", "k2").distinct())
 
 
-def _band(n: Column) -> Column:
-    """Band of a set size."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(BAND))).cast("int")
-
-
 def _text_key(text_col: str) -> list[Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("2"), text).alias("k2")]

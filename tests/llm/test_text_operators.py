@@ -92,6 +92,35 @@ def test_jaccard_components_against_brute_force(spark, sampled):
         assert rows[i]["component_id"] == roots[i], (i, t[:60])
 
 
+@pytest.mark.parametrize("small", [1, 4])
+def test_jaccard_by_differences_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(ngram_jaccard, "SMALL", small)
+    texts = near_copies(3)
+    rows = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.Jaccard(
+        brute.frame(spark, list(enumerate(texts)))).members().collect()}
+    assert [rows[i] for i in range(len(texts))] == brute.groups(texts)
+
+
+def test_copies_with_many_edits_are_compared_by_their_differences(spark, monkeypatch):
+    """Three or four edits each: most pairs do not link, some do where their edits meet."""
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(150)]
+    texts = []
+    for i in range(260):
+        copy = list(base)
+        for spot in rng.sample(range(0, 150, 3), 1 + i % 4):
+            copy[spot] = f"e{i}_{spot}"
+        texts.append(" ".join(copy[i % 3:]))
+    seen = []
+    differing = ngram_jaccard.Jaccard._differing
+    monkeypatch.setattr(ngram_jaccard.Jaccard, "_differing",
+                        lambda *a: seen.append(differing(*a)) or seen[-1])
+    rows = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.Jaccard(
+        brute.frame(spark, list(enumerate(texts)))).members().collect()}
+    assert [rows[i] for i in range(len(texts))] == brute.groups(texts)
+    assert seen[0].count() < 260 * 259 / 2 / 4  # of all pairs
+
+
 def test_jaccard_edges_and_keep_one(spark):
     docs = brute.frame(spark, brute.EDGES).withColumn("class", F.lit("clash"))
     rows = ngram_jaccard.Jaccard(docs).members().collect()
