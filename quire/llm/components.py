@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import Scratch
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,6 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     changes.  Links and labels stay in stored tables, the driver only sees a
     count a round.
     """
+    scratch = Scratch(links.sparkSession)
+    stored = scratch.stored
     edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
                    .where("a <> b").distinct(), "edges")
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")),
@@ -27,10 +29,11 @@ def components(links: DataFrame) -> DataFrame:
         told = (labels.join(near, "node").groupBy(F.col("root").alias("node")).agg(F.min("near").alias("told")))
         hooked = (labels.join(near, "node").join(told, "node", "left")
                   .select("node", F.col("root").alias("old"), F.least("root", "near", "told").alias("root")))
-        hooked = stored(hooked, "labels")
+        hooked = stored(hooked, "hooked")
         jump = hooked.select(F.col("node").alias("at"), F.col("root").alias("further"))
         moved = stored(hooked.join(jump, hooked["root"] == jump["at"])
                        .select("node", "old", F.least("root", "further").alias("root")), "labels")
         labels = moved.select("node", "root")
         if moved.where("root <> old").isEmpty():
+            scratch.drop("edges", "hooked")
             return labels

@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.common import once, ship_package, stored
+from quire.llm.common import Scratch, once, ship_package, stored
 from quire.llm.components import components
 
 N = 5
@@ -308,12 +308,13 @@ class Jaccard:
         ``shared`` are those that classes of another component have too, the
         rest come before them in the order.
         """
+        scratch = Scratch(self.rows.sparkSession)
         roots = components(tried.where("linked").select("a", "b"))
         members = groups.join(roots.withColumnRenamed("node", "class"), "class", "left") \
             .withColumn("root", F.coalesce("root", "class"))
         met = members.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
             .where("low <> high").select("gram")
-        left = stored(members.join(met, "gram", "left_semi").select("class", "n", "root").distinct(), "open")
+        left = scratch.stored(members.join(met, "gram", "left_semi").select("class", "n", "root").distinct(), "open")
         whole = sets.select("class", "grams").join(left.hint("merge"), "class")
         # unfolded twice rather than stored: what is kept of it is a fraction
         grams = whole.select("class", "n", "root", F.explode("grams").alias("gram"))
@@ -321,15 +322,15 @@ class Jaccard:
         while True:
             held = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")) \
                 .where("low <> high").select("gram", "held")
-            grams = stored(grams.join(held, "gram").select("class", "n", "root", "gram", "held"), "open-grams")
+            grams = scratch.stored(grams.join(held, "gram").select("class", "n", "root", "gram", "held"), "open-grams")
             enough = grams.groupBy("class").agg(F.first("n").alias("n"), F.count("*").alias("shared")) \
                 .where(100 * F.col("shared") >= F.lit(self.percent) * F.col("n"))
-            kept = stored(enough.select("class", "shared"), "enough")
+            kept = scratch.stored(enough.select("class", "shared"), "enough")
             now = kept.count()
             if now >= 0.9 * count:
                 break
             # n-grams of classes that went are no longer shared
-            grams = stored(grams.join(kept.hint("merge"), "class", "left_semi").drop("held"), "open-grams")
+            grams = scratch.stored(grams.join(kept.hint("merge"), "class", "left_semi").drop("held"), "open-grams")
             count = now
         ordered = grams.groupBy("class").agg(F.first("n").alias("n"), F.first("root").alias("root"),
                                              F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("ordered"))
@@ -338,9 +339,11 @@ class Jaccard:
                            - F.col("n") + F.col("shared")).cast("int"))
         placed = own.where("prefix > 0").select(
             "class", "n", "root", "shared", F.posexplode(F.slice("ordered", F.lit(1), F.col("prefix"))).alias("pos", "x"))
-        return stored(placed.select(F.col("x.gram").alias("gram"), "class", "n",
+        apart = stored(placed.select(F.col("x.gram").alias("gram"), "class", "n",
                                     (F.col("n") - F.col("shared") + F.col("pos")).cast("int").alias("place"), "root", "shared"),
                       "apart")
+        scratch.drop()
+        return apart
 
     def _whole_sets(self, wanted: DataFrame) -> DataFrame:
         """Whole sets of the wanted classes, one row a class, read from the texts anew.
