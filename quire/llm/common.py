@@ -71,6 +71,15 @@ class Scratch:
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffle files of finished jobs now.
+
+    It does so when the driver has collected their plans, which a driver with
+    room to spare puts off while executors fill their disks.
+    """
+    spark._jvm.java.lang.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 

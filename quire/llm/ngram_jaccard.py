@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.common import Scratch, once, ship_package, stored
+from quire.llm.common import Scratch, free_shuffles, once, ship_package, stored
 from quire.llm.components import components
 
 N = 5
@@ -216,9 +216,11 @@ class Jaccard:
     def links(self) -> DataFrame:
         """(a, b): linked class pairs that join up all linked classes."""
         groups = stored(self.prefixes(), "prefixes")
+        free_shuffles(groups.sparkSession)
         if groups.isEmpty():
             return groups.select(F.col("class").alias("a"), F.col("class").alias("b"))
         sets = stored(self._whole_sets(groups.select("class").distinct()), "whole")
+        free_shuffles(groups.sparkSession)
         # first round: every class against the leader, among those of its groups, that has the fewest
         # n-grams of its own, as an unedited original has
         lead = groups.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "place")).alias("lead"))
@@ -323,6 +325,7 @@ class Jaccard:
             held = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")) \
                 .where("low <> high").select("gram", "held")
             grams = scratch.stored(grams.join(held, "gram").select("class", "n", "root", "gram", "held"), "open-grams")
+            free_shuffles(self.rows.sparkSession)
             enough = grams.groupBy("class").agg(F.first("n").alias("n"), F.count("*").alias("shared")) \
                 .where(100 * F.col("shared") >= F.lit(self.percent) * F.col("n"))
             kept = scratch.stored(enough.select("class", "shared"), "enough")
@@ -343,6 +346,7 @@ class Jaccard:
                                     (F.col("n") - F.col("shared") + F.col("pos")).cast("int").alias("place"), "root", "shared"),
                       "apart")
         scratch.drop()
+        free_shuffles(self.rows.sparkSession)
         return apart
 
     def _whole_sets(self, wanted: DataFrame) -> DataFrame:
