@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, licenses, lm_score, ngram_jaccard, secret_scan, toxicity
 from quire.llm import words as kernel
+from quire.llm.common import Scratch
 from quire.llm.components import components
 from quire.llm.oracle import ORACLE
 from quire.llm.queries import QUERIES
@@ -149,6 +151,20 @@ def test_a_large_group_of_near_copies_is_not_expanded(spark):
     assert {r["component_id"] for r in join.members().collect()} == {0}
 
 
+def test_scratch_tables_are_deleted_by_name(spark):
+    scratch = Scratch(spark)
+    scratch.stored(spark.range(3), "one")
+    first = scratch.paths["one"]
+    again = scratch.stored(spark.range(4), "one")
+    other = scratch.stored(spark.range(5), "other")
+    assert not os.path.exists(first) and again.count() == 4 and other.count() == 5
+    paths = dict(scratch.paths)
+    scratch.drop("one")
+    assert [os.path.exists(paths[x]) for x in ("one", "other")] == [False, True]
+    scratch.drop()
+    assert not os.path.exists(paths["other"]) and not scratch.paths
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 3), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
