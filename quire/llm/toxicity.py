@@ -19,8 +19,9 @@ Only the text is used for a score.  The fit uses a bounded sample: at most
 of their id, of texts up to ``TRAIN_TEXT_BYTES``; scoring reads whole texts of
 all rows.
 
-Without toxic or without ordinary training rows every score is the (smoothed)
-base rate.  A null or empty text scores what a text without windows scores.
+One half of the sample trains the dictionaries and the other calibrates, at every
+size.  Without toxic or ordinary rows in both halves, or without wording that
+tells them apart, every score is the (smoothed) base rate.  A null or empty text scores what a text without windows scores.
 Repeated rows get equal scores, an empty table gives an empty result.  A
 label of a null id, or a null label, is not used; of several labels for one
 id the highest holds.
@@ -267,11 +268,10 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     rate = (len(toxic) + 0.5) / (len(toxic) + len(ordinary) + 1.5)
     flat = Model(offset=math.log(rate / (1 - rate)))
-    if not toxic or not ordinary:
+    if min(len(toxic), len(ordinary)) < 2:  # a half would be empty
         return flat
-    few = len(toxic) < 100
-    learn = lambda x: x if few else x[::2]
-    check = lambda x: x if few else x[1::2]
+    learn = lambda x: x[::2]
+    check = lambda x: x[1::2]
     wording = _wording(learn(toxic), learn(ordinary))
     if not wording:
         return flat

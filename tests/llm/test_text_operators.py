@@ -246,6 +246,20 @@ def test_toxicity_without_examples():
         assert scores[0] == scores[1] and 0 < scores[0] < 1
 
 
+def test_toxicity_of_few_examples_is_calibrated_on_other_texts():
+    """However few the texts, those that trained the dictionaries have no say in the ratios."""
+    some = ("man", "dog", "cat", "boy", "girl", "horse", "bird", "fox", "cow", "goat")
+    toxic = [f"{a} scum {b}" for a in some[:4] for b in some[5:9]]
+    ordinary = [f"the {a} walks along the {b} road today" for a in some for b in some if a != b]
+    model = toxicity.fit(toxic, ordinary)
+    assert model.ratios
+    again = toxicity.fit([t if i % 2 == 0 else f"nothing of the kind {i}" for i, t in enumerate(toxic)], ordinary)
+    assert (again.ordinary, again.toxic) == (model.ordinary, model.toxic)  # the second half trains nothing
+    assert again.ratios[2 - toxicity.LEAST:] != model.ratios[2 - toxicity.LEAST:]
+    scores = toxicity.Scorer(model).scores(pa.array(["oh scum they", "the horse walks along", None]))
+    assert scores[0] > scores[1] and scores[0] > scores[2]
+
+
 def test_training_texts_skip_held_out_and_null_labels(spark):
     docs = brute.frame(spark, [(i, f"text {i}") for i in range(20)] + [(3, None), (None, "x")])
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (2, 1), (4, None)],
