@@ -62,6 +62,12 @@ def search_requests(pages: DataFrame) -> DataFrame:
     )
 
 
+def with_media(requests: DataFrame) -> DataFrame:
+    """Each request against its host's archive and against the host's media archives."""
+    archives = F.array("archive", *[F.concat(F.lit(p), "archive") for p in (A.VIDEO_PREFIX, A.PDF_PREFIX)])
+    return requests.withColumn("archive", F.explode(archives))
+
+
 def part_entries(part: DataFrame) -> DataFrame:
     """A 'parts.zim' archive whose entries are titled by the part names."""
     return part.select(
