@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.plan import materialize
+
 KINDS = ("wiki", "books", "blog")       # by doc_id modulo 3
-WORD = r"[A-Za-z]+"
+WORD, NO_WORD = r"[A-Za-z]+", r"[^A-Za-z]+"
 HTML = "text/html; charset=utf-8"
 
 # {1} .. {8} are the first words, {text} the whole text, {no} a number, {id} the document
@@ -59,9 +61,11 @@ def _filled(template: str, values: dict[str, Column]) -> Column:
 
 def entries_from_documents(docs: DataFrame) -> DataFrame:
     """``entries`` of the article archives: a row a document, path ``A/<kind>/<doc_id>.html``."""
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    d = docs.select("doc_id", F.coalesce("lang", F.lit("xx")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"),
-                    F.slice(words, 1, 8).alias("w"))
+    # split stops behind the first words, of which an empty piece may lie in front
+    pieces = F.slice(F.split(F.coalesce("text", F.lit("")), NO_WORD, 10), 1, 9)
+    # worked out once a row: the optimizer would copy it into all places of the templates
+    d = materialize(docs, ["doc_id", F.coalesce("lang", F.lit("xx")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")],
+                    w=F.slice(F.filter(pieces, lambda x: x != ""), 1, 8))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("doc_id") % 3 + 1).cast("int"))
     values = {str(i): F.coalesce(F.get("w", F.lit(i - 1)), F.lit(f"none{i}")) for i in range(1, 9)}
     values |= {"text": _escaped(F.col("text")), "no": (F.col("doc_id") % 9 + 2).cast("string"), "kind": kind,

@@ -82,3 +82,18 @@ def test_export_is_written_by_format(spark, tmp_path):
                                  "request_id long, format string, status string, line_no long, line string")
     RQ.write_export(rows, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).filter("format = 'micron'").select("line").collect()[0].line == "b"
+
+
+def test_first_words_are_taken_once_a_row(spark):
+    """The template names the words many times; a filter on the HTML must not work each of them out anew."""
+    import re
+    from quire.sources import articles as R
+    texts = [None, "", "12 ab", "é1a b2c", "one two three four five six seven eight nine ten", " a b c d e f g h ", "a.b.c.d.e.f.g.h.i.j.k"]
+    docs = spark.createDataFrame([(3 * i + 2, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    e = R.entries_from_documents(docs)
+    plan = e.filter(e.html.rlike("(?i)<table"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 1 and "regexp_extract_all" not in plan
+    for r in e.collect():
+        w = (re.findall("[A-Za-z]+", texts[(r.entry_id - 2) // 3] or "") + [""] * 8)[:8]
+        w = [x or f"none{i + 1}" for i, x in enumerate(w)]
+        assert f"<h4>{w[0]}</h4><h6>{w[1]}</h6>so {w[2]} <em>{w[3]}</em>" in r.html and f"<li>{w[7]}</li>" in r.html
