@@ -97,3 +97,11 @@ def test_first_words_are_taken_once_a_row(spark):
         w = (re.findall("[A-Za-z]+", texts[(r.entry_id - 2) // 3] or "") + [""] * 8)[:8]
         w = [x or f"none{i + 1}" for i, x in enumerate(w)]
         assert f"<h4>{w[0]}</h4><h6>{w[1]}</h6>so {w[2]} <em>{w[3]}</em>" in r.html and f"<li>{w[7]}</li>" in r.html
+
+
+def test_nodes_lie_in_as_many_tasks_as_the_html_needs(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "<p>" + "x" * 100 + "</p>") for i in range(400)], "doc_id long, html string").repartition(1)
+    monkeypatch.setattr(H, "TASK_BYTES", 1000)
+    nodes = H.html_nodes(docs)
+    assert nodes.count() == 800
+    assert nodes.rdd.getNumPartitions() == -(-400 * 107 // 1000)
