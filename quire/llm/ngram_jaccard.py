@@ -40,6 +40,8 @@ besides id and text are not read.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,13 +49,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.common import Scratch, free_shuffles, once, ship_package, stored
+from quire.llm.common import Scratch, once, ship_package, stored
 from quire.llm.components import components
 
 N = 5
 PERCENT = 80
 #: Share of the hash range whose n-grams are counted and ordered by rarity.
 SAMPLED = 0.25
+#: Slices of the hashes whose n-grams are counted one after the other, each through a shuffle of its own.
+SLICES = 2
 #: Hashed partitions of the suffix filter.
 PARTS = 128
 #: Members of the groups whose pairs are compared plainly in the last comparison.
@@ -162,25 +166,22 @@ class Jaccard:
         self.docs = docs.select(F.col(id_col).alias("doc_id"), *_text_key(text_col), F.col(text_col).alias("text"))
         cut = self.cut
         describe = lambda grams, off: _describe(grams, off, percent, cut)
-        self.rows = stored(_map_sets(self.docs, ["doc_id", "k1", "k2"], "n long, class long, twin long, sampled long, "
-                                     "grams array<bigint>", describe, n), "sets")
+        self.scratch = Scratch(docs.sparkSession)
+        self.rows = self.scratch.stored(_map_sets(
+            self.docs, ["doc_id", "k1", "k2"], "n long, class long, twin long, sampled long, grams array<bigint>",
+            describe, n), "sets")
 
     # -- candidates ------------------------------------------------------
 
-    def prefixes(self) -> DataFrame:
+    def prefixes(self, scratch: Scratch | None = None) -> DataFrame:
         """(gram, class, n, place, alone): prefix n-grams that two classes hold at least.
 
         ``alone`` counts the sampled n-grams that no other class holds.
         """
+        scratch = scratch or Scratch(self.rows.sparkSession)
         rows = self.rows.where("n > 0")
-        # rank: place by hash, which for n-grams beyond the sample is their place in the order
-        each = rows.select("class", F.posexplode("grams").alias("rank", "gram"))
-        # shared by two classes: the least and the greatest class differ
-        counts = (each.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high"),
-                                           F.count("*").alias("held"))
-                  .where("low <> high").select("gram", "held"))
-        # equal rows of a class meet by n-gram, so copies go before rows are gathered by class
-        shared = each.join(counts, "gram").select("class", "rank", "gram", "held").distinct()
+        parts = [scratch.stored(self._shared(rows, i), f"shared-{i}") for i in range(SLICES)]
+        shared = functools.reduce(DataFrame.unionByName, parts)
         # unsigned hash order puts the sampled n-grams at 0 .. cut
         later = ~((F.col("gram") >= 0) & (F.col("gram") < F.lit(self.cut)))
         ordered = shared.groupBy("class").agg(F.sort_array(F.collect_list(F.struct(
@@ -197,6 +198,18 @@ class Jaccard:
         return placed.select(F.col("col.gram").alias("gram"), "class", "n", place.cast("int").alias("place"),
                              "alone", "prefix").where("place < prefix").drop("prefix")
 
+    def _shared(self, rows: DataFrame, part: int) -> DataFrame:
+        """(class, rank, gram, held): n-grams of one slice of the hashes that two classes hold at least."""
+        # rank: place by hash, which for n-grams beyond the sample is their place in the order
+        each = rows.select("class", F.posexplode("grams").alias("rank", "gram")) \
+            .where(F.pmod("gram", F.lit(SLICES)) == part)
+        # shared by two classes: the least and the greatest class differ
+        counts = (each.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high"),
+                                           F.count("*").alias("held"))
+                  .where("low <> high").select("gram", "held"))
+        # equal rows of a class meet by n-gram, so copies go before rows are gathered by class
+        return each.join(counts, "gram").select("class", "rank", "gram", "held").distinct()
+
     def _needed(self, a: Column, b: Column) -> Column:
         """Least overlap of linked sets of these sizes: ceil(p (a + b) / (100 + p))."""
         return F.ceil(F.lit(self.percent) * (a + b) / F.lit(100 + self.percent))
@@ -215,12 +228,12 @@ class Jaccard:
 
     def links(self) -> DataFrame:
         """(a, b): linked class pairs that join up all linked classes."""
-        groups = stored(self.prefixes(), "prefixes")
-        free_shuffles(groups.sparkSession)
+        scratch = Scratch(self.rows.sparkSession)
+        groups = scratch.stored(self.prefixes(scratch), "prefixes")
+        scratch.drop(*[f"shared-{i}" for i in range(SLICES)])
         if groups.isEmpty():
             return groups.select(F.col("class").alias("a"), F.col("class").alias("b"))
-        sets = stored(self._whole_sets(groups.select("class").distinct()), "whole")
-        free_shuffles(groups.sparkSession)
+        sets = scratch.stored(self._whole_sets(groups.select("class").distinct()), "whole")
         # first round: every class against the leader, among those of its groups, that has the fewest
         # n-grams of its own, as an unedited original has
         lead = groups.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "place")).alias("lead"))
@@ -234,7 +247,8 @@ class Jaccard:
         again = (apart.alias("m").join(lead.select("gram", "lead.*").alias("l"), "gram")
                  .where((F.col("m.root") != F.col("l.root")) & self._fits("m", "l", "shared"))
                  .select(F.col("l.class").alias("a"), F.col("m.class").alias("b")).distinct())
-        tried = tried.unionByName(stored(self._verified(self._untried(again, tried), sets), "tried"))
+        more = stored(self._verified(self._untried(again, tried), sets), "tried")
+        tried = tried.unionByName(more)
         # last round: what is left between components, pairs in small groups, differences in large ones
         apart = self._apart(groups, tried, sets)
         held = apart.groupBy("gram").agg(F.count("*").alias("held"),
@@ -248,10 +262,13 @@ class Jaccard:
         large = apart.join(held.where(F.col("held") > SMALL).select("gram", "lead"), "gram")
         star = stored(large.select("class", "n", "root", F.col("lead.class").alias("lead"), F.col("lead.root").alias("lead_root"))
                       .where("class <> lead").distinct(), "star")
-        with_lead = star.where("root <> lead_root").select(F.col("lead").alias("a"), F.col("class").alias("b"))
-        tried = tried.unionByName(stored(self._verified(self._untried(with_lead, tried), sets), "tried"))
-        rest = self._verified(self._untried(self._differing(star, tried, sets), tried), sets)
-        return stored(tried.unionByName(rest).where("linked").select("a", "b"), "links")
+        if not star.isEmpty():
+            with_lead = star.where("root <> lead_root").select(F.col("lead").alias("a"), F.col("class").alias("b"))
+            tried = tried.unionByName(stored(self._verified(self._untried(with_lead, tried), sets), "tried"))
+            tried = tried.unionByName(self._verified(self._untried(self._differing(star, tried, sets), tried), sets))
+        links = stored(tried.where("linked").select("a", "b"), "links")
+        scratch.drop()
+        return links
 
     def _differing(self, star: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
         """(a, b): candidate pairs among the classes that have a leader in common, by their differences from it.
@@ -325,7 +342,6 @@ class Jaccard:
             held = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")) \
                 .where("low <> high").select("gram", "held")
             grams = scratch.stored(grams.join(held, "gram").select("class", "n", "root", "gram", "held"), "open-grams")
-            free_shuffles(self.rows.sparkSession)
             enough = grams.groupBy("class").agg(F.first("n").alias("n"), F.count("*").alias("shared")) \
                 .where(100 * F.col("shared") >= F.lit(self.percent) * F.col("n"))
             kept = scratch.stored(enough.select("class", "shared"), "enough")
@@ -346,7 +362,6 @@ class Jaccard:
                                     (F.col("n") - F.col("shared") + F.col("pos")).cast("int").alias("place"), "root", "shared"),
                       "apart")
         scratch.drop()
-        free_shuffles(self.rows.sparkSession)
         return apart
 
     def _whole_sets(self, wanted: DataFrame) -> DataFrame:
@@ -355,13 +370,13 @@ class Jaccard:
         The wanted grow with the documents, so they are never broadcast.
         """
         wanted = wanted.hint("merge")
+        # one row a class, by id and text; of repeated rows one stays, so sets need not meet by class
+        row = ["k0", "k1", "k2"]
+        k0 = F.xxhash64("doc_id").alias("k0")
         heads = self.rows.join(wanted, "class", "left_semi").groupBy("class").agg(
-            F.min(F.struct("doc_id")).alias("x")).select("x.doc_id").distinct().hint("merge")
-        texts = self.docs.alias("d").join(heads.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")),
-                                          "left_semi")
-        sets = _map_sets(texts, ["doc_id"], "class long, grams array<bigint>, parts array<int>", _whole, self.n)
-        return sets.join(wanted, "class", "left_semi").groupBy("class").agg(
-            F.first("grams").alias("grams"), F.first("parts").alias("parts"))
+            F.min(F.struct(k0, "k1", "k2")).alias("x")).select("x.*").hint("merge")
+        texts = self.docs.select(k0, "k1", "k2", "text").join(heads, row, "left_semi").dropDuplicates(row)
+        return _map_sets(texts, ["k0"], "class long, grams array<bigint>, parts array<int>", _whole, self.n).drop("k0")
 
     def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(a, b, linked): candidate pairs, through the suffix filter and then by their whole sets."""
@@ -416,7 +431,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Rows with the same id and the same text count as one.
     """
-    firsts = Jaccard(docs, id_col=id_col, text_col=text_col, **options).firsts()
+    join = Jaccard(docs, id_col=id_col, text_col=text_col, **options)
+    firsts = stored(join.firsts(), "firsts")
+    join.scratch.drop()
     rows = docs.select(F.col(id_col).alias("doc_id"), *_text_key(text_col),
                        F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
     single = rows.groupBy("doc_id", "k1", "k2").agg(F.first("__row").alias("__row"))

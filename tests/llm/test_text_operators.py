@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, licenses, lm_score, ngram_jaccard, secret_scan, toxicity
 from quire.llm import words as kernel
-from quire.llm.common import Scratch
+from quire.llm.common import FREED, Scratch, shared_dir, stored
 from quire.llm.components import components
 from quire.llm.oracle import ORACLE
 from quire.llm.queries import QUERIES
@@ -165,6 +165,45 @@ def test_scratch_tables_are_deleted_by_name(spark):
     assert not os.path.exists(paths["other"]) and not scratch.paths
 
 
+def test_shuffle_files_go_when_a_table_is_stored(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shuffles = lambda: {x for x in files().mkString(" ").split() if "/shuffle_" in x}
+    before = shuffles()
+    rows = spark.range(1000).repartition(7, "id").groupBy("id").count()
+    kept = [stored(rows, "freed"), Scratch(spark).stored(rows, "freed")]
+    assert shuffles() <= before and [x.count() for x in kept] == [1000, 1000]
+    assert spark.conf.get(FREED) == "false"
+
+
+def test_near_duplicate_tables_go_with_the_result(spark):
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    texts = near_copies()
+    kept = ngram_jaccard.keep_one(brute.frame(spark, list(enumerate(texts))))
+    left = set(os.listdir(shared_dir(spark).removeprefix("file://"))) - before
+    assert not [x for x in left if x.startswith(("quire-sets-", "quire-whole-", "quire-prefixes-", "quire-shared-"))]
+    assert {r["doc_id"] for r in kept.collect()} == set(brute.groups(texts))
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_ngrams_are_counted_in_slices(spark, monkeypatch, slices):
+    texts = near_copies()
+    docs = brute.frame(spark, list(enumerate(texts)))
+    want = sorted(map(tuple, ngram_jaccard.Jaccard(docs).prefixes().collect()))
+    monkeypatch.setattr(ngram_jaccard, "SLICES", slices)
+    assert sorted(map(tuple, ngram_jaccard.Jaccard(docs).prefixes().collect())) == want and want
+
+
+def test_whole_sets_are_one_row_a_class(spark):
+    """Repeated rows, one id with two texts, null ids and equal sets of different texts."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, b), (None, b), (2, a.upper()), (3, b + "  ")]
+    join = ngram_jaccard.Jaccard(brute.frame(spark, rows))
+    classes = [r["class"] for r in join.rows.select("class").distinct().collect()]
+    sets = join._whole_sets(join.rows.select("class").distinct())
+    assert sorted(r["class"] for r in sets.collect()) == sorted(classes) and len(classes) == 2
+    assert {len(r["grams"]) for r in sets.collect()} == {26}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 3), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
