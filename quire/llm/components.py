@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Scratch
+from quire.llm.common import Scratch, free_driver
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "root")
         if moved.where("root <> old").isEmpty():
             scratch.drop("edges", "hooked")
+            free_driver(links.sparkSession)
             return labels

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import words
-from quire.llm.common import Scratch, once, ship_package, stored
+from quire.llm.common import Scratch, free_driver, once, ship_package, stored
 from quire.llm.components import components
 
 N = 5
@@ -234,6 +234,7 @@ class Jaccard:
         if groups.isEmpty():
             return groups.select(F.col("class").alias("a"), F.col("class").alias("b"))
         sets = scratch.stored(self._whole_sets(groups.select("class").distinct()), "whole")
+        free_driver(groups.sparkSession)
         # first round: every class against the leader, among those of its groups, that has the fewest
         # n-grams of its own, as an unedited original has
         lead = groups.groupBy("gram").agg(F.min(F.struct("alone", "class", "n", "place")).alias("lead"))
@@ -241,6 +242,7 @@ class Jaccard:
                 .where(F.col("m.class") != F.col("l.class")).where(self._fits("m", "l")))
         first = star.groupBy(F.col("m.class").alias("b")).agg(F.min(F.struct("l.alone", "l.class")).alias("l"))
         tried = stored(self._verified(first.select(F.col("l.class").alias("a"), "b"), sets), "tried")
+        free_driver(groups.sparkSession)
         # second round: against the leaders of all groups that are still apart
         apart = self._apart(groups, tried, sets)
         lead = apart.groupBy("gram").agg(F.min(F.struct("place", "class", "n", "root", "shared")).alias("lead"))
@@ -249,8 +251,11 @@ class Jaccard:
                  .select(F.col("l.class").alias("a"), F.col("m.class").alias("b")).distinct())
         more = stored(self._verified(self._untried(again, tried), sets), "tried")
         tried = tried.unionByName(more)
-        # last round: what is left between components, pairs in small groups, differences in large ones
-        apart = self._apart(groups, tried, sets)
+        free_driver(groups.sparkSession)
+        # last round: what is left between components, pairs in small groups, differences in large ones;
+        # without a new link the components are the same, and so is what lies between them
+        if not more.where("linked").isEmpty():
+            apart = self._apart(groups, tried, sets)
         held = apart.groupBy("gram").agg(F.count("*").alias("held"),
                                          F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), "class", "n", "root"))
                                          .alias("lead"))
@@ -262,12 +267,15 @@ class Jaccard:
         large = apart.join(held.where(F.col("held") > SMALL).select("gram", "lead"), "gram")
         star = stored(large.select("class", "n", "root", F.col("lead.class").alias("lead"), F.col("lead.root").alias("lead_root"))
                       .where("class <> lead").distinct(), "star")
+        free_driver(groups.sparkSession)
         if not star.isEmpty():
             with_lead = star.where("root <> lead_root").select(F.col("lead").alias("a"), F.col("class").alias("b"))
             tried = tried.unionByName(stored(self._verified(self._untried(with_lead, tried), sets), "tried"))
+            free_driver(groups.sparkSession)
             tried = tried.unionByName(self._verified(self._untried(self._differing(star, tried, sets), tried), sets))
         links = stored(tried.where("linked").select("a", "b"), "links")
         scratch.drop()
+        free_driver(groups.sparkSession)
         return links
 
     def _differing(self, star: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
@@ -345,6 +353,7 @@ class Jaccard:
             enough = grams.groupBy("class").agg(F.first("n").alias("n"), F.count("*").alias("shared")) \
                 .where(100 * F.col("shared") >= F.lit(self.percent) * F.col("n"))
             kept = scratch.stored(enough.select("class", "shared"), "enough")
+            free_driver(self.rows.sparkSession)
             now = kept.count()
             if now >= 0.9 * count:
                 break
@@ -362,6 +371,7 @@ class Jaccard:
                                     (F.col("n") - F.col("shared") + F.col("pos")).cast("int").alias("place"), "root", "shared"),
                       "apart")
         scratch.drop()
+        free_driver(self.rows.sparkSession)
         return apart
 
     def _whole_sets(self, wanted: DataFrame) -> DataFrame:

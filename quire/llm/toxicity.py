@@ -29,7 +29,9 @@ id the highest holds.
 
 from __future__ import annotations
 
+import array
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -231,12 +233,18 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 def _contexts(texts: list[str]) -> dict[str, int]:
     """In how many different surroundings each word stands; copies of a passage add none."""
-    seen: dict[str, set] = {}
+    # numbers of words end to end, 0 around each text: arrays take less of the driver than sets
+    number, run = {"": 0}, array.array("i", [0])
     for text in texts:
-        run = ["", *_WORD.findall(text.lower()), ""]
-        for before, word, after in zip(run, run[1:], run[2:], strict=False):
-            seen.setdefault(word, set()).add(hash((before, after)))
-    return {w: len(s) for w, s in seen.items()}
+        run.extend(number.setdefault(w, len(number)) for w in _WORD.findall(text.lower()))
+        run.append(0)
+    code = np.array(run, dtype=np.int64)
+    at = np.flatnonzero(code)
+    # the surroundings get numbers, so that a word and its surroundings fit one number
+    around = np.unique(code[at - 1] * len(number) + code[at + 1], return_inverse=True)[1]
+    placed = np.unique(code[at] * (len(at) + 1) + around) // (len(at) + 1)
+    counts = np.bincount(placed, minlength=len(number)).tolist()
+    return {w: counts[i] for w, i in number.items() if i}
 
 
 def _telling(some: dict[str, int], rest: dict[str, int], least: int) -> dict[str, int]:
@@ -276,8 +284,9 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     if not wording:
         return flat
     bordered = lambda w: f" {w} ".encode()
-    plain = [w for t in learn(ordinary) for w in _WORD.findall(t.lower())]
-    plain = plain[::max(1, len(plain) // ORDINARY_WORDS)]
+    n_plain = sum(len(_WORD.findall(t.lower())) for t in learn(ordinary))
+    plain = itertools.islice((w for t in learn(ordinary) for w in _WORD.findall(t.lower())),
+                             0, None, max(1, n_plain // ORDINARY_WORDS))
     by_hash = sorted((hashlib.md5(f"{w}/{i}".encode()).digest(), w) for w in wording for i in range(min(wording[w], 60)))
     toxic_part = _trained([bordered(w) for _, w in by_hash], TOXIC_BYTES)
     # what the trainer left out goes behind it, the most telling last, in the room that is left
@@ -310,6 +319,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     x = scorer.sums(pa.array(check(toxic) + check(ordinary), type=pa.large_string()))
     y = np.array([1.0] * len(check(toxic)) + [0.0] * len(check(ordinary)))
     slope, offset = _calibrate(x, y)
+    del scorer, x, y
+    pa.default_memory_pool().release_unused()  # else the driver keeps what the sample took
     return Model(model.ordinary, model.toxic, tuple(ratios.tolist()), slope, offset)
 
 

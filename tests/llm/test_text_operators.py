@@ -204,12 +204,35 @@ def test_whole_sets_are_one_row_a_class(spark):
     assert {len(r["grams"]) for r in sets.collect()} == {26}
 
 
+def test_rounds_without_new_links_are_not_run_again(spark, monkeypatch):
+    """The second round finds nothing here: what lies between components stays as it was made."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10_000)}"
+    base = [word() for _ in range(60)]
+    # in pairs too far apart to link, though most of their n-grams are shared
+    texts = [" ".join(base[:i] + ["x", "y"] + base[i + 2:]) for i in range(5, 55, 9)]
+    made, apart = [], ngram_jaccard.Jaccard._apart
+    monkeypatch.setattr(ngram_jaccard.Jaccard, "_apart", lambda *a: made.append(1) or apart(*a))
+    rows = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.Jaccard(
+        brute.frame(spark, list(enumerate(texts)))).members().collect()}
+    assert [rows[i] for i in range(len(texts))] == brute.groups(texts)
+    assert len(made) == 1
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 3), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
 
 
+def test_tables_of_a_join_leave_no_plans_behind(spark, monkeypatch):
+    """The driver collects finished jobs' plans while the join goes on, not only at its end."""
+    calls = []
+    monkeypatch.setattr(ngram_jaccard, "free_driver", lambda s: calls.append(s), raising=False)
+    ngram_jaccard.Jaccard(brute.frame(spark, list(enumerate(near_copies())))).links()
+    assert len(calls) >= 8
+
+
 # -- toxicity ------------------------------------------------------------
 
 
@@ -308,6 +331,19 @@ def test_training_texts_skip_held_out_and_null_labels(spark):
     assert len(ordinary) == 9
 
 
+def test_surroundings_of_words_are_counted_once():
+    rng = random.Random(9)
+    texts = ["", "one", "one one one"] + [" ".join(rng.choice("abcde") * rng.randrange(1, 4) for _ in range(rng.randrange(300)))
+                                          for _ in range(50)]
+    seen = {}
+    for text in texts:
+        run = ["", *toxicity._WORD.findall(text.lower()), ""]
+        for before, word, after in zip(run, run[1:], run[2:], strict=False):
+            seen.setdefault(word, set()).add((before, after))
+    assert list(toxicity._contexts(texts).items()) == [(w, len(s)) for w, s in seen.items()]
+    assert toxicity._contexts([]) == toxicity._contexts([""]) == {}
+
+
 # -- decontamination -----------------------------------------------------
 
 
