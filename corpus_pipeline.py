@@ -28,7 +28,7 @@ MIX_BLOCK = 512
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(*toxicity.training_texts(docs, table(spark, sf_dir, "labels"), usable=usable_label()))
+    model = toxicity.learned(docs, table(spark, sf_dir, "labels"), usable=usable_label())
     return toxicity.drop_toxic(docs, model)
 
 

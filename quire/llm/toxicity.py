@@ -233,7 +233,7 @@ def _trained(samples: list[bytes], size: int) -> bytes:
 
 def _contexts(texts: list[str]) -> dict[str, int]:
     """In how many different surroundings each word stands; copies of a passage add none."""
-    # numbers of words end to end, 0 around each text: arrays take less of the driver than sets
+    # numbers of words end to end, 0 around each text: arrays take less memory than sets
     number, run = {"": 0}, array.array("i", [0])
     for text in texts:
         run.extend(number.setdefault(w, len(number)) for w in _WORD.findall(text.lower()))
@@ -320,7 +320,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     y = np.array([1.0] * len(check(toxic)) + [0.0] * len(check(ordinary)))
     slope, offset = _calibrate(x, y)
     del scorer, x, y
-    pa.default_memory_pool().release_unused()  # else the driver keeps what the sample took
+    pa.default_memory_pool().release_unused()  # else the process keeps what the sample took
     return Model(model.ordinary, model.toxic, tuple(ratios.tolist()), slope, offset)
 
 
@@ -342,9 +342,9 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(0.0, beta[0]) / scale), float(beta[1])
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, id_col: str = "doc_id",
-                   text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[str]]:
-    """The bounded sample: (toxic texts, ordinary texts), in the order of their ids' hash."""
+def _sample(docs: DataFrame, labels: DataFrame, usable: Column | None, id_col: str, text_col: str,
+            label_col: str) -> tuple[DataFrame, list[Column]]:
+    """(__id, __label, __text) of the bounded sample, and its order: by the hash of the ids."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     if usable is not None:
         known = known.where(usable)
@@ -355,11 +355,47 @@ def training_texts(docs: DataFrame, labels: DataFrame, *, usable: Column | None
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")) \
         .where(F.octet_length("__text") <= TRAIN_TEXT_BYTES)
     # at most TRAIN_TOXIC + TRAIN_ORDINARY ids, whatever the tables hold
-    rows = texts.join(F.broadcast(picked), "__id").groupBy("__id").agg(
-        F.max("__label").alias("__label"), F.min("__text").alias("__text")).orderBy(*order).collect()
+    return texts.join(F.broadcast(picked), "__id").groupBy("__id").agg(
+        F.max("__label").alias("__label"), F.min("__text").alias("__text")), order
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, id_col: str = "doc_id",
+                   text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[str]]:
+    """The bounded sample: (toxic texts, ordinary texts), in the order of their ids' hash."""
+    sample, order = _sample(docs, labels, usable, id_col, text_col, label_col)
+    rows = sample.orderBy(*order).collect()
     return [r["__text"] for r in rows if r["__label"] == 1], [r["__text"] for r in rows if r["__label"] == 0]
 
 
+def learned(docs: DataFrame, labels: DataFrame, *, usable: Column | None = None, id_col: str = "doc_id",
+            text_col: str = "text", label_col: str = "toxic") -> Model:
+    """What ``fit`` gives for ``training_texts``, made in a task: the driver gets the model only.
+
+    A driver that has fitted keeps the memory of it for as long as it runs.
+    """
+    sample, order = _sample(docs, labels, usable, id_col, text_col, label_col)
+
+    def fitted(batches):
+        toxic, ordinary = [], []
+        for batch in batches:
+            for label, text in zip(batch.column("__label").to_pylist(), batch.column("__text").to_pylist(), strict=True):
+                if label in (0, 1):
+                    (toxic if label == 1 else ordinary).append(text.decode("utf-8", "replace"))
+        model = fit(toxic, ordinary)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.ordinary], type=pa.binary()), pa.array([model.toxic], type=pa.binary()),
+             pa.array([list(model.ratios)], type=pa.list_(pa.float64())), pa.array([model.slope]), pa.array([model.offset])],
+            names=["ordinary", "toxic", "ratios", "slope", "offset"])
+
+    ship_package(docs.sparkSession)
+    row = (sample.repartition(1).sortWithinPartitions(*order)
+           .select("__label", F.col("__text").cast("binary").alias("__text"))
+           .mapInArrow(fitted, "ordinary binary, toxic binary, ratios array<double>, slope double, offset double").first())
+    if row is None:  # an empty sample may have no task
+        return fit([], [])
+    return Model(bytes(row["ordinary"]), bytes(row["toxic"]), tuple(row["ratios"]), row["slope"], row["offset"])
+
+
 _SCORERS: dict[str, Scorer] = {}
 
 

@@ -331,6 +331,25 @@ def test_training_texts_skip_held_out_and_null_labels(spark):
     assert len(ordinary) == 9
 
 
+def test_toxicity_is_learned_in_a_task(spark, monkeypatch):
+    """The driver neither takes the sample nor fits to it; the model is the one it would have fitted."""
+    import corpus_pipeline as cp
+    from quire.llm.common import table
+    from quire.llm.queries import usable_label
+
+    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    want = toxicity.fit(*toxicity.training_texts(docs, labels, usable=usable_label()))
+    assert want.ratios
+    assert toxicity.learned(docs, labels, usable=usable_label()) == want
+    for none in (docs.limit(0), docs.where("doc_id is null")):
+        assert toxicity.learned(none, labels) == toxicity.learned(docs, labels.limit(0)) == toxicity.fit([], [])
+    taken = []
+    monkeypatch.setattr(toxicity, "training_texts", lambda *a, **b: taken.append(1) or ([], []))
+    QUERIES["op3_toxicity"](spark, SF)
+    cp.drop_toxic(spark, table(spark, SF, "documents"), SF)
+    assert not taken
+
+
 def test_surroundings_of_words_are_counted_once():
     rng = random.Random(9)
     texts = ["", "one", "one one one"] + [" ".join(rng.choice("abcde") * rng.randrange(1, 4) for _ in range(rng.randrange(300)))
