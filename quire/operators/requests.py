@@ -74,7 +74,8 @@ def decode_content(content) -> Column:
     return F.make_valid_utf8(F.col(content).cast("string") if isinstance(content, str) else content.cast("string"))
 
 
-def export_requests(requests: DataFrame, entries: DataFrame, catalog: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+def export_requests(requests: DataFrame, entries: DataFrame, catalog: DataFrame, ends: DataFrame | None = None,
+                    keys: DataFrame | None = None) -> DataFrame:
     """Raw export of requested entries: (request_id, format, status, line_no, line).
 
     Only requests that pass the gate (:func:`raw_requests`) are answered.  A
@@ -83,24 +84,27 @@ def export_requests(requests: DataFrame, entries: DataFrame, catalog: DataFrame,
     entry's decoded content, ``micron`` its rendering by its archive's type, also
     of archives that are closed to readers.  Each entry is decoded and rendered
     once, however many requests name it.  ``entries`` hold bytes in ``content``,
-    or text in ``html``.
+    or text in ``html``; ``keys`` are the same entries without it, where they are
+    at hand: requests are then resolved without reading contents.
     """
+    keys = entries if keys is None else keys
     asked = raw_requests(requests).select("request_id", "format", "archive", "entry_path")
-    to = (ends if ends is not None else RD.resolve_redirects(entries, only_redirects=True)).select(
+    to = (ends if ends is not None else RD.resolve_redirects(keys, only_redirects=True)).select(
         "archive", F.col("path").alias("entry_path"), F.col("final_path").alias("_end"))
     types = catalog.select("archive", "type")
     asked = asked.join(types, "archive", "left").withColumn(
         "entry_path", F.when(F.col("type") == "gutenberg", T.book_path("entry_path")).otherwise(F.col("entry_path")))
-    own = entries.select("archive", F.col("path").alias("entry_path"), "is_redirect")
+    own = keys.select("archive", F.col("path").alias("entry_path"), "is_redirect")
     found = asked.join(own, ["archive", "entry_path"], "left").join(to, ["archive", "entry_path"], "left")
     at = F.when(F.col("is_redirect"), F.col("_end")).when(~F.col("is_redirect"), F.col("entry_path"))
-    kinds = entries.select("archive", "path", "mimetype")
+    kinds = keys.select("archive", "path", "mimetype")
     found = stored(found.select("request_id", "format", "archive", "type", at.alias("path"))
                    .join(kinds, ["archive", "path"], "left"), "export-requests")
     readable = F.coalesce(F.col("mimetype").startswith("text/html"), F.lit(False))
     ok = found.filter(readable)
     body = F.col("html") if "html" in entries.columns else decode_content("content")
-    wanted = (entries.join(ok.select("archive", "path").distinct(), ["archive", "path"], "left_semi")
+    # hints: requests are many as well, and grow past what Spark would send through the driver
+    wanted = (entries.join(ok.select("archive", "path").distinct().hint("merge"), ["archive", "path"], "left_semi")
               .select("archive", "path", body.alias("html"), T.cache_key("archive", "path").alias("doc_id")))
     read = wanted.join(ok.filter(F.col("format") == "html").select("archive", "path").distinct(),
                        ["archive", "path"], "left_semi").select("archive", "path", F.lit("html").alias("format"),
@@ -108,9 +112,9 @@ def export_requests(requests: DataFrame, entries: DataFrame, catalog: DataFrame,
     drawn = wanted.join(ok.filter(F.col("format") == "micron").select("archive", "path", "type").distinct(), ["archive", "path"])
     renderer = F.when(F.col("type").isin("wikipedia", "gutenberg"), F.col("type")).otherwise(F.lit("generic"))
     drawn = drawn.withColumn("renderer", renderer)
-    rendered = X.render_documents(drawn, X.BY_TYPE).join(drawn.select("doc_id", "archive", "path"), "doc_id").select(
+    rendered = X.render_documents(drawn, X.BY_TYPE, carry=("archive", "path")).select(
         "archive", "path", F.lit("micron").alias("format"), "text")
-    lines = (ok.join(read.unionByName(rendered), ["archive", "path", "format"])
+    lines = (ok.hint("merge").join(read.unionByName(rendered), ["archive", "path", "format"])
              .select("request_id", "format", F.lit("ok").alias("status"),
                      F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
              .select("request_id", "format", "status", F.col("line_no").cast("bigint").alias("line_no"),

@@ -13,6 +13,7 @@ from quire.functions import text as T
 from quire.operators import catalog as C
 from quire.operators import extract as X
 from quire.operators import html as H
+from quire.operators import redirects as RD
 from quire.operators import requests as RQ
 from quire.plans import sql as S
 from quire.session import stored
@@ -20,14 +21,31 @@ from quire.sources import archive as A
 from quire.sources import articles as R
 
 
-def _t(spark, sf_dir):
-    """Entries, archives (the main entry is that of the lowest id), metadata and catalogue."""
-    e = R.entries_from_documents(A.read_table(spark, sf_dir, "documents"))
-    archives, meta = A.archives_table(e), R.metadata_of(e)
-    mains = stored(C.main_pages(archives, e), "mains")
+def _tables(spark, sf_dir):
+    """Entries with contents, the same without, and the catalogue (an archive's main entry is that of the lowest id).
+
+    The catalogue needs contents of main pages only: entries are stored without
+    them, and articles are made for the documents of main pages.
+    """
+    docs = A.read_table(spark, sf_dir, "documents")
+    e = R.entries_from_documents(docs)
+    keys = stored(e.drop("html").withColumn("page_id", F.col("entry_id")), "entries")
+    archives, meta = A.archives_table(keys), R.metadata_of(keys)
+    ends = stored(RD.resolve_redirects(keys, only_redirects=True), "ends")
+    at = keys.select("archive", F.col("path").alias("main_path"), "page_id")
+    own = stored(C.resolved_mains(archives, keys, ends).join(at, ["archive", "main_path"]).select(F.col("page_id").alias("doc_id")), "main-ids")
+    pages = R.entries_from_documents(docs.join(own, "doc_id", "left_semi")).select(F.col("entry_id").alias("page_id"), "html")
+    mains = stored(C.main_pages(archives, keys, ends, pages), "mains")
     d = mains.select(F.col("archive").alias("doc_id"), "archive", F.col("main_path").alias("path"), F.col("main_html").alias("html"))
     desc = X.descriptions(H.html_nodes(d)).withColumnRenamed("doc_id", "archive")
-    return e, stored(C.build_catalog(archives, meta, e, desc, mains=mains), "catalog")
+    cat = stored(C.build_catalog(archives, meta, keys, desc, mains=mains, ends=ends), "catalog")
+    return e, keys.drop("page_id"), ends, cat
+
+
+def _t(spark, sf_dir):
+    """Entries and the catalogue."""
+    e, _, _, cat = _tables(spark, sf_dir)
+    return e, cat
 
 
 def _docs(e):
@@ -80,16 +98,16 @@ def article_headings(spark, sf_dir):
 
 def article_export(spark, sf_dir):
     """Raw export of requested entries in both formats, through the gate."""
-    e, cat = _t(spark, sf_dir)
+    e, keys, ends, cat = _tables(spark, sf_dir)
     # a request an entry; every seventh has no format, every eleventh an unknown one, every thirteenth no path
     n = F.col("entry_id")
-    req = e.select(n.alias("request_id"), "archive", F.when(n % 13 > 0, F.col("path")).alias("entry_path"),
+    req = keys.select(n.alias("request_id"), "archive", F.when(n % 13 > 0, F.col("path")).alias("entry_path"),
                    F.when(n % 7 == 0, F.lit(None).cast("string")).when(n % 11 == 0, F.lit("pdf"))
                    .when(n % 2 == 0, F.lit("html")).otherwise(F.lit("micron")).alias("format"))
     # contents arrive as bytes; every fifth has a byte that is not UTF-8 at its end
     raw = e.withColumn("content", F.concat(F.encode("html", "utf-8"), F.when(n % 5 == 0, F.unhex(F.lit("FF"))).otherwise(
         F.unhex(F.lit(""))))).drop("html")
-    out = RQ.export_requests(req, raw, cat)
+    out = RQ.export_requests(req, raw, cat, ends, keys)
     return out.select("request_id", "format", "status", "line_no", "line")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import extract as X
 from quire.operators import html as H
+from quire.plans import article_q
 from quire.sources import articles as R
 
 DOC = "doc_id long, archive string, path string, renderer string, html string"
@@ -66,3 +67,10 @@ def test_few_row_groups_are_dealt_to_many_tasks(spark):
         assert out.select("p").distinct().count() > 1
     finally:
         out.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_export_reads_contents_for_html_and_for_rendering_alone(spark):
+    """Requests were resolved on contents, and rendered texts joined to the contents again."""
+    plan = article_q.article_export(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("FileScan parquet") >= 2
+    assert len(re.findall(r"FileScan parquet [^\n]*documents\.parquet", plan)) == 2
